@@ -43,10 +43,26 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.flac import media_column
+
+    return media_column(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_codec": op4_bpe_codec,
+    "op7_flac_media": op7_flac_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
