@@ -58,11 +58,29 @@ def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.license_scan import license_scan
+
+    found = license_scan(_table(spark, sf_dir, "documents"))
+    labels = F.array_union("base.label", "spans.label")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"),
+        F.array_max("base.word").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(labels), ",").alias("labels"),
+        F.greatest(F.when(F.size("base") > 0, 0.5).otherwise(0.0), F.coalesce(F.array_max("spans.coverage"), F.lit(0.0))).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_codec": op4_bpe_codec,
     "op7_flac_media": op7_flac_media,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
