@@ -124,7 +124,7 @@ class Scanner:
         self.vocabulary = sorted({w for t in texts for w in t})
         ids = {w: k for k, w in enumerate(self.vocabulary)}
         self.sequences = [[ids[w] for w in t] for t in texts]
-        self.labels = [label for _, label in [*base, *templates]]
+        self.labels = [label for _, label in base] + [label for label, _ in templates]
         self.shortest = min([least_match, *map(len, self.sequences[: len(base)])])
         self.automaton = SuffixAutomaton(self.sequences)
         raw = [w.encode() for w in self.vocabulary]

@@ -6,10 +6,13 @@ frequent ones by count. The order only steers work; any order gives right result
 A document of s shingles can link only to one that shares one of its first
 s - ceil(t s) + 1 shingles. Documents with identical prefixes and size are one
 group, only groups enter the prefix index, and lists of one group drop out. What
-is left is expanded to classes of equal sets. Links are verified exactly on whole
+is left is expanded to classes of equal sets. A pair of classes whose prefixes show
+too few common shingles drops out (an exact bound); the others are verified on whole
 sets: first each list against one leader, which joins large groups of copies in
-linear work, then against the best connected member, then every pair of a list
-whose ends are not yet in one component, so that no component is missed.
+linear work; then, among those that one leader brought together but that are not in
+one component, blocks against blocks, whose pairs are counted inside a task and
+never become rows; then every other pair of a list whose ends are not yet in one
+component. So no component is missed.
 
 Defined cases: null or empty text has no shingle and links with nothing; a row
 with null id takes no part and gets a null component; repeated rows are one
@@ -30,9 +33,11 @@ from pageloom.runtime import Scratch, ship
 
 #: Counted shingles from this count on are frequent, and of those the order knows so many at most.
 FREQUENT, FREQUENT_MOST = 16, 1 << 20
-#: Up to so many ids are sent to all executors (8 bytes each); beyond, a join picks the rows.
-IDS_SENT = 1 << 21
+#: Up to so many ids are sent to all executors; beyond, a shuffled join picks the rows.
+IDS_SENT = 1 << 20
 MEMBERS_A_TASK_KEY = 64
+#: Classes of a block; a task holds the sets of two blocks.
+BLOCK = 256
 
 
 def _sets(batches, text_col: str, n: int):
@@ -69,96 +74,151 @@ def _frequent(docs: DataFrame, text_col: str, n: int, percent: int) -> np.ndarra
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """A row for each document: set size, signature of the set and of prefix and size; the prefix where a task sees its group first."""
+    """A row for each document: set size, signatures of the set and of prefix and size, the prefix, and whether a task sees its group first here.
+
+    A prefix holds ascending 64-bit keys: half the hash of a shingle that isn't known as frequent, then 2^63 and the rarity rank of frequent ones.
+    """
     order = np.argsort(frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], (np.uint64(1) << np.uint64(63)) + (len(frequent) - 1 - order).astype(np.uint64)))
 
     def rows(batches):
-        known, rank = sent.value
+        known, key_of = sent.value
         seen: set[bytes] = set()
         for batch, flat, bounds in _sets(batches, text_col, n):
-            at = np.searchsorted(known, flat)
-            hit = known[np.minimum(at, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
-            hits = np.concatenate([[0], np.cumsum(hit)])[bounds]
-            sigs, groups, prefixes = [], [], []
+            keys = flat >> np.uint64(1)
+            hits = np.zeros(len(bounds), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                hit = known[at] == flat
+                keys[hit] = key_of[at[hit]]
+                hits = np.concatenate([[0], np.cumsum(hit)])[bounds]
+            sigs, groups, prefixes, first = [], [], [], []
             for i in range(batch.num_rows):
                 lo, hi = bounds[i], bounds[i + 1]
                 size = int(hi - lo)
                 if not size:
-                    sigs.append(None), groups.append(None), prefixes.append(None)
+                    sigs.append(None), groups.append(None), prefixes.append(None), first.append(False)
                     continue
-                one = flat[lo:hi]
-                sigs.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
-                p = size - int(_needed(size, percent)) + 1
+                sigs.append(hashlib.blake2b(flat[lo:hi].tobytes(), digest_size=16).digest())
                 if hits[i + 1] > hits[i]:
-                    h = hit[lo:hi]
-                    common = one[h][np.argsort(-rank[at[lo:hi][h]], kind="stable")]
-                    prefix = np.concatenate([one[~h], common])[:p]
-                else:
-                    prefix = one[:p]
-                group = hashlib.blake2b(prefix.tobytes() + size.to_bytes(8, "little"), digest_size=16).digest()
-                groups.append(group)
-                prefixes.append(None if group in seen else prefix.view(np.int64))
+                    keys[lo:hi].sort()
+                prefixes.append(keys[lo : lo + size - int(_needed(size, percent)) + 1].tobytes())
+                groups.append(hashlib.blake2b(prefixes[-1] + size.to_bytes(8, "little"), digest_size=16).digest())
+                first.append(groups[-1] not in seen)
                 if len(seen) < 1 << 20:
-                    seen.add(group)
+                    seen.add(groups[-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(sigs, pa.binary()), pa.array(groups, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "sig", "grp", "prefix"],
+                [batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(sigs, pa.binary()), pa.array(groups, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(first)],
+                ["doc_id", "n", "sig", "grp", "prefix", "first"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(rows, "doc_id long, n long, sig binary, grp binary, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(rows, "doc_id long, n long, sig binary, grp binary, prefix binary, first boolean")
+
+
+def _index(rows: DataFrame) -> DataFrame:
+    """(bearer, pos, token) of the prefixes of ``rows``."""
+
+    def spread(batches):
+        for batch in batches:
+            size = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], dtype=np.int64)
+            token = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(pos.astype(np.int32)), pa.array(token)], ["bearer", "pos", "token"])
+
+    return rows.where("first and doc_id is not null").select("doc_id", "prefix").mapInArrow(spread, "bearer long, pos int, token long")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(node, n, sig, shingles) of the rows whose id is in ``ids(node)``."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    count = ids.count()
-    sent = None
-    if count <= IDS_SENT:
-        sent = spark.sparkContext.broadcast(np.sort(ids.toPandas()["node"].to_numpy(np.int64)))
-    else:
-        docs = docs.join(ids, "node", "left_semi")
+    """(node, n, blob) of the rows whose id is in ``ids(node)``: sorted shingle hashes."""
+    ids = F.broadcast(ids) if ids.count() <= IDS_SENT else ids
+    chosen = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(ids, "node", "left_semi")
 
     def rows(batches):
-        def chosen():
-            for batch in batches:
-                if sent is not None:
-                    batch = batch.filter(pa.array(np.isin(batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), sent.value, kind="sort") & ~np.asarray(batch.column(0).is_null())))
-                yield batch
+        for batch, flat, bounds in _sets(batches, "text", n):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), tk.ragged_binary(flat, bounds)], ["node", "n", "blob"])
 
-        for batch, flat, bounds in _sets(chosen(), "text", n):
-            sigs = [hashlib.blake2b(flat[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(sigs, pa.binary()), tk.ragged_binary(flat, bounds)], ["node", "n", "sig", "shingles"])
+    return chosen.mapInArrow(rows, "node long, n long, blob binary")
 
-    return docs.mapInArrow(rows, "node long, n long, sig binary, shingles binary").dropDuplicates(["node", "sig"])
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole sets are similar enough. A leader's set travels once for up to 64 members or so."""
+def _kept(pairs: DataFrame, blobs: DataFrame, test) -> DataFrame:
+    """Those of ``pairs(a, b)`` for which ``test(n_a, blob_a, n_b, blob_b)`` holds. A leader's blob travels once for up to 64 members or so."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_TASK_KEY).alias("parts"))
     dealt = pairs.join(many, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
-    members = dealt.join(sets.select(F.col("node").alias("b"), "n", "shingles"), "b").select("a", "part", "b", "n", "shingles")
-    leaders = dealt.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), "n", "shingles"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "n", "shingles")
+    members = dealt.join(blobs.select(F.col("node").alias("b"), "n", "blob"), "b").select("a", "part", "b", "n", "blob")
+    leaders = dealt.select("a", "part").distinct().join(blobs.select(F.col("node").alias("a"), "n", "blob"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "n", "blob")
 
     def check(batches):
-        now, mine = None, None
+        size, mine = 0, None
         for batch in batches:
-            a, part, b = (batch.column(k).to_pylist() for k in range(3))
+            a, b, n = (batch.column(k).to_pylist() for k in (0, 2, 3))
             left, right = [], []
             for i, blob in enumerate(batch.column(4)):
                 other = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
                 if b[i] is None:
-                    now, mine = (a[i], part[i]), other.copy()
-                    continue
-                assert now == (a[i], part[i])
-                at = np.searchsorted(mine, other)
-                at[at == len(mine)] = 0
-                if (100 + percent) * int(np.count_nonzero(mine[at] == other)) >= percent * (len(mine) + len(other)):
+                    size, mine = n[i], other.copy()
+                elif test(size, mine, n[i], other):
                     left.append(a[i]), right.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return leaders.union(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
+    dealt = leaders.union(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(check, "a long, b long").distinct()
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int(np.count_nonzero(x[at] == y))
+
+
+def _block_links(held: DataFrame, sets: DataFrame, enough) -> DataFrame:
+    """Links (a, b) between classes of one home, ``held(node, home, component, blocks)``: every two blocks of a home meet in one task, which holds both."""
+    dealt = held.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(sets, "node")
+
+    def links(group):
+        block = np.array([g[0] for g in group])
+        node, component, size = (np.array([g[k] for g in group], dtype=np.int64) for k in (1, 2, 3))
+        bounds = np.concatenate([[0], np.cumsum([len(g[4]) for g in group])])
+        token, column, count = np.unique(np.concatenate([g[4] for g in group]), return_inverse=True, return_counts=True)
+        # shingles of one class only can't be common to two
+        place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
+        row = np.repeat(np.arange(len(group)), np.diff(bounds))
+        row, place = row[place >= 0], place[place >= 0]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        common = np.zeros((len(group), len(group)), dtype=np.float32)
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+            a, b = np.searchsorted(place, [low, low + 4096])
+            part = np.zeros((len(group), 4096), dtype=np.float32)
+            part[row[a:b], place[a:b] - low] = 1
+            common += part @ part.T
+        both = size[:, None] + size[None, :]
+        good = enough(common.astype(np.int64), 0, both) & (component[:, None] != component[None, :]) & (node[:, None] < node[None, :])
+        if block.min() != block.max():
+            good &= block[:, None] != block[None, :]
+        x, y = np.nonzero(good)
+        return node[x], node[y]
+
+    def run(batches):
+        now, group = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            block, node, component, size = (batch.column(k).to_pylist() for k in (3, 4, 5, 6))
+            found = []
+            for i, key in enumerate(keys):
+                if key != now:
+                    if len(group) > 1:
+                        found.append(links(group))
+                    now, group = key, []
+                group.append((block[i], node[i], component[i], size[i], np.frombuffer(batch.column(7)[i].as_buffer(), dtype=np.uint64).copy()))
+            for a, b in found:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if len(group) > 1:
+            a, b = links(group)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = dealt.select("home", "i", "j", "block", "node", "component", "n", "blob").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -166,52 +226,67 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "ngram")
-    frequent = _frequent(docs, text_col, n, percent)
-    all_rows = scratch.save(_prefixes(docs, id_col, text_col, n, percent, frequent), "rows")
-
+    all_rows = scratch.save(_prefixes(docs, id_col, text_col, n, percent, _frequent(docs, text_col, n, percent)), "rows")
     classes = scratch.save(all_rows.where("doc_id is not null and sig is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("grp").alias("grp")), "classes")
-    index = all_rows.where("prefix is not null and doc_id is not null").select(F.col("doc_id").alias("bearer"), F.posexplode("prefix").alias("pos", "token"))
-    listed = index.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
+
+    listed = _index(all_rows).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
     listed = scratch.save(listed, "listed")
-    bearers = listed.select("bearer").distinct().join(all_rows.where("prefix is not null").select(F.col("doc_id").alias("bearer"), "grp"), "bearer")
+    bearers = listed.select("bearer").distinct().join(all_rows.where("first").select(F.col("doc_id").alias("bearer"), "grp"), "bearer")
     spread = listed.join(bearers, "bearer").select("token", "pos", "grp").join(classes.select("grp", "node", "n"), "grp").select("token", "pos", "node", "n")
     several = classes.withColumn("m", F.count("*").over(Window.partitionBy("grp"))).where("m > 1").select(F.xxhash64("grp", F.lit("group")).alias("token"), F.lit(0).alias("pos"), "node", "n")
     lists = scratch.save(spread.union(several).groupBy("token", "node").agg(F.min("pos").alias("pos"), F.first("n").alias("n")), "lists")
-
+    scratch.drop("listed")
     near = f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * (least(pos, qos) + least(n - pos, m - qos)) >= {percent} * (n + m)"
-    ids = scratch.save(lists.select("node").distinct(), "ids")
-    sets = _whole_sets(docs, ids, id_col, text_col, n)
-    sets = scratch.save(sets.join(classes.select("node", "sig"), ["node", "sig"], "left_semi").select("node", "n", "shingles"), "sets")
-
-    links = component = None
-    tried = None
-    for k in range(3):
-        here = lists
-        if component is not None:
-            here = here.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = here.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-            here = here.join(mixed, "token", "left_semi")
-        else:
-            here = here.withColumn("component", F.col("node"))
-        if k == 1:
-            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-            here = here.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        if k < 2:
-            best = F.min_by(F.struct("node", "pos", "n", "component"), F.col("node") if k == 0 else F.struct(-F.col("degree"), F.col("node")))
-            lead = here.groupBy("token").agg(best.alias("lead")).select("token", *(F.col(f"lead.{x}").alias(y) for x, y in (("node", "a"), ("pos", "qos"), ("n", "m"), ("component", "other"))))
-        else:
-            lead = here.select("token", F.col("node").alias("a"), F.col("pos").alias("qos"), F.col("n").alias("m"), F.col("component").alias("other"))
-        # before the first round every class is a component of its own
-        pairs = here.join(lead, "token").where("component <> other" + " and a < node" * (k == 2)).where(near).select("a", F.col("node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{k}")
-        if links is not None and not pairs.take(1):
-            continue
-        got = scratch.save(_verified(pairs, sets, percent), f"links{k}")
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = both if tried is None else tried.union(both)
-        links = got if links is None else links.union(got)
-        component = scratch.save(connected_components(links), f"component{k}")
+    of_class = classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "sig")
+    prefixes = scratch.save(all_rows.select(F.col("doc_id").alias("node"), "sig", "n", F.col("prefix").alias("blob")).join(of_class, ["node", "sig"], "left_semi").drop("sig").dropDuplicates(["node"]), "prefixes")
+
+    def enough(common, n_a, n_b):
+        return (100 + percent) * common >= percent * (n_a + n_b)
+
+    def may_link(n_a, x, n_b, y):
+        """Up to the smaller last key both prefixes show all shingles of their sets."""
+        last = min(x[-1], y[-1])
+        seen_x, seen_y = np.searchsorted(x, last, side="right"), np.searchsorted(y, last, side="right")
+        return enough(_common(x, y) + min(n_a - int(seen_x), n_b - int(seen_y)), n_a, n_b)
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        return scratch.save(_whole_sets(docs, scratch.save(ids.distinct(), f"ids_{name}"), id_col, text_col, n), f"sets_{name}")
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), name)
+        return scratch.save(_kept(pairs, sets, lambda n_a, x, n_b, y: enough(_common(x, y), n_a, n_b)), f"links_{name}")
+
+    # each list against its smallest class; before, every class is a component of its own
+    lead = lists.groupBy("token").agg(F.min_by(F.struct("node", "pos", "n"), "node").alias("lead")).select("token", F.col("lead.node").alias("a"), F.col("lead.pos").alias("qos"), F.col("lead.n").alias("m"))
+    pairs = lists.join(lead, "token").where("a <> node").where(near).select("a", F.col("node").alias("b")).distinct()
+    led = scratch.save(_kept(pairs, prefixes, may_link), "led")
+    links = links_of(led, "led")
+    component = scratch.save(connected_components(links), "component_led")
+
+    def with_component(df: DataFrame) -> DataFrame:
+        return df.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    # blocks against blocks among the classes that share their smallest leader
+    home = scratch.save(led.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home")), "home")
+    held = with_component(home)
+    apart = held.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("home", "blocks")
+    held = scratch.save(held.join(apart, "home"), "held")
+    if held.take(1):
+        got = scratch.save(_block_links(held, sets_of(held.select("node"), "held"), enough), "links_held")
+        links = links.union(got)
+        component = scratch.save(connected_components(links), "component_held")
+
+    # the rest, pair by pair
+    here = with_component(lists).join(home, "node", "left").withColumn("home", F.coalesce("home", "node"))
+    mixed = here.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("home").alias("v"), F.max("home").alias("w")).where("x <> y and v <> w").select("token")
+    here = here.join(mixed, "token", "left_semi")
+    other = here.select("token", F.col("node").alias("a"), F.col("pos").alias("qos"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("home").alias("place"))
+    cross = here.join(other.withColumnRenamed("token", "same"), F.expr(f"token = same and a < node and component <> other and home <> place and {near}"))
+    pairs = cross.select("a", F.col("node").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
+    pairs = scratch.save(_kept(pairs, prefixes, may_link), "rest")
+    if pairs.take(1):
+        got = links_of(pairs, "rest")
+        if got.take(1):
+            component = scratch.save(connected_components(links.union(got)), "component")
     out = all_rows.select("doc_id", "n", "sig").join(classes.select("sig", "node"), "sig", "left").join(component, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
