@@ -58,6 +58,12 @@ def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.quality_gam import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageloom.llm.license_scan import license_scan
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_bpe_codec": op4_bpe_codec,
     "op7_flac_media": op7_flac_media,
+    "op8_quality_gam": op8_quality_gam,
     "op10_license_scan": op10_license_scan,
 }
 
