@@ -64,6 +64,13 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(_table(spark, sf_dir, "documents"), percent=80, least_words=5)
+    return kept.select("doc_id", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))).cast("long").alias("n_kept_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageloom.llm.license_scan import license_scan
 
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op7_flac_media": op7_flac_media,
     "op8_quality_gam": op8_quality_gam,
+    "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
