@@ -8,8 +8,10 @@ reaches the threshold; then one word of each prefix is common (prefix filter), a
 sizes and places of a common word bound the overlap (length and positional filters).
 Candidates are counted, bounded by their common prefix words, and verified on whole
 sets. A line is removed if any earlier line matches it, judged on the input: first
-against the first line of each word's list, which settles copies in linear work,
-then the lines still open against every earlier line of their lists.
+against the first line of each word's list, which settles copies in linear work;
+then lines still open against the others that met the same first line, block against
+block, whose pairs never become rows; then against every other earlier line of their
+lists.
 
 Defined cases: null texts and texts without lines of ``least_words`` different words
 stay as they are, as do such short lines; rows with null id take no part and stay;
@@ -32,6 +34,8 @@ from pageloom.runtime import Scratch, ship
 FREQUENT, FREQUENT_MOST = 3, 1 << 20
 #: Up to so many documents the removals are sent to all executors; beyond, a shuffled join.
 DOCS_SENT = 1 << 19
+#: Lines of a block; a task holds the sets of two blocks.
+BLOCK = 256
 #: Keys have 51 bits, so that with a line's number in a chunk they sort as one integer.
 KEY_BITS = 51
 CHUNK = 1 << (64 - KEY_BITS)
@@ -106,6 +110,37 @@ def _ids(batch: pa.RecordBatch, row: np.ndarray) -> pa.Array:
     return batch.column(0).cast(pa.int64()).take(pa.array(row))
 
 
+def _block_matches(held: DataFrame, sets: DataFrame, enough) -> DataFrame:
+    """Of ``held(node, home, open, blocks)``: the open lines (b) that match an earlier line of their home. Every two blocks of a home meet in one task, which holds both."""
+    node_type = "struct<doc_id:long,line:int>"
+    dealt = held.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "open").join(sets, "node")
+
+    def matches(group: list[tuple[tuple[int, int], bool, np.ndarray]]) -> list[dict]:
+        group.sort(key=lambda g: g[0])
+        size = np.array([len(g[2]) for g in group])
+        good = np.tril(enough(tk.common_counts([g[2] for g in group]), size[:, None], size[None, :]), -1).any(axis=1)
+        return [{"doc_id": g[0][0], "line": g[0][1]} for g, ok in zip(group, good) if ok and g[1]]
+
+    def run(batches):
+        now, group, found = None, [], []
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for key, node, is_open, blob in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                key = (tuple(key[0].values()), *key[1:])
+                if key != now:
+                    if len(group) > 1:
+                        found += matches(group)
+                    now, group = key, []
+                group.append(((node["doc_id"], node["line"]), is_open, np.frombuffer(blob, dtype=np.uint64)))
+        if len(group) > 1:
+            found += matches(group)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.struct([("doc_id", pa.int64()), ("line", pa.int32())]))], ["b"])
+
+    dealt = dealt.select("home", "i", "j", "node", "open", "blob").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
+    return dealt.mapInArrow(run, f"b {node_type}").distinct()
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
     """Of each document with lines in the comparison: doc_id, n_compared, and the numbers (from 0) of its lines that match an earlier one."""
     spark = docs.sparkSession
@@ -194,13 +229,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # the first line of each list settles most copies; a pair is counted in the lists that it leads only, so no bound here
     lead = lists.groupBy("token").agg(F.min(F.struct("node", "pos", "n")).alias("lead")).select("token", F.col("lead.node").alias("a"), F.col("lead.pos").alias("qos"), F.col("lead.n").alias("m"))
-    led = lists.join(lead, "token").where("a < node").where("pos <= 2 and qos <= 2").where(near).select("a", F.col("node").alias("b")).distinct()
+    led = lists.join(lead, "token").where(F.expr(f"a < node and {near}")).select("a", F.col("node").alias("b")).distinct()
     matched = verified(led, "led")
-    # lines still open against every earlier line
-    open_lists = lists.join(matched.withColumnRenamed("b", "node"), "node", "left_anti")
-    earlier = lists.select(F.col("token").alias("same"), F.col("node").alias("a"), F.col("pos").alias("qos"), F.col("n").alias("m"))
-    rest = open_lists.join(earlier, F.expr(f"token = same and a < node and {near}")).select("a", F.col("node").alias("b"), "n", "m")
-    matched = matched.union(verified(bounded(rest), "rest"))
+    home = scratch.save(scratch.load("pairs_led").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home")), "home")
+    done = matched.select(F.col("b").alias("node"), F.lit(False).alias("open"))
+    held = home.join(done, "node", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    apart = held.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.max("open").alias("some"), F.count("*").alias("size")).where("some and size > 1").select("home", "blocks")
+    matched = matched.union(scratch.save(_block_matches(held.join(apart, "home"), scratch.load("sets_led"), enough), "matched_held"))
+    # lines still open against every other earlier line
+    placed = lists.join(home, "node", "left").withColumn("home", F.coalesce("home", "node"))
+    open_lists = placed.join(matched.withColumnRenamed("b", "node"), "node", "left_anti")
+    earlier = placed.select(F.col("token").alias("same"), F.col("node").alias("a"), F.col("pos").alias("qos"), F.col("n").alias("m"), F.col("home").alias("place"))
+    rest = open_lists.join(earlier, F.expr(f"token = same and a < node and home <> place and {near}")).select("a", F.col("node").alias("b"), "n", "m")
+    matched = matched.union(verified(bounded(rest), "rest")).distinct()
 
     later = rows.select("doc_id", "line", "s1", "s2").join(classes.where("copies > 1").select("s1", "s2", "node"), ["s1", "s2"], "left").join(matched.select(F.col("b.doc_id").alias("doc_id"), F.col("b.line").alias("line"), F.lit(True).alias("hit")), ["doc_id", "line"], "left")
     # copies of a matched first line go as copies; of a kept one too

@@ -178,22 +178,9 @@ def _block_links(held: DataFrame, sets: DataFrame, enough) -> DataFrame:
     def links(group):
         block = np.array([g[0] for g in group])
         node, component, size = (np.array([g[k] for g in group], dtype=np.int64) for k in (1, 2, 3))
-        bounds = np.concatenate([[0], np.cumsum([len(g[4]) for g in group])])
-        token, column, count = np.unique(np.concatenate([g[4] for g in group]), return_inverse=True, return_counts=True)
-        # shingles of one class only can't be common to two
-        place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
-        row = np.repeat(np.arange(len(group)), np.diff(bounds))
-        row, place = row[place >= 0], place[place >= 0]
-        order = np.argsort(place, kind="stable")
-        row, place = row[order], place[order]
-        common = np.zeros((len(group), len(group)), dtype=np.float32)
-        for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
-            a, b = np.searchsorted(place, [low, low + 4096])
-            part = np.zeros((len(group), 4096), dtype=np.float32)
-            part[row[a:b], place[a:b] - low] = 1
-            common += part @ part.T
+        common = tk.common_counts([g[4] for g in group])
         both = size[:, None] + size[None, :]
-        good = enough(common.astype(np.int64), 0, both) & (component[:, None] != component[None, :]) & (node[:, None] < node[None, :])
+        good = enough(common, 0, both) & (component[:, None] != component[None, :]) & (node[:, None] < node[None, :])
         if block.min() != block.max():
             good &= block[:, None] != block[None, :]
         x, y = np.nonzero(good)

@@ -143,3 +143,23 @@ def ragged_binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Rows values[bounds[i]:bounds[i+1]] as little-endian binary."""
     width = values.dtype.itemsize
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of some sorted sets, by blocked matrix products."""
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # what only one set has can't be common to two
+    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
+    row = np.repeat(np.arange(len(sets)), np.diff(bounds))
+    row, place = row[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        a, b = np.searchsorted(place, [low, low + 4096])
+        part = np.zeros((len(sets), min(4096, int(place[-1]) + 1 - low)), dtype=np.float32)
+        part[row[a:b], place[a:b] - low] = 1
+        common += part @ part.T
+    np.fill_diagonal(common, np.diff(bounds))
+    return common.astype(np.int64)
