@@ -43,6 +43,21 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Target weights of the language domains.
+MIX_TARGETS = {"de": 0.2, "en": 0.5, "es": 0.1, "fr": 0.2}
+
+
+def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of domains: documents that ``labels`` covers, with their language."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.mixing import mixing_rates
+
+    return mixing_rates(_table(spark, sf_dir, "documents"), language_labels(spark, sf_dir), MIX_TARGETS, low=1.0, high=4.0)
+
+
 def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageloom.llm.flac import media_column
 
@@ -92,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_codec": op4_bpe_codec,
+    "op6_mixing": op6_mixing,
     "op7_flac_media": op7_flac_media,
     "op8_quality_gam": op8_quality_gam,
     "op9_line_dedup": op9_line_dedup,
