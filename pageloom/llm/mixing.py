@@ -83,7 +83,7 @@ def _rate(steps: list[list[float]], n: int, low: float, high: float) -> Column:
     return F.aggregate(history, rate, lambda r, h: F.greatest(F.lit(low), F.least(F.lit(high), r - sum((h[k] * p[k] for k in range(n)), F.lit(0.0)))))
 
 
-def fit_rates(members: DataFrame, domains: list[str], weights: list[float], low: float, high: float, budget: float | None = None, max_steps: int = 25, tolerance: float = 1e-6) -> DataFrame:
+def fit_rates(members: DataFrame, domains: list[str], weights: list[float], low: float, high: float, budget: float | None = None, max_steps: int = 16, tolerance: float = 1e-4) -> DataFrame:
     """``members(id, rows, tokens, p0, ...)`` with rate. The default budget is the least at which no domain has to shrink."""
     n = len(domains)
     mass = [float(x or 0) for x in members.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}")) for k in range(n))).first()]
@@ -98,7 +98,7 @@ def fit_rates(members: DataFrame, domains: list[str], weights: list[float], low:
         totals = members.select("tokens", *(f"p{k}" for k in range(n)), _rate(steps, n, low, high).alias("rate")).agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{k}")) for k in range(n))).first()
         # the gradient of the errors relative to each domain's mass; a step of 1 is stable, as posteriors sum to 1
         error = [(float(t) - s * budget) / m if m > 0 else 0.0 for t, s, m in zip(totals, share, mass)]
-        if max(map(abs, error)) < tolerance or (steps and all(abs(a - b) < 1e-12 for a, b in zip(error, steps[-1]))):
+        if max(map(abs, error)) < tolerance or (steps and all(abs(a - b) < 1e-6 for a, b in zip(error, steps[-1]))):
             break
         steps.append(error)
     return members.withColumn("rate", _rate(steps, n, low, high))

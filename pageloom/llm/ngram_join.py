@@ -246,7 +246,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # each list against its smallest class; before, every class is a component of its own
     lead = lists.groupBy("token").agg(F.min_by(F.struct("node", "pos", "n"), "node").alias("lead")).select("token", F.col("lead.node").alias("a"), F.col("lead.pos").alias("qos"), F.col("lead.n").alias("m"))
     pairs = lists.join(lead, "token").where("a <> node").where(near).select("a", F.col("node").alias("b")).distinct()
-    led = scratch.save(_kept(pairs, prefixes, may_link), "led")
+    star = scratch.save(pairs, "star")
+    led = scratch.save(_kept(star, prefixes, may_link), "led")
     links = links_of(led, "led")
     component = scratch.save(connected_components(links), "component_led")
 
@@ -254,7 +255,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         return df.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     # blocks against blocks among the classes that share their smallest leader
-    home = scratch.save(led.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home")), "home")
+    home = scratch.save(star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home")), "home")
     held = with_component(home)
     apart = held.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("home", "blocks")
     held = scratch.save(held.join(apart, "home"), "held")

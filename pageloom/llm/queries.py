@@ -21,6 +21,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.nn_graph import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), every=100, top=10)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +111,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_nn_descent": op2_nn_descent,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_codec": op4_bpe_codec,
     "op6_mixing": op6_mixing,
