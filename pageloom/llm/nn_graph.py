@@ -3,10 +3,11 @@
 Equal vectors are one node. The graph starts from exact neighbours inside random
 groups of bounded size. A round of NN-descent brings each node's neighbours and its
 nearest reverse neighbours together (a join), compares them with each other, and
-offers each the better ones; each node keeps its K nearest. A query starts at its
+offers each the better ones, where one of the two is new to their meeting; each node
+keeps its K nearest. A query starts at its
 own node's neighbours and expands, round by round, the best nodes of its pool that
 are not expanded yet, along edges in both directions, all queries in the same joins.
-Graph distances use half precision; the pool and the result use the original
+Graph distances use vectors of 8-bit components with a scale; the pool and the result use the original
 vectors in double precision.
 
 Bounded by parameters, as the method samples: K neighbours, REVERSE reverse
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pageloom.runtime import Scratch, ship
 
-K, REVERSE, OFFERS = 16, 10, 5
-GROUP, GROUPINGS, ROUNDS = 2048, 3, 4
-POOL, EXPAND, SEARCH_ROUNDS = 40, 8, 4
+K, REVERSE, OFFERS = 24, 16, 12
+GROUP, GROUPINGS, ROUNDS = 4096, 3, 4
+POOL, EXPAND, SEARCH_ROUNDS = 300, 60, 5
 FAR = float("inf")
 
 
@@ -44,24 +45,25 @@ def usable_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest different u of each v in ``edges(v, u, d)``."""
-    once = edges.repartition("v").groupBy("v", "u").agg(F.min("d").alias("d"))
+    """The k nearest different u of each v in ``edges(v, u, d, new)``; an edge that was there before isn't new."""
+    once = edges.repartition("v").groupBy("v", "u").agg(F.min("d").alias("d"), F.min("new").alias("new"))
     return once.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))).where(f"r <= {k}").drop("r")
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16).reshape(len(column), -1).astype(np.float32)
+def pack(vectors: np.ndarray) -> list[bytes]:
+    """Rows as a 32-bit scale and 8-bit components."""
+    scale = np.maximum(np.abs(vectors).max(axis=1, initial=0) / 127, 1e-300)
+    small = np.rint(vectors / scale[:, None]).astype(np.int8)
+    return [s.tobytes() + r.tobytes() for s, r in zip(scale.astype(np.float32), small)]
 
 
-def _distances(x: np.ndarray) -> np.ndarray:
-    norm = (x * x).sum(axis=1)
-    d = np.maximum(norm[:, None] + norm[None, :] - 2 * (x @ x.T), 0)
-    np.fill_diagonal(d, FAR)
-    return d
+def unpack(blobs: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(len(blobs), -1)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
 
 
 def _runs(batches, size: int):
-    """Rows (lists) of equal keys in the first column, as the partition is sorted by it; a group has ``size`` rows at most or comes in parts."""
+    """Rows (lists) of equal keys in the first column, as the partition is sorted by it; a group of more than ``size`` rows comes in parts."""
     key, held = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -74,42 +76,47 @@ def _runs(batches, size: int):
         yield held
 
 
-def _offers(node: np.ndarray, x: np.ndarray, kth: np.ndarray, most: int):
-    """For each row its nearest others, where nearer than its kth."""
-    d = _distances(x)
-    d[node[:, None] == node[None, :]] = FAR
-    d[d >= kth[:, None]] = FAR
+def _offers(node: np.ndarray, x: np.ndarray, kth: np.ndarray, new: np.ndarray, most: int):
+    """For each row its nearest others, where nearer than its kth and one of the two is new."""
+    found = []
+    norm = (x * x).sum(axis=1)
     most = min(most, len(node))
-    near = np.argpartition(d, most - 1, axis=1)[:, :most]
-    value = np.take_along_axis(d, near, axis=1)
-    v, c = np.nonzero(value < FAR)
-    return node[v], node[near[v, c]], value[v, c].astype(np.float64)
+    for a in range(0, len(node), 1024):
+        b = min(a + 1024, len(node))
+        d = np.maximum(norm[a:b, None] + norm[None, :] - 2 * (x[a:b] @ x.T), 0)
+        d[(node[a:b, None] == node[None, :]) | (d >= kth[a:b, None]) | ~(new[a:b, None] | new[None, :])] = FAR
+        near = np.argpartition(d, most - 1, axis=1)[:, :most]
+        value = np.take_along_axis(d, near, axis=1)
+        v, c = np.nonzero(value < FAR)
+        found.append((node[a + v], node[near[v, c]], value[v, c].astype(np.float64)))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def _edge_batches(parts):
     for v, u, d in parts:
         if len(v):
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(d)], ["v", "u", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(d), pa.array(np.ones(len(v), dtype=bool))], ["v", "u", "d", "new"])
+
+
+_EDGE = "v long, u long, d double, new boolean"
 
 
 def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``nodes(node, half)`` to edges (v, u, d): about K near neighbours of every node."""
+    """``nodes(node, small)`` to edges (v, u, d, new): about K near neighbours of every node."""
     groups = max(1, math.ceil(nodes.count() / GROUP))
 
     def inside(batches):
         def parts():
             for run in _runs(batches, 2 * GROUP):
-                node = np.array([r[1] for r in run], dtype=np.int64)
-                x = np.frombuffer(b"".join(r[2] for r in run), dtype=np.float16).reshape(len(run), -1).astype(np.float32)
                 if len(run) > 1:
-                    yield _offers(node, x, np.full(len(run), FAR), K)
+                    yield _offers(np.array([r[1] for r in run], dtype=np.int64), unpack([r[2] for r in run]), np.full(len(run), FAR), np.ones(len(run), dtype=bool), K)
 
         yield from _edge_batches(parts())
 
     edges = None
     for k in range(GROUPINGS if groups > 1 else 1):
-        dealt = nodes.select(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(groups)).alias("g"), "node", "half").repartition("g").sortWithinPartitions("g")
-        part = dealt.mapInArrow(inside, "v long, u long, d double")
+        dealt = nodes.select(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(groups)).alias("g"), "node", "small").repartition("g").sortWithinPartitions("g")
+        part = dealt.mapInArrow(inside, _EDGE)
         edges = part if edges is None else edges.union(part)
     graph = scratch.save(_best(edges, K), "graph0")
     if groups == 1:
@@ -119,10 +126,9 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         def parts():
             held = []
             for run in _runs(batches, 1 + K + REVERSE):
-                node = np.array([r[1] for r in run], dtype=np.int64)
-                x = np.frombuffer(b"".join(r[3] for r in run), dtype=np.float16).reshape(len(run), -1).astype(np.float32)
-                if len(run) > 1:
-                    held.append(_offers(node, x, np.array([r[2] for r in run]), OFFERS))
+                new = np.array([r[3] for r in run])
+                if len(run) > 1 and new.any():
+                    held.append(_offers(np.array([r[1] for r in run], dtype=np.int64), unpack([r[4] for r in run]), np.array([r[2] for r in run]), new, OFFERS))
                 if len(held) == 512:
                     yield tuple(map(np.concatenate, zip(*held)))
                     held = []
@@ -132,20 +138,29 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         yield from _edge_batches(parts())
 
     for k in range(1, ROUNDS + 1):
-        back = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "d")
-        back = back.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))).where(f"r <= {REVERSE}").drop("r")
+        back = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "d", "new")
+        back = back.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))).where(f"r <= {REVERSE}")
         # members of m: itself, its neighbours and its nearest reverse neighbours, each once
-        member = graph.select(F.col("v").alias("m"), F.col("u").alias("node")).union(back.select(F.col("v").alias("m"), F.col("u").alias("node"))).union(nodes.select(F.col("node").alias("m"), "node")).distinct()
+        member = graph.select("v", "u", "new").union(back.select("v", "u", "new")).union(nodes.select(F.col("node").alias("v"), F.col("node").alias("u"), F.lit(False)))
+        member = member.groupBy(F.col("v").alias("m"), F.col("u").alias("node")).agg(F.max("new").alias("new"))
         kth = graph.groupBy(F.col("v").alias("node")).agg(F.when(F.count("*") >= K, F.max("d")).otherwise(F.lit(FAR)).alias("kth"))
-        vectors = nodes.join(kth, "node", "left").select("node", F.coalesce("kth", F.lit(FAR)).alias("kth"), "half")
-        met = member.join(vectors, "node").select("m", "node", "kth", "half").repartition("m").sortWithinPartitions("m", "node").mapInArrow(meet, "v long, u long, d double")
-        graph = scratch.save(_best(graph.union(met), K), f"graph{k}")
+        vectors = nodes.join(kth, "node", "left").select("node", F.coalesce("kth", F.lit(FAR)).alias("kth"), "small")
+        met = member.join(vectors, "node").select("m", "node", "kth", "new", "small").repartition("m").sortWithinPartitions("m", "node").mapInArrow(meet, _EDGE)
+        graph = scratch.save(_best(graph.withColumn("new", F.lit(False)).union(met), K), f"graph{k}")
         scratch.drop(f"graph{k - 1}")
     return graph
 
 
-def _distance(a: str, b: str):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _with_distance(pairs: DataFrame) -> DataFrame:
+    """``pairs(s, node, q, vec)`` to (s, node, d), Euclidean in double precision."""
+
+    def rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                q, vec = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(((q - vec) ** 2).sum(axis=1)))], ["s", "node", "d"])
+
+    return pairs.select("s", "node", "q", "vec").mapInArrow(rows, "s long, node long, d double")
 
 
 def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, top: int = 10) -> DataFrame:
@@ -159,14 +174,14 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
     rows = scratch.save(rows, "rows")
     member = scratch.save(member.withColumn("node", F.min("vec_id").over(Window.partitionBy("vec"))), "member")
 
-    def halves(batches):
+    def smaller(batches):
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1))
-            half = np.clip(flat, -6e4, 6e4).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in half], pa.binary())], ["node", "half"])
+            if batch.num_rows:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pack(flat), pa.binary())], ["node", "small"])
 
     first = member.where("r = 1").select("node", "vec")
-    nodes = scratch.save(first.mapInArrow(halves, "node long, half binary"), "nodes")
+    nodes = scratch.save(first.mapInArrow(smaller, "node long, small binary"), "nodes")
     graph = build_graph(nodes, scratch)
     links = scratch.save(graph.select("v", "u").union(graph.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "links")
 
@@ -180,7 +195,7 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
         # its own node and everything it starts with are expanded first
         picked = pool.where("not done").withColumn("r", F.row_number().over(ranked)).where(f"r <= {EXPAND}").select("s", F.col("node").alias("v"))
         reached = picked.join(links, "v").select("s", F.col("u").alias("node")).distinct().join(pool.select("s", "node"), ["s", "node"], "left_anti")
-        found = reached.join(first, "node").join(search.select(F.col("node").alias("s"), "q"), "s").select("s", "node", _distance("q", "vec").alias("d"), F.lit(False).alias("done"))
+        found = _with_distance(reached.join(first, "node").join(search.select(F.col("node").alias("s"), "q"), "s")).select("s", "node", "d", F.lit(False).alias("done"))
         known = pool.join(picked.select("s", F.col("v").alias("node"), F.lit(True).alias("now")), ["s", "node"], "left").select("s", "node", "d", F.expr("done or coalesce(now, false)").alias("done"))
         pool = scratch.save(known.union(found).withColumn("r", F.row_number().over(ranked)).where(f"r <= {POOL}").drop("r"), f"pool{k}")
     near = pool.join(member.select("node", "vec_id"), "node").select("s", "vec_id", "d")

@@ -6,6 +6,7 @@ Lineage is cut only by tables written to the folder that all executors share
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -66,3 +67,6 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(conf).delete(path, True)
+        # shuffle files of plans that nothing refers to any more are freed when the driver collects garbage
+        gc.collect()
+        jvm.System.gc()
