@@ -49,6 +49,18 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents"), width=200).select(
+        "doc_id",
+        "n_bytes",
+        F.expr("n_bytes - octet_length(kept)").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 #: Target weights of the language domains.
 MIX_TARGETS = {"de": 0.2, "en": 0.5, "es": 0.1, "fr": 0.2}
 
@@ -114,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nn_descent": op2_nn_descent,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
     "op7_flac_media": op7_flac_media,
     "op8_quality_gam": op8_quality_gam,
