@@ -4,14 +4,14 @@ A line is the set of its words (lower-cased A-Z). Words are ordered rarest first
 words not known to be frequent by hash, then frequent ones by falling rarity; any
 order gives right results. Equal sets are one class, of which the first line in
 document order stays a candidate. Two lines match when their Jaccard similarity
-reaches the threshold; then one word of each prefix is common (prefix filter), and
-sizes and places of a common word bound the overlap (length and positional filters).
-Candidates are counted, bounded by their common prefix words, and verified on whole
-sets. A line is removed if any earlier line matches it, judged on the input: first
-against the first line of each word's list, which settles copies in linear work;
-then lines still open against the others that met the same first line, block against
-block, whose pairs never become rows; then against every other earlier line of their
-lists.
+reaches the threshold; then one word of each prefix is common (prefix filter), sizes
+and places of a common word bound the overlap (length and positional filters), and
+so do the differing bits of two parity bitmaps. The index travels as packed arrays,
+dealt by word; a word that is frequent enough to fill a task is dealt as blocks, every
+two of which meet. Candidates are verified on whole sets. A line is removed if any
+earlier line matches it, judged on the input: for each line and word the nearest
+candidates by bitmap are tried first, and all others only for lines that are still
+open.
 
 Defined cases: null texts and texts without lines of ``least_words`` different words
 stay as they are, as do such short lines; rows with null id take no part and stay;
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pageloom.llm import textkit as tk
 from pageloom.llm.bpe import ragged_index
@@ -34,8 +34,10 @@ from pageloom.runtime import Scratch, ship
 FREQUENT, FREQUENT_MOST = 3, 1 << 20
 #: Up to so many documents the removals are sent to all executors; beyond, a shuffled join.
 DOCS_SENT = 1 << 19
-#: Lines of a block; a task holds the sets of two blocks.
-BLOCK = 256
+#: Candidates tried first for a line and word; open lines sent to all executors at most.
+TRIED, OPEN_SENT, EVERY = 3, 1 << 18, "every"
+#: Records of an index bucket, on average; of a block of a hot word's list; pairs compared at once.
+BUCKET_RECORDS, HOT, PAIRS_AT_ONCE = 400_000, 100_000, 1_000_000
 #: Keys have 51 bits, so that with a line's number in a chunk they sort as one integer.
 KEY_BITS = 51
 CHUNK = 1 << (64 - KEY_BITS)
@@ -110,35 +112,56 @@ def _ids(batch: pa.RecordBatch, row: np.ndarray) -> pa.Array:
     return batch.column(0).cast(pa.int64()).take(pa.array(row))
 
 
-def _block_matches(held: DataFrame, sets: DataFrame, enough) -> DataFrame:
-    """Of ``held(node, home, open, blocks)``: the open lines (b) that match an earlier line of their home. Every two blocks of a home meet in one task, which holds both."""
-    node_type = "struct<doc_id:long,line:int>"
-    dealt = held.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("home", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "open").join(sets, "node")
-
-    def matches(group: list[tuple[tuple[int, int], bool, np.ndarray]]) -> list[dict]:
-        group.sort(key=lambda g: g[0])
-        size = np.array([len(g[2]) for g in group])
-        good = np.tril(enough(tk.common_counts([g[2] for g in group]), size[:, None], size[None, :]), -1).any(axis=1)
-        return [{"doc_id": g[0][0], "line": g[0][1]} for g, ok in zip(group, good) if ok and g[1]]
-
-    def run(batches):
-        now, group, found = None, [], []
-        for batch in batches:
-            keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
-            for key, node, is_open, blob in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                key = (tuple(key[0].values()), *key[1:])
-                if key != now:
-                    if len(group) > 1:
-                        found += matches(group)
-                    now, group = key, []
-                group.append(((node["doc_id"], node["line"]), is_open, np.frombuffer(blob, dtype=np.uint64)))
-        if len(group) > 1:
-            found += matches(group)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.struct([("doc_id", pa.int64()), ("line", pa.int32())]))], ["b"])
-
-    dealt = dealt.select("home", "i", "j", "node", "open", "blob").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
-    return dealt.mapInArrow(run, f"b {node_type}").distinct()
+def _parity(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parity bits of each set: bit h is set if an odd number of its words hash to h. Two sets differ in as many words as bits, at least."""
+    bit = tk.mix(flat + np.uint64(0x5851F42D4C957F2D))
+    one = np.uint64(1) << (bit & np.uint64(63))
+    high = (bit >> np.uint64(6) & np.uint64(1)).astype(bool)
+    return np.bitwise_xor.reduceat(np.where(high, np.uint64(0), one), bounds[:-1]), np.bitwise_xor.reduceat(np.where(high, one, np.uint64(0)), bounds[:-1])
+
+
+RECORD = np.dtype([("token", "<u8"), ("doc_id", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("pad", "<i4")])
+
+
+def _pairs_of(records: np.ndarray, percent: int, only: set | str | None):
+    """Candidates (a, b, bits), b the later line, of packed records: of each list (equal token) and later line the TRIED with the fewest differing bits, or all of the later lines in ``only`` (EVERY: of all)."""
+    records = records[np.lexsort((records["line"], records["doc_id"], records["token"]))]
+    change = np.flatnonzero(np.concatenate([[True], records["token"][1:] != records["token"][:-1]]))
+    size = np.diff(np.append(change, len(records)))
+    start, at = np.repeat(change, size), np.arange(len(records))
+    # each record against the records before it in its list, a bounded number of pairs at once
+    before = at - start
+    if isinstance(only, set):
+        wanted = np.array([(d, l) in only for d, l in zip(records["doc_id"].tolist(), records["line"].tolist())], dtype=bool)
+        before = np.where(wanted, before, 0)
+    todo = np.flatnonzero(before)
+    sums = np.cumsum(before[todo])
+    low = 0
+    while low < len(todo):
+        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + PAIRS_AT_ONCE)))
+        some = todo[low:high]
+        low = high
+        b = np.repeat(some, before[some])
+        a = ragged_index(start[some], before[some])
+        n, m = records["n"][a].astype(np.int64), records["n"][b].astype(np.int64)
+        pos, qos = records["pos"][a], records["pos"][b]
+        good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * (np.minimum(pos, qos) + np.minimum(n - pos, m - qos)) >= percent * (n + m))
+        a, b, n, m = a[good], b[good], n[good], m[good]
+        bits = np.bitwise_count(records["b0"][a] ^ records["b0"][b]).astype(np.int64) + np.bitwise_count(records["b1"][a] ^ records["b1"][b])
+        # differing words are at most n + m - 2 * the least overlap
+        good = bits <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+        good &= (records["doc_id"][a] != records["doc_id"][b]) | (records["line"][a] != records["line"][b])
+        a, b, bits = a[good], b[good], bits[good]
+        if only is None and len(a):
+            order = np.lexsort((a, bits, b))
+            a, b, bits = a[order], b[order], bits[order]
+            head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            count = np.diff(np.append(head, len(b)))
+            rank = np.arange(len(b)) - np.repeat(head, count)
+            keep = rank < TRIED
+            yield records, a[keep], b[keep], np.repeat(count > TRIED, count)[keep]
+        elif len(a):
+            yield records, a, b, np.zeros(len(a), dtype=bool)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
@@ -147,16 +170,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(spark)
     scratch = Scratch(spark, "lines")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    frequent = _word_counts(docs, "text").where(f"c >= {FREQUENT}").orderBy(F.desc("c"), "word").limit(FREQUENT_MOST).select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    known = _word_counts(docs, "text").where(f"c >= {FREQUENT}").orderBy(F.desc("c"), "word").limit(FREQUENT_MOST).toPandas()
+    frequent, count = known["word"].to_numpy(np.int64).view(np.uint64), known["c"].to_numpy(np.int64)
     order = np.argsort(frequent)
-    sent = spark.sparkContext.broadcast((frequent[order], _FREQUENT_BIT | (len(frequent) - 1 - order).astype(np.uint64)))
+    rank = (len(frequent) - 1 - order).astype(np.uint64)
+    sent = spark.sparkContext.broadcast((frequent[order], _FREQUENT_BIT | rank))
+    # by rank from the rarest: into how many blocks a list is dealt; only words above HOT matter, and they are the last ranks
+    blocks = -(-count[count > HOT] // HOT)[::-1].copy()
+    first_hot = int(_FREQUENT_BIT) + len(frequent) - len(blocks)
 
     def needed(n):
         return -(-percent * n // 100)
 
-    def enough(common, n, m):
-        return (100 + percent) * common >= percent * (n + m)
-
     def with_prefixes(batches):
         seen: set[tuple[int, int]] = set()
         for batch, row, number, flat, bounds in _lines(batches, "text", *sent.value, least_words):
@@ -172,24 +197,84 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     if len(seen) < 1 << 19:
                         seen.add(sig)
             size = np.where(new, n - needed(n) + 1, 0)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat[ragged_index(bounds[:-1], size)].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([_ids(batch, row), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), prefix], ["doc_id", "line", "n", "s1", "s2", "prefix"])
-
-    rows = scratch.save(docs.mapInArrow(with_prefixes, "doc_id long, line int, n int, s1 long, s2 long, prefix array<long>"), "rows")
-    classes = rows.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("node"), F.count("*").alias("copies"))
-    # the index is keyed by the line that bears the prefix; equal sets of other tasks are mapped to their class below
-    index = rows.where("size(prefix) > 0").select(F.struct("doc_id", "line").alias("bearer"), "n", F.posexplode("prefix").alias("pos", "token"))
-    listed = scratch.save(index.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df"), "listed")
-    classes = scratch.save(classes, "classes")
-    bearers = listed.select("bearer").distinct().join(rows.where("size(prefix) > 0").select(F.struct("doc_id", "line").alias("bearer"), "s1", "s2"), "bearer").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).where("bearer <> node").select("bearer", "node")
-    lists = listed.join(bearers, "bearer", "left").select("token", F.coalesce("node", "bearer").alias("node"), "n", "pos")
-    lists = scratch.save(lists.groupBy("token", "node").agg(F.min("pos").alias("pos"), F.first("n").alias("n")), "lists")
-    scratch.drop("listed")
-
-    near = f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * (least(pos, qos) + least(n - pos, m - qos)) >= {percent} * (n + m)"
+            b0, b1 = _parity(flat, bounds)
+            prefix = tk.ragged_binary(flat[ragged_index(bounds[:-1], size)], np.concatenate([[0], np.cumsum(size)]))
+            columns = [_ids(batch, row), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(np.where(new, b0, 0).view(np.int64)), pa.array(np.where(new, b1, 0).view(np.int64)), prefix]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "s1", "s2", "b0", "b1", "prefix"])
+
+    rows = scratch.save(docs.mapInArrow(with_prefixes, "doc_id long, line int, n int, s1 long, s2 long, b0 long, b1 long, prefix binary"), "rows")
+    tokens = rows.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    buckets = max(12, int(-(-tokens // BUCKET_RECORDS)))
+
+    def packed(batches):
+        held, n_held = [], 0
+
+        def flush():
+            records = np.concatenate(held)
+            bucket = (tk.mix(records["token"]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            records, bucket = records[order], bucket[order]
+            head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            stop = np.append(head[1:], len(bucket))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array([records[a:b].tobytes() for a, b in zip(head, stop)], pa.binary())], ["bucket", "records"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.array([len(x.as_buffer()) // 8 for x in batch.column(5)], dtype=np.int64)
+            token = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64)
+            out = np.zeros(len(token), dtype=RECORD)
+            out["token"], out["pos"] = token, np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            for k, name in enumerate(("doc_id", "line", "n", "b0", "b1")):
+                out[name] = np.repeat(batch.column(k).to_numpy().astype(RECORD[name]), size)
+            hot = np.flatnonzero(token >= np.uint64(first_hot)) if len(blocks) else np.empty(0, np.int64)
+            if len(hot):
+                # a record of a hot word meets every block of that word: its token becomes that of each pair of blocks
+                parts = blocks[(token[hot] - np.uint64(first_hot)).astype(np.int64)]
+                copies = out[np.repeat(hot, parts)]
+                mine = (tk.mix(copies["doc_id"].view(np.uint64) ^ copies["line"].astype(np.uint64)) % np.repeat(parts, parts).astype(np.uint64)).astype(np.int64)
+                other = ragged_index(np.zeros(len(hot), np.int64), parts)
+                cell = np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other)
+                copies["token"] = tk.mix(copies["token"] * np.uint64(31) + cell.astype(np.uint64))
+                out = np.concatenate([np.delete(out, hot), copies])
+            held.append(out)
+            n_held += len(out)
+            if n_held > 500_000:
+                yield flush()
+                held, n_held = [], 0
+        if held:
+            yield flush()
+
+    index = rows.where("octet_length(prefix) > 0").select("doc_id", "line", "n", "b0", "b1", "prefix").mapInArrow(packed, "bucket long, records binary")
+    index = scratch.save(index.repartition(buckets, "bucket").sortWithinPartitions("bucket"), "index")
+
+    def candidates(only: set | str | None) -> DataFrame:
+        chosen = spark.sparkContext.broadcast(only)
+
+        def found(batches):
+            def emit(held):
+                for r, a, b, more in _pairs_of(np.frombuffer(b"".join(held), dtype=RECORD), percent, chosen.value):
+                    ends = [pa.StructArray.from_arrays([pa.array(r["doc_id"][x]), pa.array(r["line"][x])], ["doc_id", "line"]) for x in (a, b)]
+                    yield pa.RecordBatch.from_arrays([*ends, pa.array(more)], ["a", "b", "more"])
+
+            now, held = None, []
+            for batch in batches:
+                for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if bucket != now:
+                        if held:
+                            yield from emit(held)
+                        now, held = bucket, []
+                    held.append(blob)
+            if held:
+                yield from emit(held)
+
+        # a file of the index holds whole buckets, sorted; files are read whole only if dealt by bucket
+        dealt = index.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        pairs = dealt.mapInArrow(found, "a struct<doc_id:long,line:int>, b struct<doc_id:long,line:int>, more boolean")
+        return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
     def whole(ids: DataFrame) -> DataFrame:
-        """(node, n, blob) of the lines in ``ids(node)``."""
+        """(node, blob) of the lines in ``ids(node)``."""
         wanted = ids.groupBy(F.col("node.doc_id").alias("doc_id")).agg(F.collect_set("node.line").alias("wanted"))
         wanted = F.broadcast(wanted) if wanted.count() <= DOCS_SENT else wanted
 
@@ -199,15 +284,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 at = np.array([i for i, (r, k) in enumerate(zip(row.tolist(), number.tolist())) if k in sets[r]], dtype=np.int64)
                 n = np.diff(bounds)[at]
                 node = pa.StructArray.from_arrays([_ids(batch, row[at]), pa.array(number[at].astype(np.int32))], ["doc_id", "line"])
-                yield pa.RecordBatch.from_arrays([node, pa.array(n.astype(np.int32)), tk.ragged_binary(flat[ragged_index(bounds[at], n)], np.concatenate([[0], np.cumsum(n)]))], ["node", "n", "blob"])
+                yield pa.RecordBatch.from_arrays([node, tk.ragged_binary(flat[ragged_index(bounds[at], n)], np.concatenate([[0], np.cumsum(n)]))], ["node", "blob"])
 
-        return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(pick, "node struct<doc_id:long,line:int>, n int, blob binary")
+        return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(pick, "node struct<doc_id:long,line:int>, blob binary")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of ``pairs(a, b)``, b the later line, that match."""
-        pairs = scratch.save(pairs, f"pairs_{name}")
+        """The later lines (b) of those of ``pairs(a, b)`` that match."""
         sets = scratch.save(whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), f"sets_{name}")
-        both = pairs.join(sets.select(F.col("node").alias("b"), "n", "blob"), "b").join(sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("blob").alias("other")), "a")
+        both = pairs.join(sets.select(F.col("node").alias("b"), "blob"), "b").join(sets.select(F.col("node").alias("a"), F.col("blob").alias("other")), "a")
 
         def check(batches):
             for batch in batches:
@@ -216,35 +300,26 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                     at = np.searchsorted(x, y)
                     at[at == len(x)] = 0
-                    good.append(bool(enough(int(np.count_nonzero(x[at] == y)), len(x), len(y))))
+                    good.append((100 + percent) * int(np.count_nonzero(x[at] == y)) >= percent * (len(x) + len(y)))
                 yield batch.select([0]).filter(pa.array(good, pa.bool_()))
 
         return scratch.save(both.select("b", "blob", "other").mapInArrow(check, "b struct<doc_id:long,line:int>").distinct(), f"matched_{name}")
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs whose common prefix words, counted, leave enough room for the rest of both sets."""
-        prefix = "({0} - cast(ceil({0} * %d / 100) as int) + 1)" % percent
-        room = f"c + greatest(n - {prefix.format('n')}, m - {prefix.format('m')})"
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(f"{100 + percent} * ({room}) >= {percent} * (n + m)").select("a", "b")
-
-    # the first line of each list settles most copies; a pair is counted in the lists that it leads only, so no bound here
-    lead = lists.groupBy("token").agg(F.min(F.struct("node", "pos", "n")).alias("lead")).select("token", F.col("lead.node").alias("a"), F.col("lead.pos").alias("qos"), F.col("lead.n").alias("m"))
-    led = lists.join(lead, "token").where(F.expr(f"a < node and {near}")).select("a", F.col("node").alias("b")).distinct()
-    matched = verified(led, "led")
-    home = scratch.save(scratch.load("pairs_led").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home")), "home")
-    done = matched.select(F.col("b").alias("node"), F.lit(False).alias("open"))
-    held = home.join(done, "node", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    apart = held.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.max("open").alias("some"), F.count("*").alias("size")).where("some and size > 1").select("home", "blocks")
-    matched = matched.union(scratch.save(_block_matches(held.join(apart, "home"), scratch.load("sets_led"), enough), "matched_held"))
-    # lines still open against every other earlier line
-    placed = lists.join(home, "node", "left").withColumn("home", F.coalesce("home", "node"))
-    open_lists = placed.join(matched.withColumnRenamed("b", "node"), "node", "left_anti")
-    earlier = placed.select(F.col("token").alias("same"), F.col("node").alias("a"), F.col("pos").alias("qos"), F.col("n").alias("m"), F.col("home").alias("place"))
-    rest = open_lists.join(earlier, F.expr(f"token = same and a < node and home <> place and {near}")).select("a", F.col("node").alias("b"), "n", "m")
-    matched = matched.union(verified(bounded(rest), "rest")).distinct()
-
-    later = rows.select("doc_id", "line", "s1", "s2").join(classes.where("copies > 1").select("s1", "s2", "node"), ["s1", "s2"], "left").join(matched.select(F.col("b.doc_id").alias("doc_id"), F.col("b.line").alias("line"), F.lit(True).alias("hit")), ["doc_id", "line"], "left")
-    # copies of a matched first line go as copies; of a kept one too
+    tried = scratch.save(candidates(None), "tried")
+    matched = verified(tried.select("a", "b"), "tried")
+    left = scratch.save(tried.where("more").select("b").distinct().join(matched, "b", "left_anti"), "open")
+    n_left = left.count()
+    if n_left:
+        # few enough, they are sent to all executors; else all lines list every candidate, and a join keeps the open ones
+        if n_left <= OPEN_SENT:
+            rest = candidates({(r["b"]["doc_id"], r["b"]["line"]) for r in left.collect()})
+        else:
+            rest = candidates(EVERY).join(left, "b", "left_semi")
+        matched = matched.union(verified(scratch.save(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest"), "rest")).distinct()
+
+    classes = rows.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("node"), F.count("*").alias("copies")).where("copies > 1").select("s1", "s2", "node")
+    later = rows.select("doc_id", "line", "s1", "s2").join(classes, ["s1", "s2"], "left")
+    later = later.join(matched.select(F.col("b.doc_id").alias("doc_id"), F.col("b.line").alias("line"), F.lit(True).alias("hit")), ["doc_id", "line"], "left")
     gone = F.expr("hit or (node is not null and struct(doc_id, line) <> node)")
     return later.groupBy("doc_id").agg(F.countDistinct("line").alias("n_compared"), F.sort_array(F.collect_set(F.when(gone, F.col("line")))).alias("removed"))
 

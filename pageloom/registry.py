@@ -1,10 +1,580 @@
-"""Queries of the layout engine and their SQL oracles."""
+"""Queries of the layout engine over the derived tables, and their SQL oracles. Names follow the operator inventory."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def flagship(spark, sf_dir):
-    return QUERIES["p8_dilate"](spark, sf_dir)
+from pageloom import fixtures as X
+from pageloom.functions import geometry as G
+from pageloom.operators import colour as C, network as N, pixels as P, select as S
+
+HEIGHT, WIDTH = 800, 1200
+BASE = N.base_distance(HEIGHT)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    return N.flat(edges).select("image_id", *(f"{p}{k}" for p in ("a_", "b_") for k in N.BOX))
+
+
+def of_boxes(s: SparkSession, d: str) -> DataFrame:
+    return X.boxes(s, d)
+
+
+WB = f"WITH {X.BOXES_SQL}"
+AB = ", ".join(f"{p}.{k} AS {p}_{k}" for p in "ab" for k in ("x", "y", "w", "h"))
+ABT = AB + ", a.is_word AS a_is_word, b.is_word AS b_is_word"
+ENDS = "image_id, a_x, a_y, a_w, a_h, b_x, b_y, b_w, b_h"
+REV = "image_id, b_x AS a_x, b_y AS a_y, b_w AS a_w, b_h AS a_h, a_x AS b_x, a_y AS b_y, a_w AS b_w, a_h AS b_h"
+KEY = " AND ".join(f"{{0}}.{k} = {{1}}.{k}" for k in ENDS.split(", "))
+MASK = 180
+
+
+# ---- pixels ----------------------------------------------------------------
+
+@query("p1_srgb_linear", f"WITH {X.PIXELS_SQL} SELECT v, CAST(round(max({P.linear('v')}) * 1e9) AS BIGINT) AS linear_e9, count(*) AS n FROM pixels GROUP BY v")
+def p1(s, d):
+    return X.pixels(s, d).groupBy("v").agg(F.round(F.max(F.expr(P.linear("v"))) * 1e9).cast("long").alias("linear_e9"), F.count("*").alias("n"))
+
+
+@query("p2_rgb_to_lab", f"WITH {X.PIXELS_SQL} SELECT image_id, y, x, {', '.join(f'{e} AS lab_{k}' for k, e in P.lab().items())} FROM pixels")
+def p2(s, d):
+    return P.to_lab(X.pixels(s, d))
+
+
+@query("p3_bounded_sample", f"WITH {X.PIXELS_SQL}, places AS (SELECT image_id, y - 3 AS y, x + 5 AS x FROM pixels WHERE (x + y) % 7 = 0) SELECT image_id, y, x, v FROM places LEFT JOIN pixels USING (image_id, y, x)")
+def p3(s, d):
+    p = X.pixels(s, d)
+    return p.where("(x + y) % 7 = 0").select("image_id", F.expr("y - 3").alias("y"), F.expr("x + 5").alias("x")).join(p.select("image_id", "y", "x", "v"), ["image_id", "y", "x"], "left")
+
+
+_DENSE = f"{X.PIXELS_SQL}, dense AS (SELECT image_id, y, x, coalesce(v, 0) AS v FROM (SELECT DISTINCT image_id FROM pixels) CROSS JOIN (SELECT unnest(range(64))::INT AS y) CROSS JOIN (SELECT unnest(range(64))::INT AS x) LEFT JOIN pixels USING (image_id, y, x))"
+_NEAR = "LEFT JOIN dense {a} ON {a}.image_id = c.image_id AND {a}.y = c.y + ({dy}) AND {a}.x = c.x + ({dx}) "
+_SOBEL = (
+    f"{_DENSE}, grad AS (SELECT c.image_id, c.y, c.x, (ne.v - nw.v) + 2 * (e.v - w.v) + (se.v - sw.v) AS gx, (sw.v + 2 * s.v + se.v) - (nw.v + 2 * n.v + ne.v) AS gy FROM dense c "
+    + "".join(_NEAR.format(a=a, dy=dy, dx=dx) for a, dy, dx in (("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1), ("w", 0, -1), ("e", 0, 1), ("sw", 1, -1), ("s", 1, 0), ("se", 1, 1)))
+    + "), mags AS (SELECT *, coalesce(least(255, CAST(floor(sqrt(CAST(gx * gx + gy * gy AS DOUBLE))) AS INT)), 0) AS mag FROM grad)"
+)
+
+
+def _plane(s, d):
+    return P.dense(X.pixels(s, d), 64, 64)
+
+
+@query("p4_sobel", f"WITH {_SOBEL} SELECT image_id, y, x, mag FROM mags")
+def p4(s, d):
+    return P.gradients(_plane(s, d)).select("image_id", "y", "x", "mag")
+
+
+_NMS = (
+    f"{_SOBEL}, thin AS (SELECT c.image_id, c.y, c.x, CASE WHEN c.mag > 0 AND c.gx IS NOT NULL AND c.gy IS NOT NULL AND c.mag > n1.mag AND c.mag >= n2.mag THEN c.mag ELSE 0 END AS nms FROM "
+    "(SELECT *, CASE WHEN 5 * abs(gy) < 2 * abs(gx) THEN 0 WHEN 5 * abs(gx) < 2 * abs(gy) THEN -1 ELSE -1 END AS dy1, CASE WHEN 5 * abs(gy) < 2 * abs(gx) THEN -1 WHEN 5 * abs(gx) < 2 * abs(gy) THEN 0 WHEN (gx > 0) = (gy > 0) THEN -1 ELSE 1 END AS dx1 FROM mags) c "
+    "LEFT JOIN mags n1 ON n1.image_id = c.image_id AND n1.y = c.y + dy1 AND n1.x = c.x + dx1 LEFT JOIN mags n2 ON n2.image_id = c.image_id AND n2.y = c.y - dy1 AND n2.x = c.x - dx1)"
+)
+
+
+@query("p5_nonmax_suppression", f"WITH {_NMS} SELECT image_id, y, x, nms FROM thin")
+def p5(s, d):
+    return P.thin(P.gradients(_plane(s, d)))
+
+
+_HYST = (
+    f"WITH RECURSIVE {_NMS}, weak AS MATERIALIZED (SELECT image_id, y, x, nms FROM thin WHERE nms >= {{low}}), grown AS (SELECT image_id, y, x FROM weak WHERE nms >= {{high}} UNION "
+    "SELECT w.image_id, w.y, w.x FROM grown g JOIN weak w ON w.image_id = g.image_id AND w.y BETWEEN g.y - 1 AND g.y + 1 AND w.x BETWEEN g.x - 1 AND g.x + 1) SELECT image_id, y, x FROM grown"
+)
+
+
+@query("p6_hysteresis", _HYST.format(low=120, high=250))
+def p6(s, d):
+    return P.canny(_plane(s, d), 120, 250)
+
+
+@query("p7_canny", _HYST.format(low=3, high=40))
+def p7(s, d):
+    return P.canny(_plane(s, d), 3, 40)
+
+
+def _morph(agg: str, source: str, k: int = 3) -> str:
+    h = k // 2
+    return f"SELECT image_id, y, x, {agg}(v) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING) AS v FROM (SELECT image_id, y, x, {agg}(v) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING) AS v FROM {source})"
+
+
+@query("p8_dilate", f"WITH {_DENSE} {_morph('max', 'dense', 5)}")
+def p8(s, d):
+    return P.dilate(_plane(s, d), 5, 5)
+
+
+@query("p9_erode", f"WITH {_DENSE} {_morph('min', 'dense')}")
+def p9(s, d):
+    return P.erode(_plane(s, d), 3, 3)
+
+
+_CLOSED = f"{_DENSE}, grown AS ({_morph('max', 'dense')}), closed AS ({_morph('min', 'grown')})"
+
+
+@query("p10_close", f"WITH {_CLOSED} SELECT image_id, y, x, v FROM closed")
+def p10(s, d):
+    return P.close(_plane(s, d), 3, 3)
+
+
+_COMPONENTS = (
+    f"WITH RECURSIVE {_CLOSED}, fg AS MATERIALIZED (SELECT image_id, y, x, y * 64 + x AS p FROM closed WHERE v >= 200), "
+    "flood AS (SELECT image_id, y, x, p AS root FROM fg UNION SELECT f.image_id, f.y, f.x, r.root FROM flood r JOIN fg f ON f.image_id = r.image_id AND f.y BETWEEN r.y - 1 AND r.y + 1 AND f.x BETWEEN r.x - 1 AND r.x + 1 AND f.p > r.root), "
+    "lab AS (SELECT image_id, y, x, min(root) AS component FROM flood GROUP BY ALL), cboxes AS (SELECT image_id, component, min(x) AS x, min(y) AS y, CAST(max(x) - min(x) + 1 AS INT) AS w, CAST(max(y) - min(y) + 1 AS INT) AS h FROM lab GROUP BY image_id, component)"
+)
+
+
+def _components(s, d):
+    return P.component_boxes(P.components(P.close(_plane(s, d), 3, 3).where("v >= 200")))
+
+
+@query("p11_component_boxes", f"{_COMPONENTS} SELECT image_id, x, y, w, h FROM cboxes")
+def p11(s, d):
+    return _components(s, d)
+
+
+@query("l1_selectable_boxes", f"{_COMPONENTS} SELECT DISTINCT image_id, x, y, w, h FROM cboxes WHERE w >= 2 AND h >= 2 AND w * h <= 0.6e0 * 4096")
+def l1(s, d):
+    return P.selectable(_components(s, d), 2, 2, 64 * 64)
+
+
+@query("p12_crop", f"WITH {X.PIXELS_SQL} SELECT image_id, y, x, r, g, b FROM pixels WHERE x >= 10 AND x < 31 AND y >= 5 AND y < 21")
+def p12(s, d):
+    return P.crop(X.pixels(s, d).select("image_id", "y", "x", "r", "g", "b"), 10.4, 5.7, 20.2, 14.9)
+
+
+# ---- geometry --------------------------------------------------------------
+
+_D = "20.0e0"
+_PAIR = f"SELECT a.image_id, {AB} FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.sea = b.sea WHERE (a.x + b.y) % 40 = 0"
+_SEG = G.segment("a_", "b_")
+_FUNCS = {
+    "g1_area": G.area("a_"), "g4_contains": G.contains("a_", "b_"), "g5_overlaps": G.overlaps("a_", "b_"), "g6_overlap": G.overlap("a_", "b_"),
+    "g7_gap_e6": f"CAST(round({G.edge_distance('a_', 'b_')} * 1e6) AS BIGINT)", "g8_align_e6": f"CAST(round({G.alignment('a_', 'b_', _D)} * 1e6) AS BIGINT)",
+    "g9_connect_e6": f"CAST(round({G.connection('a_', 'b_', _D)} * 1e6) AS BIGINT)", "g10_x0": _SEG["x0"], "g10_y0": _SEG["y0"], "g10_x1": _SEG["x1"], "g10_y1": _SEG["y1"],
+    "g16_w": f"greatest({G.right('a_')}, {G.right('b_')}) - least(a_x, b_x)", "g16_h": f"greatest({G.bottom('a_')}, {G.bottom('b_')}) - least(a_y, b_y)",
+    "g18_x": "least(a_x, b_x)", "g18_w": "abs(a_x - b_x)",
+}
+
+
+@query("g1_g18_box_functions", f"{WB}, pair AS ({_PAIR}) SELECT {ENDS}, {', '.join(f'{e} AS {k}' for k, e in _FUNCS.items())} FROM pair")
+def g_pairs(s, d):
+    b = of_boxes(s, d)
+    pair = N.prefixed(b, "a_", "image_id", "sea").join(N.prefixed(b, "b_", "image_id", "sea"), ["image_id", "sea"]).where("(a_x + b_y) % 40 = 0")
+    return pair.select(*ENDS.split(", "), *(F.expr(e).alias(k) for k, e in _FUNCS.items()))
+
+
+@query("g2_g3_expand_scale", f"{WB} SELECT image_id, x - 4 AS x, y - 4 AS y, w + 8 AS w, h + 8 AS h, CAST(trunc(x * 0.37e0) AS INT) AS sx, CAST(trunc(y * 0.41e0) AS INT) AS sy, CAST(trunc(w * 0.37e0) AS INT) AS sw, CAST(trunc(h * 0.41e0) AS INT) AS sh FROM boxes")
+def g2(s, d):
+    return of_boxes(s, d).selectExpr("image_id", "x - 4 AS x", "y - 4 AS y", "w + 8 AS w", "h + 8 AS h", "cast(x * 0.37D AS int) AS sx", "cast(y * 0.41D AS int) AS sy", "cast(w * 0.37D AS int) AS sw", "cast(h * 0.41D AS int) AS sh")
+
+
+@query("g19_quad_to_box", f"{WB} SELECT image_id, x, y, greatest(0, CAST(round(least(x / 1200.0e0, (x + w) / 1200.0e0 + 0.001e0) * 1200) AS INT)) AS qx, greatest(0, CAST(round((1 - (1 - y / 800.0e0)) * 800) AS INT)) AS qy, greatest(1, CAST(round(w / 1200.0e0 * 1200) AS INT)) AS qw FROM boxes")
+def g19(s, d):
+    return of_boxes(s, d).selectExpr("image_id", "x", "y", "greatest(0, cast(round(array_min(array(x / 1200D, (x + w) / 1200D + 0.001D)) * 1200) as int)) AS qx", "greatest(0, cast(round((1 - (1 - y / 800D)) * 800) as int)) AS qy", "greatest(1, cast(round(w / 1200D * 1200) as int)) AS qw")
+
+
+@query("g21_kernel_scaling", "SELECT o_orderkey, greatest(1, CAST(floor(8 * (o_orderkey % 4000) / 1964.0e0) AS INT)) AS kx, greatest(1, CAST(floor(5 * (o_orderkey % 4000) / 1964.0e0) AS INT)) AS ky, greatest(1, CAST(ceil(2 * (o_orderkey % 4000) / 1964.0e0) AS INT)) AS margin FROM orders")
+def g21(s, d):
+    return X.table(s, d, "orders").selectExpr("o_orderkey", "greatest(1, cast(floor(8 * (o_orderkey % 4000) / 1964D) as int)) AS kx", "greatest(1, cast(floor(5 * (o_orderkey % 4000) / 1964D) as int)) AS ky", "greatest(1, cast(ceil(2 * (o_orderkey % 4000) / 1964D) as int)) AS margin")
+
+
+# ---- network passes --------------------------------------------------------
+
+_NOT_SAME = "NOT (a.x = b.x AND a.y = b.y AND a.w = b.w AND a.h = b.h)"
+_PW = f"pw AS (SELECT DISTINCT {ENDS} FROM (SELECT a.image_id, {AB} FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.sea = b.sea AND {_NOT_SAME}) WHERE NOT ({G.area('a_')} * 20 < {G.area('b_')}) AND {G.connection('a_', 'b_', N.real(BASE))} > 0.5e0)"
+
+
+def _pairwise(s, d):
+    return N.pairwise(of_boxes(s, d), BASE)
+
+
+@query("j4_pairwise_edges", f"{WB}, {_PW} SELECT {ENDS} FROM pw")
+def j4(s, d):
+    return ends(_pairwise(s, d))
+
+
+_LESS = "(a.x, a.y, a.w, a.h) < (b.x, b.y, b.w, b.h)"
+_SERIES = f"series AS (SELECT DISTINCT {ENDS} FROM (SELECT a.image_id, {ABT} FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.sea = b.sea AND {_LESS}) WHERE {N.series_condition(BASE, BASE)})"
+_LINK = "(SELECT DISTINCT {e} FROM (SELECT {e} FROM {t} UNION ALL SELECT {r} FROM {t}) WHERE NOT ({a} * 20 < {b}))"
+
+
+def _link_sql(t: str) -> str:
+    return _LINK.format(e=ENDS, r=REV, t=t, a=G.area("a_"), b=G.area("b_"))
+
+
+@query("j5_aligned_series", f"{WB}, {_SERIES} SELECT {ENDS} FROM series")
+def j5(s, d):
+    return ends(N.aligned_series(of_boxes(s, d), BASE, BASE))
+
+
+@query("j7_link_series", f"{WB}, {_SERIES} SELECT {ENDS} FROM {_link_sql('series')}")
+def j7(s, d):
+    return ends(N.link(N.aligned_series(of_boxes(s, d), BASE, BASE)))
+
+
+_CAPTIONS = (
+    f"near AS (SELECT *, line_id FROM (SELECT a.image_id, {ABT}, a.line_id AS line_id FROM boxes a JOIN boxes b ON a.image_id = b.image_id WHERE least(a.w, a.h) < {N.real(8 * BASE)} AND least(b.w, b.h) >= {N.real(8 * BASE)}) WHERE {N.caption_condition()}), "
+    f"caps AS (SELECT {ENDS} FROM near UNION SELECT s.image_id, s.x, s.y, s.w, s.h, n.b_x, n.b_y, n.b_w, n.b_h FROM near n JOIN boxes s ON s.image_id = n.image_id AND s.line_id = n.line_id AND s.is_word AND n.a_is_word AND least(s.w, s.h) < {N.real(8 * BASE)})"
+)
+
+
+@query("j6_captions", f"{WB}, {_CAPTIONS} SELECT DISTINCT {ENDS} FROM caps")
+def j6(s, d):
+    return ends(N.captions(of_boxes(s, d), BASE))
+
+
+@query("l3_size_classes", f"{WB} SELECT image_id, count(*) FILTER (least(w, h) >= {N.real(8 * BASE)}) AS large, count(*) FILTER (least(w, h) < {N.real(8 * BASE)}) AS small FROM boxes GROUP BY image_id")
+def l3(s, d):
+    return of_boxes(s, d).groupBy("image_id").agg(F.count(F.when(F.expr(f"least(w, h) >= {N.real(8 * BASE)}"), 1)).alias("large"), F.count(F.when(F.expr(f"least(w, h) < {N.real(8 * BASE)}"), 1)).alias("small"))
+
+
+_OUT = f"med AS (SELECT image_id, a_x, a_y, a_w, a_h, quantile_cont({G.area('b_')}, 0.5e0) AS m FROM pw GROUP BY ALL HAVING count(*) >= 4 AND m > 0), outl AS (SELECT pw.* FROM pw JOIN med USING (image_id, a_x, a_y, a_w, a_h) WHERE {G.area('b_')} > 8 * m)"
+
+
+@query("a8_outlier_edges", f"{WB}, {_PW}, {_OUT} SELECT {ENDS} FROM outl")
+def a8(s, d):
+    return ends(N.outliers(_pairwise(s, d)))
+
+
+_UPPER = "list_sort(list({0}))[CAST(count(*) // 2 AS INT) + 1]"
+
+
+@query("a7_median_word_area", f"{WB}, images AS (SELECT DISTINCT image_id FROM boxes), m AS (SELECT image_id, {_UPPER.format(G.area(''))} AS m FROM boxes WHERE is_word GROUP BY image_id) SELECT image_id, coalesce(m, 400) AS median_area FROM images LEFT JOIN m USING (image_id)")
+def a7(s, d):
+    return N.median_word_area(of_boxes(s, d))
+
+
+_LARGE = f"med AS (SELECT image_id, {_UPPER.format(G.area(''))} AS m FROM boxes WHERE is_word GROUP BY image_id), big AS (SELECT DISTINCT image_id, x, y, w, h FROM boxes LEFT JOIN med USING (image_id) WHERE NOT is_word AND {G.area('')} > 20 * coalesce(m, 400))"
+
+
+@query("j9_large_box_edges", f"{WB}, {_CAPTIONS}, linked AS {_link_sql('caps')}, {_LARGE} SELECT DISTINCT l.* FROM linked l JOIN big g ON g.image_id = l.image_id AND ((g.x = a_x AND g.y = a_y AND g.w = a_w AND g.h = a_h) OR (g.x = b_x AND g.y = b_y AND g.w = b_w AND g.h = b_h))")
+def j9(s, d):
+    b = of_boxes(s, d)
+    return ends(N.large_box_edges(N.link(N.captions(b, BASE)), b))
+
+
+_HOLDS = " AND ".join(f"x{k} >= c_x AND x{k} <= {G.right('c_')} AND y{k} >= c_y AND y{k} <= {G.bottom('c_')}" for k in (0, 1))
+_SAME = "(c_x = {p}x AND c_y = {p}y AND c_w = {p}w AND c_h = {p}h)"
+_NB = "NOT EXISTS (SELECT 1 FROM near2 n WHERE n.image_id = s.image_id AND n.a_x = s.{p}x AND n.a_y = s.{p}y AND n.a_w = s.{p}w AND n.a_h = s.{p}h AND n.b_x = c_x AND n.b_y = c_y AND n.b_w = c_w AND n.b_h = c_h)"
+
+
+@query(
+    "j8_crossing_edges",
+    f"{WB}, {_PW}, near2 AS (SELECT {ENDS} FROM pw UNION SELECT {REV} FROM pw), seg AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in _SEG.items())} FROM pw), "
+    f"cand AS (SELECT s.*, c.x AS c_x, c.y AS c_y, c.w AS c_w, c.h AS c_h FROM seg s JOIN boxes c ON c.image_id = s.image_id WHERE x0 <> x1 OR y0 <> y1) "
+    f"SELECT DISTINCT {ENDS} FROM cand s WHERE NOT {_SAME.format(p='a_')} AND NOT {_SAME.format(p='b_')} AND NOT ({_HOLDS}) AND {G.crosses('c_')} AND {_NB.format(p='a_')} AND {_NB.format(p='b_')}",
+)
+def j8(s, d):
+    return ends(N.crossing(_pairwise(s, d), of_boxes(s, d)))
+
+
+_HEAD = f"tall AS (SELECT image_id, 1.5e0 * {_UPPER.format('h')} AS tall FROM boxes WHERE is_word GROUP BY image_id HAVING count(*) >= 3), kinds AS (SELECT DISTINCT image_id, x, y, w, h, h > tall AS heading FROM boxes JOIN tall USING (image_id) WHERE is_word)"
+_AT = "{k}.image_id = {e}.image_id AND {k}.x = {e}.{p}_x AND {k}.y = {e}.{p}_y AND {k}.w = {e}.{p}_w AND {k}.h = {e}.{p}_h"
+
+
+def _headed(s, d):
+    """Some words are made tall, as the derived words hardly differ in height."""
+    return of_boxes(s, d).withColumn("h", F.expr("cast(CASE WHEN is_word AND x % 7 = 0 THEN h + 12 ELSE h END as int)"))
+
+
+_TALL = X.BOXES_SQL.replace("boxes AS (", "boxes1 AS (") + ", boxes AS (SELECT image_id, x, y, w, CAST(CASE WHEN is_word AND x % 7 = 0 THEN h + 12 ELSE h END AS INT) AS h, sea, is_word, line_id FROM boxes1)"
+
+
+@query("j11_body_to_heading", f"WITH {_TALL}, {_PW}, {_HEAD} SELECT DISTINCT pw.* FROM pw JOIN kinds a ON {_AT.format(k='a', e='pw', p='a')} JOIN kinds b ON {_AT.format(k='b', e='pw', p='b')} WHERE NOT a.heading AND b.heading")
+def j11(s, d):
+    b = _headed(s, d)
+    return ends(N.body_to_heading(N.pairwise(b, BASE), b))
+
+
+_BRIDGE = (
+    f"{_HEAD}, body AS (SELECT * FROM kinds WHERE NOT heading), two AS (SELECT image_id, b_x, b_y, b_w, b_h FROM pw GROUP BY ALL HAVING count(*) = 2), "
+    f"cand AS (SELECT pw.image_id, pw.b_x AS a_x, pw.b_y AS a_y, pw.b_w AS a_w, pw.b_h AS a_h, pw.a_x AS b_x, pw.a_y AS b_y, pw.a_w AS b_w, pw.a_h AS b_h FROM pw JOIN two USING (image_id, b_x, b_y, b_w, b_h)), "
+    f"fine AS (SELECT c.* FROM cand c JOIN body a ON {_AT.format(k='a', e='c', p='a')} JOIN body b ON {_AT.format(k='b', e='c', p='b')} WHERE {G.edge_distance('a_', 'b_')} <= {N.real(BASE)} AND NOT EXISTS (SELECT 1 FROM pw WHERE {KEY.format('pw', 'c')}))"
+)
+
+
+@query("j12_bridges", f"WITH {_TALL}, {_PW}, {_BRIDGE} SELECT {ENDS} FROM fine QUALIFY count(*) OVER (PARTITION BY image_id, a_x, a_y, a_w, a_h) = 2")
+def j12(s, d):
+    b = _headed(s, d)
+    return ends(N.bridges(N.pairwise(b, BASE), b, BASE))
+
+
+@query("j13_undirected_neighbours", f"{WB}, {_PW} SELECT {ENDS} FROM pw UNION SELECT {REV} FROM pw")
+def j13(s, d):
+    e = _pairwise(s, d)
+    return ends(e.select("image_id", "src", "dst").union(N.reverse(e)).distinct())
+
+
+@query("j14_transpose_degree", f"{WB}, {_PW} SELECT image_id, b_x AS x, b_y AS y, b_w AS w, b_h AS h, count(*) AS in_degree FROM pw GROUP BY ALL")
+def j14(s, d):
+    return _pairwise(s, d).groupBy("image_id", "dst").agg(F.count("*").alias("in_degree")).select("image_id", "dst.*", "in_degree")
+
+
+_LINES = "lines AS (SELECT image_id, line_id, min(x) AS x, min(y) AS y, greatest(1, max(x + w) - min(x)) AS w, greatest(1, max(y + h) - min(y)) AS h, count(*) AS n_words FROM boxes WHERE is_word GROUP BY image_id, line_id)"
+_PL = f"links AS (SELECT image_id, a_line AS line_a, b_line AS line_b FROM (SELECT a.image_id, a.line_id AS a_line, b.line_id AS b_line, {AB} FROM lines a JOIN lines b ON a.image_id = b.image_id AND a.line_id < b.line_id) WHERE greatest(0, -{G.y_overlap('a_', 'b_')}) <= floor((a_h + b_h) / 2.0e0) AND {G.x_overlap('a_', 'b_')} > 0 AND {G.x_overlap('a_', 'b_')} >= 0.3e0 * least(a_w, b_w))"
+
+
+def _sparse(s, d):
+    """A sixth of the words, so that lines leave gaps between paragraphs."""
+    return of_boxes(s, d).where("is_word AND x % 6 = 0")
+
+
+_SPARSE = X.BOXES_SQL.replace("boxes AS (", "boxes1 AS (") + ", boxes AS (SELECT * FROM boxes1 WHERE is_word AND x % 6 = 0)"
+
+
+@query("a11_line_extents", f"WITH {_SPARSE}, {_LINES} SELECT * FROM lines")
+def a11(s, d):
+    return N.line_extents(_sparse(s, d))
+
+
+@query("j16_paragraph_links", f"WITH {_SPARSE}, {_LINES}, {_PL} SELECT * FROM links")
+def j16(s, d):
+    return N.paragraph_links(_sparse(s, d))
+
+
+_PARA = f"WITH RECURSIVE {_SPARSE}, {_LINES}, {_PL}, both AS MATERIALIZED (SELECT image_id, line_a AS a, line_b AS b FROM links UNION SELECT image_id, line_b, line_a FROM links), reach AS (SELECT image_id, line_id AS root, line_id AS line FROM lines UNION SELECT r.image_id, r.root, b.b FROM reach r JOIN both b ON b.image_id = r.image_id AND b.a = r.line), para AS (SELECT image_id, line AS line_id, min(root) AS paragraph_id FROM reach GROUP BY ALL)"
+
+
+@query("n3_paragraphs", f"{_PARA} SELECT image_id, line_id, paragraph_id, n_words FROM para JOIN lines USING (image_id, line_id)")
+def n3(s, d):
+    return N.paragraphs(_sparse(s, d))
+
+
+@query("a9_paragraph_sizes", f"{_PARA} SELECT image_id, paragraph_id, CAST(sum(n_words) AS BIGINT) AS n_words FROM para JOIN lines USING (image_id, line_id) GROUP BY ALL")
+def a9(s, d):
+    return N.paragraphs(_sparse(s, d)).groupBy("image_id", "paragraph_id").agg(F.sum("n_words").alias("n_words"))
+
+
+@query("n4_network")
+def n4(s, d):
+    return N.build(of_boxes(s, d), HEIGHT).select("image_id", *(F.col(f"{e}.{k}").alias(f"{p}{k}") for e, p in (("src", "a_"), ("dst", "b_")) for k in N.BOX), "origin")
+
+
+@query("j10_paragraph_cuts")
+def j10(s, d):
+    b = of_boxes(s, d)
+    return ends(N.paragraph_cuts(_pairwise(s, d), b))
+
+
+@query("n1_n2_reach", "WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey % 700 AS a, l_partkey % 700 AS b FROM lineitem WHERE l_orderkey % 100 = 0 AND l_orderkey % 700 <> l_partkey % 700), r AS (SELECT a AS start, a AS node, 0 AS depth FROM (SELECT DISTINCT a FROM e WHERE a < 300) UNION SELECT r.start, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 20) SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL")
+def n1(s, d):
+    e = X.table(s, d, "lineitem").where("l_orderkey % 100 = 0").selectExpr("l_orderkey % 700 AS a", "l_partkey % 700 AS b").where("a <> b").distinct()
+    return N.reach(e, e.where("a < 300").select(F.col("a").alias("start")).distinct())
+
+
+@query("a12_origin_counts")
+def a12(s, d):
+    return N.build(of_boxes(s, d), HEIGHT).select("image_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "origin").distinct().groupBy("origin").agg(F.count("*").alias("n"))
+
+
+# ---- words and boxes -------------------------------------------------------
+
+def _words(s, d):
+    """Words that lie near the boxes: each third box moved and resized."""
+    return of_boxes(s, d).where("is_word AND x % 3 = 0").selectExpr("image_id", "x * 1000 + y AS word_idx", "x + y % 5 - 2 AS x", "y + x % 4 - 2 AS y", "w + x % 9 AS w", "h + y % 6 AS h")
+
+
+_WORDS = "words AS (SELECT image_id, x * 1000 + y AS word_idx, x + y % 5 - 2 AS x, y + x % 4 - 2 AS y, w + x % 9 AS w, h + y % 6 AS h FROM boxes WHERE is_word AND x % 3 = 0)"
+_BW = f"bw AS (SELECT a.image_id, {AB}, b.word_idx FROM boxes a JOIN words b ON a.image_id = b.image_id)"
+
+
+@query("j1_drop_covered", f"{WB}, {_WORDS}, {_BW}, filled AS (SELECT image_id, a_x, a_y, a_w, a_h FROM (SELECT DISTINCT * FROM bw) WHERE {G.overlap('a_', 'b_')} / {G.area('b_')} >= 0.5e0 GROUP BY ALL HAVING sum({G.area('b_')}) >= 0.5e0 * any_value({G.area('a_')})) SELECT image_id, x, y, w, h FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.image_id = b.image_id AND f.a_x = b.x AND f.a_y = b.y AND f.a_w = b.w AND f.a_h = b.h) UNION SELECT image_id, x, y, w, h FROM words")
+def j1(s, d):
+    return S.drop_covered(of_boxes(s, d).dropDuplicates(["image_id", *N.BOX]), _words(s, d))
+
+
+@query("j2_drop_letters", f"{WB}, {_WORDS}, {_BW} SELECT DISTINCT image_id, x, y, w, h FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM bw WHERE bw.image_id = b.image_id AND a_x = b.x AND a_y = b.y AND a_w = b.w AND a_h = b.h AND {G.overlap('a_', 'b_')} / {G.area('a_')} >= 0.8e0 AND {G.area('b_')} >= 2 * {G.area('a_')})")
+def j2(s, d):
+    return S.drop_letters(of_boxes(s, d).select("image_id", *N.BOX).distinct(), _words(s, d))
+
+
+@query("j3_tag_boxes", f"{WB}, {_WORDS}, {_BW}, best AS (SELECT image_id, a_x AS x, a_y AS y, a_w AS w, a_h AS h, word_idx FROM (SELECT *, {G.overlap('a_', 'b_')} / least({G.area('a_')}, {G.area('b_')}) AS share FROM bw) WHERE share >= 0.5e0 QUALIFY row_number() OVER (PARTITION BY image_id, a_x, a_y, a_w, a_h ORDER BY share DESC, word_idx) = 1) SELECT DISTINCT image_id, x, y, w, h, word_idx FROM boxes LEFT JOIN best USING (image_id, x, y, w, h)")
+def j3(s, d):
+    return S.tag_boxes(of_boxes(s, d), _words(s, d))
+
+
+@query("a13_tagged_words", f"{WB} SELECT image_id, count(*) FILTER (is_word) AS tagged, count(*) AS boxes FROM boxes GROUP BY image_id")
+def a13(s, d):
+    return of_boxes(s, d).groupBy("image_id").agg(F.expr("count_if(is_word)").alias("tagged"), F.count("*").alias("boxes"))
+
+
+@query("a10_word_groups", "SELECT doc_id AS image_id, CAST(count(*) AS BIGINT) AS words, CAST(max(len(t)) AS BIGINT) AS longest, CAST(sum(len(t)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(l, ' ')) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE t <> '' GROUP BY doc_id")
+def a10(s, d):
+    return X.words(s, d).groupBy("image_id").agg(F.count("*").alias("words"), F.max(F.length("text")).cast("long").alias("longest"), F.sum(F.length("text")).alias("chars"))
+
+
+# ---- selection -------------------------------------------------------------
+
+_EV = f"{X.EVENTS_SQL}, ev AS (SELECT *, session_id % 500 AS image_id FROM pointer)"
+
+
+def _events(s, d):
+    return X.pointer_events(s, d).withColumn("image_id", F.expr("session_id % 500"))
+
+
+def _tiny(s, d):
+    return of_boxes(s, d).select("image_id", *N.BOX).distinct()
+
+
+@query("j17_nearest_box", f"{WB}, {_EV}, g AS (SELECT event_id, {G.point_gap2('', '')} AS gap2, x, y, w, h FROM ev JOIN (SELECT DISTINCT image_id, x, y, w, h FROM boxes) USING (image_id)) SELECT event_id, gap2, x, y, w, h FROM g QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY gap2, y DESC, x DESC, h DESC, w DESC) = 1")
+def j17(s, d):
+    return S.nearest(_events(s, d), _tiny(s, d))
+
+
+@query("j18_containing_box", f"{WB}, {_EV} SELECT event_id, x, y, w, h FROM ev JOIN (SELECT DISTINCT image_id, x, y, w, h FROM boxes) USING (image_id) WHERE px >= x AND px < x + w AND py >= y AND py < y + h QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY {G.area('')}, y, x, h, w) = 1")
+def j18(s, d):
+    return S.containing(_events(s, d), _tiny(s, d))
+
+
+@query("l7_flow_radius", f"{WB}, {_EV} SELECT event_id, min({G.point_gap2('', '')}) AS gap2 FROM ev JOIN boxes USING (image_id) GROUP BY event_id HAVING gap2 < 225")
+def l7(s, d):
+    return S.nearest(_events(s, d), _tiny(s, d)).where("gap2 < 225").select("event_id", "gap2")
+
+
+@query("j19_maximal_boxes", f"{WB}, one AS (SELECT DISTINCT image_id, sea, x, y, w, h FROM boxes) SELECT * FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE a.image_id = b.image_id AND a.sea = b.sea AND {_NOT_SAME} AND b.x <= a.x AND b.y <= a.y AND b.x + b.w >= a.x + a.w AND b.y + b.h >= a.y + a.h)")
+def j19(s, d):
+    return S.maximal(of_boxes(s, d))
+
+
+@query("a15_g17_selection_rect", f"{WB} SELECT image_id, sea, greatest(0, min(x) - 8) AS left, greatest(0, min(y) - 8) AS top, least(1200, max(x + w) + 8) AS right, least(800, max(y + h) + 8) AS bottom FROM boxes GROUP BY image_id, sea".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
+def a15(s, d):
+    return S.selection_rect(of_boxes(s, d), "image_id", "sea")
+
+
+@query("u4_toggle_parity", f"WITH {_EV} SELECT session_id, count(*) FILTER (kind = 'click') % 2 = 1 AS selected FROM ev GROUP BY session_id")
+def u4(s, d):
+    return _events(s, d).groupBy("session_id").agg(F.expr("count_if(kind = 'click') % 2 = 1").alias("selected"))
+
+
+@query("e1_e6_session_replay")
+def e1(s, d):
+    from pageloom.streaming.sessions import replay, resolved
+
+    ev = _events(s, d)
+    return replay(resolved(ev, S.nearest(ev, _tiny(s, d)), S.containing(ev, _tiny(s, d))))
+
+
+@query("e9_latest_event", f"WITH {_EV} SELECT session_id, arg_max(event_id, (ts, event_id)) AS event_id FROM ev GROUP BY session_id")
+def e9(s, d):
+    return _events(s, d).groupBy("session_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+# ---- colour ----------------------------------------------------------------
+
+def _tiles(s, d):
+    """Boxes inside the mosaics."""
+    return X.pixels(s, d).where("x % 16 = 3 AND y % 16 = 3").selectExpr("image_id", "x", "y", "cast(9 + v % 5 as int) AS w", "cast(8 + v % 4 as int) AS h")
+
+
+_TILES = "tiles AS (SELECT image_id, x, y, CAST(9 + v % 5 AS INT) AS w, CAST(8 + v % 4 AS INT) AS h FROM pixels WHERE x % 16 = 3 AND y % 16 = 3)"
+_SAMPLES = (
+    "samples AS (" + " UNION ALL ".join(
+        f"SELECT image_id, x AS bx, y AS by, w AS bw, h AS bh, {k} AS side, (p - {o}) // 3 AS k, {py} AS y, {px} AS x FROM (SELECT *, unnest(range({o}, {o} + {n}, 3)) AS p FROM tiles)"
+        for k, o, n, py, px in ((0, "x", "w", "y - 2", "p"), (1, "x", "w", "y + h + 1", "p"), (2, "y", "h", "p", "x - 2"), (3, "y", "h", "p", "x + w + 1"))
+    ) + ")"
+)
+_SB = "image_id, bx, by, bw, bh"
+
+
+@query("a2_perimeter_colour", f"WITH {X.PIXELS_SQL}, {_TILES}, {_SAMPLES} SELECT {_SB}, {_UPPER.format('v')} AS v, {_UPPER.format('g')} AS g, count(*) AS n FROM samples JOIN pixels USING (image_id, y, x) GROUP BY {_SB}")
+def a2(s, d):
+    return C.perimeter_colours(C.perimeter(_tiles(s, d), 2, 3), X.pixels(s, d), "v", "g")
+
+
+@query("a3_calmness", f"WITH {X.PIXELS_SQL}, {_TILES}, {_SAMPLES}, st AS (SELECT {_SB}, power(v - lag(v) OVER w, 2) + power(g - lag(g) OVER w, 2) AS d FROM samples JOIN pixels USING (image_id, y, x) WINDOW w AS (PARTITION BY {_SB}, side ORDER BY k)) SELECT {_SB}, count(d) AS steps, count(*) FILTER (d < 1600) AS smooth, 10 * count(*) FILTER (d < 1600) >= 7 * count(d) AS calm FROM st GROUP BY {_SB}")
+def a3(s, d):
+    return C.calmness(C.perimeter(_tiles(s, d), 2, 3), X.pixels(s, d), ("v", "g"))
+
+
+def _pairs(s, d):
+    plane = X.pixels(s, d).select("image_id", "y", "x", F.expr("v div 24 * 24").alias("l"), F.expr("g div 64 * 64").alias("a"), F.lit(128).alias("b"))
+    return C.dominant_pair(_tiles(s, d), plane)
+
+
+@query("a4_a5_dominant_colours")
+def a4(s, d):
+    return _pairs(s, d).select("image_id", "x", "y", "w", "h", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("primary", "secondary") for c in "lab"))
+
+
+@query("a6_seas")
+def a6(s, d):
+    return C.seas(_pairs(s, d)).select("image_id", "x", "y", "w", "h", "sea_id")
+
+
+# ---- strings, keys, sources, sinks -----------------------------------------
+
+@query("f_tokenise", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS n FROM documents")
+def tokenise(s, d):
+    return X.table(s, d, "documents").select("doc_id", F.expr("cast(size(filter(split(text, '\\\\s+'), t -> t <> '')) as bigint)").alias("n"))
+
+
+@query("f_shortcut_label", "SELECT o_orderkey, CASE WHEN o_orderkey & 4 > 0 THEN '⌃' ELSE '' END || CASE WHEN o_orderkey & 8 > 0 THEN '⌥' ELSE '' END || CASE WHEN o_orderkey & 2 > 0 THEN '⇧' ELSE '' END || CASE WHEN o_orderkey & 16 > 0 THEN '⌘' ELSE '' END || coalesce(CASE o_orderkey % 5 WHEN 0 THEN '↩' WHEN 1 THEN '⎋' END, nullif(upper(trim(CASE WHEN o_orderkey % 5 = 2 THEN ' ' ELSE chr(97 + CAST(o_orderkey % 26 AS INT)) END)), ''), 'Key #' || CAST(o_orderkey % 128 AS VARCHAR)) AS label FROM orders")
+def label(s, d):
+    mods = "concat(" + ", ".join(f"if((o_orderkey & {m}) > 0, '{g}', '')" for m, g in ((4, "⌃"), (8, "⌥"), (2, "⇧"), (16, "⌘"))) + ")"
+    key = "coalesce(element_at(map(0, '↩', 1, '⎋'), cast(o_orderkey % 5 as int)), nullif(upper(trim(if(o_orderkey % 5 = 2, ' ', chr(97 + o_orderkey % 26)))), ''), concat('Key #', o_orderkey % 128))"
+    return X.table(s, d, "orders").select("o_orderkey", F.concat(F.expr(mods), F.expr(key.replace("element_at", "try_element_at"))).alias("label"))
+
+
+@query("l9_j20_shortcut_conflicts", "WITH k AS (SELECT o_orderkey AS action, o_orderkey % 128 AS key_code, o_orderkey & 30 AS mods FROM orders WHERE o_orderkey % 50 = 0) SELECT a.action AS action, count(*) AS conflicts FROM k a JOIN k b ON a.key_code = b.key_code AND a.mods = b.mods AND a.action <> b.action GROUP BY a.action")
+def conflicts(s, d):
+    from pyspark.sql import Window
+
+    k = X.table(s, d, "orders").where("o_orderkey % 50 = 0").selectExpr("o_orderkey AS action", "o_orderkey % 128 AS key_code", "o_orderkey & 30 AS mods")
+    return k.withColumn("n", F.count("*").over(Window.partitionBy("key_code", "mods"))).where("n > 1").select("action", F.expr("n - 1").alias("conflicts"))
+
+
+@query("l10_padding_input", "SELECT o_orderkey, coalesce(CAST(round(CASE WHEN v >= 0 THEN v END) AS INT), 8) AS padding FROM (SELECT o_orderkey, TRY_CAST(replace(trim(CASE WHEN o_orderkey % 4 = 0 THEN ' 12,6 ' WHEN o_orderkey % 4 = 1 THEN '-3' WHEN o_orderkey % 4 = 2 THEN 'x' ELSE CAST(o_orderkey % 90 AS VARCHAR) END), ',', '.') AS DOUBLE) AS v FROM orders)")
+def padding(s, d):
+    text = "CASE WHEN o_orderkey % 4 = 0 THEN ' 12,6 ' WHEN o_orderkey % 4 = 1 THEN '-3' WHEN o_orderkey % 4 = 2 THEN 'x' ELSE CAST(o_orderkey % 90 AS STRING) END"
+    v = f"try_cast(replace(trim({text}), ',', '.') AS DOUBLE)"
+    return X.table(s, d, "orders").select("o_orderkey", F.expr(f"coalesce(cast(round(CASE WHEN {v} >= 0 THEN {v} END) as int), 8)").alias("padding"))
+
+
+@query("k1_capture_name", "SELECT event_id, 'Capture_' || strftime(ts, '%Y%m%d_%H%M%S') || '.png' AS name FROM events")
+def capture(s, d):
+    return X.table(s, d, "events").select("event_id", F.concat(F.lit("Capture_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".png")).alias("name"))
+
+
+@query("k1_png_crops")
+def crops(s, d):
+    from pageloom.sources.frames import crop_files
+
+    return crop_files(P.crop(X.pixels(s, d), 10.4, 5.7, 20.2, 14.9).select("image_id", "y", "x", "r", "g", "b")).select("image_id", "name", F.octet_length("png").alias("png_bytes"))
+
+
+@query("s5_settings_json", "SELECT user_id, CAST(key_code AS INT) AS key_code, CAST(coalesce(sens, 1.0e0) AS DOUBLE) AS sensitivity FROM (SELECT user_id, user_id % 128 AS key_code, CASE WHEN user_id % 3 = 0 THEN greatest(0, (user_id % 9) / 4.0e0) END AS sens FROM (SELECT DISTINCT user_id FROM events))")
+def settings(s, d):
+    made = X.table(s, d, "events").select("user_id").distinct().select("user_id", F.expr("to_json(named_struct('key_code', user_id % 128, 'sensitivity', if(user_id % 3 = 0, user_id % 9 / 4D, null)))").alias("j"))
+    read = made.select("user_id", F.from_json("j", "key_code int, sensitivity double").alias("c"))
+    return read.select("user_id", "c.key_code", F.expr("greatest(0D, coalesce(c.sensitivity, 1D))").alias("sensitivity"))
+
+
+@query("u1_u2_union_difference", f"{WB}, {_WORDS}, one AS (SELECT image_id, x, y, w, h FROM boxes UNION SELECT image_id, x, y, w, h FROM words) SELECT * FROM one EXCEPT SELECT image_id, x, y, w, h FROM boxes WHERE NOT is_word")
+def u1(s, d):
+    b = of_boxes(s, d)
+    return b.select("image_id", *N.BOX).union(_words(s, d).select("image_id", *N.BOX)).distinct().subtract(b.where("NOT is_word").select("image_id", *N.BOX))
+
+
+@query("t3_t6_display_order", "SELECT kind, list_position(['move', 'click', 'save', 'toggle_autocluster', 'dismiss'], kind) AS place, n FROM (SELECT CASE event_type WHEN 'view' THEN 'move' WHEN 'click' THEN 'click' WHEN 'purchase' THEN 'save' WHEN 'signup' THEN 'toggle_autocluster' ELSE 'dismiss' END AS kind, count(*) AS n FROM events GROUP BY kind)")
+def order(s, d):
+    places = "array('move', 'click', 'save', 'toggle_autocluster', 'dismiss')"
+    return X.pointer_events(s, d).groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.expr(f"cast(array_position({places}, kind) as int)").alias("place"), "n").orderBy(F.desc("n"), "place")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component boxes of the closed mask that pass the size filter."""
+    return l1(spark, sf_dir)
