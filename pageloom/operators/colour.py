@@ -18,33 +18,33 @@ def perimeter(boxes: DataFrame, margin: int = 2, gap: int = 10) -> DataFrame:
         [f"transform({across}, (p, i) -> struct({s} AS side, i AS k, {e} AS y, p AS x))" for s, e in ((0, y0), (1, y1))]
         + [f"transform({down}, (p, i) -> struct({s} AS side, i AS k, p AS y, {e} AS x))" for s, e in ((2, x0), (3, x1))]
     )
-    keys = ["image_id", *(F.col(k).alias(f"b{k}") for k in ("x", "y", "w", "h"))]
-    return boxes.select(*keys, F.explode(F.expr(f"concat({sides})")).alias("s")).select("image_id", "bx", "by", "bw", "bh", "s.side", "s.k", F.col("s.y").cast("int").alias("y"), F.col("s.x").cast("int").alias("x"))
+    keys = ["image_id", *(F.col(k).alias(f"f{k}") for k in ("x", "y", "w", "h"))]
+    return boxes.select(*keys, F.explode(F.expr(f"concat({sides})")).alias("s")).select("image_id", "fx", "fy", "fw", "fh", "s.side", "s.k", F.col("s.y").cast("int").alias("y"), F.col("s.x").cast("int").alias("x"))
 
 
 def perimeter_colours(samples: DataFrame, plane: DataFrame, *channels: str) -> DataFrame:
     """Upper medians of the channels over a box's samples; places outside the image drop out."""
     held = samples.join(plane, ["image_id", "y", "x"])
-    return held.groupBy("image_id", "bx", "by", "bw", "bh").agg(*(F.expr(f"get(sort_array(collect_list({c})), cast(count({c}) div 2 as int))").alias(c) for c in channels), F.count("*").alias("n"))
+    return held.groupBy("image_id", "fx", "fy", "fw", "fh").agg(*(F.expr(f"get(sort_array(collect_list({c})), cast(count({c}) div 2 as int))").alias(c) for c in channels), F.count("*").alias("n"))
 
 
 def calmness(samples: DataFrame, plane: DataFrame, channels: tuple[str, ...], limit: int = 1600) -> DataFrame:
     """A box is calm if at least 0.7 of the steps between successive samples of a side are below the limit, or there are none."""
-    side = Window.partitionBy("image_id", "bx", "by", "bw", "bh", "side").orderBy("k")
+    side = Window.partitionBy("image_id", "fx", "fy", "fw", "fh", "side").orderBy("k")
     step = sum(((F.col(c) - F.lag(c).over(side)) * (F.col(c) - F.lag(c).over(side)) for c in channels[1:]), (F.col(channels[0]) - F.lag(channels[0]).over(side)) * (F.col(channels[0]) - F.lag(channels[0]).over(side)))
     steps = samples.join(plane, ["image_id", "y", "x"]).withColumn("d", step)
-    return steps.groupBy("image_id", "bx", "by", "bw", "bh").agg(F.count("d").alias("steps"), F.count(F.when(F.col("d") < limit, 1)).alias("smooth")).withColumn("calm", F.expr("10 * smooth >= 7 * steps"))
+    return steps.groupBy("image_id", "fx", "fy", "fw", "fh").agg(F.count("d").alias("steps"), F.count(F.when(F.col("d") < limit, 1)).alias("smooth")).withColumn("calm", F.expr("10 * smooth >= 7 * steps"))
 
 
 def leaders(values: str, limit: int) -> str:
     """Fold of an ordered array of (l, a, b) structs into clusters (sl, sa, sb, n): a sample joins the first
     cluster whose truncated mean is nearer than ``limit`` (squared); most members first, then the earlier cluster."""
-    zero = "cast(array() as array<struct<sl:int,sa:int,sb:int,n:int>>)"
+    zero = "cast(array() as array<struct<sl:bigint,sa:bigint,sb:bigint,n:bigint>>)"
     d = lambda c: f"(c.s{c} div c.n - v.{c}) * (c.s{c} div c.n - v.{c})"
     near = f"{d('l')} + {d('a')} + {d('b')} < {limit}"
     hit = f"array_position(transform(acc, c -> {near}), true)"
-    joined = f"transform(acc, (c, i) -> if(i + 1 = {hit}, named_struct('sl', c.sl + v.l, 'sa', c.sa + v.a, 'sb', c.sb + v.b, 'n', c.n + 1), c))"
-    new = "concat(acc, array(named_struct('sl', v.l, 'sa', v.a, 'sb', v.b, 'n', 1)))"
+    joined = f"transform(acc, (c, i) -> if(i + 1 = {hit}, named_struct('sl', c.sl + v.l, 'sa', c.sa + v.a, 'sb', c.sb + v.b, 'n', c.n + 1L), c))"
+    new = "concat(acc, array(named_struct('sl', cast(v.l as bigint), 'sa', cast(v.a as bigint), 'sb', cast(v.b as bigint), 'n', 1L)))"
     folded = f"aggregate({values}, {zero}, (acc, v) -> if({hit} > 0, {joined}, {new}))"
     ranked = f"array_sort(transform({folded}, (c, i) -> named_struct('k', -c.n, 'i', i, 'l', c.sl div c.n, 'a', c.sa div c.n, 'b', c.sb div c.n)))"
     return f"transform({ranked}, c -> named_struct('l', c.l, 'a', c.a, 'b', c.b, 'n', -c.k))"

@@ -346,7 +346,7 @@ def j16(s, d):
     return N.paragraph_links(_sparse(s, d))
 
 
-_PARA = f"WITH RECURSIVE {_SPARSE}, {_LINES}, {_PL}, both AS MATERIALIZED (SELECT image_id, line_a AS a, line_b AS b FROM links UNION SELECT image_id, line_b, line_a FROM links), reach AS (SELECT image_id, line_id AS root, line_id AS line FROM lines UNION SELECT r.image_id, r.root, b.b FROM reach r JOIN both b ON b.image_id = r.image_id AND b.a = r.line), para AS (SELECT image_id, line AS line_id, min(root) AS paragraph_id FROM reach GROUP BY ALL)"
+_PARA = f"WITH RECURSIVE {_SPARSE}, {_LINES}, {_PL}, ways AS MATERIALIZED (SELECT image_id, line_a AS a, line_b AS b FROM links UNION SELECT image_id, line_b, line_a FROM links), reach AS (SELECT image_id, line_id AS root, line_id AS line FROM lines UNION SELECT r.image_id, r.root, b.b FROM reach r JOIN ways b ON b.image_id = r.image_id AND b.a = r.line), para AS (SELECT image_id, line AS line_id, min(root) AS paragraph_id FROM reach GROUP BY ALL)"
 
 
 @query("n3_paragraphs", f"{_PARA} SELECT image_id, line_id, paragraph_id, n_words FROM para JOIN lines USING (image_id, line_id)")
@@ -483,11 +483,11 @@ def _tiles(s, d):
 _TILES = "tiles AS (SELECT image_id, x, y, CAST(9 + v % 5 AS INT) AS w, CAST(8 + v % 4 AS INT) AS h FROM pixels WHERE x % 16 = 3 AND y % 16 = 3)"
 _SAMPLES = (
     "samples AS (" + " UNION ALL ".join(
-        f"SELECT image_id, x AS bx, y AS by, w AS bw, h AS bh, {k} AS side, (p - {o}) // 3 AS k, {py} AS y, {px} AS x FROM (SELECT *, unnest(range({o}, {o} + {n}, 3)) AS p FROM tiles)"
+        f"SELECT image_id, x AS fx, y AS fy, w AS fw, h AS fh, {k} AS side, (p - {o}) // 3 AS k, {py} AS y, {px} AS x FROM (SELECT *, unnest(range({o}, {o} + {n}, 3)) AS p FROM tiles)"
         for k, o, n, py, px in ((0, "x", "w", "y - 2", "p"), (1, "x", "w", "y + h + 1", "p"), (2, "y", "h", "p", "x - 2"), (3, "y", "h", "p", "x + w + 1"))
     ) + ")"
 )
-_SB = "image_id, bx, by, bw, bh"
+_SB = "image_id, fx, fy, fw, fh"
 
 
 @query("a2_perimeter_colour", f"WITH {X.PIXELS_SQL}, {_TILES}, {_SAMPLES} SELECT {_SB}, {_UPPER.format('v')} AS v, {_UPPER.format('g')} AS g, count(*) AS n FROM samples JOIN pixels USING (image_id, y, x) GROUP BY {_SB}")
