@@ -73,7 +73,7 @@ def pair_match(p: str, q: str, limit: int = 9) -> str:
 def seas(pairs: DataFrame) -> DataFrame:
     """Boxes of an image grouped by colour pairs, in order of y, x, h, w: a box joins the first group whose founder matches."""
     colour = "struct<l:int,a:int,b:int>"
-    slim = pairs.select("image_id", F.struct("y", "x", "h", "w", *(F.col(c).cast(colour).alias(c) for c in ("primary", "secondary"))).alias("v"))
+    slim = pairs.select("image_id", F.struct("y", "x", "h", "w", *(F.struct(*(F.col(f"{c}.{k}").cast("int").alias(k) for k in "lab")).alias(c) for c in ("primary", "secondary"))).alias("v"))
     held = slim.groupBy("image_id").agg(F.sort_array(F.collect_list("v")).alias("v"))
     zero = f"named_struct('founders', cast(array() as array<struct<primary:{colour},secondary:{colour}>>), 'ids', cast(array() as array<int>))"
     hit = f"cast(array_position(transform(acc.founders, f -> {pair_match('f', 'v')}), true) as int)"
