@@ -38,6 +38,8 @@ IDS_SENT = 1 << 20
 MEMBERS_A_TASK_KEY = 64
 #: Classes of a block; a task holds the sets of two blocks.
 BLOCK = 256
+#: A leader's classes are compared in blocks from this many on.
+LARGE = 32
 
 
 def _sets(batches, text_col: str, n: int):
@@ -254,8 +256,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     def with_component(df: DataFrame) -> DataFrame:
         return df.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    # blocks against blocks among the classes that share their smallest leader
-    home = scratch.save(star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home")), "home")
+    # blocks against blocks among the many classes that share their smallest leader
+    home = star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home"))
+    for k in range(2):  # a leader that has a leader itself hands its members on
+        home = scratch.save(home, f"home{k}")
+        home = home.join(home.select(F.col("node").alias("home"), F.col("home").alias("next")), "home", "left").select("node", F.coalesce("next", "home").alias("home"))
+    home = scratch.save(home, "home2")
+    # few members are cheaper pair by pair
+    home = scratch.save(home.join(home.groupBy("home").agg(F.count("*").alias("m")).where(f"m >= {LARGE}").select("home"), "home", "left_semi"), "home")
     held = with_component(home)
     apart = held.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("home", "blocks")
     held = scratch.save(held.join(apart, "home"), "held")
