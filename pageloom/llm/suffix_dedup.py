@@ -37,7 +37,7 @@ PERIOD = 32
 #: Rows of a table that may be sent to all executors; beyond, a shuffled join.
 SENT = 1 << 18
 #: Anchors of a bucket of the index, and bytes of a bucket of surroundings, on average; bytes sorted at once.
-BUCKET_ANCHORS, BUCKET_BYTES, BLOCK = 500_000, 16 << 20, 4 << 20
+BUCKET_ANCHORS, BUCKET_BYTES, BLOCK = 250_000, 3 << 20, 1 << 20
 
 
 def difference_cover(period: int) -> list[int]:
@@ -180,7 +180,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """``docs(key, text)`` of different texts to (key, first, last): runs of string starts that repeat."""
 
     def elected(batches):
-        for batch, data, offs in tk.slices(batches, "text"):
+        for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES // 2):
             place, hashes, first, last = anchors(data, offs, width)
             row = np.searchsorted(offs, first, side="right") - 1
             key = batch.column(0).to_numpy()[row]
@@ -206,7 +206,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     cells = max(12, int(amount // BUCKET_BYTES) + 1)
 
     def pieces(batches):
-        for batch, data, offs in tk.slices(batches, "text"):
+        for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES // 2):
             place, hashes, first, last = anchors(data, offs, width)
             row = np.searchsorted(offs, first, side="right") - 1
             wanted = [np.array(x, dtype=np.int64) + o for x, o in zip(batch.column(2).to_pylist(), offs)]
@@ -250,9 +250,24 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
                 low = high
                 part = one[a:b]
                 _, bucket = np.unique(part["hash"], return_inverse=True)
-                flags = repeated_starts(text, at[a:b], part["size"].astype(np.int64), part["anchor"].astype(np.int64), bucket, part["count"].astype(np.int64), width)
-                flags &= np.repeat(single[a:b], part["count"])
-                yield from _runs_of(part, flags)
+                # equal strings have equal distances to their anchors, so a large bucket is sorted by ranges of distances
+                nearest, farthest = int((part["count"] - 1 - part["anchor"]).max()), int((-part["anchor"]).min())
+                reach = nearest - farthest + 1
+                if int(part["size"].sum()) > BLOCK:
+                    reach = max(1, BLOCK // len(part) - width)
+                for near in range(farthest, nearest + 1, reach):
+                    begin_at = np.maximum(0, near + part["anchor"])
+                    stop_at = np.minimum(part["count"], near + reach + part["anchor"])
+                    some = np.flatnonzero(stop_at > begin_at)
+                    if len(some) < 2:
+                        continue
+                    cut, skip = part[some].copy(), begin_at[some]
+                    cut["first"] += skip
+                    cut["anchor"] -= skip
+                    cut["count"] = (stop_at - begin_at)[some]
+                    flags = repeated_starts(text, at[a:b][some] + skip, cut["count"].astype(np.int64) - 1 + width, cut["anchor"].astype(np.int64), bucket[some], cut["count"].astype(np.int64), width)
+                    flags &= np.repeat(single[a:b][some], cut["count"])
+                    yield from _runs_of(cut, flags)
 
     def _runs_of(head, flags):
         if len(head):
