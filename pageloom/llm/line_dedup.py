@@ -6,7 +6,7 @@ order gives right results. Equal sets are one class, of which the first line in
 document order stays a candidate. Two lines match when their Jaccard similarity
 reaches the threshold; then one word of each prefix is common (prefix filter), sizes
 and places of a common word bound the overlap (length and positional filters), and
-so do the differing bits of two parity bitmaps. The index travels as packed arrays,
+so do the differing bits of two 64-bit parity bitmaps. The index travels as packed arrays,
 dealt by word; a word that is frequent enough to fill a task is dealt as blocks, every
 two of which meet. Candidates are verified on whole sets. A line is removed if any
 earlier line matches it, judged on the input: for each line and word the nearest
@@ -31,13 +31,13 @@ from pageloom.llm.bpe import ragged_index
 from pageloom.runtime import Scratch, ship
 
 #: The order knows words from this count on, the most frequent so many of them (8 bytes each on every executor).
-FREQUENT, FREQUENT_MOST = 3, 1 << 20
+FREQUENT, FREQUENT_MOST = 3, 1 << 19
 #: Up to so many documents the removals are sent to all executors; beyond, a shuffled join.
 DOCS_SENT = 1 << 19
 #: Candidates tried first for a line and word; open lines sent to all executors at most.
 TRIED, OPEN_SENT, EVERY = 3, 1 << 18, "every"
 #: Records of an index bucket, on average; of a block of a hot word's list; pairs compared at once.
-BUCKET_RECORDS, HOT, PAIRS_AT_ONCE = 400_000, 100_000, 1_000_000
+BUCKET_RECORDS, HOT, PAIRS_AT_ONCE = 200_000, 100_000, 500_000
 #: Keys have 51 bits, so that with a line's number in a chunk they sort as one integer.
 KEY_BITS = 51
 CHUNK = 1 << (64 - KEY_BITS)
@@ -65,7 +65,7 @@ def _word_counts(docs: DataFrame, text_col: str) -> DataFrame:
             have.append((hashes[first], np.diff(np.append(first, len(hashes)))))
             if len(have) == 8:
                 have = [merged()]
-            if sum(len(w) for w, _ in have) > 2_000_000:
+            if sum(len(w) for w, _ in have) > 1_000_000:
                 word, n = merged()
                 have = []
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "c"])
@@ -76,6 +76,28 @@ def _word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _frequent_words(scratch: Scratch, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words, FREQUENT_MOST at most, by falling count; the driver gets them packed."""
+    counts = scratch.save(_word_counts(docs, "text").where(f"c >= {FREQUENT}"), "counts")
+    # the least count that leaves few enough words, from the number of words by count (capped, as larger ones all stay)
+    by_count = {r["k"]: r["n"] for r in counts.groupBy(F.least("c", F.lit(10_000)).alias("k")).agg(F.count("*").alias("n")).collect()}
+    least, held = 10_001, 0
+    for k in sorted(by_count, reverse=True):
+        if held + by_count[k] > FREQUENT_MOST:
+            break
+        least, held = k, held + by_count[k]
+
+    def packed(batches):
+        for batch in batches:
+            both = np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(both).tobytes()], pa.binary())], ["b"])
+
+    got = np.frombuffer(b"".join(bytes(r["b"]) for r in counts.where(F.col("c") >= least).mapInArrow(packed, "b binary").toLocalIterator()), dtype=np.int64).reshape(-1, 2)
+    got = got[np.lexsort((got[:, 0], -got[:, 1]))]
+    scratch.drop("counts")
+    return got[:, 0].copy().view(np.uint64), got[:, 1].copy()
+
+
 def _lines(batches, text_col: str, known: np.ndarray, key_of: np.ndarray, least: int):
     """Per slice, chunk by chunk: batch, and of its lines with enough different words: row, line number, sorted keys with bounds."""
     for batch, data, offs in tk.slices(batches, text_col):
@@ -112,15 +134,12 @@ def _ids(batch: pa.RecordBatch, row: np.ndarray) -> pa.Array:
     return batch.column(0).cast(pa.int64()).take(pa.array(row))
 
 
-def _parity(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 parity bits of each set: bit h is set if an odd number of its words hash to h. Two sets differ in as many words as bits, at least."""
-    bit = tk.mix(flat + np.uint64(0x5851F42D4C957F2D))
-    one = np.uint64(1) << (bit & np.uint64(63))
-    high = (bit >> np.uint64(6) & np.uint64(1)).astype(bool)
-    return np.bitwise_xor.reduceat(np.where(high, np.uint64(0), one), bounds[:-1]), np.bitwise_xor.reduceat(np.where(high, one, np.uint64(0)), bounds[:-1])
+def _parity(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 parity bits of each set: bit h is set if an odd number of its words hash to h. Two sets differ in as many words as bits, at least."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (tk.mix(flat + np.uint64(0x5851F42D4C957F2D)) & np.uint64(63)), bounds[:-1])
 
 
-RECORD = np.dtype([("token", "<u8"), ("doc_id", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("pad", "<i4")])
+RECORD = np.dtype([("token", "<u8"), ("doc_id", "<i8"), ("bits", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def _pairs_of(records: np.ndarray, percent: int, only: set | str | None):
@@ -147,7 +166,7 @@ def _pairs_of(records: np.ndarray, percent: int, only: set | str | None):
         pos, qos = records["pos"][a], records["pos"][b]
         good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * (np.minimum(pos, qos) + np.minimum(n - pos, m - qos)) >= percent * (n + m))
         a, b, n, m = a[good], b[good], n[good], m[good]
-        bits = np.bitwise_count(records["b0"][a] ^ records["b0"][b]).astype(np.int64) + np.bitwise_count(records["b1"][a] ^ records["b1"][b])
+        bits = np.bitwise_count(records["bits"][a] ^ records["bits"][b]).astype(np.int64)
         # differing words are at most n + m - 2 * the least overlap
         good = bits <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
         good &= (records["doc_id"][a] != records["doc_id"][b]) | (records["line"][a] != records["line"][b])
@@ -170,8 +189,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(spark)
     scratch = Scratch(spark, "lines")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    known = _word_counts(docs, "text").where(f"c >= {FREQUENT}").orderBy(F.desc("c"), "word").limit(FREQUENT_MOST).toPandas()
-    frequent, count = known["word"].to_numpy(np.int64).view(np.uint64), known["c"].to_numpy(np.int64)
+    frequent, count = _frequent_words(scratch, docs)
     order = np.argsort(frequent)
     rank = (len(frequent) - 1 - order).astype(np.uint64)
     sent = spark.sparkContext.broadcast((frequent[order], _FREQUENT_BIT | rank))
@@ -194,15 +212,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for i, sig in enumerate(zip(one.tolist(), two.tolist())):
                 if sig not in seen:
                     new[i] = True
-                    if len(seen) < 1 << 19:
+                    if len(seen) < 1 << 17:
                         seen.add(sig)
             size = np.where(new, n - needed(n) + 1, 0)
-            b0, b1 = _parity(flat, bounds)
             prefix = tk.ragged_binary(flat[ragged_index(bounds[:-1], size)], np.concatenate([[0], np.cumsum(size)]))
-            columns = [_ids(batch, row), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(np.where(new, b0, 0).view(np.int64)), pa.array(np.where(new, b1, 0).view(np.int64)), prefix]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "s1", "s2", "b0", "b1", "prefix"])
+            columns = [_ids(batch, row), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(np.where(new, _parity(flat, bounds), np.uint64(0)).view(np.int64)), prefix]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "s1", "s2", "bits", "prefix"])
 
-    rows = scratch.save(docs.mapInArrow(with_prefixes, "doc_id long, line int, n int, s1 long, s2 long, b0 long, b1 long, prefix binary"), "rows")
+    rows = scratch.save(docs.mapInArrow(with_prefixes, "doc_id long, line int, n int, s1 long, s2 long, bits long, prefix binary"), "rows")
     tokens = rows.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(12, int(-(-tokens // BUCKET_RECORDS)))
 
@@ -221,11 +238,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             if not batch.num_rows:
                 continue
-            size = np.array([len(x.as_buffer()) // 8 for x in batch.column(5)], dtype=np.int64)
-            token = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint64)
+            size = np.array([len(x.as_buffer()) // 8 for x in batch.column(4)], dtype=np.int64)
+            token = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64)
             out = np.zeros(len(token), dtype=RECORD)
             out["token"], out["pos"] = token, np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            for k, name in enumerate(("doc_id", "line", "n", "b0", "b1")):
+            for k, name in enumerate(("doc_id", "line", "n", "bits")):
                 out[name] = np.repeat(batch.column(k).to_numpy().astype(RECORD[name]), size)
             hot = np.flatnonzero(token >= np.uint64(first_hot)) if len(blocks) else np.empty(0, np.int64)
             if len(hot):
@@ -245,8 +262,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if held:
             yield flush()
 
-    index = rows.where("octet_length(prefix) > 0").select("doc_id", "line", "n", "b0", "b1", "prefix").mapInArrow(packed, "bucket long, records binary")
-    index = scratch.save(index.repartition(buckets, "bucket").sortWithinPartitions("bucket"), "index")
+    index = rows.where("octet_length(prefix) > 0").select("doc_id", "line", "n", "bits", "prefix").mapInArrow(packed, "bucket long, records binary")
+    index = index.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     def candidates(only: set | str | None) -> DataFrame:
         chosen = spark.sparkContext.broadcast(only)
@@ -268,9 +285,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if held:
                 yield from emit(held)
 
-        # a file of the index holds whole buckets, sorted; files are read whole only if dealt by bucket
-        dealt = index.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        pairs = dealt.mapInArrow(found, "a struct<doc_id:long,line:int>, b struct<doc_id:long,line:int>, more boolean")
+        pairs = index.mapInArrow(found, "a struct<doc_id:long,line:int>, b struct<doc_id:long,line:int>, more boolean")
         return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
     def whole(ids: DataFrame) -> DataFrame:
