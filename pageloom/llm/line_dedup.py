@@ -201,22 +201,25 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return -(-percent * n // 100)
 
     def with_prefixes(batches):
-        seen: set[tuple[int, int]] = set()
+        # the earliest line of each class so far; rows may come in any order, so a class's first line is indexed wherever it is read
+        seen: dict[tuple[int, int], int] = {}
         for batch, row, number, flat, bounds in _lines(batches, "text", *sent.value, least_words):
             if not len(row):
                 continue
             n = np.diff(bounds)
+            ids = _ids(batch, row)
             one = np.add.reduceat(tk.mix(flat * np.uint64(0x9E3779B97F4A7C15)), bounds[:-1]).view(np.int64)
             two = np.add.reduceat(tk.mix(flat ^ np.uint64(0xC2B2AE3D27D4EB4F)), bounds[:-1]).view(np.int64)
             new = np.zeros(len(row), dtype=bool)
-            for i, sig in enumerate(zip(one.tolist(), two.tolist())):
-                if sig not in seen:
+            for i, (sig, doc, line) in enumerate(zip(zip(one.tolist(), two.tolist()), ids.to_pylist(), number.tolist())):
+                place, first = (doc << 32) + line, seen.get(sig)
+                if first is None or place < first:
                     new[i] = True
-                    if len(seen) < 1 << 17:
-                        seen.add(sig)
+                    if first is not None or len(seen) < 1 << 17:
+                        seen[sig] = place
             size = np.where(new, n - needed(n) + 1, 0)
             prefix = tk.ragged_binary(flat[ragged_index(bounds[:-1], size)], np.concatenate([[0], np.cumsum(size)]))
-            columns = [_ids(batch, row), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(np.where(new, _parity(flat, bounds), np.uint64(0)).view(np.int64)), prefix]
+            columns = [ids, pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(np.where(new, _parity(flat, bounds), np.uint64(0)).view(np.int64)), prefix]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "s1", "s2", "bits", "prefix"])
 
     rows = scratch.save(docs.mapInArrow(with_prefixes, "doc_id long, line int, n int, s1 long, s2 long, bits long, prefix binary"), "rows")
