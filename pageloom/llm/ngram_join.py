@@ -94,6 +94,8 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
                 hit = known[at] == flat
                 keys[hit] = key_of[at[hit]]
                 hits = np.concatenate([[0], np.cumsum(hit)])[bounds]
+            ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64())
+            named = ids.is_valid().to_pylist()
             sigs, groups, prefixes, first = [], [], [], []
             for i in range(batch.num_rows):
                 lo, hi = bounds[i], bounds[i + 1]
@@ -106,11 +108,12 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
                     keys[lo:hi].sort()
                 prefixes.append(keys[lo : lo + size - int(_needed(size, percent)) + 1].tobytes())
                 groups.append(hashlib.blake2b(prefixes[-1] + size.to_bytes(8, "little"), digest_size=16).digest())
-                first.append(groups[-1] not in seen)
-                if len(seen) < 1 << 20:
+                # a row without id is not indexed, so it can't stand for its group
+                first.append(named[i] and groups[-1] not in seen)
+                if named[i] and len(seen) < 1 << 20:
                     seen.add(groups[-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(sigs, pa.binary()), pa.array(groups, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(first)],
+                [ids, pa.array(np.diff(bounds)), pa.array(sigs, pa.binary()), pa.array(groups, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(first)],
                 ["doc_id", "n", "sig", "grp", "prefix", "first"],
             )
 
@@ -263,7 +266,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         home = home.join(home.select(F.col("node").alias("home"), F.col("home").alias("next")), "home", "left").select("node", F.coalesce("next", "home").alias("home"))
     home = scratch.save(home, "home2")
     # few members are cheaper pair by pair
-    home = scratch.save(home.join(home.groupBy("home").agg(F.count("*").alias("m")).where(f"m >= {LARGE}").select("home"), "home", "left_semi"), "home")
+    large = scratch.save(home.groupBy("home").agg(F.count("*").alias("m")).where(f"m >= {LARGE}").select("home"), "large")
+    # a home is a member of its own blocks, as handed-on members have not met it; it leaves the home it may have itself
+    moved = home.join(large, "home", "left_semi").select("node", "home").join(large.select(F.col("home").alias("node")), "node", "left_anti")
+    home = scratch.save(moved.union(large.select(F.col("home").alias("node"), "home")), "home")
     held = with_component(home)
     apart = held.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("home", "blocks")
     held = scratch.save(held.join(apart, "home"), "held")
