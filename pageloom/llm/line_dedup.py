@@ -15,7 +15,8 @@ open.
 
 Defined cases: null texts and texts without lines of ``least_words`` different words
 stay as they are, as do such short lines; rows with null id take no part and stay;
-a document that had lines in the comparison and loses all of them is dropped;
+a document that had lines in the comparison and loses all of them is dropped if each
+line it has left is blank or repeats the text of an earlier line, else it stays with them;
 repeated rows are one document; rows that share an id share removals by line
 number; columns other than id and text pass through unchanged.
 """
@@ -342,12 +343,29 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return later.groupBy("doc_id").agg(F.countDistinct("line").alias("n_compared"), F.sort_array(F.collect_set(F.when(gone, F.col("line")))).alias("removed"))
 
 
+def _with_own_text(docs: DataFrame, emptied: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id of those of ``emptied(doc_id, removed)`` that keep a non-empty line whose text, trimmed, no earlier line has."""
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "part")).where("doc_id is not null")
+    lines = lines.select("doc_id", "line", F.regexp_replace("part", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("part")).where("part <> ''")
+    lines = lines.select("doc_id", "line", F.xxhash64("part").alias("s1"), F.xxhash64("part", F.lit("second")).alias("s2"))
+    few = emptied.count() <= DOCS_SENT
+    kept = lines.join(F.broadcast(emptied) if few else emptied, "doc_id").where("not array_contains(removed, line)").select("doc_id", "line", "s1", "s2")
+    kept = Scratch(docs.sparkSession, "kept").save(kept, "kept")
+    wanted = kept.select("s1", "s2").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= DOCS_SENT else wanted
+    first = lines.join(wanted, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    return kept.join(first, ["s1", "s2"]).where("struct(doc_id, line) = first").select("doc_id").distinct()
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """``docs`` with the same columns: texts without lines that match an earlier one, documents without any compared line left dropped."""
-    found = Scratch(docs.sparkSession, "removed").save(removed_lines(docs, id_col, text_col, percent, least_words).where("size(removed) > 0"), "removed")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("n_compared").alias("__compared"), F.col("removed").alias("__removed"))
+    """``docs`` with the same columns: texts without lines that match an earlier one, documents of which only repeats of earlier lines are left dropped."""
+    scratch = Scratch(docs.sparkSession, "removed")
+    found = scratch.save(removed_lines(docs, id_col, text_col, percent, least_words).where("size(removed) > 0"), "removed")
+    own = scratch.save(_with_own_text(docs, found.where("size(removed) = n_compared").select("doc_id", "removed"), id_col, text_col), "own")
+    found = found.join(own.withColumn("own", F.lit(True)), "doc_id", "left")
+    found = found.select(F.col("doc_id").alias("__id"), F.expr("size(removed) < n_compared or own is not null").alias("__stays"), F.col("removed").alias("__removed"))
     found = F.broadcast(found) if found.count() <= DOCS_SENT else found
     text = f"`{text_col}`"
     kept = F.expr(f"case when __removed is null then {text} else array_join(filter(split({text}, '\\n', -1), (x, i) -> not array_contains(__removed, i)), '\\n') end")
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("__id"), "left").where("__removed is null or size(__removed) < __compared")
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col("__id"), "left").where("__removed is null or __stays")
     return joined.select(*(kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

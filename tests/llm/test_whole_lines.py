@@ -32,3 +32,12 @@ def test_line_dedup_in_any_order(spark, tmp_path):
                 make(spark, [texts_now[i] for i in part], [int(i) for i in part]).coalesce(1).write.mode("append").parquet(path)
             got = dedup_lines(spark.read.parquet(path).coalesce(1))
             assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
+def test_line_dedup_keeps_short_lines_of_their_own(spark):
+    from pageloom.llm.line_dedup import dedup_lines
+
+    common = "this line stands in every document"
+    texts = [f"{common}\nkeep me", f"{common}\nred\n\nblue", f"{common}\n  keep me ", common, f"{common}\n\n ", f"{common}\nblue\nred\nkeep me", f"{common}\nme keep"]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(make(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "red\n\nblue", 6: "me keep"}
