@@ -3,26 +3,29 @@
 A line is the set of its words (lower-cased A-Z). Words are ordered rarest first:
 words not known to be frequent by hash, then frequent ones by falling rarity; any
 order gives right results. Equal sets are one class, of which the first line in
-document order stays a candidate. Two lines match when their Jaccard similarity
-reaches the threshold; then one word of each prefix is common (prefix filter), sizes
-and places of a common word bound the overlap (length and positional filters), and
-so do the differing bits of two 64-bit parity bitmaps. The index travels as packed arrays,
-dealt by word; a word that is frequent enough to fill a task is dealt as blocks, every
-two of which meet. Candidates are verified on whole sets. A line is removed if any
-earlier line matches it, judged on the input: for each line and word the nearest
-candidates by bitmap are tried first, and all others only for lines that are still
-open.
+document order stays a candidate and is the only one in the index. Two lines match when
+their Jaccard similarity reaches the threshold; then one word of each prefix is common
+(prefix filter), and the sizes and the places of the first common word bound the overlap
+(length and positional filters), as do the differing bits of two 128-bit parity bitmaps.
+The index travels as packed arrays, dealt by word; a word that is frequent enough to fill
+a task is dealt as blocks, every two of which meet. Candidates are verified on whole sets.
+A line is removed if any earlier line matches it, judged on the input: for each line and
+word the nearest candidates by bitmap are tried first, and all others only for lines that
+are still open.
 
 Defined cases: null texts and texts without lines of ``least_words`` different words
 stay as they are, as do such short lines; rows with null id take no part and stay;
 a document that had lines in the comparison and loses all of them is dropped if each
 line it has left is blank or repeats the text of an earlier line, else it stays with them;
 repeated rows are one document; rows that share an id share removals by line
-number; columns other than id and text pass through unchanged.
+number; columns other than id and text, whatever their names, pass through unchanged; an
+empty table stays empty.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,10 +36,12 @@ from pageloom.runtime import Scratch, ship
 
 #: The order knows words from this count on, the most frequent so many of them (8 bytes each on every executor).
 FREQUENT, FREQUENT_MOST = 3, 1 << 19
-#: Up to so many documents the removals are sent to all executors; beyond, a shuffled join.
-DOCS_SENT = 1 << 19
+#: Up to so many documents, classes or words a table is sent to all executors; beyond, a shuffled join.
+DOCS_SENT, CLASSES_SENT, WORDS_SENT = 1 << 19, 1 << 18, 1 << 20
 #: Candidates tried first for a line and word; open lines sent to all executors at most.
-TRIED, OPEN_SENT, EVERY = 3, 1 << 18, "every"
+TRIED, OPEN_SENT = 3, 1 << 18
+#: Signatures of lines that a task remembers, so that a class sends its prefix rarely.
+SEEN = 1 << 17
 #: Records of an index bucket, on average; of a block of a hot word's list; pairs compared at once.
 BUCKET_RECORDS, HOT, PAIRS_AT_ONCE = 200_000, 100_000, 500_000
 #: Keys have 51 bits, so that with a line's number in a chunk they sort as one integer.
@@ -135,27 +140,36 @@ def _ids(batch: pa.RecordBatch, row: np.ndarray) -> pa.Array:
     return batch.column(0).cast(pa.int64()).take(pa.array(row))
 
 
-def _parity(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64 parity bits of each set: bit h is set if an odd number of its words hash to h. Two sets differ in as many words as bits, at least."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (tk.mix(flat + np.uint64(0x5851F42D4C957F2D)) & np.uint64(63)), bounds[:-1])
+def _parity(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parity bits of each set: bit h is set if an odd number of its words hash to h. Two sets differ in as many words as bits, at least."""
+    place = tk.mix(flat + np.uint64(0x5851F42D4C957F2D)) & np.uint64(127)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    return tuple(np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), bounds[:-1]) for half in (np.uint64(0), np.uint64(1)))
+
+
+def _line_key(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's place; equal hashes of different lines only add candidates."""
+    return tk.mix(doc_id.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.int64).view(np.uint64)
 
 
-RECORD = np.dtype([("token", "<u8"), ("doc_id", "<i8"), ("bits", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
+RECORD = np.dtype([("token", "<u8"), ("doc_id", "<i8"), ("b1", "<u8"), ("b2", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
 
 
-def _pairs_of(records: np.ndarray, percent: int, only: set | str | None):
-    """Candidates (a, b, bits), b the later line, of packed records: of each list (equal token) and later line the TRIED with the fewest differing bits, or all of the later lines in ``only`` (EVERY: of all)."""
+def _pairs_of(records: np.ndarray, percent: int, only: np.ndarray | None, every: bool):
+    """Candidates (records, a, b, more), b the later line, of packed records: of each list (equal token) and later line the TRIED with
+    the fewest differing bits (more: there were others), or all of the later lines whose key is in ``only``, or all of all."""
     records = records[np.lexsort((records["line"], records["doc_id"], records["token"]))]
     change = np.flatnonzero(np.concatenate([[True], records["token"][1:] != records["token"][:-1]]))
     size = np.diff(np.append(change, len(records)))
     start, at = np.repeat(change, size), np.arange(len(records))
     # each record against the records before it in its list, a bounded number of pairs at once
     before = at - start
-    if isinstance(only, set):
-        wanted = np.array([(d, l) in only for d, l in zip(records["doc_id"].tolist(), records["line"].tolist())], dtype=bool)
-        before = np.where(wanted, before, 0)
+    if only is not None:
+        before = np.where(np.isin(_line_key(records["doc_id"], records["line"]), only), before, 0)
     todo = np.flatnonzero(before)
     sums = np.cumsum(before[todo])
+    size_of, pos_of = records["n"].astype(np.int64), records["pos"].astype(np.int64)
+    b1, b2 = records["b1"].copy(), records["b2"].copy()
     low = 0
     while low < len(todo):
         high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + PAIRS_AT_ONCE)))
@@ -163,29 +177,48 @@ def _pairs_of(records: np.ndarray, percent: int, only: set | str | None):
         low = high
         b = np.repeat(some, before[some])
         a = ragged_index(start[some], before[some])
-        n, m = records["n"][a].astype(np.int64), records["n"][b].astype(np.int64)
-        pos, qos = records["pos"][a], records["pos"][b]
-        good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * (np.minimum(pos, qos) + np.minimum(n - pos, m - qos)) >= percent * (n + m))
-        a, b, n, m = a[good], b[good], n[good], m[good]
-        bits = np.bitwise_count(records["bits"][a] ^ records["bits"][b]).astype(np.int64)
+        n, m = size_of[a], size_of[b]
+        # at the first common word of two sets the overlap is what is left of either, at most
+        least = -(-percent * (n + m) // (100 + percent))
+        good = np.minimum(n - pos_of[a], m - pos_of[b]) >= least
+        a, b, most = a[good], b[good], (n + m - 2 * least)[good]
         # differing words are at most n + m - 2 * the least overlap
-        good = bits <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+        bits = np.bitwise_count(b1[a] ^ b1[b]).astype(np.int64)
+        good = np.flatnonzero(bits <= most)
+        a, b, most, bits = a[good], b[good], most[good], bits[good]
+        bits += np.bitwise_count(b2[a] ^ b2[b])
+        good = bits <= most
         good &= (records["doc_id"][a] != records["doc_id"][b]) | (records["line"][a] != records["line"][b])
         a, b, bits = a[good], b[good], bits[good]
-        if only is None and len(a):
-            order = np.lexsort((a, bits, b))
-            a, b, bits = a[order], b[order], bits[order]
-            head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            count = np.diff(np.append(head, len(b)))
-            rank = np.arange(len(b)) - np.repeat(head, count)
-            keep = rank < TRIED
-            yield records, a[keep], b[keep], np.repeat(count > TRIED, count)[keep]
-        elif len(a):
+        if not len(a):
+            continue
+        if only is not None or every:
             yield records, a, b, np.zeros(len(a), dtype=bool)
+            continue
+        order = np.lexsort((a, bits, b))
+        a, b = a[order], b[order]
+        head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        count = np.diff(np.append(head, len(b)))
+        keep = np.arange(len(b)) - np.repeat(head, count) < TRIED
+        yield records, a[keep], b[keep], np.repeat(count > TRIED, count)[keep]
+
+
+def _common(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of two columns of packed sorted sets: sizes of the rows' intersections, and sums of their sizes."""
+    x, x_bounds = tk.binary_values(left, np.uint64)
+    y, y_bounds = tk.binary_values(right, np.uint64)
+    common = np.zeros(len(left), dtype=np.int64)
+    for low in range(0, len(left), CHUNK):
+        high = min(low + CHUNK, len(left))
+        rows = np.arange(high - low, dtype=np.uint64) << np.uint64(KEY_BITS)
+        p, q = (np.repeat(rows, np.diff(o[low : high + 1])) | v[o[low] : o[high]] for v, o in ((x, x_bounds), (y, y_bounds)))
+        at = np.minimum(np.searchsorted(p, q), len(p) - 1)
+        common[low:high] = np.bincount((q[p[at] == q] >> np.uint64(KEY_BITS)).astype(np.int64), minlength=high - low)
+    return common, np.diff(x_bounds) + np.diff(y_bounds)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """Of each document with lines in the comparison: doc_id, n_compared, and the numbers (from 0) of its lines that match an earlier one."""
+    """Of each document that loses lines: doc_id, how many of its lines were compared, and the numbers (from 0) of those that match an earlier one."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
@@ -202,7 +235,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return -(-percent * n // 100)
 
     def with_prefixes(batches):
-        # the earliest line of each class so far; rows may come in any order, so a class's first line is indexed wherever it is read
+        # the earliest line of each class so far; rows may come in any order, so a class's first line gets its prefix wherever it is read
         seen: dict[tuple[int, int], int] = {}
         for batch, row, number, flat, bounds in _lines(batches, "text", *sent.value, least_words):
             if not len(row):
@@ -216,65 +249,78 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 place, first = (doc << 32) + line, seen.get(sig)
                 if first is None or place < first:
                     new[i] = True
-                    if first is not None or len(seen) < 1 << 17:
-                        seen[sig] = place
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen[sig] = place
             size = np.where(new, n - needed(n) + 1, 0)
             prefix = tk.ragged_binary(flat[ragged_index(bounds[:-1], size)], np.concatenate([[0], np.cumsum(size)]))
-            columns = [ids, pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(np.where(new, _parity(flat, bounds), np.uint64(0)).view(np.int64)), prefix]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "s1", "s2", "bits", "prefix"])
-
-    rows = scratch.save(docs.mapInArrow(with_prefixes, "doc_id long, line int, n int, s1 long, s2 long, bits long, prefix binary"), "rows")
+            b1, b2 = (np.where(new, x, np.uint64(0)).view(np.int64) for x in _parity(flat, bounds))
+            compared = np.bincount(row, minlength=batch.num_rows)[row]
+            columns = [ids, pa.array(number.astype(np.int32)), pa.array(compared.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(b1), pa.array(b2), prefix]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "compared", "n", "s1", "s2", "b1", "b2", "prefix"])
+
+    rows = scratch.save(docs.mapInArrow(with_prefixes, "doc_id long, line int, compared int, n int, s1 long, s2 long, b1 long, b2 long, prefix binary"), "rows")
+    # classes of several lines, with their first one
+    again = rows.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("node"), F.count("*").alias("copies")).where("copies > 1").select("s1", "s2", "node")
+    again = scratch.save(again, "again")
+    again = F.broadcast(again) if again.count() <= CLASSES_SENT else again
+    first = rows.where("octet_length(prefix) > 0").join(again, ["s1", "s2"], "left").where("node is null or struct(doc_id, line) = node")
+    first = first.select("doc_id", "line", "n", "b1", "b2", "prefix")
     tokens = rows.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(12, int(-(-tokens // BUCKET_RECORDS)))
 
-    def packed(batches):
-        held, n_held = [], 0
+    def index(words: np.ndarray | None) -> DataFrame:
+        """Packed records of all prefixes, or of those with a word of ``words`` (sorted), dealt by word."""
+        chosen = spark.sparkContext.broadcast(words)
 
-        def flush():
-            records = np.concatenate(held)
-            bucket = (tk.mix(records["token"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            records, bucket = records[order], bucket[order]
-            head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            stop = np.append(head[1:], len(bucket))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array([records[a:b].tobytes() for a, b in zip(head, stop)], pa.binary())], ["bucket", "records"])
+        def packed(batches):
+            held, n_held, words = [], 0, chosen.value
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            size = np.array([len(x.as_buffer()) // 8 for x in batch.column(4)], dtype=np.int64)
-            token = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64)
-            out = np.zeros(len(token), dtype=RECORD)
-            out["token"], out["pos"] = token, np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            for k, name in enumerate(("doc_id", "line", "n", "bits")):
-                out[name] = np.repeat(batch.column(k).to_numpy().astype(RECORD[name]), size)
-            hot = np.flatnonzero(token >= np.uint64(first_hot)) if len(blocks) else np.empty(0, np.int64)
-            if len(hot):
-                # a record of a hot word meets every block of that word: its token becomes that of each pair of blocks
-                parts = blocks[(token[hot] - np.uint64(first_hot)).astype(np.int64)]
-                copies = out[np.repeat(hot, parts)]
-                mine = (tk.mix(copies["doc_id"].view(np.uint64) ^ copies["line"].astype(np.uint64)) % np.repeat(parts, parts).astype(np.uint64)).astype(np.int64)
-                other = ragged_index(np.zeros(len(hot), np.int64), parts)
-                cell = np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other)
-                copies["token"] = tk.mix(copies["token"] * np.uint64(31) + cell.astype(np.uint64))
-                out = np.concatenate([np.delete(out, hot), copies])
-            held.append(out)
-            n_held += len(out)
-            if n_held > 500_000:
+            def flush():
+                records = np.concatenate(held)
+                bucket = (tk.mix(records["token"]) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                records, bucket = records[order], bucket[order]
+                head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                stop = np.append(head[1:], len(bucket))
+                return pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array([records[a:b].tobytes() for a, b in zip(head, stop)], pa.binary())], ["bucket", "records"])
+
+            for batch in batches:
+                token, bounds = tk.binary_values(batch.column(5), np.uint64)
+                size = np.diff(bounds)
+                out = np.zeros(len(token), dtype=RECORD)
+                out["token"], out["pos"] = token, np.arange(len(token)) - np.repeat(bounds[:-1], size)
+                for k, name in enumerate(("doc_id", "line", "n", "b1", "b2")):
+                    out[name] = np.repeat(batch.column(k).to_numpy().astype(RECORD[name]), size)
+                if words is not None:
+                    out = out[np.isin(out["token"], words)]
+                hot = np.flatnonzero(out["token"] >= np.uint64(first_hot)) if len(blocks) else np.empty(0, np.int64)
+                if len(hot):
+                    # a record of a hot word meets every block of that word: its token becomes that of each pair of blocks
+                    parts = blocks[(out["token"][hot] - np.uint64(first_hot)).astype(np.int64)]
+                    copies = out[np.repeat(hot, parts)]
+                    mine = (tk.mix(copies["doc_id"].view(np.uint64) ^ copies["line"].astype(np.uint64)) % np.repeat(parts, parts).astype(np.uint64)).astype(np.int64)
+                    other = ragged_index(np.zeros(len(hot), np.int64), parts)
+                    cell = np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other)
+                    copies["token"] = tk.mix(copies["token"] * np.uint64(31) + cell.astype(np.uint64))
+                    out = np.concatenate([np.delete(out, hot), copies])
+                if len(out):
+                    held.append(out)
+                    n_held += len(out)
+                if n_held > 500_000:
+                    yield flush()
+                    held, n_held = [], 0
+            if held:
                 yield flush()
-                held, n_held = [], 0
-        if held:
-            yield flush()
 
-    index = rows.where("octet_length(prefix) > 0").select("doc_id", "line", "n", "bits", "prefix").mapInArrow(packed, "bucket long, records binary")
-    index = index.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        return first.mapInArrow(packed, "bucket long, records binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
-    def candidates(only: set | str | None) -> DataFrame:
+    def candidates(only: np.ndarray | None, every: bool, words: np.ndarray | None) -> DataFrame:
         chosen = spark.sparkContext.broadcast(only)
 
         def found(batches):
             def emit(held):
-                for r, a, b, more in _pairs_of(np.frombuffer(b"".join(held), dtype=RECORD), percent, chosen.value):
+                for r, a, b, more in _pairs_of(np.frombuffer(b"".join(held), dtype=RECORD), percent, chosen.value, every):
                     ends = [pa.StructArray.from_arrays([pa.array(r["doc_id"][x]), pa.array(r["line"][x])], ["doc_id", "line"]) for x in (a, b)]
                     yield pa.RecordBatch.from_arrays([*ends, pa.array(more)], ["a", "b", "more"])
 
@@ -289,7 +335,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if held:
                 yield from emit(held)
 
-        pairs = index.mapInArrow(found, "a struct<doc_id:long,line:int>, b struct<doc_id:long,line:int>, more boolean")
+        pairs = index(words).mapInArrow(found, "a struct<doc_id:long,line:int>, b struct<doc_id:long,line:int>, more boolean")
         return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
     def whole(ids: DataFrame) -> DataFrame:
@@ -299,8 +345,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         def pick(batches):
             for batch, row, number, flat, bounds in _lines(batches, "text", *sent.value, least_words):
-                sets = [set(x) for x in batch.column(2).to_pylist()]
-                at = np.array([i for i, (r, k) in enumerate(zip(row.tolist(), number.tolist())) if k in sets[r]], dtype=np.int64)
+                lists = batch.column(2)
+                wanted = _line_key(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy())
+                at = np.flatnonzero(np.isin(_line_key(row, number), wanted))
                 n = np.diff(bounds)[at]
                 node = pa.StructArray.from_arrays([_ids(batch, row[at]), pa.array(number[at].astype(np.int32))], ["doc_id", "line"])
                 yield pa.RecordBatch.from_arrays([node, tk.ragged_binary(flat[ragged_index(bounds[at], n)], np.concatenate([[0], np.cumsum(n)]))], ["node", "blob"])
@@ -314,58 +361,78 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         def check(batches):
             for batch in batches:
-                good = []
-                for x, y in zip(batch.column(1), batch.column(2)):
-                    x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                    at = np.searchsorted(x, y)
-                    at[at == len(x)] = 0
-                    good.append((100 + percent) * int(np.count_nonzero(x[at] == y)) >= percent * (len(x) + len(y)))
-                yield batch.select([0]).filter(pa.array(good, pa.bool_()))
+                common, sizes = _common(batch.column(1), batch.column(2))
+                yield batch.select([0]).filter(pa.array((100 + percent) * common >= percent * sizes))
 
-        return scratch.save(both.select("b", "blob", "other").mapInArrow(check, "b struct<doc_id:long,line:int>").distinct(), f"matched_{name}")
+        matched = scratch.save(both.select("b", "blob", "other").mapInArrow(check, "b struct<doc_id:long,line:int>").distinct(), f"matched_{name}")
+        scratch.drop(f"sets_{name}")
+        return matched
 
-    tried = scratch.save(candidates(None), "tried")
+    tried = scratch.save(candidates(None, False, None), "tried")
     matched = verified(tried.select("a", "b"), "tried")
     left = scratch.save(tried.where("more").select("b").distinct().join(matched, "b", "left_anti"), "open")
     n_left = left.count()
     if n_left:
-        # few enough, they are sent to all executors; else all lines list every candidate, and a join keeps the open ones
+        # few enough, they are sent to all executors, with their words; else all lines list every candidate, and a join keeps the open ones
         if n_left <= OPEN_SENT:
-            rest = candidates({(r["b"]["doc_id"], r["b"]["line"]) for r in left.collect()})
+            place = left.select("b.doc_id", "b.line").toArrow()
+            only = np.unique(_line_key(*(place.column(k).to_numpy() for k in range(2))))
+            sent_left = F.broadcast(left.select("b.doc_id", "b.line"))
+
+            def words_of(batches):
+                for batch in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(tk.binary_values(batch.column(0), np.int64)[0]))], ["word"])
+
+            words = scratch.save(first.join(sent_left, ["doc_id", "line"]).select("prefix").mapInArrow(words_of, "word long").distinct(), "words")
+            known = np.sort(words.toArrow().column(0).to_numpy().view(np.uint64)) if words.count() <= WORDS_SENT else None
+            rest = candidates(only, False, known)
         else:
-            rest = candidates(EVERY).join(left, "b", "left_semi")
+            rest = candidates(None, True, None).join(left, "b", "left_semi")
         matched = matched.union(verified(scratch.save(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest"), "rest")).distinct()
+    scratch.drop("tried")
+
+    copies = rows.join(again, ["s1", "s2"]).where("struct(doc_id, line) <> node").select("doc_id", "line", "compared")
+    near = rows.select("doc_id", "line", "compared").join(matched.select("b.doc_id", "b.line").distinct(), ["doc_id", "line"])
+    return copies.union(near).groupBy("doc_id").agg(F.max("compared").alias("compared"), F.sort_array(F.collect_set("line")).alias("removed"))
+
+
+_BLANK = r" \t\n\u000B\u000C\r"
+
+
+def _with_own_text(docs: DataFrame, emptied: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """doc_id of those of ``emptied(doc_id, removed)`` that keep a line of ``least_words`` different words, or a non-empty one whose trimmed text no earlier line has."""
+    scratch = Scratch(docs.sparkSession, "kept")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    few = F.broadcast(emptied) if emptied.count() <= DOCS_SENT else emptied
+
+    def lines(of: DataFrame, *more: str) -> DataFrame:
+        parts = of.select("doc_id", *more, F.posexplode(F.split("text", "\n", -1)).alias("line", "part"))
+        return parts.select("doc_id", *more, "line", F.expr(f"trim(both '{_BLANK}' from part)").alias("part")).where("part <> ''")
 
-    classes = rows.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("node"), F.count("*").alias("copies")).where("copies > 1").select("s1", "s2", "node")
-    later = rows.select("doc_id", "line", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    later = later.join(matched.select(F.col("b.doc_id").alias("doc_id"), F.col("b.line").alias("line"), F.lit(True).alias("hit")), ["doc_id", "line"], "left")
-    gone = F.expr("hit or (node is not null and struct(doc_id, line) <> node)")
-    return later.groupBy("doc_id").agg(F.countDistinct("line").alias("n_compared"), F.sort_array(F.collect_set(F.when(gone, F.col("line")))).alias("removed"))
-
-
-def _with_own_text(docs: DataFrame, emptied: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id of those of ``emptied(doc_id, removed)`` that keep a non-empty line whose text, trimmed, no earlier line has."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "part")).where("doc_id is not null")
-    lines = lines.select("doc_id", "line", F.regexp_replace("part", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("part")).where("part <> ''")
-    lines = lines.select("doc_id", "line", F.xxhash64("part").alias("s1"), F.xxhash64("part", F.lit("second")).alias("s2"))
-    few = emptied.count() <= DOCS_SENT
-    kept = lines.join(F.broadcast(emptied) if few else emptied, "doc_id").where("not array_contains(removed, line)").select("doc_id", "line", "s1", "s2")
-    kept = Scratch(docs.sparkSession, "kept").save(kept, "kept")
-    wanted = kept.select("s1", "s2").distinct()
+    kept = lines(docs.join(few, "doc_id"), "removed").where("not array_contains(removed, line)")
+    words = F.size(F.array_distinct(F.split(F.translate("part", ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+")))
+    kept = scratch.save(kept.select("doc_id", "line", F.xxhash64("part").alias("s1"), F.xxhash64("part", F.lit("second")).alias("s2"), (words >= least_words).alias("long")), "kept")
+    wanted = kept.where("not long").select("s1", "s2").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= DOCS_SENT else wanted
-    first = lines.join(wanted, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    return kept.join(first, ["s1", "s2"]).where("struct(doc_id, line) = first").select("doc_id").distinct()
+    all_lines = lines(docs).select("doc_id", "line", "part", F.xxhash64("part").alias("s1"))
+    same = all_lines.join(wanted, "s1", "left_semi").select("doc_id", "line", "s1", F.xxhash64("part", F.lit("second")).alias("s2"))
+    earliest = same.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    own = kept.join(earliest, ["s1", "s2"], "left").where("long or struct(doc_id, line) = first")
+    return scratch.save(own.select("doc_id").distinct(), "own")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
     """``docs`` with the same columns: texts without lines that match an earlier one, documents of which only repeats of earlier lines are left dropped."""
     scratch = Scratch(docs.sparkSession, "removed")
-    found = scratch.save(removed_lines(docs, id_col, text_col, percent, least_words).where("size(removed) > 0"), "removed")
-    own = scratch.save(_with_own_text(docs, found.where("size(removed) = n_compared").select("doc_id", "removed"), id_col, text_col), "own")
+    found = scratch.save(removed_lines(docs, id_col, text_col, percent, least_words), "removed")
+    emptied = found.where("size(removed) >= compared").select("doc_id", "removed")
+    own = _with_own_text(docs, emptied, id_col, text_col, least_words)
     found = found.join(own.withColumn("own", F.lit(True)), "doc_id", "left")
-    found = found.select(F.col("doc_id").alias("__id"), F.expr("size(removed) < n_compared or own is not null").alias("__stays"), F.col("removed").alias("__removed"))
+    found = found.select("doc_id", F.expr("size(removed) < compared or own is not null").alias("stays"), "removed")
     found = F.broadcast(found) if found.count() <= DOCS_SENT else found
-    text = f"`{text_col}`"
-    kept = F.expr(f"case when __removed is null then {text} else array_join(filter(split({text}, '\\n', -1), (x, i) -> not array_contains(__removed, i)), '\\n') end")
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("__id"), "left").where("__removed is null or __stays")
-    return joined.select(*(kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    # the document travels as one column, so no name of its own can clash
+    nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    joined = nested.join(found, "doc_id", "left").where("removed is null or stays")
+    text = f"doc.`{text_col}`"
+    kept = F.expr(f"case when removed is null then {text} else array_join(filter(split({text}, '\\n', -1), (x, i) -> not array_contains(removed, i)), '\\n') end")
+    return joined.select(*((kept if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

@@ -145,6 +145,16 @@ def ragged_binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
+def binary_values(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column of packed numbers as (values, bounds); null is empty."""
+    column = pc.fill_null(column, b"").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    width = np.dtype(dtype).itemsize
+    bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]] if data is not None and data.size else np.empty(0, np.uint8)
+    return np.ascontiguousarray(raw).view(dtype), (bounds - bounds[0]) // width
+
+
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of some sorted sets, by blocked matrix products."""
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_corpus import brute_lines, make
 
@@ -41,3 +43,27 @@ def test_line_dedup_keeps_short_lines_of_their_own(spark):
     texts = [f"{common}\nkeep me", f"{common}\nred\n\nblue", f"{common}\n  keep me ", common, f"{common}\n\n ", f"{common}\nblue\nred\nkeep me", f"{common}\nme keep"]
     got = {r["doc_id"]: r["text"] for r in dedup_lines(make(spark, texts)).collect()}
     assert got == {0: texts[0], 1: "red\n\nblue", 6: "me keep"}
+
+
+@pytest.mark.parametrize("hot, open_sent, words_sent", [(10, 1 << 18, 1 << 20), (10, 0, 0), (1 << 30, 1 << 18, 0), (10, 1 << 18, 0)])
+def test_line_dedup_hot_words_and_open_lines(spark, monkeypatch, hot, open_sent, words_sent):
+    from pageloom.llm import line_dedup as L
+
+    for name, value in (("HOT", hot), ("OPEN_SENT", open_sent), ("WORDS_SENT", words_sent), ("TRIED", 1), ("CLASSES_SENT", 3), ("DOCS_SENT", 3), ("SEEN", 4), ("PAIRS_AT_ONCE", 500)):
+        monkeypatch.setattr(L, name, value)
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(14)]
+    texts = ["\n".join(" ".join(rnd.sample(words, rnd.randint(4, 12))) for _ in range(rnd.randint(1, 6))) for _ in range(220)]
+    gone, compared = brute_lines(texts)
+    got = {r["doc_id"]: r["removed"] for r in L.removed_lines(make(spark, texts)).collect()}
+    assert got == gone and sum(map(len, gone.values())) > 100
+
+
+def test_line_dedup_clashing_names(spark):
+    from pageloom.llm.line_dedup import dedup_lines
+
+    texts = ["one two three four five"] * 2 + [None, "x"]
+    docs = make(spark, texts).select("doc_id", "text", *(F.lit(k).alias(k) for k in ("__id", "removed", "stays", "doc", "own", "a.b", "compared")))
+    got = dedup_lines(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["removed"], r["a.b"]) for r in got.collect() if r["text"]) == [(0, texts[0], "removed", "a.b"), (3, "x", "removed", "a.b")] and got.count() == 3
