@@ -155,8 +155,8 @@ def _line_key(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
 RECORD = np.dtype([("token", "<u8"), ("doc_id", "<i8"), ("b1", "<u8"), ("b2", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
 
 
-def _pairs_of(records: np.ndarray, percent: int, only: np.ndarray | None, every: bool):
-    """Candidates (records, a, b, more), b the later line, of packed records: of each list (equal token) and later line the TRIED with
+def _pairs_of(records: np.ndarray, percent: int, only: np.ndarray | None, every: bool, tried: int, at_once: int):
+    """Candidates (records, a, b, more), b the later line, of packed records: of each list (equal token) and later line the ``tried`` with
     the fewest differing bits (more: there were others), or all of the later lines whose key is in ``only``, or all of all."""
     records = records[np.lexsort((records["line"], records["doc_id"], records["token"]))]
     change = np.flatnonzero(np.concatenate([[True], records["token"][1:] != records["token"][:-1]]))
@@ -172,7 +172,7 @@ def _pairs_of(records: np.ndarray, percent: int, only: np.ndarray | None, every:
     b1, b2 = records["b1"].copy(), records["b2"].copy()
     low = 0
     while low < len(todo):
-        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + PAIRS_AT_ONCE)))
+        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + at_once)))
         some = todo[low:high]
         low = high
         b = np.repeat(some, before[some])
@@ -199,8 +199,8 @@ def _pairs_of(records: np.ndarray, percent: int, only: np.ndarray | None, every:
         a, b = a[order], b[order]
         head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         count = np.diff(np.append(head, len(b)))
-        keep = np.arange(len(b)) - np.repeat(head, count) < TRIED
-        yield records, a[keep], b[keep], np.repeat(count > TRIED, count)[keep]
+        keep = np.arange(len(b)) - np.repeat(head, count) < tried
+        yield records, a[keep], b[keep], np.repeat(count > tried, count)[keep]
 
 
 def _common(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -316,11 +316,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return first.mapInArrow(packed, "bucket long, records binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     def candidates(only: np.ndarray | None, every: bool, words: np.ndarray | None) -> DataFrame:
-        chosen = spark.sparkContext.broadcast(only)
+        chosen, tried_first, at_once = spark.sparkContext.broadcast(only), TRIED, PAIRS_AT_ONCE
 
         def found(batches):
             def emit(held):
-                for r, a, b, more in _pairs_of(np.frombuffer(b"".join(held), dtype=RECORD), percent, chosen.value, every):
+                for r, a, b, more in _pairs_of(np.frombuffer(b"".join(held), dtype=RECORD), percent, chosen.value, every, tried_first, at_once):
                     ends = [pa.StructArray.from_arrays([pa.array(r["doc_id"][x]), pa.array(r["line"][x])], ["doc_id", "line"]) for x in (a, b)]
                     yield pa.RecordBatch.from_arrays([*ends, pa.array(more)], ["a", "b", "more"])
 
@@ -411,11 +411,11 @@ def _with_own_text(docs: DataFrame, emptied: DataFrame, id_col: str, text_col: s
 
     kept = lines(docs.join(few, "doc_id"), "removed").where("not array_contains(removed, line)")
     words = F.size(F.array_distinct(F.split(F.translate("part", ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+")))
-    kept = scratch.save(kept.select("doc_id", "line", F.xxhash64("part").alias("s1"), F.xxhash64("part", F.lit("second")).alias("s2"), (words >= least_words).alias("long")), "kept")
+    kept = scratch.save(kept.select("doc_id", "line", F.xxhash64("part").alias("s1"), F.xxhash64(F.lit("second"), "part").alias("s2"), (words >= least_words).alias("long")), "kept")
     wanted = kept.where("not long").select("s1", "s2").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= DOCS_SENT else wanted
     all_lines = lines(docs).select("doc_id", "line", "part", F.xxhash64("part").alias("s1"))
-    same = all_lines.join(wanted, "s1", "left_semi").select("doc_id", "line", "s1", F.xxhash64("part", F.lit("second")).alias("s2"))
+    same = all_lines.join(wanted, "s1", "left_semi").select("doc_id", "line", "s1", F.xxhash64(F.lit("second"), "part").alias("s2"))
     earliest = same.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     own = kept.join(earliest, ["s1", "s2"], "left").where("long or struct(doc_id, line) = first")
     return scratch.save(own.select("doc_id").distinct(), "own")

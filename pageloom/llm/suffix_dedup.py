@@ -14,12 +14,16 @@ whose residue is in a difference cover, is ranked first, by prefix doubling to m
 than ``width`` bytes. Suffixes are then sorted by bucket, residue and PERIOD bytes,
 and longer ties by the rank of the next sample place, which lies at the same distance
 for all suffixes of a bucket and residue. Neighbours in that order that agree in
-``width`` bytes repeat. Memory is that of a block.
+``width`` bytes repeat. Equal surroundings send their bytes once a block. Memory is that
+of a block.
+
+An anchor with very many places (HOT) would fill a bucket: its strings are dealt one by
+one by 128 bits of their bytes, after those that a task has met twice are settled there.
 
 Defined cases: null text is empty; texts shorter than ``width`` lose nothing; repeated
 rows are copies of each other, so they lose all their bytes if long enough; null ids
 and rows that share an id are treated like others, as texts are told apart by their
-content (a 64-bit hash of it names a text between steps); other columns are ignored.
+content (two 64-bit hashes of it name a text between steps); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ ANCHOR = 32
 PERIOD = 32
 #: Rows of a table that may be sent to all executors; beyond, a shuffled join.
 SENT = 1 << 18
+#: Anchors with so many places are hot; HOT_MOST of them at most, as beyond the least number grows. Their strings are dealt one by one, by their bytes.
+HOT, HOT_MOST = 20_000, 1 << 20
 #: Anchors of a bucket of the index, and bytes of a bucket of surroundings, on average; bytes sorted at once.
 BUCKET_ANCHORS, BUCKET_BYTES, BLOCK = 250_000, 3 << 20, 1 << 20
 
@@ -147,7 +153,17 @@ def repeated_starts(text: np.ndarray, begin: np.ndarray, size: np.ndarray, ancho
     return flags
 
 
-HEAD = np.dtype([("hash", "<u8"), ("key", "<i8"), ("first", "<i4"), ("count", "<i4"), ("anchor", "<i4"), ("size", "<i4")])
+def wide_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of byte spans, as two columns."""
+    return tk.span_hashes(data, starts, ends), tk.span_hashes(_SECOND[data], starts, ends)
+
+
+#: A permutation of the bytes, so that the second half of a wide hash is of other values.
+_SECOND = np.argsort(tk.mix(np.arange(256, dtype=np.uint64))).astype(np.uint8)
+
+HEAD = np.dtype([("hash", "<u8"), ("w1", "<u8"), ("w2", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("first", "<i4"), ("count", "<i4"), ("anchor", "<i4"), ("size", "<i4"), ("held", "<i4")])
+PLACE = np.dtype([("hash", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("at", "<i4"), ("n", "<i4")])
+STRING = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("first", "<i4"), ("n", "<i4")])
 
 
 def _dealt(bucket: np.ndarray):
@@ -162,112 +178,222 @@ def _by_bucket(batches):
     """Lists of rows of equal first column; the partition is sorted by it."""
     now, held = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != now and held:
+        for k in range(batch.num_rows):
+            bucket = batch.column(0)[k].as_py()
+            if bucket != now and held:
                 yield held
                 held = []
-            now = row[0]
-            held.append(row)
+            now = bucket
+            held.append([c[k].as_py() for c in batch.columns])
     if held:
         yield held
 
 
+class Often:
+    """Values that a task has met twice in one block, up to ``most``: what it meets of them later repeats for sure, and only their number is sent on."""
+
+    def __init__(self, most: int = 1 << 16):
+        self.values, self.counts, self.most = np.empty(0, np.uint64), np.empty(0, np.int64), most
+
+    def meet(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flags of the values that repeat for sure, and of those to send on as the first of a value."""
+        some, first, inverse, count = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+        if len(self.values):
+            at = np.minimum(np.searchsorted(self.values, some), len(self.values) - 1)
+            known = self.values[at] == some
+            np.add.at(self.counts, at[known], count[known])
+        else:
+            known = np.zeros(len(some), dtype=bool)
+        send = np.zeros(len(values), dtype=bool)
+        send[first[~known]] = True
+        sure = (known | (count > 1))[inverse]
+        new = np.flatnonzero(~known & (count > 1))[: self.most - len(self.values)]
+        values, counts = np.concatenate([self.values, some[new]]), np.concatenate([self.counts, np.zeros(len(new), np.int64)])
+        order = np.argsort(values)
+        self.values, self.counts = values[order], counts[order]
+        return sure, send
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
+def _packed(name: str, bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    order, bucket, head, stop = _dealt(bucket)
+    records = records[order]
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array([records[a:b].tobytes() for a, b in zip(head, stop)], pa.binary()), pa.array([b""] * len(head), pa.binary())], [name, "heads", "bytes"])
+
+
 def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """``docs(key, text)`` of different texts to (key, first, last): runs of string starts that repeat."""
+    """``docs(k1, k2, text)`` of different texts to (k1, k2, first, last): runs of string starts that repeat."""
+    sc, block = docs.sparkSession.sparkContext, BLOCK
 
     def elected(batches):
+        often = Often()
         for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES // 2):
             place, hashes, first, last = anchors(data, offs, width)
             row = np.searchsorted(offs, first, side="right") - 1
-            key = batch.column(0).to_numpy()[row]
-            order, bucket, head, stop = _dealt((hashes % np.uint64(buckets)).astype(np.int64))
-            out = np.empty(len(order), dtype=[("hash", "<u8"), ("key", "<i8"), ("at", "<i4")])
-            out["hash"], out["key"], out["at"] = hashes[order], key[order], (place - offs[row])[order]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([out[a:b].tobytes() for a, b in zip(head, stop)], pa.binary())], ["bucket", "records"])
+            sure, send = often.meet(hashes)
+            out = np.zeros(len(place), dtype=PLACE)
+            out["hash"], out["at"] = hashes, place - offs[row]
+            for k, name in enumerate(("k1", "k2")):
+                out[name] = batch.column(k).to_numpy()[row]
+            _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
+            tell = out[send]
+            # what is sure goes to a bucket of its text; of these anchors only the number goes to the anchor's bucket
+            tell["n"] = count[inverse][send]
+            tell["at"][sure[send]] = -1
+            out = out[sure]
+            bucket = np.concatenate([tell["hash"] % np.uint64(buckets), np.uint64(buckets) + out["k1"].view(np.uint64) % np.uint64(buckets)])
+            yield _packed("bucket", bucket.astype(np.int64), np.concatenate([tell, out]))
+        left = np.flatnonzero(often.counts)
+        out = np.zeros(len(left), dtype=PLACE)
+        out["hash"], out["at"], out["n"] = often.values[left], -1, np.minimum(often.counts[left], 1 << 30)
+        yield _packed("bucket", (out["hash"] % np.uint64(buckets)).astype(np.int64), out)
 
     def twice(batches):
+        """Places of anchors that occur twice; anchors that are hot come as a place -1 of a text named by their hash."""
         for held in _by_bucket(batches):
-            records = np.frombuffer(b"".join(r[1] for r in held), dtype=[("hash", "<u8"), ("key", "<i8"), ("at", "<i4")])
-            records = records[np.argsort(records["hash"])]
-            same = records["hash"][1:] == records["hash"][:-1]
-            records = records[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-            yield pa.RecordBatch.from_arrays([pa.array(records["key"]), pa.array(records["at"])], ["key", "at"])
+            records = np.frombuffer(b"".join(r[1] for r in held), dtype=PLACE)
+            if held[0][0] < buckets:
+                records = records[np.argsort(records["hash"], kind="stable")]
+                head = np.flatnonzero(np.concatenate([[True], records["hash"][1:] != records["hash"][:-1]])) if len(records) else np.empty(0, np.int64)
+                size = np.diff(np.append(head, len(records)))
+                total = np.add.reduceat(records["n"].astype(np.int64), head) if len(head) else np.empty(0, np.int64)
+                hot = np.zeros(int((total >= least_hot).sum()), dtype=PLACE)
+                hot["k1"], hot["at"] = records["hash"][head[total >= least_hot]].view(np.int64), -1
+                records = np.concatenate([records[np.repeat(total > 1, size) & (records["at"] >= 0)], hot])
+            yield pa.RecordBatch.from_arrays([pa.array(records[c]) for c in ("k1", "k2", "at")], ["k1", "k2", "at"])
 
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     # about two anchors for every string width
-    buckets = max(12, int(2 * total // (width - ANCHOR + 1) // BUCKET_ANCHORS) + 1)
-    places = docs.mapInArrow(elected, "bucket long, records binary").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(twice, "key long, at int")
-    places = scratch.save(places.groupBy("key").agg(F.collect_list("at").alias("places")), "places")
+    expected = int(2 * total // (width - ANCHOR + 1))
+    buckets = max(12, expected // BUCKET_ANCHORS + 1)
+    least_hot = max(HOT, expected // HOT_MOST)
+    found = docs.mapInArrow(elected, "bucket long, heads binary, bytes binary").repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(twice, "k1 long, k2 long, at int")
+    found = scratch.save(found, "found")
+    # at most HOT_MOST, as each stands for so many of the expected places
+    hot = np.sort(found.where("at = -1").select("k1").toArrow().column(0).to_numpy().view(np.uint64))
+    sent_hot = sc.broadcast(hot)
+    places = scratch.save(found.where("at >= 0").groupBy("k1", "k2").agg(F.collect_list("at").alias("places")), "places")
     amount = (places.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0) * width * 3 // 2
     cells = max(12, int(amount // BUCKET_BYTES) + 1)
 
+    def direct(key, start, stop):
+        """Runs that need no other block."""
+        out = np.zeros(len(start), dtype=HEAD)
+        out["k1"], out["k2"], out["first"], out["count"] = key[0], key[1], start, stop - start
+        return _packed("cell", 2 * cells + (out["k1"].view(np.uint64) % np.uint64(cells)).astype(np.int64), out)
+
     def pieces(batches):
+        often, hot = Often(), sent_hot.value
         for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES // 2):
             place, hashes, first, last = anchors(data, offs, width)
             row = np.searchsorted(offs, first, side="right") - 1
-            wanted = [np.array(x, dtype=np.int64) + o for x, o in zip(batch.column(2).to_pylist(), offs)]
-            keep = np.isin(place, np.concatenate(wanted)) if wanted else np.zeros(0, bool)
+            lists = batch.column(3)
+            wanted = lists.flatten().to_numpy() + np.repeat(offs[:-1], np.diff(lists.offsets.to_numpy()))
+            keep = np.isin(place, wanted)
             place, hashes, first, last, row = place[keep], hashes[keep], first[keep], last[keep], row[keep]
-            order, bucket, head, stop = _dealt((tk.mix(hashes) % np.uint64(cells)).astype(np.int64))
-            place, hashes, first, last, row = place[order], hashes[order], first[order], last[order], row[order]
-            out = np.empty(len(order), dtype=HEAD)
-            out["hash"], out["key"], out["first"] = hashes, batch.column(0).to_numpy()[row], first - offs[row]
-            out["count"], out["anchor"], out["size"] = last - first + 1, place - first, last - first + width
-            text = data[ragged_index(first, last - first + width)]
-            ends = np.concatenate([[0], np.cumsum(last - first + width)])
+            keys = [batch.column(k).to_numpy() for k in (0, 1)]
+            many = np.isin(hashes, hot)
+            if many.any():
+                # strings of hot anchors one by one: those that a block or task has twice are settled, the first of each is dealt by its bytes
+                start = ragged_index(first[many], (last - first + 1)[many])
+                owner = np.repeat(row[many], (last - first + 1)[many])
+                out = np.zeros(len(start), dtype=STRING)
+                out["w1"], out["w2"] = wide_hashes(data, start, start + width)
+                out["k1"], out["k2"], out["first"] = keys[0][owner], keys[1][owner], start - offs[owner]
+                sure, send = often.meet(out["w1"] ^ tk.mix(out["w2"]))
+                out["n"] = np.where(sure, 2, 1)
+                yield _packed("cell", cells + (out["w1"][send] % np.uint64(cells)).astype(np.int64), out[send])
+                # runs of settled strings
+                at = np.flatnonzero(sure)
+                head = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(start[at]) != 1) | (np.diff(owner[at]) != 0)])) if len(at) else np.empty(0, np.int64)
+                stop = at[np.append(head[1:], len(at)) - 1] if len(at) else head
+                one = out[at[head]]
+                yield direct((one["k1"], one["k2"]), one["first"], out["first"][stop] + 1)
+                place, hashes, first, last, row = (x[~many] for x in (place, hashes, first, last, row))
+            size = last - first + width
+            w1, w2 = wide_hashes(data, first, first + size)
+            cell = (tk.mix(hashes) % np.uint64(cells)).astype(np.int64)
+            # equal pieces of a block stand together, and only the first sends its bytes
+            order = np.lexsort((w2, w1, hashes, cell))
+            place, hashes, first, last, row, size, w1, w2, cell = (x[order] for x in (place, hashes, first, last, row, size, w1, w2, cell))
+            held = np.ones(len(order), dtype=bool)
+            held[1:] = (hashes[1:] != hashes[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            out = np.zeros(len(order), dtype=HEAD)
+            out["hash"], out["w1"], out["w2"], out["k1"], out["k2"], out["first"] = hashes, w1, w2, keys[0][row], keys[1][row], first - offs[row]
+            out["count"], out["anchor"], out["size"], out["held"] = last - first + 1, place - first, size, held
+            _, bucket, head, stop = _dealt(cell)
+            text = data[ragged_index(first[held], size[held])]
+            ends = np.concatenate([[0], np.cumsum(np.where(held, size, 0))])
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([out[a:b].tobytes() for a, b in zip(head, stop)], pa.binary()), pa.array([text[ends[a] : ends[b]].tobytes() for a, b in zip(head, stop)], pa.binary())], ["cell", "heads", "bytes"])
 
     def sorted_blocks(batches):
         for held in _by_bucket(batches):
-            head = np.frombuffer(b"".join(r[1] for r in held), dtype=HEAD)
-            text = np.frombuffer(b"".join(r[2] for r in held), dtype=np.uint8)
-            begin = np.concatenate([[0], np.cumsum(head["size"], dtype=np.int64)])
-            # equal pieces of a bucket: each string of theirs repeats; one stays for the others
-            whole = tk.span_hashes(text, begin[:-1], begin[1:]) ^ tk.mix(head["hash"] + head["anchor"].astype(np.uint64))
-            order = np.lexsort((whole, head["hash"]))
-            head, begin, whole = head[order], begin[:-1][order], whole[order]
-            first = np.concatenate([[True], (head["hash"][1:] != head["hash"][:-1]) | (whole[1:] != whole[:-1])])
-            copies = np.diff(np.append(np.flatnonzero(first), len(head)))
-            flags_of = np.repeat(copies > 1, copies)
-            yield from _runs_of(head[flags_of], np.ones(int(head["count"][flags_of].sum()), dtype=bool))
-            one, at = head[first], begin[first]
-            several = np.concatenate([[False], one["hash"][1:] == one["hash"][:-1]])
-            several[:-1] |= several[1:]
-            one, at, single = one[several], at[several], (copies == 1)[several]
-            # one block of whole buckets at a time
-            total = np.cumsum(one["size"], dtype=np.int64)
-            edge = np.append(np.flatnonzero(np.concatenate([[True], one["hash"][1:] != one["hash"][:-1]])), len(one)) if len(one) else np.zeros(1, np.int64)
-            low = 0
-            while low < len(edge) - 1:
-                high = low + 1
-                while high < len(edge) - 1 and total[edge[high + 1] - 1] - (total[edge[low] - 1] if edge[low] else 0) <= BLOCK:
-                    high += 1
-                a, b = edge[low], edge[high]
-                low = high
-                part = one[a:b]
-                _, bucket = np.unique(part["hash"], return_inverse=True)
-                # equal strings have equal distances to their anchors, so a large bucket is sorted by ranges of distances
-                nearest, farthest = int((part["count"] - 1 - part["anchor"]).max()), int((-part["anchor"]).min())
-                reach = nearest - farthest + 1
-                if int(part["size"].sum()) > BLOCK:
-                    reach = max(1, BLOCK // len(part) - width)
-                for near in range(farthest, nearest + 1, reach):
-                    begin_at = np.maximum(0, near + part["anchor"])
-                    stop_at = np.minimum(part["count"], near + reach + part["anchor"])
-                    some = np.flatnonzero(stop_at > begin_at)
-                    if len(some) < 2:
-                        continue
-                    cut, skip = part[some].copy(), begin_at[some]
-                    cut["first"] += skip
-                    cut["anchor"] -= skip
-                    cut["count"] = (stop_at - begin_at)[some]
-                    flags = repeated_starts(text, at[a:b][some] + skip, cut["count"].astype(np.int64) - 1 + width, cut["anchor"].astype(np.int64), bucket[some], cut["count"].astype(np.int64), width)
-                    flags &= np.repeat(single[a:b][some], cut["count"])
-                    yield from _runs_of(cut, flags)
+            if held[0][0] >= 2 * cells:
+                for _, heads, _ in held:
+                    head = np.frombuffer(heads, dtype=HEAD)
+                    yield from _runs_of(head, np.ones(int(head["count"].sum()), dtype=bool))
+            elif held[0][0] >= cells:
+                strings = np.frombuffer(b"".join(r[1] for r in held), dtype=STRING)
+                strings = strings[np.lexsort((strings["w2"], strings["w1"]))]
+                first = np.concatenate([[True], (strings["w1"][1:] != strings["w1"][:-1]) | (strings["w2"][1:] != strings["w2"][:-1])])
+                total = np.add.reduceat(strings["n"], np.flatnonzero(first))
+                found = strings[np.repeat(total > 1, np.diff(np.append(np.flatnonzero(first), len(strings)))) & (strings["n"] == 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in ("k1", "k2", "first", "first")], ["k1", "k2", "first", "last"])
+            else:
+                yield from sorted_cell([r[1] for r in held], [r[2] for r in held])
+
+    def sorted_cell(heads, texts):
+        head = np.frombuffer(b"".join(heads), dtype=HEAD)
+        heads.clear()
+        text = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        texts.clear()
+        begin = np.cumsum(np.where(head["held"] > 0, head["size"], 0), dtype=np.int64)
+        begin = np.concatenate([[0], begin[:-1]])
+        # equal pieces of a bucket: each string of theirs repeats; one that holds its bytes stays for the others
+        order = np.lexsort((1 - head["held"], head["w2"], head["w1"], head["hash"]))
+        head, begin = head[order], begin[order]
+        first = np.ones(len(head), dtype=bool)
+        first[1:] = (head["hash"][1:] != head["hash"][:-1]) | (head["w1"][1:] != head["w1"][:-1]) | (head["w2"][1:] != head["w2"][:-1])
+        copies = np.diff(np.append(np.flatnonzero(first), len(head)))
+        flags_of = np.repeat(copies > 1, copies)
+        yield from _runs_of(head[flags_of], np.ones(int(head["count"][flags_of].sum()), dtype=bool))
+        one, at = head[first], begin[first]
+        several = np.concatenate([[False], one["hash"][1:] == one["hash"][:-1]])
+        several[:-1] |= several[1:]
+        one, at, single = one[several], at[several], (copies == 1)[several]
+        # one block of whole buckets at a time
+        total = np.cumsum(one["size"], dtype=np.int64)
+        edge = np.append(np.flatnonzero(np.concatenate([[True], one["hash"][1:] != one["hash"][:-1]])), len(one)) if len(one) else np.zeros(1, np.int64)
+        low = 0
+        while low < len(edge) - 1:
+            high = low + 1
+            while high < len(edge) - 1 and total[edge[high + 1] - 1] - (total[edge[low] - 1] if edge[low] else 0) <= block:
+                high += 1
+            a, b = edge[low], edge[high]
+            low = high
+            part = one[a:b]
+            _, bucket = np.unique(part["hash"], return_inverse=True)
+            # equal strings have equal distances to their anchors, so a large bucket is sorted by ranges of distances
+            nearest, farthest = int((part["count"] - 1 - part["anchor"]).max()), int((-part["anchor"]).min())
+            reach = nearest - farthest + 1
+            if int(part["size"].sum()) > block:
+                reach = max(1, block // len(part) - width)
+            for near in range(farthest, nearest + 1, reach):
+                begin_at = np.maximum(0, near + part["anchor"])
+                stop_at = np.minimum(part["count"], near + reach + part["anchor"])
+                some = np.flatnonzero(stop_at > begin_at)
+                if len(some) < 2:
+                    continue
+                cut, skip = part[some].copy(), begin_at[some]
+                cut["first"] += skip
+                cut["anchor"] -= skip
+                cut["count"] = (stop_at - begin_at)[some]
+                flags = repeated_starts(text, at[a:b][some] + skip, cut["count"].astype(np.int64) - 1 + width, cut["anchor"].astype(np.int64), bucket[some], cut["count"].astype(np.int64), width)
+                flags &= np.repeat(single[a:b][some], cut["count"])
+                yield from _runs_of(cut, flags)
 
     def _runs_of(head, flags):
         if len(head):
@@ -275,10 +401,10 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
             start, stop = tk.runs(flags, ends)
             row = np.searchsorted(ends, start, side="right") - 1
             shift = head["first"][row] - ends[row]
-            yield pa.RecordBatch.from_arrays([pa.array(head["key"][row]), pa.array((start + shift).astype(np.int32)), pa.array((stop - 1 + shift).astype(np.int32))], ["key", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(head["k1"][row]), pa.array(head["k2"][row]), pa.array((start + shift).astype(np.int32)), pa.array((stop - 1 + shift).astype(np.int32))], ["k1", "k2", "first", "last"])
 
-    surrounded = docs.join(_small(places), "key").select("key", "text", "places")
-    return surrounded.mapInArrow(pieces, "cell long, heads binary, bytes binary").repartition(cells, "cell").sortWithinPartitions("cell").mapInArrow(sorted_blocks, "key long, first int, last int")
+    surrounded = docs.join(_small(places), ["k1", "k2"]).select("k1", "k2", "text", "places")
+    return surrounded.mapInArrow(pieces, "cell long, heads binary, bytes binary").repartition(3 * cells, "cell").sortWithinPartitions("cell").mapInArrow(sorted_blocks, "k1 long, k2 long, first int, last int")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:
@@ -286,20 +412,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "suffix")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # two hashes with different seeds name a text between steps
+    texts = texts.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})
     long = texts.where(f"octet_length(text) >= {width}")
     # texts that occur more than once, and of each one row that stays for the others
-    kinds = long.select(F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("key"), F.spark_partition_id().alias("part"), "doc_id")
-    again = scratch.save(kinds.groupBy("sha").agg(F.count("*").alias("n"), F.first("key").alias("key")).where("n > 1").select("sha", "key"), "again")
-    copied = long.withColumn("sha", F.sha2("text", 256)).join(_small(again.select("sha")), "sha").groupBy("sha").agg(F.first("text").alias("text"))
-    alone = long.withColumn("sha", F.sha2("text", 256)).join(_small(again.select("sha")), "sha", "left_anti")
-    once = alone.select("text").union(copied.select("text")).select(F.xxhash64("text").alias("key"), "text")
-    runs = _repeats(once, width, scratch)
-    spans = scratch.save(runs.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "spans")
-    scratch.drop("places")
-    whole = again.select("key", F.lit(True).alias("all"))
-    found = spans.join(whole, "key", "full_outer").select("key", "runs", F.coalesce("all", F.lit(False)).alias("all"))
-    found = scratch.save(found, "found")
+    kinds = long.select("k1", "k2", "text")
+    again = scratch.save(kinds.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"), "again")
+    copied = kinds.join(_small(again), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    alone = kinds.join(_small(again), ["k1", "k2"], "left_anti")
+    runs = _repeats(alone.union(copied), width, scratch)
+    spans = scratch.save(runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "spans")
+    scratch.drop("places", "found")
+    whole = again.select("k1", "k2", F.lit(True).alias("all"))
+    found = spans.join(whole, ["k1", "k2"], "full_outer").select("k1", "k2", "runs", F.coalesce("all", F.lit(False)).alias("all"))
+    found = scratch.save(found, "removed")
+    scratch.drop("spans")
 
     def kept(batches):
         for batch, data, offs in tk.slices(batches, "text"):
@@ -323,5 +451,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(spans, span), pa.array(rest, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    keyed = texts.withColumn("key", F.xxhash64("text")).join(_small(found), "key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs", "all")
+    keyed = texts.join(_small(found), ["k1", "k2"], "left").select("doc_id", "text", "runs", "all")
     return keyed.mapInArrow(kept, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
