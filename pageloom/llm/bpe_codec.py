@@ -44,7 +44,7 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     def rows(batches):
         vocab = Vocabulary(vocabulary)
         table = Words(vocab, lambda words: merge_by_halves(vocab, words, leaf))
-        for batch, _, _ in tk.slices(batches, text_col, tk.BLOCK_BYTES // 2):
+        for batch, _, _ in tk.slices(batches, text_col, tk.BLOCK_BYTES):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             at, bounds = table.rows(texts)
             size = np.diff(table.bounds)[at]

@@ -312,7 +312,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
 
     def rows(batches):
-        for batch, data, offs in tk.slices(batches, text_col, tk.BLOCK_BYTES // 2):
+        for batch, data, offs in tk.slices(batches, text_col, tk.BLOCK_BYTES):
             payload, bounds = padded_payloads(data, offs)
             files = encode_payloads(payload, bounds)
             back, at = decode_files(files)

@@ -1,8 +1,8 @@
 """Operator 9. Line dedup by an exact set-similarity join.
 
 A line is the set of its words (lower-cased A-Z). Words are ordered rarest first:
-words not known to be frequent by hash, then frequent ones by falling rarity; any
-order gives right results. Equal sets are one class, of which the first line in
+by the grade of a counter of their hash, then by hash; any
+order gives right results; ours goes by counts of all texts. Equal sets are one class, of which the first line in
 document order stays a candidate and is the only one in the index. Two lines match when
 their Jaccard similarity reaches the threshold; then one word of each prefix is common
 (prefix filter), and the sizes and the places of the first common word bound the overlap
@@ -24,96 +24,76 @@ empty table stays empty.
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pageloom.llm import textkit as tk
 from pageloom.llm.bpe import ragged_index
+from pageloom.llm.textkit import wide_hashes
 from pageloom.runtime import Scratch, ship
 
-#: The order knows words from this count on, the most frequent so many of them (8 bytes each on every executor).
-FREQUENT, FREQUENT_MOST = 3, 1 << 19
+#: The order goes by counts of all words, kept in so many counters by hash (a byte each on every executor).
+COUNTERS, PARTS = 1 << 20, 64
 #: Up to so many documents, classes or words a table is sent to all executors; beyond, a shuffled join.
 DOCS_SENT, CLASSES_SENT, WORDS_SENT = 1 << 19, 1 << 18, 1 << 20
 #: Candidates tried first for a line and word; open lines sent to all executors at most.
 TRIED, OPEN_SENT = 3, 1 << 18
 #: Signatures of lines that a task remembers, so that a class sends its prefix rarely.
 SEEN = 1 << 17
-#: Records of an index bucket, on average; of a block of a hot word's list; pairs compared at once.
-BUCKET_RECORDS, HOT, PAIRS_AT_ONCE = 200_000, 100_000, 500_000
-#: Keys have 51 bits, so that with a line's number in a chunk they sort as one integer.
-KEY_BITS = 51
+#: Records of an index bucket, on average; of a block of a hot word's list, and hot words at most (beyond, the blocks grow); pairs compared at once.
+BUCKET_RECORDS, HOT, HOT_MOST, PAIRS_AT_ONCE = 200_000, 100_000, 1 << 20, 250_000
+#: Keys have 51 bits, so that with a line's number in a chunk they sort as one integer: 8 of a count on a log scale, 43 of a hash.
+KEY_BITS, COUNT_BITS = 51, 8
 CHUNK = 1 << (64 - KEY_BITS)
 _MASK = np.uint64((1 << KEY_BITS) - 1)
-_FREQUENT_BIT = np.uint64(1 << (KEY_BITS - 1))
 
 
-def _word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    def count(batches):
-        have: list[tuple[np.ndarray, np.ndarray]] = []
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
+
 
-        def merged():
-            word = np.concatenate([w for w, _ in have])
-            order = np.argsort(word)
-            word, n = word[order], np.concatenate([c for _, c in have])[order]
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            return word[first], np.add.reduceat(n, first)
+def _grade(counts: np.ndarray) -> np.ndarray:
+    """Counts on a log scale of four steps an octave, in a byte."""
+    return np.floor(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
+
+def _word_grades(docs: DataFrame, text_col: str) -> np.ndarray:
+    """For each counter the grade of how often words with it occur in all texts; the driver gets a byte a counter."""
+    wide = COUNTERS // PARTS
+
+    def count(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
         for _, data, offs in tk.slices(batches, text_col):
             low = tk.lower_ascii(data)
-            hashes = np.sort(tk.span_hashes(low, *tk.runs(tk.NOT_SPACE[low], offs)))
-            if not len(hashes):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            have.append((hashes[first], np.diff(np.append(first, len(hashes)))))
-            if len(have) == 8:
-                have = [merged()]
-            if sum(len(w) for w, _ in have) > 1_000_000:
-                word, n = merged()
-                have = []
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "c"])
-        if have:
-            word, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "c"])
-
-    return docs.select(text_col).mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _frequent_words(scratch: Scratch, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words, FREQUENT_MOST at most, by falling count; the driver gets them packed."""
-    counts = scratch.save(_word_counts(docs, "text").where(f"c >= {FREQUENT}"), "counts")
-    # the least count that leaves few enough words, from the number of words by count (capped, as larger ones all stay)
-    by_count = {r["k"]: r["n"] for r in counts.groupBy(F.least("c", F.lit(10_000)).alias("k")).agg(F.count("*").alias("n")).collect()}
-    least, held = 10_001, 0
-    for k in sorted(by_count, reverse=True):
-        if held + by_count[k] > FREQUENT_MOST:
-            break
-        least, held = k, held + by_count[k]
-
-    def packed(batches):
+            total += np.bincount(_counter(tk.span_hashes(low, *tk.runs(tk.NOT_SPACE[low], offs))), minlength=COUNTERS)
+        if total.any():
+            small = np.minimum(total, (1 << 32) - 1).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array([small[k * wide : (k + 1) * wide].tobytes() for k in range(PARTS)], pa.binary())], ["part", "counts"])
+
+    def graded(batches):
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            both = np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(both).tobytes()], pa.binary())], ["b"])
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[part] = total.get(part, 0) + np.frombuffer(blob.as_buffer(), dtype="<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([_grade(v).tobytes() for v in total.values()], pa.binary())], ["part", "grades"])
 
-    got = np.frombuffer(b"".join(bytes(r["b"]) for r in counts.where(F.col("c") >= least).mapInArrow(packed, "b binary").toLocalIterator()), dtype=np.int64).reshape(-1, 2)
-    got = got[np.lexsort((got[:, 0], -got[:, 1]))]
-    scratch.drop("counts")
-    return got[:, 0].copy().view(np.uint64), got[:, 1].copy()
+    got = docs.select(text_col).mapInArrow(count, "part long, counts binary").repartition(PARTS, "part").mapInArrow(graded, "part long, grades binary").toArrow()
+    grades = np.zeros(COUNTERS, dtype=np.uint8)
+    for part, blob in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+        grades[part * wide : (part + 1) * wide] = np.frombuffer(blob, dtype=np.uint8)
+    return grades
 
 
-def _lines(batches, text_col: str, known: np.ndarray, key_of: np.ndarray, least: int):
-    """Per slice, chunk by chunk: batch, and of its lines with enough different words: row, line number, sorted keys with bounds."""
+def _lines(batches, text_col: str, grades: np.ndarray, least: int, short: bool = False):
+    """Per slice, chunk by chunk: batch, and of its lines with enough different words: row, line number, sorted keys with bounds.
+    With ``short`` also, per slice: batch, and of its other non-empty lines: row, line number, None, two hashes of the trimmed text."""
     for batch, data, offs in tk.slices(batches, text_col):
         low = tk.lower_ascii(data)
         starts, ends = tk.runs(tk.NOT_SPACE[low], offs)
         hashes = tk.span_hashes(low, starts, ends)
-        keys = hashes >> np.uint64(65 - KEY_BITS)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            keys = np.where(known[at] == hashes, key_of[at], keys)
+        # rarest first: the grade, then the hash
+        keys = grades[_counter(hashes)].astype(np.uint64) << np.uint64(KEY_BITS - COUNT_BITS) | hashes >> np.uint64(64 - KEY_BITS + COUNT_BITS)
         breaks = np.flatnonzero(data == 10) + 1
         # a line begins with its row or after a break; breaks at a row's end begin an empty line there
         begin = np.concatenate([offs[:-1], breaks])
@@ -123,17 +103,25 @@ def _lines(batches, text_col: str, known: np.ndarray, key_of: np.ndarray, least:
         number = np.arange(len(row)) - np.searchsorted(row, np.arange(len(offs) - 1))[row]
         word_at = np.searchsorted(starts, begin, side="left")
         count = np.diff(np.append(word_at, len(starts)))
+        few = count > 0
         full = np.flatnonzero(count >= least)
         for a in range(0, len(full), CHUNK):
             some = full[a : a + CHUNK]
             size = count[some]
             both = np.sort(np.repeat(np.arange(len(some), dtype=np.uint64) << np.uint64(KEY_BITS), size) | keys[ragged_index(word_at[some], size)])
             both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-            bounds = np.searchsorted(both, np.arange(len(some) + 1, dtype=np.uint64) << np.uint64(KEY_BITS)) if len(some) < CHUNK else np.append(np.searchsorted(both, np.arange(len(some), dtype=np.uint64) << np.uint64(KEY_BITS)), len(both))
+            bounds = np.append(np.searchsorted(both, np.arange(len(some), dtype=np.uint64) << np.uint64(KEY_BITS)), len(both))
             n = np.diff(bounds)
             good = np.flatnonzero(n >= least)
+            few[some[good]] = False
             flat = (both & _MASK)[ragged_index(bounds[good], n[good])]
             yield batch, row[some[good]], number[some[good]], flat, np.concatenate([[0], np.cumsum(n[good])])
+        if short and few.any():
+            few = np.flatnonzero(few)
+            a, b = starts[word_at[few]], ends[word_at[few] + count[few] - 1]
+            text = data[ragged_index(a, b - a)]
+            stop = np.cumsum(b - a)
+            yield batch, row[few], number[few], None, wide_hashes(text, stop - (b - a), stop)
 
 
 def _ids(batch: pa.RecordBatch, row: np.ndarray) -> pa.Array:
@@ -152,6 +140,7 @@ def _line_key(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
     return tk.mix(doc_id.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.int64).view(np.uint64)
 
 
+ENDS = ["a_doc", "a_line", "b_doc", "b_line"]
 RECORD = np.dtype([("token", "<u8"), ("doc_id", "<i8"), ("b1", "<u8"), ("b2", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -218,18 +207,15 @@ def _common(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """Of each document that loses lines: doc_id, how many of its lines were compared, and the numbers (from 0) of those that match an earlier one."""
+    """Of each document that loses lines: doc_id, the numbers (from 0) of those that match an earlier one, and whether it stays: a compared line
+    is left, or a shorter one whose trimmed text no earlier line has."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    frequent, count = _frequent_words(scratch, docs)
-    order = np.argsort(frequent)
-    rank = (len(frequent) - 1 - order).astype(np.uint64)
-    sent = spark.sparkContext.broadcast((frequent[order], _FREQUENT_BIT | rank))
-    # by rank from the rarest: into how many blocks a list is dealt; only words above HOT matter, and they are the last ranks
-    blocks = -(-count[count > HOT] // HOT)[::-1].copy()
-    first_hot = int(_FREQUENT_BIT) + len(frequent) - len(blocks)
+    grades = _word_grades(docs, "text")
+    sent = spark.sparkContext.broadcast(grades)
+    seen_most = SEEN
 
     def needed(n):
         return -(-percent * n // 100)
@@ -237,9 +223,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def with_prefixes(batches):
         # the earliest line of each class so far; rows may come in any order, so a class's first line gets its prefix wherever it is read
         seen: dict[tuple[int, int], int] = {}
-        for batch, row, number, flat, bounds in _lines(batches, "text", *sent.value, least_words):
+        for batch, row, number, flat, bounds in _lines(batches, "text", sent.value, least_words, short=True):
             if not len(row):
                 continue
+            if flat is None:
+                nothing, zero = pa.array([b""] * len(row), pa.binary()), pa.array(np.zeros(len(row), np.int64))
+                columns = [_ids(batch, row), pa.array(number.astype(np.int32)), zero.cast(pa.int32()), *(pa.array(h.view(np.int64)) for h in bounds), zero, zero, nothing]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "s1", "s2", "b1", "b2", "prefix"])
+                continue
             n = np.diff(bounds)
             ids = _ids(batch, row)
             one = np.add.reduceat(tk.mix(flat * np.uint64(0x9E3779B97F4A7C15)), bounds[:-1]).view(np.int64)
@@ -249,19 +240,21 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 place, first = (doc << 32) + line, seen.get(sig)
                 if first is None or place < first:
                     new[i] = True
-                    if len(seen) >= SEEN:
+                    if len(seen) >= seen_most:
                         seen.clear()
                     seen[sig] = place
             size = np.where(new, n - needed(n) + 1, 0)
             prefix = tk.ragged_binary(flat[ragged_index(bounds[:-1], size)], np.concatenate([[0], np.cumsum(size)]))
             b1, b2 = (np.where(new, x, np.uint64(0)).view(np.int64) for x in _parity(flat, bounds))
-            compared = np.bincount(row, minlength=batch.num_rows)[row]
-            columns = [ids, pa.array(number.astype(np.int32)), pa.array(compared.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(b1), pa.array(b2), prefix]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "compared", "n", "s1", "s2", "b1", "b2", "prefix"])
-
-    rows = scratch.save(docs.mapInArrow(with_prefixes, "doc_id long, line int, compared int, n int, s1 long, s2 long, b1 long, b2 long, prefix binary"), "rows")
-    # classes of several lines, with their first one
-    again = rows.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("node"), F.count("*").alias("copies")).where("copies > 1").select("s1", "s2", "node")
+            columns = [ids, pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array(b1), pa.array(b2), prefix]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "s1", "s2", "b1", "b2", "prefix"])
+
+    rows = scratch.save(docs.mapInArrow(with_prefixes, "doc_id long, line int, n int, s1 long, s2 long, b1 long, b2 long, prefix binary"), "rows")
+    # classes of several lines, with their first one; other lines of enough words (n > 0) are classes of their own
+    several = rows.groupBy("s1", "s2").agg(F.count("*").alias("copies")).where("copies > 1").select("s1", "s2")
+    several = scratch.save(several, "several")
+    several = F.broadcast(several) if several.count() <= CLASSES_SENT else several
+    again = rows.select("doc_id", "line", "s1", "s2").join(several, ["s1", "s2"]).groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("node"))
     again = scratch.save(again, "again")
     again = F.broadcast(again) if again.count() <= CLASSES_SENT else again
     first = rows.where("octet_length(prefix) > 0").join(again, ["s1", "s2"], "left").where("node is null or struct(doc_id, line) = node")
@@ -269,6 +262,21 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tokens = rows.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(12, int(-(-tokens // BUCKET_RECORDS)))
 
+    # words whose list would fill a task, counted in the prefixes; only grades that allow for it are looked at
+    most = max(HOT, int(tokens) // HOT_MOST)
+    grade = int(_grade(np.array([most]))[0])
+    hot_words, blocks = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if len(grades) and int(grades.max()) >= grade:
+
+        def graded(batches):
+            for batch in batches:
+                word, c = np.unique(tk.binary_values(batch.column(0), np.uint64)[0], return_counts=True)
+                some = word >> np.uint64(KEY_BITS - COUNT_BITS) >= np.uint64(grade)
+                yield pa.RecordBatch.from_arrays([pa.array(word[some].view(np.int64)), pa.array(c[some])], ["word", "c"])
+
+        hot = first.select("prefix").mapInArrow(graded, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).where(f"c > {most}").orderBy("word").toArrow()
+        hot_words, blocks = hot.column(0).to_numpy().view(np.uint64), -(-hot.column(1).to_numpy() // most)
+
     def index(words: np.ndarray | None) -> DataFrame:
         """Packed records of all prefixes, or of those with a word of ``words`` (sorted), dealt by word."""
         chosen = spark.sparkContext.broadcast(words)
@@ -294,10 +302,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     out[name] = np.repeat(batch.column(k).to_numpy().astype(RECORD[name]), size)
                 if words is not None:
                     out = out[np.isin(out["token"], words)]
-                hot = np.flatnonzero(out["token"] >= np.uint64(first_hot)) if len(blocks) else np.empty(0, np.int64)
+                hot = np.flatnonzero(np.isin(out["token"], hot_words)) if len(blocks) else np.empty(0, np.int64)
                 if len(hot):
                     # a record of a hot word meets every block of that word: its token becomes that of each pair of blocks
-                    parts = blocks[(out["token"][hot] - np.uint64(first_hot)).astype(np.int64)]
+                    parts = blocks[np.searchsorted(hot_words, out["token"][hot])]
                     copies = out[np.repeat(hot, parts)]
                     mine = (tk.mix(copies["doc_id"].view(np.uint64) ^ copies["line"].astype(np.uint64)) % np.repeat(parts, parts).astype(np.uint64)).astype(np.int64)
                     other = ragged_index(np.zeros(len(hot), np.int64), parts)
@@ -307,7 +315,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if len(out):
                     held.append(out)
                     n_held += len(out)
-                if n_held > 500_000:
+                if n_held > 250_000:
                     yield flush()
                     held, n_held = [], 0
             if held:
@@ -321,8 +329,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def found(batches):
             def emit(held):
                 for r, a, b, more in _pairs_of(np.frombuffer(b"".join(held), dtype=RECORD), percent, chosen.value, every, tried_first, at_once):
-                    ends = [pa.StructArray.from_arrays([pa.array(r["doc_id"][x]), pa.array(r["line"][x])], ["doc_id", "line"]) for x in (a, b)]
-                    yield pa.RecordBatch.from_arrays([*ends, pa.array(more)], ["a", "b", "more"])
+                    ends = [pa.array(r[c][x]) for x in (a, b) for c in ("doc_id", "line")]
+                    yield pa.RecordBatch.from_arrays([*ends, pa.array(more)], [*ENDS, "more"])
 
             now, held = None, []
             for batch in batches:
@@ -335,100 +343,82 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if held:
                 yield from emit(held)
 
-        pairs = index(words).mapInArrow(found, "a struct<doc_id:long,line:int>, b struct<doc_id:long,line:int>, more boolean")
-        return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
+        pairs = index(words).mapInArrow(found, "a_doc long, a_line int, b_doc long, b_line int, more boolean")
+        return pairs.groupBy(*ENDS).agg(F.max("more").alias("more"))
 
     def whole(ids: DataFrame) -> DataFrame:
-        """(node, blob) of the lines in ``ids(node)``."""
-        wanted = ids.groupBy(F.col("node.doc_id").alias("doc_id")).agg(F.collect_set("node.line").alias("wanted"))
+        """(doc, line, blob) of the lines in ``ids(doc, line)``."""
+        wanted = ids.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
         wanted = F.broadcast(wanted) if wanted.count() <= DOCS_SENT else wanted
 
         def pick(batches):
-            for batch, row, number, flat, bounds in _lines(batches, "text", *sent.value, least_words):
+            for batch, row, number, flat, bounds in _lines(batches, "text", sent.value, least_words):
                 lists = batch.column(2)
                 wanted = _line_key(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy())
                 at = np.flatnonzero(np.isin(_line_key(row, number), wanted))
                 n = np.diff(bounds)[at]
-                node = pa.StructArray.from_arrays([_ids(batch, row[at]), pa.array(number[at].astype(np.int32))], ["doc_id", "line"])
-                yield pa.RecordBatch.from_arrays([node, tk.ragged_binary(flat[ragged_index(bounds[at], n)], np.concatenate([[0], np.cumsum(n)]))], ["node", "blob"])
+                yield pa.RecordBatch.from_arrays([_ids(batch, row[at]), pa.array(number[at].astype(np.int32)), tk.ragged_binary(flat[ragged_index(bounds[at], n)], np.concatenate([[0], np.cumsum(n)]))], ["doc", "line", "blob"])
 
-        return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(pick, "node struct<doc_id:long,line:int>, blob binary")
+        return docs.withColumnRenamed("doc_id", "doc").join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(pick, "doc long, line int, blob binary")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The later lines (b) of those of ``pairs(a, b)`` that match."""
-        sets = scratch.save(whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), f"sets_{name}")
-        both = pairs.join(sets.select(F.col("node").alias("b"), "blob"), "b").join(sets.select(F.col("node").alias("a"), F.col("blob").alias("other")), "a")
+        """(doc_id, line) of the later lines (b) of those of ``pairs`` that match."""
+        ends = [pairs.select(F.col(f"{x}_doc").alias("doc"), F.col(f"{x}_line").alias("line")) for x in "ab"]
+        sets = scratch.save(whole(ends[0].union(ends[1])), f"sets_{name}")
+        of = {x: sets.select(F.col("doc").alias(f"{x}_doc"), F.col("line").alias(f"{x}_line"), F.col("blob").alias(f"{x}_blob")) for x in "ab"}
+        both = pairs.join(of["b"], ["b_doc", "b_line"]).join(of["a"], ["a_doc", "a_line"])
 
         def check(batches):
             for batch in batches:
-                common, sizes = _common(batch.column(1), batch.column(2))
-                yield batch.select([0]).filter(pa.array((100 + percent) * common >= percent * sizes))
+                common, sizes = _common(batch.column(2), batch.column(3))
+                yield batch.select([0, 1]).filter(pa.array((100 + percent) * common >= percent * sizes))
 
-        matched = scratch.save(both.select("b", "blob", "other").mapInArrow(check, "b struct<doc_id:long,line:int>").distinct(), f"matched_{name}")
+        matched = both.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"), "b_blob", "a_blob").mapInArrow(check, "doc_id long, line int").distinct()
+        matched = scratch.save(matched, f"matched_{name}")
         scratch.drop(f"sets_{name}")
         return matched
 
     tried = scratch.save(candidates(None, False, None), "tried")
-    matched = verified(tried.select("a", "b"), "tried")
-    left = scratch.save(tried.where("more").select("b").distinct().join(matched, "b", "left_anti"), "open")
+    matched = verified(tried.select(*ENDS), "tried")
+    left = scratch.save(tried.where("more").select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct().join(matched, ["doc_id", "line"], "left_anti"), "open")
     n_left = left.count()
     if n_left:
         # few enough, they are sent to all executors, with their words; else all lines list every candidate, and a join keeps the open ones
         if n_left <= OPEN_SENT:
-            place = left.select("b.doc_id", "b.line").toArrow()
+            place = left.toArrow()
             only = np.unique(_line_key(*(place.column(k).to_numpy() for k in range(2))))
-            sent_left = F.broadcast(left.select("b.doc_id", "b.line"))
 
             def words_of(batches):
                 for batch in batches:
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(tk.binary_values(batch.column(0), np.int64)[0]))], ["word"])
 
-            words = scratch.save(first.join(sent_left, ["doc_id", "line"]).select("prefix").mapInArrow(words_of, "word long").distinct(), "words")
+            words = scratch.save(first.join(F.broadcast(left), ["doc_id", "line"]).select("prefix").mapInArrow(words_of, "word long").distinct(), "words")
             known = np.sort(words.toArrow().column(0).to_numpy().view(np.uint64)) if words.count() <= WORDS_SENT else None
             rest = candidates(only, False, known)
         else:
-            rest = candidates(None, True, None).join(left, "b", "left_semi")
-        matched = matched.union(verified(scratch.save(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest"), "rest")).distinct()
+            rest = candidates(None, True, None).join(left.select(F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line")), ["b_doc", "b_line"], "left_semi")
+        rest = scratch.save(rest.select(*ENDS).join(tried.select(*ENDS), ENDS, "left_anti"), "rest")
+        matched = matched.union(verified(rest, "rest"))
     scratch.drop("tried")
 
-    copies = rows.join(again, ["s1", "s2"]).where("struct(doc_id, line) <> node").select("doc_id", "line", "compared")
-    near = rows.select("doc_id", "line", "compared").join(matched.select("b.doc_id", "b.line").distinct(), ["doc_id", "line"])
-    return copies.union(near).groupBy("doc_id").agg(F.max("compared").alias("compared"), F.sort_array(F.collect_set("line")).alias("removed"))
-
-
-_BLANK = r" \t\n\u000B\u000C\r"
-
-
-def _with_own_text(docs: DataFrame, emptied: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """doc_id of those of ``emptied(doc_id, removed)`` that keep a line of ``least_words`` different words, or a non-empty one whose trimmed text no earlier line has."""
-    scratch = Scratch(docs.sparkSession, "kept")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    few = F.broadcast(emptied) if emptied.count() <= DOCS_SENT else emptied
-
-    def lines(of: DataFrame, *more: str) -> DataFrame:
-        parts = of.select("doc_id", *more, F.posexplode(F.split("text", "\n", -1)).alias("line", "part"))
-        return parts.select("doc_id", *more, "line", F.expr(f"trim(both '{_BLANK}' from part)").alias("part")).where("part <> ''")
-
-    kept = lines(docs.join(few, "doc_id"), "removed").where("not array_contains(removed, line)")
-    words = F.size(F.array_distinct(F.split(F.translate("part", ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+")))
-    kept = scratch.save(kept.select("doc_id", "line", F.xxhash64("part").alias("s1"), F.xxhash64(F.lit("second"), "part").alias("s2"), (words >= least_words).alias("long")), "kept")
-    wanted = kept.where("not long").select("s1", "s2").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= DOCS_SENT else wanted
-    all_lines = lines(docs).select("doc_id", "line", "part", F.xxhash64("part").alias("s1"))
-    same = all_lines.join(wanted, "s1", "left_semi").select("doc_id", "line", "s1", F.xxhash64(F.lit("second"), "part").alias("s2"))
-    earliest = same.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    own = kept.join(earliest, ["s1", "s2"], "left").where("long or struct(doc_id, line) = first")
-    return scratch.save(own.select("doc_id").distinct(), "own")
+    copies = rows.select("doc_id", "line", "n", "s1", "s2").join(again, ["s1", "s2"]).where("struct(doc_id, line) <> node")
+    copies = scratch.save(copies.select("doc_id", "line", "n"), "copies")
+    gone = copies.where("n > 0").select("doc_id", "line").union(matched).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    gone = scratch.save(gone, "gone")
+    # documents that keep a compared line, or else a short one that no earlier line has
+    few = F.broadcast(gone) if gone.count() <= DOCS_SENT else gone
+    some = scratch.save(rows.where("n > 0").select("doc_id", "line").join(few, "doc_id").where("not array_contains(removed, line)").select("doc_id").distinct(), "some")
+    emptied = scratch.save(gone.select("doc_id").join(some, "doc_id", "left_anti"), "emptied")
+    emptied = F.broadcast(emptied) if emptied.count() <= DOCS_SENT else emptied
+    short = rows.where("n = 0").select("doc_id", "line").join(emptied, "doc_id", "left_semi").join(copies.where("n = 0").select("doc_id", "line"), ["doc_id", "line"], "left_anti")
+    own = some.union(short.select("doc_id")).distinct().withColumn("own", F.lit(True))
+    return gone.join(own, "doc_id", "left").select("doc_id", "removed", F.col("own").isNotNull().alias("stays"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
     """``docs`` with the same columns: texts without lines that match an earlier one, documents of which only repeats of earlier lines are left dropped."""
     scratch = Scratch(docs.sparkSession, "removed")
     found = scratch.save(removed_lines(docs, id_col, text_col, percent, least_words), "removed")
-    emptied = found.where("size(removed) >= compared").select("doc_id", "removed")
-    own = _with_own_text(docs, emptied, id_col, text_col, least_words)
-    found = found.join(own.withColumn("own", F.lit(True)), "doc_id", "left")
-    found = found.select("doc_id", F.expr("size(removed) < compared or own is not null").alias("stays"), "removed")
     found = F.broadcast(found) if found.count() <= DOCS_SENT else found
     # the document travels as one column, so no name of its own can clash
     nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))

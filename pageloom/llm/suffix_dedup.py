@@ -38,8 +38,8 @@ from pageloom.runtime import Scratch, ship
 
 ANCHOR = 32
 PERIOD = 32
-#: Rows of a table that may be sent to all executors; beyond, a shuffled join.
-SENT = 1 << 18
+#: Rows of a table, and elements of their lists, that may be sent to all executors (some 30 MB); beyond, a shuffled join.
+SENT = 1 << 20
 #: Anchors with so many places are hot; HOT_MOST of them at most, as beyond the least number grows. Their strings are dealt one by one, by their bytes.
 HOT, HOT_MOST = 20_000, 1 << 20
 #: Anchors of a bucket of the index, and bytes of a bucket of surroundings, on average; bytes sorted at once.
@@ -153,14 +153,6 @@ def repeated_starts(text: np.ndarray, begin: np.ndarray, size: np.ndarray, ancho
     return flags
 
 
-def wide_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of byte spans, as two columns."""
-    return tk.span_hashes(data, starts, ends), tk.span_hashes(_SECOND[data], starts, ends)
-
-
-#: A permutation of the bytes, so that the second half of a wide hash is of other values.
-_SECOND = np.argsort(tk.mix(np.arange(256, dtype=np.uint64))).astype(np.uint8)
-
 HEAD = np.dtype([("hash", "<u8"), ("w1", "<u8"), ("w2", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("first", "<i4"), ("count", "<i4"), ("anchor", "<i4"), ("size", "<i4"), ("held", "<i4")])
 PLACE = np.dtype([("hash", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("at", "<i4"), ("n", "<i4")])
 STRING = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("first", "<i4"), ("n", "<i4")])
@@ -214,8 +206,10 @@ class Often:
         return sure, send
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SENT else df
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """``df`` marked for a broadcast if its rows, and what they list, are few."""
+    n, listed = df.agg(F.count("*"), F.sum(F.size(lists).cast("long")) if lists else F.lit(0)).first()
+    return F.broadcast(df) if n + max(listed or 0, 0) <= SENT else df
 
 
 def _packed(name: str, bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
@@ -230,7 +224,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
 
     def elected(batches):
         often = Often()
-        for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES // 2):
+        for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES):
             place, hashes, first, last = anchors(data, offs, width)
             row = np.searchsorted(offs, first, side="right") - 1
             sure, send = often.meet(hashes)
@@ -287,7 +281,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
 
     def pieces(batches):
         often, hot = Often(), sent_hot.value
-        for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES // 2):
+        for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES):
             place, hashes, first, last = anchors(data, offs, width)
             row = np.searchsorted(offs, first, side="right") - 1
             lists = batch.column(3)
@@ -301,7 +295,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
                 start = ragged_index(first[many], (last - first + 1)[many])
                 owner = np.repeat(row[many], (last - first + 1)[many])
                 out = np.zeros(len(start), dtype=STRING)
-                out["w1"], out["w2"] = wide_hashes(data, start, start + width)
+                out["w1"], out["w2"] = tk.wide_hashes(data, start, start + width)
                 out["k1"], out["k2"], out["first"] = keys[0][owner], keys[1][owner], start - offs[owner]
                 sure, send = often.meet(out["w1"] ^ tk.mix(out["w2"]))
                 out["n"] = np.where(sure, 2, 1)
@@ -314,7 +308,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
                 yield direct((one["k1"], one["k2"]), one["first"], out["first"][stop] + 1)
                 place, hashes, first, last, row = (x[~many] for x in (place, hashes, first, last, row))
             size = last - first + width
-            w1, w2 = wide_hashes(data, first, first + size)
+            w1, w2 = tk.wide_hashes(data, first, first + size)
             cell = (tk.mix(hashes) % np.uint64(cells)).astype(np.int64)
             # equal pieces of a block stand together, and only the first sends its bytes
             order = np.lexsort((w2, w1, hashes, cell))
@@ -403,7 +397,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
             shift = head["first"][row] - ends[row]
             yield pa.RecordBatch.from_arrays([pa.array(head["k1"][row]), pa.array(head["k2"][row]), pa.array((start + shift).astype(np.int32)), pa.array((stop - 1 + shift).astype(np.int32))], ["k1", "k2", "first", "last"])
 
-    surrounded = docs.join(_small(places), ["k1", "k2"]).select("k1", "k2", "text", "places")
+    surrounded = docs.join(_small(places, "places"), ["k1", "k2"]).select("k1", "k2", "text", "places")
     return surrounded.mapInArrow(pieces, "cell long, heads binary, bytes binary").repartition(3 * cells, "cell").sortWithinPartitions("cell").mapInArrow(sorted_blocks, "k1 long, k2 long, first int, last int")
 
 
@@ -451,5 +445,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(spans, span), pa.array(rest, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    keyed = texts.join(_small(found), ["k1", "k2"], "left").select("doc_id", "text", "runs", "all")
+    keyed = texts.join(_small(found, "runs"), ["k1", "k2"], "left").select("doc_id", "text", "runs", "all")
     return keyed.mapInArrow(kept, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

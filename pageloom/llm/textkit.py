@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _ODD = U(0x9E3779B97F4A7C15)
 
 
@@ -55,6 +55,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _pow(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(U))
 
 
+#: A permutation of the bytes, so that the second half of a wide hash is of other values.
+_SECOND = np.argsort(mix(np.arange(256, dtype=U))).astype(np.uint8)
+
+
+def wide_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of byte spans, as two columns."""
+    return span_hashes(data, starts, ends), span_hashes(_SECOND[data], starts, ends)
+
+
 def string_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as (bytes, offsets); nulls count as empty."""
     if column.null_count:

@@ -49,7 +49,7 @@ def test_line_dedup_keeps_short_lines_of_their_own(spark):
 def test_line_dedup_hot_words_and_open_lines(spark, monkeypatch, hot, open_sent, words_sent):
     from pageloom.llm import line_dedup as L
 
-    for name, value in (("HOT", hot), ("OPEN_SENT", open_sent), ("WORDS_SENT", words_sent), ("TRIED", 1), ("CLASSES_SENT", 3), ("DOCS_SENT", 3), ("SEEN", 4), ("PAIRS_AT_ONCE", 500)):
+    for name, value in (("HOT", hot), ("HOT_MOST", 1 << 30), ("OPEN_SENT", open_sent), ("WORDS_SENT", words_sent), ("TRIED", 1), ("CLASSES_SENT", 3), ("DOCS_SENT", 3), ("SEEN", 4), ("PAIRS_AT_ONCE", 500)):
         monkeypatch.setattr(L, name, value)
     rnd = random.Random(11)
     words = [f"w{k}" for k in range(14)]
