@@ -53,6 +53,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("image_id", "line_id", "word_idx", "text", (start * 8).cast("int").alias("x"), (F.col("line_id") * 20).alias("y"), (F.length("text") * 8).alias("w"), F.lit(14).alias("h")).where("text <> ''")
 
 
+_KIND = """case event_type when 'view' then case event_id % 5 when 3 then 'press' when 4 then 'release' else 'move' end
+  when 'click' then 'click' when 'purchase' then 'save'
+  when 'signup' then case event_id % 2 when 0 then 'toggle_autocluster' else 'toggle_flow' end else 'dismiss' end"""
+
+
 def pointer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, event_id, ts, kind, px, py"""
     e = table(spark, sf_dir, "events")
@@ -60,12 +65,32 @@ def pointer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("session_id"),
         "event_id",
         "ts",
-        F.expr("case event_type when 'view' then 'move' when 'click' then 'click' when 'purchase' then 'save' when 'signup' then 'toggle_autocluster' else 'dismiss' end").alias("kind"),
+        F.expr(_KIND).alias("kind"),
         F.expr("cast((37 * event_id + 53 * user_id) % 1200 as int)").alias("px"),
         F.expr("cast((91 * event_id) % 800 as int)").alias("py"),
     )
 
 
-EVENTS_SQL = """pointer AS (SELECT user_id AS session_id, event_id, ts,
-  CASE event_type WHEN 'view' THEN 'move' WHEN 'click' THEN 'click' WHEN 'purchase' THEN 'save' WHEN 'signup' THEN 'toggle_autocluster' ELSE 'dismiss' END AS kind,
+EVENTS_SQL = f"""pointer AS (SELECT user_id AS session_id, event_id, ts, {_KIND} AS kind,
   CAST((37 * event_id + 53 * user_id) % 1200 AS INT) AS px, CAST((91 * event_id) % 800 AS INT) AS py FROM events)"""
+
+#: Bunches of boxes around a place of each order: a tiny word between two wide ones, or a box with four small words and a large box.
+_BUNCH = """SELECT DISTINCT image_id, CAST(cx + dx AS INT) AS x, CAST(cy + dy AS INT) AS y, w, h, sea, is_word, CASE WHEN is_word THEN CAST(cy + dy AS INT) {div} 20 END AS line_id
+  FROM (SELECT o_orderkey {div} 40 AS image_id, (97 * o_orderkey) % 1000 + 80 AS cx, (61 * o_orderkey) % 700 + 40 AS cy, CAST(o_orderkey % 3 AS INT) AS sea, o_orderkey % 2 AS kind FROM {orders}) places
+  JOIN (VALUES (0, 0, 0, 6, 8, true), (0, -59, 0, 55, 14, true), (0, 10, 0, 55, 14, true), (1, 0, 0, 60, 20, false), (1, 0, -14, 10, 10, true), (1, 15, -14, 10, 10, true),
+    (1, 30, -14, 10, 10, true), (1, 45, -14, 10, 10, true), (1, 0, 24, 100, 30, false)) AS parts(part, dx, dy, w, h, is_word) ON kind = part"""
+BUNCHES_SQL = "boxes AS (" + _BUNCH.format(div="//", orders="orders") + ")"
+
+
+def bunches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``boxes``."""
+    return spark.sql(_BUNCH.format(div="div", orders="{orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+_GAPPED = "SELECT DISTINCT image_id {div} 10 AS image_id, x, CAST(y + 40 * ((y {div} 20) {div} 4) AS INT) AS y, w, h, sea, is_word, 2 * line_id + x {div} 600 AS line_id FROM {boxes}"
+GAPPED_SQL = BOXES_SQL.replace("boxes AS (", "boxes1 AS (") + ", boxes AS (" + _GAPPED.format(div="//", boxes="boxes1") + ")"
+
+
+def gapped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``boxes`` of ten images on one, with a gap of 40 pixels after every fourth line, and lines in two columns, so that they form several paragraphs."""
+    return spark.sql(_GAPPED.format(div="div", boxes="{boxes}"), boxes=boxes(spark, sf_dir))

@@ -58,14 +58,27 @@ def alignment(a: str, b: str, margin: str) -> str:
     return f"greatest({wide}, {high})"
 
 
+def nearness(edge: str, distance: str) -> str:
+    """1 up to one distance between the edges, falling to 0 at three."""
+    return f"least(1.0e0, greatest(0.0e0, ({distance} * 3 - {edge}) / {distance} / 2))"
+
+
+def closeness(a: str, b: str, edge: str, distance: str) -> str:
+    return f"(least(1.0e0, {distance} / greatest(1.0e0, {edge}) / 2) * least({area(a)} * 5.0e0 / {area(b)}, 1.0e0))"
+
+
+def shrinkage(a: str, b: str, distance: str) -> str:
+    """Below 1 where even the smallest side is long for the distance."""
+    return f"least(1.0e0, {distance} * 8 / greatest(1.0e0, CAST(least({a}w, {a}h, {b}w, {b}h) AS DOUBLE)))"
+
+
 def connection(a: str, b: str, distance: str) -> str:
     """Likeliness that a connects to b, 0 to 1; 0 where one holds the other and where the distance is 0 or less."""
     edge = edge_distance(a, b)
-    near = f"least(1.0e0, greatest(0.0e0, ({distance} * 3 - {edge}) / {distance} / 2))"
-    close = f"least(1.0e0, {distance} / greatest(1.0e0, {edge}) / 2) * least({area(a)} * 5.0e0 / {area(b)}, 1.0e0)"
+    close = closeness(a, b, edge, distance)
     score = f"({close} + (1 - {close}) * {alignment(a, b, distance)})"
-    shrink = f"least(1.0e0, {distance} * 8 / greatest(1.0e0, CAST(least({a}w, {a}h, {b}w, {b}h) AS DOUBLE)))"
-    return f"CASE WHEN {distance} <= 0 OR {contains(a, b)} OR {contains(b, a)} THEN 0.0e0 ELSE {near} * {score} * {shrink} * {shrink} END"
+    shrink = shrinkage(a, b, distance)
+    return f"CASE WHEN {distance} <= 0 OR {contains(a, b)} OR {contains(b, a)} THEN 0.0e0 ELSE {nearness(edge, distance)} * {score} * {shrink} * {shrink} END"
 
 
 def point_gap2(p: str, a: str) -> str:

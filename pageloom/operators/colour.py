@@ -7,12 +7,12 @@ on partitioning. A fold's state is the list of clusters of one box or image.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def perimeter(boxes: DataFrame, margin: int = 2, gap: int = 10) -> DataFrame:
     """Sample places around each box, ``margin`` outside it, every ``gap`` pixels: side (0 top, 1 bottom, 2 left, 3 right), k, y, x."""
-    x0, y0, x1, y1 = f"x - {margin}", f"y - {margin}", f"x + w + {margin} - 1", f"y + h + {margin} - 1"
+    x0, y0, x1, y1 = f"x - {margin}", f"y - {margin}", f"x + w + {margin}", f"y + h + {margin}"
     across, down = f"sequence(x, x + w - 1, {gap})", f"sequence(y, y + h - 1, {gap})"
     sides = ", ".join(
         [f"transform({across}, (p, i) -> struct({s} AS side, i AS k, {e} AS y, p AS x))" for s, e in ((0, y0), (1, y1))]
@@ -22,18 +22,22 @@ def perimeter(boxes: DataFrame, margin: int = 2, gap: int = 10) -> DataFrame:
     return boxes.select(*keys, F.explode(F.expr(f"concat({sides})")).alias("s")).select("image_id", "fx", "fy", "fw", "fh", "s.side", "s.k", F.col("s.y").cast("int").alias("y"), F.col("s.x").cast("int").alias("x"))
 
 
+_OF_BOX = ("image_id", "fx", "fy", "fw", "fh")
+
+
 def perimeter_colours(samples: DataFrame, plane: DataFrame, *channels: str) -> DataFrame:
-    """Upper medians of the channels over a box's samples; places outside the image drop out."""
-    held = samples.join(plane, ["image_id", "y", "x"])
-    return held.groupBy("image_id", "fx", "fy", "fw", "fh").agg(*(F.expr(f"get(sort_array(collect_list({c})), cast(count({c}) div 2 as int))").alias(c) for c in channels), F.count("*").alias("n"))
+    """Upper medians of the channels over a box's samples inside the image, and their number; 0 without any."""
+    held = samples.join(plane, ["image_id", "y", "x"], "left")
+    return held.groupBy(*_OF_BOX).agg(*(F.expr(f"coalesce(get(sort_array(collect_list({c})), cast(count({c}) div 2 as int)), 0)").alias(c) for c in channels), F.count(channels[0]).alias("n"))
 
 
 def calmness(samples: DataFrame, plane: DataFrame, channels: tuple[str, ...], limit: int = 1600) -> DataFrame:
-    """A box is calm if at least 0.7 of the steps between successive samples of a side are below the limit, or there are none."""
-    side = Window.partitionBy("image_id", "fx", "fy", "fw", "fh", "side").orderBy("k")
-    step = sum(((F.col(c) - F.lag(c).over(side)) * (F.col(c) - F.lag(c).over(side)) for c in channels[1:]), (F.col(channels[0]) - F.lag(channels[0]).over(side)) * (F.col(channels[0]) - F.lag(channels[0]).over(side)))
-    steps = samples.join(plane, ["image_id", "y", "x"]).withColumn("d", step)
-    return steps.groupBy("image_id", "fx", "fy", "fw", "fh").agg(F.count("d").alias("steps"), F.count(F.when(F.col("d") < limit, 1)).alias("smooth")).withColumn("calm", F.expr("10 * smooth >= 7 * steps"))
+    """A box is calm if at least 0.7 of the steps between successive samples of a side are below the limit, or there are none; without samples inside the image it isn't."""
+    before = f"OVER (PARTITION BY {', '.join(_OF_BOX)}, side ORDER BY k)"
+    step = " + ".join(f"pow({c} - lag({c}) IGNORE NULLS {before}, 2)" for c in channels)
+    steps = samples.join(plane, ["image_id", "y", "x"], "left").withColumn("d", F.expr(step))
+    counts = steps.groupBy(*_OF_BOX).agg(F.count("d").alias("steps"), F.count(F.when(F.col("d") < limit, 1)).alias("smooth"), F.count(channels[0]).alias("n"))
+    return counts.select(*_OF_BOX, "steps", "smooth", F.expr("n > 0 and 10 * smooth >= 7 * steps").alias("calm"))
 
 
 def leaders(values: str, limit: int) -> str:

@@ -9,6 +9,8 @@ a grid cell is added where the geometry is local and the group may be large.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions import geometry as G
@@ -43,12 +45,46 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def meeting(a: DataFrame, b: DataFrame, *keys: str, grow_a: str = "0", grow_b: str = "0", cell: int = 128) -> DataFrame:
+    """Pairs of rows of ``a`` and ``b`` (x, y, w, h and more) of an image (and group) whose boxes, grown on all sides by an
+    expression of their own row, touch; columns a_*, b_*, each pair of rows once.
+
+    Boxes meet in grid cells, and a pair counts only in the cell of its common corner: a large image is split over
+    tasks, and nothing has to be made distinct afterwards.
+    """
+    keys = ("image_id", *keys)
+
+    def dealt(rows: DataFrame, p: str, grow: str) -> DataFrame:
+        low = [f"cast(floor(({k} - ({grow})) / {cell}) as int)" for k in "xy"]
+        high = [f"cast(floor(({k} + {n} + ({grow})) / {cell}) as int)" for k, n in (("x", "w"), ("y", "h"))]
+        out = rows.select("*", F.expr(low[0]).alias("lx"), F.expr(low[1]).alias("ly"), F.expr(f"explode(sequence({low[0]}, {high[0]}))").alias("cx"))
+        return prefixed(out.select("*", F.expr(f"explode(sequence({low[1]}, {high[1]}))").alias("cy")), p, *keys, "cx", "cy")
+
+    met = dealt(a, "a_", grow_a).join(dealt(b, "b_", grow_b), [*keys, "cx", "cy"])
+    return met.where("cx = greatest(a_lx, b_lx) AND cy = greatest(a_ly, b_ly)").drop("cx", "cy", "a_lx", "a_ly", "b_lx", "b_ly")
+
+
+NOT_SAME = "NOT (a_x = b_x AND a_y = b_y AND a_w = b_w AND a_h = b_h)"
+
+
+def near_pairs(boxes: DataFrame, reach: float, *keys: str) -> DataFrame:
+    """Ordered pairs of different boxes of an image (and group) whose gaps on both axes are at most ``reach``."""
+    boxes, half = boxes.distinct(), real(reach / 2 + 1)
+    pairs = meeting(boxes, boxes, *keys, grow_a=half, grow_b=half, cell=max(128, math.ceil(4 * reach)))
+    return pairs.where(f"{NOT_SAME} AND {G.x_overlap('a_', 'b_')} >= -{real(reach)} AND {G.y_overlap('a_', 'b_')} >= -{real(reach)}")
+
+
 def pairwise(boxes: DataFrame, distance: float) -> DataFrame:
     """Directed: different boxes of one group whose connection is above one half, unless the target is over 20 times larger."""
-    a, b = prefixed(boxes, "a_", "image_id", "sea"), prefixed(boxes, "b_", "image_id", "sea")
-    far = f"{G.gap2('a_', 'b_')} < {real(9 * distance * distance)}"  # beyond, the score is 0
-    cond = f"NOT (a_x = b_x AND a_y = b_y AND a_w = b_w AND a_h = b_h) AND NOT ({G.area('a_')} * 20 < {G.area('b_')}) AND {far} AND {G.connection('a_', 'b_', real(distance))} > 0.5e0"
-    return a.join(b, ["image_id", "sea"]).where(cond).select("image_id", box("a_").alias("src"), box("b_").alias("dst")).distinct()
+    if distance <= 0:
+        return boxes.select("image_id", box().alias("src"), box().alias("dst")).where("false")
+    pairs = near_pairs(boxes.select("image_id", "sea", *BOX), 3 * distance, "sea")  # beyond, the score is 0
+    pairs = pairs.where(f"NOT ({G.area('a_')} * 20 < {G.area('b_')})").withColumn("edge", F.expr(G.edge_distance("a_", "b_")))
+    d = real(distance)
+    pairs = pairs.where(f"edge < {real(3 * distance)} AND NOT {G.contains('a_', 'b_')} AND NOT {G.contains('b_', 'a_')}")
+    # the parts of the score as columns, so that none is written out twice
+    pairs = pairs.select("*", F.expr(G.nearness("edge", d)).alias("near"), F.expr(G.closeness("a_", "b_", "edge", d)).alias("close"), F.expr(G.alignment("a_", "b_", d)).alias("align"), F.expr(G.shrinkage("a_", "b_", d)).alias("shrink"))
+    return pairs.where("near * (close + (1 - close) * align) * shrink * shrink > 0.5e0").select("image_id", box("a_").alias("src"), box("b_").alias("dst")).distinct()
 
 
 def link(pairs: DataFrame) -> DataFrame:
@@ -72,9 +108,10 @@ def series_condition(base: float, distance: float) -> str:
 
 def aligned_series(boxes: DataFrame, base: float, distance: float) -> DataFrame:
     """Undirected pairs (src < dst) of one group in a row or stack."""
-    a, b = prefixed(boxes, "a_", "image_id", "sea"), prefixed(boxes, "b_", "image_id", "sea")
     order = "(a_x < b_x OR (a_x = b_x AND (a_y < b_y OR (a_y = b_y AND (a_w < b_w OR (a_w = b_w AND a_h < b_h))))))"
-    return a.join(b, ["image_id", "sea"]).where(f"{order} AND {series_condition(base, distance)}").select("image_id", box("a_").alias("src"), box("b_").alias("dst")).distinct()
+    # one of the two is at most 8 * base wide or high, and the edges are at most an eighth of that, or the distance, apart
+    pairs = near_pairs(boxes.select("image_id", "sea", *BOX, "is_word"), max(distance, base) + 1, "sea")
+    return pairs.where(f"{order} AND {series_condition(base, distance)}").select("image_id", box("a_").alias("src"), box("b_").alias("dst")).distinct()
 
 
 def caption_condition() -> str:
@@ -86,7 +123,7 @@ def caption_condition() -> str:
 def captions(boxes: DataFrame, base: float) -> DataFrame:
     """Undirected (small, anchor) pairs across groups, carried to all small words of a caption's line."""
     small, large = boxes.where(f"least(w, h) < {real(8 * base)}"), boxes.where(f"least(w, h) >= {real(8 * base)}")
-    near = prefixed(small, "a_", "image_id").join(prefixed(large, "b_", "image_id"), "image_id").where(caption_condition())
+    near = meeting(small, large, grow_b="least(w, h) / 8.0e0").where(caption_condition())
     lines = near.where("a_is_word").select("image_id", F.col("a_line_id").alias("line_id"), box("b_").alias("dst")).distinct()
     spread = small.where("is_word").join(lines, ["image_id", "line_id"]).select("image_id", box().alias("src"), "dst")
     return near.select("image_id", box("a_").alias("src"), box("b_").alias("dst")).union(spread).distinct()
@@ -115,9 +152,10 @@ def median_word_area(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("image_id").agg(F.expr(f"coalesce({upper_median('CASE WHEN is_word THEN ' + G.area('') + ' END')}, 400)").alias("median_area"))
 
 
-def large_box_edges(edges: DataFrame, boxes: DataFrame) -> DataFrame:
+def large_box_edges(edges: DataFrame, boxes: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Edges from or to a box without word over 20 times the image's median word area."""
-    large = boxes.join(median_word_area(boxes), "image_id").where(f"NOT is_word AND {G.area('')} > 20 * median_area").select("image_id", box().alias("box")).distinct()
+    middle = median_word_area(boxes if words is None else words)
+    large = boxes.join(middle, "image_id", "left").withColumn("median_area", F.coalesce("median_area", F.lit(400))).where(f"NOT is_word AND {G.area('')} > 20 * median_area").select("image_id", box().alias("box")).distinct()
     of = lambda end: edges.join(large.withColumnRenamed("box", end), ["image_id", end], "left_semi").select("image_id", "src", "dst")
     return of("src").union(of("dst")).distinct()
 
@@ -125,8 +163,11 @@ def large_box_edges(edges: DataFrame, boxes: DataFrame) -> DataFrame:
 def crossing(edges: DataFrame, boxes: DataFrame, cell: int = 128) -> DataFrame:
     """Edges whose shortest segment cuts through a box that is no neighbour of its ends and doesn't hold it whole.
 
-    Segments and boxes meet by image and grid cell, so a task joins what is near.
+    Segments and boxes meet by image and grid cell, so a task joins what is near. The edges are read several times, so they are written first.
     """
+    from pageloom.runtime import Scratch
+
+    edges = Scratch(boxes.sparkSession, "crossing").save(edges.select("image_id", "src", "dst"), "edges")
     seg = flat(edges).select("image_id", "src", "dst", *(F.expr(e).alias(k) for k, e in G.segment("a_", "b_").items())).where("x0 <> x1 OR y0 <> y1")
     cells = lambda low, high: F.sequence(F.floor(F.expr(low) / cell), F.floor(F.expr(high) / cell))
     seg_cells = seg.select("*", F.explode(cells("least(x0, x1)", "greatest(x0, x1)")).alias("cx")).select("*", F.explode(cells("least(y0, y1)", "greatest(y0, y1)")).alias("cy"))
@@ -170,41 +211,44 @@ def line_extents(boxes: DataFrame) -> DataFrame:
 def paragraph_links(boxes: DataFrame) -> DataFrame:
     """Undirected pairs of lines (a < b): gap at most the whole average height, x-projections common by 0.3e0 of the narrower."""
     lines = line_extents(boxes)
-    a, b = prefixed(lines, "a_", "image_id"), prefixed(lines, "b_", "image_id")
     xo, yo = G.x_overlap("a_", "b_"), G.y_overlap("a_", "b_")
     cond = f"a_line_id < b_line_id AND greatest(0, -{yo}) <= floor((a_h + b_h) / 2.0e0) AND {xo} > 0 AND {xo} >= 0.3e0 * least(a_w, b_w)"
-    return a.join(b, "image_id").where(cond).select("image_id", F.col("a_line_id").alias("line_a"), F.col("b_line_id").alias("line_b"))
+    return meeting(lines, lines, grow_a="h / 2.0e0", grow_b="h / 2.0e0", cell=512).where(cond).select("image_id", F.col("a_line_id").alias("line_a"), F.col("b_line_id").alias("line_b"))
 
 
 def paragraphs(boxes: DataFrame) -> DataFrame:
     """Lines with the least line of their paragraph, and each line's words."""
     from pageloom.plans.components import connected_components
 
-    key = "image_id * 1048576 + {}"
-    found = connected_components(paragraph_links(boxes).select(F.expr(key.format("line_a")).alias("a"), F.expr(key.format("line_b")).alias("b")))
-    lines = line_extents(boxes).withColumn("node", F.expr(key.format("line_id")))
-    return lines.join(found, "node", "left").select("image_id", "line_id", F.expr("coalesce(component, node) % 1048576").alias("paragraph_id"), "n_words")
+    found = connected_components(paragraph_links(boxes).select("image_id", F.col("line_a").alias("a"), F.col("line_b").alias("b")), keys=["image_id"])
+    lines = line_extents(boxes).withColumn("node", F.col("line_id"))
+    return lines.join(found, ["image_id", "node"], "left").select("image_id", "line_id", F.coalesce("component", "node").alias("paragraph_id"), "n_words")
 
 
-def paragraph_cuts(edges: DataFrame, boxes: DataFrame) -> DataFrame:
+def paragraph_cuts(edges: DataFrame, boxes: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Edges that a paragraph word shouldn't have: to a non-word over 5 (20) times the upper median of its
-    paragraph's words, for paragraphs above 20 (10) words; and to a word of another paragraph unless both have 10 words at most."""
-    of_line = paragraphs(boxes)
+    paragraph's words, for paragraphs above 20 (10) words; and to a word of another paragraph unless both have 10 words at most.
+
+    Only the word's own edges are looked at. ``words`` gives the lines where they aren't the boxes' own (image_id, line_id, is_word and a box).
+    """
+    of_line = paragraphs(boxes if words is None else words)
     sizes = of_line.groupBy("image_id", "paragraph_id").agg(F.sum("n_words").alias("words"))
-    tagged = boxes.where("is_word").join(of_line.drop("n_words"), ["image_id", "line_id"]).select("image_id", box().alias("box"), "paragraph_id", F.expr(G.area("")).alias("area"))
+    tagged = boxes.where("is_word").select("image_id", *BOX, "line_id").distinct().join(of_line.drop("n_words"), ["image_id", "line_id"]).select("image_id", box().alias("box"), "paragraph_id", F.expr(G.area("")).alias("area"))
     middle = tagged.groupBy("image_id", "paragraph_id").agg(F.expr(upper_median("area")).alias("median_area"))
     word = tagged.join(sizes, ["image_id", "paragraph_id"]).join(middle, ["image_id", "paragraph_id"]).select("image_id", "box", "paragraph_id", "words", "median_area")
     other = boxes.where("NOT is_word").select("image_id", box().alias("dst"), F.expr(G.area("")).alias("area")).distinct()
-    every = edges.select("image_id", "src", "dst").union(reverse(edges)).distinct()
-    from_word = every.join(word.withColumnRenamed("box", "src"), ["image_id", "src"])
+    from_word = edges.select("image_id", "src", "dst").join(word.withColumnRenamed("box", "src"), ["image_id", "src"])
     large = from_word.join(other, ["image_id", "dst"]).where("area > median_area * CASE WHEN words > 20 THEN 5 WHEN words > 10 THEN 20 END").select("image_id", "src", "dst")
     to = word.select("image_id", F.col("box").alias("dst"), F.col("paragraph_id").alias("p2"), F.col("words").alias("words2"))
     across = from_word.join(to, ["image_id", "dst"]).where("paragraph_id <> p2 AND NOT (words <= 10 AND words2 <= 10)").select("image_id", "src", "dst")
     return large.union(across).distinct()
 
 
-def build(boxes: DataFrame, height: float, sensitivity: float = 1.0e0) -> DataFrame:
-    """All passes in their order: (image_id, src, dst, origin). Each pass reads the edges that the one before wrote."""
+def build(boxes: DataFrame, height: float, sensitivity: float = 1.0e0, words: DataFrame | None = None) -> DataFrame:
+    """All passes in their order: (image_id, src, dst, origin). Each pass reads the edges that the one before wrote.
+
+    ``words`` (image_id, line_id, is_word and a box) are the recognised words where the boxes tagged as words aren't all of them.
+    """
     from pageloom.runtime import Scratch
 
     scratch = Scratch(boxes.sparkSession, "network")
@@ -219,10 +263,10 @@ def build(boxes: DataFrame, height: float, sensitivity: float = 1.0e0) -> DataFr
         origin = origin.union(pair(new).withColumn("rank", F.lit(rank)).withColumn("origin", F.lit(name)))
         edges = edges.union(new)
         if name == "alignedSeries":
-            edges = scratch.save(without(edges, large_box_edges(edges, boxes)), "large")
+            edges = scratch.save(without(edges, large_box_edges(edges, boxes, words)), "large")
     edges = scratch.save(edges, "linked")
     edges = scratch.save(without(edges, crossing(edges, boxes)), "crossing")
-    edges = scratch.save(without(edges, paragraph_cuts(edges, boxes)), "paragraphs")
+    edges = scratch.save(without(edges, paragraph_cuts(edges, boxes, words)), "paragraphs")
     edges = scratch.save(without(edges, body_to_heading(edges, boxes), both=False), "headings")
     new = scratch.save(bridges(edges, boxes, distance), "bridges")
     origin = origin.union(pair(new).withColumn("rank", F.lit(-1)).withColumn("origin", F.lit("bridges")))  # bridges overwrite
@@ -232,19 +276,29 @@ def build(boxes: DataFrame, height: float, sensitivity: float = 1.0e0) -> DataFr
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """Directed reachability: ``edges(a, b)``, ``starts(start)`` to (start, node, depth), the start itself at depth 0.
+    """Directed reachability, level by level: ``edges(a, b)``, ``starts(start)`` to (start, node, depth, parent).
 
+    The start itself has depth 0 and no parent; a node's parent is the least of the nodes one level nearer that lead to it.
     A frontier join a level; every level is written to the shared folder, so cycles end and a lost executor costs a re-read.
     """
     from pageloom.runtime import Scratch
 
     scratch = Scratch(edges.sparkSession, "reach")
-    seen = scratch.save(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "0")
+    edges = scratch.save(edges.select("a", "b").distinct(), "edges")
+    seen = scratch.save(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.expr("if(true, null, start)").alias("parent")).distinct(), "0")
     front = seen
     for k in range(1, max_depth + 1):
-        step = front.join(edges, front["node"] == edges["a"]).select("start", F.col("b").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        front = scratch.save(step.withColumn("depth", F.lit(k)), str(k))
+        step = front.select("start", F.col("node").alias("a")).join(edges, "a").groupBy("start", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        front = scratch.save(step.select("start", "node", F.lit(k).alias("depth"), "parent"), str(k))
         if not front.take(1):
             return seen
         seen = seen.union(front)
     raise RuntimeError(f"not finished in {max_depth} levels")
+
+
+def clusters(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``edges(image_id, src, dst)`` and ``starts(image_id, box)`` (structs) to (image_id, box, members): all that the box leads to, itself included, in order."""
+    node = lambda c: F.struct("image_id", F.col(c).alias("box"))
+    found = reach(edges.select(node("src").alias("a"), node("dst").alias("b")), starts.select(node("box").alias("start")).distinct())
+    return found.groupBy(F.col("start.image_id").alias("image_id"), F.col("start.box").alias("box")).agg(F.sort_array(F.collect_list("node.box")).alias("members"))

@@ -93,15 +93,15 @@ def thin(edges: DataFrame) -> DataFrame:
 
 
 def components(mask: DataFrame) -> DataFrame:
-    """8-connected components of a sparse mask (image_id, y, x): each place with the least place of its component."""
-    node = "image_id * 4294967296 + y * 65536 + x"
+    """8-connected components of a sparse mask (image_id, y, x): each place with the least place (y * 2^32 + x) of its image's component."""
+    node = "cast(y as bigint) * 4294967296 + x"
     places = Scratch(mask.sparkSession, "mask").save(mask.select("image_id", "y", "x"), "places")
     # each pair of neighbours once
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))))
     ahead = places.select("image_id", "y", "x", F.explode(steps).alias("s")).select("image_id", F.expr(node).alias("a"), F.expr("y + s.dy").alias("y"), F.expr("x + s.dx").alias("x"))
-    edges = ahead.join(places, ["image_id", "y", "x"]).select("a", F.expr(node).alias("b"))
-    found = connected_components(edges)
-    return places.withColumn("node", F.expr(node)).join(found, "node", "left").select("image_id", "y", "x", F.coalesce("component", "node").alias("component"))
+    edges = ahead.join(places, ["image_id", "y", "x"]).select("image_id", "a", F.expr(node).alias("b"))
+    found = connected_components(edges, keys=["image_id"])
+    return places.withColumn("node", F.expr(node)).join(found, ["image_id", "node"], "left").select("image_id", "y", "x", F.coalesce("component", "node").alias("component"))
 
 
 def component_boxes(labelled: DataFrame) -> DataFrame:
@@ -113,8 +113,8 @@ def hysteresis(thinned: DataFrame, low: int, high: int) -> DataFrame:
     """Places of nms >= low whose component reaches high."""
     weak = thinned.where(f"nms >= {low}")
     strong = components(weak).join(weak, ["image_id", "y", "x"])
-    reached = strong.groupBy("component").agg(F.max("nms").alias("top")).where(f"top >= {high}").select("component")
-    return strong.join(reached, "component", "left_semi").select("image_id", "y", "x")
+    reached = strong.groupBy("image_id", "component").agg(F.max("nms").alias("top")).where(f"top >= {high}").select("image_id", "component")
+    return strong.join(reached, ["image_id", "component"], "left_semi").select("image_id", "y", "x")
 
 
 def canny(plane: DataFrame, low: int, high: int, value: str = "v") -> DataFrame:

@@ -5,34 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions import geometry as G
-from pageloom.operators.network import BOX, box, prefixed
+from pageloom.operators.network import BOX, NOT_SAME, meeting
 
 
 def tag_boxes(boxes: DataFrame, words: DataFrame) -> DataFrame:
     """Each box with the word that covers it best, by at least half of the smaller area; ties to the earlier word."""
-    a, b = prefixed(boxes.select("image_id", *BOX), "a_", "image_id"), prefixed(words.select("image_id", "word_idx", *BOX), "b_", "image_id")
+    boxes = boxes.select("image_id", *BOX).distinct()
     share = f"{G.overlap('a_', 'b_')} / least({G.area('a_')}, {G.area('b_')})"
-    scored = a.join(b, "image_id").withColumn("share", F.expr(share)).where("share >= 0.5e0")
+    scored = meeting(boxes, words.select("image_id", "word_idx", *BOX)).withColumn("share", F.expr(share)).where("share >= 0.5e0")
     best = scored.groupBy("image_id", *(f"a_{k}" for k in BOX)).agg(F.max_by("b_word_idx", F.struct("share", -F.col("b_word_idx"))).alias("word_idx"))
-    every = a.distinct().join(best, ["image_id", *(f"a_{k}" for k in BOX)], "left")
-    return every.select("image_id", *(F.col(f"a_{k}").alias(k) for k in BOX), "word_idx")
+    best = best.select("image_id", *(F.col(f"a_{k}").alias(k) for k in BOX), "word_idx")
+    return boxes.join(best, ["image_id", *BOX], "left").select("image_id", *BOX, "word_idx")
 
 
 def drop_covered(boxes: DataFrame, words: DataFrame) -> DataFrame:
     """Boxes whose words, each at least half inside, fill half of them drop out; then the words join, each box once."""
-    a, b = prefixed(boxes.select("image_id", *BOX), "a_", "image_id"), prefixed(words.select("image_id", *BOX), "b_", "image_id")
-    inside = a.join(b, "image_id").where(f"{G.overlap('a_', 'b_')} / {G.area('b_')} >= 0.5e0")
+    inside = meeting(boxes.select("image_id", *BOX).distinct(), words.select("image_id", *BOX).distinct()).where(f"{G.overlap('a_', 'b_')} / {G.area('b_')} >= 0.5e0")
     full = inside.groupBy("image_id", *(f"a_{k}" for k in BOX)).agg(F.sum(F.expr(G.area("b_"))).alias("s")).where(f"s >= 0.5e0 * {G.area('a_')}")
-    kept = a.join(full, ["image_id", *(f"a_{k}" for k in BOX)], "left_anti").select("image_id", *(F.col(f"a_{k}").alias(k) for k in BOX))
-    return kept.union(words.select("image_id", *BOX)).distinct()
+    full = full.select("image_id", *(F.col(f"a_{k}").alias(k) for k in BOX))
+    return boxes.select("image_id", *BOX).join(full, ["image_id", *BOX], "left_anti").union(words.select("image_id", *BOX)).distinct()
 
 
 def drop_letters(boxes: DataFrame, words: DataFrame) -> DataFrame:
     """Without boxes that lie to 0.8e0 in a word of at least twice their area."""
-    a, b = prefixed(boxes, "a_", "image_id"), prefixed(words.select("image_id", *BOX), "b_", "image_id")
-    cond = (a["image_id"] == b["image_id"]) & F.expr(f"{G.overlap('a_', 'b_')} / {G.area('a_')} >= 0.8e0 AND {G.area('b_')} >= 2 * {G.area('a_')}")
-    kept = a.join(b, cond, "left_anti")
-    return kept.select(*(F.col(c if c == "image_id" else f"a_{c}").alias(c) for c in boxes.columns))
+    cond = f"{G.overlap('a_', 'b_')} / {G.area('a_')} >= 0.8e0 AND {G.area('b_')} >= 2 * {G.area('a_')}"
+    letters = meeting(boxes.select("image_id", *BOX).distinct(), words.select("image_id", *BOX).distinct()).where(cond).select("image_id", *(F.col(f"a_{k}").alias(k) for k in BOX))
+    return boxes.join(letters, ["image_id", *BOX], "left_anti")
 
 
 def nearest(events: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -44,16 +42,23 @@ def nearest(events: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def containing(events: DataFrame, boxes: DataFrame) -> DataFrame:
     """The smallest box that holds each event's point; right and bottom edges are outside."""
-    held = events.join(boxes.select("image_id", *BOX).distinct(), "image_id").where(f"px >= x AND px < {G.right('')} AND py >= y AND py < {G.bottom('')}")
-    best = held.groupBy("event_id").agg(F.min_by(F.struct(*BOX), F.struct(F.expr(G.area("")), "y", "x", "h", "w")).alias("b"))
+    points = events.select("image_id", "event_id", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0).alias("w"), F.lit(0).alias("h"))
+    held = meeting(points, boxes.select("image_id", *BOX).distinct()).where(f"a_x >= b_x AND a_x < {G.right('b_')} AND a_y >= b_y AND a_y < {G.bottom('b_')}")
+    best = held.groupBy(F.col("a_event_id").alias("event_id")).agg(F.min_by(F.struct(*(F.col(f"b_{k}").alias(k) for k in BOX)), F.struct(F.expr(G.area("b_")), "b_y", "b_x", "b_h", "b_w")).alias("b"))
     return best.select("event_id", *(F.col(f"b.{k}").alias(k) for k in BOX))
 
 
 def maximal(boxes: DataFrame) -> DataFrame:
     """Boxes that no other box of their image and group contains."""
-    a, b = boxes.select("image_id", "sea", *BOX).distinct(), prefixed(boxes.select("image_id", "sea", *BOX).distinct(), "b_")
-    cond = (a["image_id"] == b["b_image_id"]) & (a["sea"] == b["b_sea"]) & F.expr(f"NOT (x = b_x AND y = b_y AND w = b_w AND h = b_h) AND {G.contains('b_', '')}")
-    return a.join(b, cond, "left_anti")
+    one = boxes.select("image_id", "sea", *BOX).distinct()
+    held = meeting(one, one, "sea").where(f"{NOT_SAME} AND {G.contains('b_', 'a_')}").select("image_id", "sea", *(F.col(f"a_{k}").alias(k) for k in BOX))
+    return one.join(held, ["image_id", "sea", *BOX], "left_anti")
+
+
+def pick_display(points: DataFrame, displays: DataFrame, main: int = 0) -> DataFrame:
+    """event_id and the first display (least number) that holds each point, else the main one. ``displays`` is the desk's handful of screens."""
+    held = points.join(F.broadcast(displays), F.expr(f"px >= x AND px < {G.right('')} AND py >= y AND py < {G.bottom('')}"), "left")
+    return held.groupBy("event_id").agg(F.coalesce(F.min("display"), F.lit(main)).alias("display"))
 
 
 def selection_rect(boxes: DataFrame, *keys: str, padding: int = 8, width: int = 1200, height: int = 800) -> DataFrame:

@@ -2,51 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from pageloom.runtime import Scratch
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, keys: list[str]) -> DataFrame:
     """Every neighbour larger than a node is tied to the smallest of the node's neighbourhood."""
-    both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    both = e.select(*keys, "a", "b").union(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.join(low, [*keys, "a"]).where("b > a").select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, keys: list[str]) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
+    down = e.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    low = down.groupBy(*keys, "a").agg(F.min("b").alias("m"))
     return (
-        down.join(low, "a")
-        .select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("p"))
-        .select(F.col("p.x").alias("a"), F.col("p.m").alias("b"))
+        down.join(low, [*keys, "a"])
+        .select(*keys, F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("p"))
+        .select(*keys, F.col("p.x").alias("a"), F.col("p.m").alias("b"))
         .where("a <> b")
         .distinct()
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, keys: Sequence[str] = ()) -> DataFrame:
     """``edges(a, b)`` to ``(node, component)``, the smallest node reachable; loops and repeats are harmless.
 
+    With ``keys``, nodes of different keys are different (say, places of different images), and the keys are columns of the result too.
     Each round is written to the shared folder. The stars converge when their
     edge set no longer changes (compared by count and an order-free checksum).
     Nodes without an edge to another node are absent from the result.
     """
-    spark = edges.sparkSession
+    spark, keys = edges.sparkSession, list(keys)
     scratch = Scratch(spark, "cc")
-    now = scratch.save(edges.select("a", "b").where("a <> b and a is not null and b is not null").distinct(), "0")
+    now = scratch.save(edges.select(*keys, "a", "b").where("a <> b and a is not null and b is not null").distinct(), "0")
     seen = None
     for k in range(1, max_rounds + 1):
-        now = scratch.save(_small_star(_large_star(now)), str(k))
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = scratch.save(_small_star(_large_star(now, keys), keys), str(k))
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(str(k - 1))
         if seen == mark:
             break
         seen = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(*keys, F.col("a").alias("node"), F.col("b").alias("component")).union(
+        now.select(*keys, F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

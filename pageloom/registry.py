@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom import fixtures as X
 from pageloom.functions import geometry as G
-from pageloom.operators import colour as C, network as N, pixels as P, select as S
+from pageloom.operators import colour as C, detect as D, network as N, pixels as P, select as S
+from pageloom.runtime import Scratch
 
 HEIGHT, WIDTH = 800, 1200
 BASE = N.base_distance(HEIGHT)
@@ -55,10 +56,10 @@ def p2(s, d):
     return P.to_lab(X.pixels(s, d))
 
 
-@query("p3_bounded_sample", f"WITH {X.PIXELS_SQL}, places AS (SELECT image_id, y - 3 AS y, x + 5 AS x FROM pixels WHERE (x + y) % 7 = 0) SELECT image_id, y, x, v FROM places LEFT JOIN pixels USING (image_id, y, x)")
+@query("p3_bounded_sample", f"WITH {X.PIXELS_SQL}, places AS (SELECT image_id, y - 3 AS y, x + 5 AS x FROM pixels) SELECT image_id, y, x, v FROM places LEFT JOIN pixels USING (image_id, y, x)")
 def p3(s, d):
     p = X.pixels(s, d)
-    return p.where("(x + y) % 7 = 0").select("image_id", F.expr("y - 3").alias("y"), F.expr("x + 5").alias("x")).join(p.select("image_id", "y", "x", "v"), ["image_id", "y", "x"], "left")
+    return p.select("image_id", F.expr("y - 3").alias("y"), F.expr("x + 5").alias("x")).join(p.select("image_id", "y", "x", "v"), ["image_id", "y", "x"], "left")
 
 
 _DENSE = f"{X.PIXELS_SQL}, dense AS (SELECT image_id, y, x, coalesce(v, 0) AS v FROM (SELECT DISTINCT image_id FROM pixels) CROSS JOIN (SELECT unnest(range(64))::INT AS y) CROSS JOIN (SELECT unnest(range(64))::INT AS x) LEFT JOIN pixels USING (image_id, y, x))"
@@ -159,21 +160,21 @@ def p12(s, d):
 # ---- geometry --------------------------------------------------------------
 
 _D = "20.0e0"
-_PAIR = f"SELECT a.image_id, {AB} FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.sea = b.sea WHERE (a.x + b.y) % 40 = 0"
+_PAIR = f"SELECT a.image_id, {AB} FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.sea = b.sea"
 _SEG = G.segment("a_", "b_")
 _FUNCS = {
     "g1_area": G.area("a_"), "g4_contains": G.contains("a_", "b_"), "g5_overlaps": G.overlaps("a_", "b_"), "g6_overlap": G.overlap("a_", "b_"),
     "g7_gap_e6": f"CAST(round({G.edge_distance('a_', 'b_')} * 1e6) AS BIGINT)", "g8_align_e6": f"CAST(round({G.alignment('a_', 'b_', _D)} * 1e6) AS BIGINT)",
     "g9_connect_e6": f"CAST(round({G.connection('a_', 'b_', _D)} * 1e6) AS BIGINT)", "g10_x0": _SEG["x0"], "g10_y0": _SEG["y0"], "g10_x1": _SEG["x1"], "g10_y1": _SEG["y1"],
     "g16_w": f"greatest({G.right('a_')}, {G.right('b_')}) - least(a_x, b_x)", "g16_h": f"greatest({G.bottom('a_')}, {G.bottom('b_')}) - least(a_y, b_y)",
-    "g18_x": "least(a_x, b_x)", "g18_w": "abs(a_x - b_x)",
+    "g18_x": "least(a_x, b_x)", "g18_y": "least(a_y, b_y)", "g18_w": "abs(a_x - b_x)", "g18_h": "abs(a_y - b_y)",
 }
 
 
 @query("g1_g18_box_functions", f"{WB}, pair AS ({_PAIR}) SELECT {ENDS}, {', '.join(f'{e} AS {k}' for k, e in _FUNCS.items())} FROM pair")
 def g_pairs(s, d):
     b = of_boxes(s, d)
-    pair = N.prefixed(b, "a_", "image_id", "sea").join(N.prefixed(b, "b_", "image_id", "sea"), ["image_id", "sea"]).where("(a_x + b_y) % 40 = 0")
+    pair = N.prefixed(b, "a_", "image_id", "sea").join(N.prefixed(b, "b_", "image_id", "sea"), ["image_id", "sea"])
     return pair.select(*ENDS.split(", "), *(F.expr(e).alias(k) for k, e in _FUNCS.items()))
 
 
@@ -182,9 +183,9 @@ def g2(s, d):
     return of_boxes(s, d).selectExpr("image_id", "x - 4 AS x", "y - 4 AS y", "w + 8 AS w", "h + 8 AS h", "cast(x * 0.37D AS int) AS sx", "cast(y * 0.41D AS int) AS sy", "cast(w * 0.37D AS int) AS sw", "cast(h * 0.41D AS int) AS sh")
 
 
-@query("g19_quad_to_box", f"{WB} SELECT image_id, x, y, greatest(0, CAST(round(least(x / 1200.0e0, (x + w) / 1200.0e0 + 0.001e0) * 1200) AS INT)) AS qx, greatest(0, CAST(round((1 - (1 - y / 800.0e0)) * 800) AS INT)) AS qy, greatest(1, CAST(round(w / 1200.0e0 * 1200) AS INT)) AS qw FROM boxes")
+@query("g19_quad_to_box", f"{WB} SELECT image_id, x, y, greatest(0, CAST(round(least(x / 1200.0e0, (x + w) / 1200.0e0 + 0.001e0) * 1200) AS INT)) AS qx, greatest(0, CAST(round((1 - (1 - y / 800.0e0)) * 800) AS INT)) AS qy, greatest(1, CAST(round(w / 1200.0e0 * 1200) AS INT)) AS qw, greatest(1, CAST(round(h / 800.0e0 * 800) AS INT)) AS qh FROM boxes")
 def g19(s, d):
-    return of_boxes(s, d).selectExpr("image_id", "x", "y", "greatest(0, cast(round(array_min(array(x / 1200D, (x + w) / 1200D + 0.001D)) * 1200) as int)) AS qx", "greatest(0, cast(round((1 - (1 - y / 800D)) * 800) as int)) AS qy", "greatest(1, cast(round(w / 1200D * 1200) as int)) AS qw")
+    return of_boxes(s, d).selectExpr("image_id", "x", "y", "greatest(0, cast(round(array_min(array(x / 1200D, (x + w) / 1200D + 0.001D)) * 1200) as int)) AS qx", "greatest(0, cast(round((1 - (1 - y / 800D)) * 800) as int)) AS qy", "greatest(1, cast(round(w / 1200D * 1200) as int)) AS qw", "greatest(1, cast(round(h / 800D * 800) as int)) AS qh")
 
 
 @query("g21_kernel_scaling", "SELECT o_orderkey, greatest(1, CAST(floor(8 * (o_orderkey % 4000) / 1964.0e0) AS INT)) AS kx, greatest(1, CAST(floor(5 * (o_orderkey % 4000) / 1964.0e0) AS INT)) AS ky, greatest(1, CAST(ceil(2 * (o_orderkey % 4000) / 1964.0e0) AS INT)) AS margin FROM orders")
@@ -245,9 +246,9 @@ def l3(s, d):
 _OUT = f"med AS (SELECT image_id, a_x, a_y, a_w, a_h, quantile_cont({G.area('b_')}, 0.5e0) AS m FROM pw GROUP BY ALL HAVING count(*) >= 4 AND m > 0), outl AS (SELECT pw.* FROM pw JOIN med USING (image_id, a_x, a_y, a_w, a_h) WHERE {G.area('b_')} > 8 * m)"
 
 
-@query("a8_outlier_edges", f"{WB}, {_PW}, {_OUT} SELECT {ENDS} FROM outl")
+@query("a8_outlier_edges", f"WITH {X.BUNCHES_SQL}, {_PW}, {_OUT} SELECT {ENDS} FROM outl")
 def a8(s, d):
-    return ends(N.outliers(_pairwise(s, d)))
+    return ends(N.outliers(N.pairwise(X.bunches(s, d), BASE)))
 
 
 _UPPER = "list_sort(list({0}))[CAST(count(*) // 2 AS INT) + 1]"
@@ -307,9 +308,9 @@ _BRIDGE = (
 )
 
 
-@query("j12_bridges", f"WITH {_TALL}, {_PW}, {_BRIDGE} SELECT {ENDS} FROM fine QUALIFY count(*) OVER (PARTITION BY image_id, a_x, a_y, a_w, a_h) = 2")
+@query("j12_bridges", f"WITH {X.BUNCHES_SQL}, {_PW}, {_BRIDGE} SELECT {ENDS} FROM fine QUALIFY count(*) OVER (PARTITION BY image_id, a_x, a_y, a_w, a_h) = 2")
 def j12(s, d):
-    b = _headed(s, d)
+    b = X.bunches(s, d)
     return ends(N.bridges(N.pairwise(b, BASE), b, BASE))
 
 
@@ -328,35 +329,27 @@ _LINES = "lines AS (SELECT image_id, line_id, min(x) AS x, min(y) AS y, greatest
 _PL = f"links AS (SELECT image_id, a_line AS line_a, b_line AS line_b FROM (SELECT a.image_id, a.line_id AS a_line, b.line_id AS b_line, {AB} FROM lines a JOIN lines b ON a.image_id = b.image_id AND a.line_id < b.line_id) WHERE greatest(0, -{G.y_overlap('a_', 'b_')}) <= floor((a_h + b_h) / 2.0e0) AND {G.x_overlap('a_', 'b_')} > 0 AND {G.x_overlap('a_', 'b_')} >= 0.3e0 * least(a_w, b_w))"
 
 
-def _sparse(s, d):
-    """A sixth of the words, so that lines leave gaps between paragraphs."""
-    return of_boxes(s, d).where("is_word AND x % 6 = 0")
-
-
-_SPARSE = X.BOXES_SQL.replace("boxes AS (", "boxes1 AS (") + ", boxes AS (SELECT * FROM boxes1 WHERE is_word AND x % 6 = 0)"
-
-
-@query("a11_line_extents", f"WITH {_SPARSE}, {_LINES} SELECT * FROM lines")
+@query("a11_line_extents", f"WITH {X.GAPPED_SQL}, {_LINES} SELECT * FROM lines")
 def a11(s, d):
-    return N.line_extents(_sparse(s, d))
+    return N.line_extents(X.gapped_boxes(s, d))
 
 
-@query("j16_paragraph_links", f"WITH {_SPARSE}, {_LINES}, {_PL} SELECT * FROM links")
+@query("j16_paragraph_links", f"WITH {X.GAPPED_SQL}, {_LINES}, {_PL} SELECT * FROM links")
 def j16(s, d):
-    return N.paragraph_links(_sparse(s, d))
+    return N.paragraph_links(X.gapped_boxes(s, d))
 
 
-_PARA = f"WITH RECURSIVE {_SPARSE}, {_LINES}, {_PL}, ways AS MATERIALIZED (SELECT image_id, line_a AS a, line_b AS b FROM links UNION SELECT image_id, line_b, line_a FROM links), reach AS (SELECT image_id, line_id AS root, line_id AS line FROM lines UNION SELECT r.image_id, r.root, b.b FROM reach r JOIN ways b ON b.image_id = r.image_id AND b.a = r.line), para AS (SELECT image_id, line AS line_id, min(root) AS paragraph_id FROM reach GROUP BY ALL)"
+_PARA = f"WITH RECURSIVE {X.GAPPED_SQL}, {_LINES}, {_PL}, ways AS MATERIALIZED (SELECT image_id, line_a AS a, line_b AS b FROM links UNION SELECT image_id, line_b, line_a FROM links), reach AS (SELECT image_id, line_id AS root, line_id AS line FROM lines UNION SELECT r.image_id, r.root, b.b FROM reach r JOIN ways b ON b.image_id = r.image_id AND b.a = r.line), para AS (SELECT image_id, line AS line_id, min(root) AS paragraph_id FROM reach GROUP BY ALL)"
 
 
 @query("n3_paragraphs", f"{_PARA} SELECT image_id, line_id, paragraph_id, n_words FROM para JOIN lines USING (image_id, line_id)")
 def n3(s, d):
-    return N.paragraphs(_sparse(s, d))
+    return N.paragraphs(X.gapped_boxes(s, d))
 
 
 @query("a9_paragraph_sizes", f"{_PARA} SELECT image_id, paragraph_id, CAST(sum(n_words) AS BIGINT) AS n_words FROM para JOIN lines USING (image_id, line_id) GROUP BY ALL")
 def a9(s, d):
-    return N.paragraphs(_sparse(s, d)).groupBy("image_id", "paragraph_id").agg(F.sum("n_words").alias("n_words"))
+    return N.paragraphs(X.gapped_boxes(s, d)).groupBy("image_id", "paragraph_id").agg(F.sum("n_words").alias("n_words"))
 
 
 @query("n4_network")
@@ -364,16 +357,34 @@ def n4(s, d):
     return N.build(of_boxes(s, d), HEIGHT).select("image_id", *(F.col(f"{e}.{k}").alias(f"{p}{k}") for e, p in (("src", "a_"), ("dst", "b_")) for k in N.BOX), "origin")
 
 
-@query("j10_paragraph_cuts")
+_CUTS = (
+    f"sizes AS (SELECT image_id, paragraph_id, sum(n_words) AS words FROM para JOIN lines USING (image_id, line_id) GROUP BY ALL), "
+    f"tagged AS (SELECT image_id, x, y, w, h, paragraph_id, {G.area('')} AS area FROM (SELECT DISTINCT image_id, x, y, w, h, line_id FROM boxes WHERE is_word) JOIN para USING (image_id, line_id)), "
+    "middle AS (SELECT image_id, paragraph_id, list_sort(list(area))[CAST(count(*) // 2 AS INT) + 1] AS m FROM tagged GROUP BY ALL), "
+    "word AS (SELECT * FROM tagged JOIN sizes USING (image_id, paragraph_id) JOIN middle USING (image_id, paragraph_id)), "
+    f"cuts AS (SELECT DISTINCT pw.* FROM pw JOIN word a ON {_AT.format(k='a', e='pw', p='a')} JOIN (SELECT DISTINCT image_id, x, y, w, h FROM boxes WHERE NOT is_word) o ON {_AT.format(k='o', e='pw', p='b')} WHERE {G.area('o.')} > m * CASE WHEN words > 20 THEN 5 WHEN words > 10 THEN 20 END "
+    f"UNION SELECT pw.* FROM pw JOIN word a ON {_AT.format(k='a', e='pw', p='a')} JOIN word b ON {_AT.format(k='b', e='pw', p='b')} WHERE a.paragraph_id <> b.paragraph_id AND NOT (a.words <= 10 AND b.words <= 10))"
+)
+
+
+@query("j10_paragraph_cuts", f"{_PARA}, {_PW}, {_CUTS} SELECT {ENDS} FROM cuts")
 def j10(s, d):
-    b = of_boxes(s, d)
-    return ends(N.paragraph_cuts(_pairwise(s, d), b))
+    b = X.gapped_boxes(s, d)
+    return ends(N.paragraph_cuts(N.pairwise(b, BASE), b))
 
 
-@query("n1_n2_reach", "WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey % 700 AS a, l_partkey % 700 AS b FROM lineitem WHERE l_orderkey % 100 = 0 AND l_orderkey % 700 <> l_partkey % 700), r AS (SELECT a AS start, a AS node, 0 AS depth FROM (SELECT DISTINCT a FROM e WHERE a < 300) UNION SELECT r.start, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 20) SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL")
+#: Every order leads to a third and a fifth of its number.
+_WAYS = "SELECT o_orderkey AS a, o_orderkey {div} 3 AS b FROM {orders} UNION SELECT o_orderkey, o_orderkey {div} 5 FROM {orders}"
+
+
+@query(
+    "n1_n2_reach",
+    f"WITH RECURSIVE e AS MATERIALIZED ({_WAYS.format(div='//', orders='orders')}), r AS (SELECT o_orderkey AS start, o_orderkey AS node, 0 AS depth FROM orders UNION SELECT r.start, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 40), "
+    "least_depth AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT n.start, n.node, n.depth, min(p.node) AS parent FROM least_depth n LEFT JOIN (SELECT q.start, q.node, q.depth, e.b FROM least_depth q JOIN e ON e.a = q.node) p ON p.start = n.start AND p.b = n.node AND p.depth = n.depth - 1 GROUP BY ALL",
+)
 def n1(s, d):
-    e = X.table(s, d, "lineitem").where("l_orderkey % 100 = 0").selectExpr("l_orderkey % 700 AS a", "l_partkey % 700 AS b").where("a <> b").distinct()
-    return N.reach(e, e.where("a < 300").select(F.col("a").alias("start")).distinct())
+    orders = X.table(s, d, "orders")
+    return N.reach(s.sql(_WAYS.format(div="div", orders="{orders}"), orders=orders), orders.select(F.col("o_orderkey").alias("start")))
 
 
 @query("a12_origin_counts")
@@ -384,11 +395,11 @@ def a12(s, d):
 # ---- words and boxes -------------------------------------------------------
 
 def _words(s, d):
-    """Words that lie near the boxes: each third box moved and resized."""
-    return of_boxes(s, d).where("is_word AND x % 3 = 0").selectExpr("image_id", "x * 1000 + y AS word_idx", "x + y % 5 - 2 AS x", "y + x % 4 - 2 AS y", "w + x % 9 AS w", "h + y % 6 AS h")
+    """Words that lie near the boxes: each word box moved and resized."""
+    return of_boxes(s, d).where("is_word").selectExpr("image_id", "x * 1000 + y AS word_idx", "x + y % 5 - 2 AS x", "y + x % 4 - 2 AS y", "w + x % 9 AS w", "h + y % 6 AS h")
 
 
-_WORDS = "words AS (SELECT image_id, x * 1000 + y AS word_idx, x + y % 5 - 2 AS x, y + x % 4 - 2 AS y, w + x % 9 AS w, h + y % 6 AS h FROM boxes WHERE is_word AND x % 3 = 0)"
+_WORDS = "words AS (SELECT image_id, x * 1000 + y AS word_idx, x + y % 5 - 2 AS x, y + x % 4 - 2 AS y, w + x % 9 AS w, h + y % 6 AS h FROM boxes WHERE is_word)"
 _BW = f"bw AS (SELECT a.image_id, {AB}, b.word_idx FROM boxes a JOIN words b ON a.image_id = b.image_id)"
 
 
@@ -464,8 +475,11 @@ def u4(s, d):
 def e1(s, d):
     from pageloom.streaming.sessions import replay, resolved
 
-    ev = _events(s, d)
-    return replay(resolved(ev, S.nearest(ev, _tiny(s, d)), S.containing(ev, _tiny(s, d))))
+    scratch = Scratch(s, "sessions")
+    ev, boxes = _events(s, d), scratch.save(_tiny(s, d), "boxes")
+    near, inside = scratch.save(S.nearest(ev, boxes), "near"), scratch.save(S.containing(ev, boxes), "inside")
+    met = near.select("event_id", N.box().alias("box")).union(inside.select("event_id", N.box())).join(ev.select("event_id", "image_id"), "event_id")
+    return replay(resolved(ev, near, inside, N.clusters(_pairwise(s, d), met.select("image_id", "box"))))
 
 
 @query("e9_latest_event", f"WITH {_EV} SELECT session_id, arg_max(event_id, (ts, event_id)) AS event_id FROM ev GROUP BY session_id")
@@ -475,27 +489,31 @@ def e9(s, d):
 
 # ---- colour ----------------------------------------------------------------
 
+_TILE = "SELECT image_id, CAST(16 * tx + 3 AS INT) AS x, CAST(16 * ty + 3 AS INT) AS y, CAST(9 + total % 5 AS INT) AS w, CAST(8 + total % 4 AS INT) AS h FROM (SELECT image_id, x {div} 16 AS tx, y {div} 16 AS ty, sum(v) AS total FROM {pixels} GROUP BY image_id, x {div} 16, y {div} 16) t"
+
+
 def _tiles(s, d):
-    """Boxes inside the mosaics."""
-    return X.pixels(s, d).where("x % 16 = 3 AND y % 16 = 3").selectExpr("image_id", "x", "y", "cast(9 + v % 5 as int) AS w", "cast(8 + v % 4 as int) AS h")
+    """A box in each square of 16 x 16 pixels; some reach over the border."""
+    return s.sql(_TILE.format(div="div", pixels="{pixels}"), pixels=X.pixels(s, d))
 
 
-_TILES = "tiles AS (SELECT image_id, x, y, CAST(9 + v % 5 AS INT) AS w, CAST(8 + v % 4 AS INT) AS h FROM pixels WHERE x % 16 = 3 AND y % 16 = 3)"
+_TILES = f"tiles AS ({_TILE.format(div='//', pixels='pixels')})"
 _SAMPLES = (
     "samples AS (" + " UNION ALL ".join(
         f"SELECT image_id, x AS fx, y AS fy, w AS fw, h AS fh, {k} AS side, (p - {o}) // 3 AS k, {py} AS y, {px} AS x FROM (SELECT *, unnest(range({o}, {o} + {n}, 3)) AS p FROM tiles)"
-        for k, o, n, py, px in ((0, "x", "w", "y - 2", "p"), (1, "x", "w", "y + h + 1", "p"), (2, "y", "h", "p", "x - 2"), (3, "y", "h", "p", "x + w + 1"))
+        for k, o, n, py, px in ((0, "x", "w", "y - 2", "p"), (1, "x", "w", "y + h + 2", "p"), (2, "y", "h", "p", "x - 2"), (3, "y", "h", "p", "x + w + 2"))
     ) + ")"
 )
 _SB = "image_id, fx, fy, fw, fh"
+_MIDDLE = "list_sort(list({0}) FILTER ({0} IS NOT NULL))[CAST(count({0}) // 2 AS INT) + 1]"
 
 
-@query("a2_perimeter_colour", f"WITH {X.PIXELS_SQL}, {_TILES}, {_SAMPLES} SELECT {_SB}, {_UPPER.format('v')} AS v, {_UPPER.format('g')} AS g, count(*) AS n FROM samples JOIN pixels USING (image_id, y, x) GROUP BY {_SB}")
+@query("a2_perimeter_colour", f"WITH {X.PIXELS_SQL}, {_TILES}, {_SAMPLES} SELECT {_SB}, coalesce({_MIDDLE.format('v')}, 0) AS v, coalesce({_MIDDLE.format('g')}, 0) AS g, count(v) AS n FROM samples LEFT JOIN pixels USING (image_id, y, x) GROUP BY {_SB}")
 def a2(s, d):
     return C.perimeter_colours(C.perimeter(_tiles(s, d), 2, 3), X.pixels(s, d), "v", "g")
 
 
-@query("a3_calmness", f"WITH {X.PIXELS_SQL}, {_TILES}, {_SAMPLES}, st AS (SELECT {_SB}, power(v - lag(v) OVER w, 2) + power(g - lag(g) OVER w, 2) AS d FROM samples JOIN pixels USING (image_id, y, x) WINDOW w AS (PARTITION BY {_SB}, side ORDER BY k)) SELECT {_SB}, count(d) AS steps, count(*) FILTER (d < 1600) AS smooth, 10 * count(*) FILTER (d < 1600) >= 7 * count(d) AS calm FROM st GROUP BY {_SB}")
+@query("a3_calmness", f"WITH {X.PIXELS_SQL}, {_TILES}, {_SAMPLES}, st AS (SELECT {_SB}, power(v - lag(v) OVER w, 2) + power(g - lag(g) OVER w, 2) AS d FROM samples JOIN pixels USING (image_id, y, x) WINDOW w AS (PARTITION BY {_SB}, side ORDER BY k)), every AS (SELECT DISTINCT image_id, x AS fx, y AS fy, w AS fw, h AS fh FROM tiles), counts AS (SELECT {_SB}, count(*) AS n, count(d) AS steps, count(*) FILTER (d < 1600) AS smooth FROM st GROUP BY {_SB}) SELECT {_SB}, coalesce(steps, 0) AS steps, coalesce(smooth, 0) AS smooth, n IS NOT NULL AND 10 * smooth >= 7 * steps AS calm FROM every LEFT JOIN counts USING ({_SB})")
 def a3(s, d):
     return C.calmness(C.perimeter(_tiles(s, d), 2, 3), X.pixels(s, d), ("v", "g"))
 
@@ -517,9 +535,13 @@ def a6(s, d):
 
 # ---- strings, keys, sources, sinks -----------------------------------------
 
-@query("f_tokenise", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS n FROM documents")
+#: Unicode white space, as a class that both engines read.
+_SPACES = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query("f_tokenise", f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_SPACES}'), lambda t: t <> '')) AS n FROM documents")
 def tokenise(s, d):
-    return X.table(s, d, "documents").select("doc_id", F.expr("cast(size(filter(split(text, '\\\\s+'), t -> t <> '')) as bigint)").alias("n"))
+    return X.table(s, d, "documents").select("doc_id", F.expr(f"cast(size(filter(split(text, r'{_SPACES}'), t -> t <> '')) as bigint)").alias("n"))
 
 
 @query("f_shortcut_label", "SELECT o_orderkey, CASE WHEN o_orderkey & 4 > 0 THEN '⌃' ELSE '' END || CASE WHEN o_orderkey & 8 > 0 THEN '⌥' ELSE '' END || CASE WHEN o_orderkey & 2 > 0 THEN '⇧' ELSE '' END || CASE WHEN o_orderkey & 16 > 0 THEN '⌘' ELSE '' END || coalesce(CASE o_orderkey % 5 WHEN 0 THEN '↩' WHEN 1 THEN '⎋' END, nullif(upper(trim(CASE WHEN o_orderkey % 5 = 2 THEN ' ' ELSE chr(97 + CAST(o_orderkey % 26 AS INT)) END)), ''), 'Key #' || CAST(o_orderkey % 128 AS VARCHAR)) AS label FROM orders")
@@ -529,11 +551,11 @@ def label(s, d):
     return X.table(s, d, "orders").select("o_orderkey", F.concat(F.expr(mods), F.expr(key.replace("element_at", "try_element_at"))).alias("label"))
 
 
-@query("l9_j20_shortcut_conflicts", "WITH k AS (SELECT o_orderkey AS action, o_orderkey % 128 AS key_code, o_orderkey & 30 AS mods FROM orders WHERE o_orderkey % 50 = 0) SELECT a.action AS action, count(*) AS conflicts FROM k a JOIN k b ON a.key_code = b.key_code AND a.mods = b.mods AND a.action <> b.action GROUP BY a.action")
+@query("l9_j20_shortcut_conflicts", "WITH k AS (SELECT o_orderkey AS action, o_orderkey % 128 AS key_code, o_orderkey & 30 AS mods FROM orders) SELECT a.action AS action, count(*) AS conflicts FROM k a JOIN k b ON a.key_code = b.key_code AND a.mods = b.mods AND a.action <> b.action GROUP BY a.action")
 def conflicts(s, d):
     from pyspark.sql import Window
 
-    k = X.table(s, d, "orders").where("o_orderkey % 50 = 0").selectExpr("o_orderkey AS action", "o_orderkey % 128 AS key_code", "o_orderkey & 30 AS mods")
+    k = X.table(s, d, "orders").selectExpr("o_orderkey AS action", "o_orderkey % 128 AS key_code", "o_orderkey & 30 AS mods")
     return k.withColumn("n", F.count("*").over(Window.partitionBy("key_code", "mods"))).where("n > 1").select("action", F.expr("n - 1").alias("conflicts"))
 
 
@@ -569,10 +591,87 @@ def u1(s, d):
     return b.select("image_id", *N.BOX).union(_words(s, d).select("image_id", *N.BOX)).distinct().subtract(b.where("NOT is_word").select("image_id", *N.BOX))
 
 
-@query("t3_t6_display_order", "SELECT kind, list_position(['move', 'click', 'save', 'toggle_autocluster', 'dismiss'], kind) AS place, n FROM (SELECT CASE event_type WHEN 'view' THEN 'move' WHEN 'click' THEN 'click' WHEN 'purchase' THEN 'save' WHEN 'signup' THEN 'toggle_autocluster' ELSE 'dismiss' END AS kind, count(*) AS n FROM events GROUP BY kind)")
+_KINDS = "'move', 'press', 'release', 'click', 'save', 'toggle_autocluster', 'toggle_flow', 'dismiss'"
+
+
+@query("t3_t6_display_order", f"WITH {X.EVENTS_SQL} SELECT kind, list_position([{_KINDS}], kind) AS place, count(*) AS n FROM pointer GROUP BY kind")
 def order(s, d):
-    places = "array('move', 'click', 'save', 'toggle_autocluster', 'dismiss')"
-    return X.pointer_events(s, d).groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.expr(f"cast(array_position({places}, kind) as int)").alias("place"), "n").orderBy(F.desc("n"), "place")
+    return X.pointer_events(s, d).groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.expr(f"cast(array_position(array({_KINDS}), kind) as int)").alias("place"), "n").orderBy(F.desc("n"), "place")
+
+
+@query("f_percent", "SELECT o_orderkey, format('{:.0f}%', round((o_orderkey % 17) / 4.0e0 * 25)) AS label FROM orders")
+def percent(s, d):
+    return X.table(s, d, "orders").select("o_orderkey", F.expr("format_string('%.0f%%', round((o_orderkey % 17) / 4D * 25))").alias("label"))
+
+
+@query("f_menu_key", "SELECT o_orderkey, coalesce(CASE o_orderkey % 5 WHEN 0 THEN chr(13) WHEN 1 THEN chr(27) END, lower(chr(65 + CAST(o_orderkey % 26 AS INT)))) AS menu_key FROM orders")
+def menu_key(s, d):
+    return X.table(s, d, "orders").select("o_orderkey", F.expr("coalesce(try_element_at(map(0, chr(13), 1, chr(27)), cast(o_orderkey % 5 as int)), lower(chr(65 + o_orderkey % 26)))").alias("menu_key"))
+
+
+@query("s2_pick_display", "SELECT event_id, coalesce(min(d.display), 0) AS display FROM (SELECT event_id, (37 * event_id) % 4000 AS mx FROM events) e LEFT JOIN (VALUES (0, 0, 1200), (1, 1200, 2400), (2, 2000, 3600)) AS d(display, l, r) ON mx >= l AND mx < r GROUP BY event_id")
+def pick_display(s, d):
+    displays = s.createDataFrame([(0, 0, 0, 1200, 800), (1, 1200, 0, 1200, 800), (2, 2000, 0, 1600, 800)], "display int, x int, y int, w int, h int")
+    points = X.table(s, d, "events").select("event_id", F.expr("(37 * event_id) % 4000").alias("px"), F.lit(0).alias("py"))
+    return S.pick_display(points, displays)
+
+
+# ---- detection from pixels to boxes and network ------------------------------
+
+#: Pages of the mosaics' size: light, with a patch of two dark greys for a word in the upper half of each tile.
+_PAGE = (
+    "SELECT image_id, y, x, c AS r, c AS g, c AS b FROM (SELECT p.image_id, p.y, p.x, CASE WHEN p.x >= t.x AND p.x < t.x + t.w AND p.y >= t.y AND p.y < t.y + t.h {div} 2 THEN p.v {div} 128 * 100 ELSE 240 END AS c "
+    "FROM {pixels} p JOIN {tiles} t ON t.image_id = p.image_id AND t.x {div} 16 = p.x {div} 16 AND t.y {div} 16 = p.y {div} 16) page"
+)
+_DETECT_DENSE = (
+    f"{X.PIXELS_SQL}, {_TILES}, frames AS ({_PAGE.format(div='//', pixels='pixels', tiles='tiles')}), plane AS (SELECT image_id, y, x, {P.lab()['l']} AS v FROM frames), "
+    + _DENSE.removeprefix(f"{X.PIXELS_SQL}, ").replace("LEFT JOIN pixels USING", "LEFT JOIN plane USING")
+)
+_DETECT = (
+    _NMS.replace(_DENSE, _DETECT_DENSE) + ", weak AS MATERIALIZED (SELECT image_id, y, x, nms FROM thin WHERE nms >= 3), grown AS (SELECT image_id, y, x FROM weak WHERE nms >= 40 UNION "
+    "SELECT w.image_id, w.y, w.x FROM grown g JOIN weak w ON w.image_id = g.image_id AND w.y BETWEEN g.y - 1 AND g.y + 1 AND w.x BETWEEN g.x - 1 AND g.x + 1), "
+    "mask AS (SELECT image_id, y, x, CASE WHEN g.y IS NULL THEN 0 ELSE 255 END AS v FROM dense d LEFT JOIN grown g USING (image_id, y, x)), "
+    f"wide AS ({_morph('max', 'mask')}), shut AS ({_morph('min', 'wide')}), fg AS MATERIALIZED (SELECT image_id, y, x, y * 64 + x AS p FROM shut WHERE v > 0), "
+    "flood AS (SELECT image_id, y, x, p AS root FROM fg UNION SELECT f.image_id, f.y, f.x, r.root FROM flood r JOIN fg f ON f.image_id = r.image_id AND f.y BETWEEN r.y - 1 AND r.y + 1 AND f.x BETWEEN r.x - 1 AND r.x + 1 AND f.p > r.root), "
+    "lab AS (SELECT image_id, y, x, min(root) AS component FROM flood GROUP BY ALL), cboxes AS (SELECT image_id, component, min(x) AS x, min(y) AS y, CAST(max(x) - min(x) + 1 AS INT) AS w, CAST(max(y) - min(y) + 1 AS INT) AS h FROM lab GROUP BY image_id, component)"
+)
+#: The mosaics are taken for images of this height, so that the kernel is 3 x 1 and distances are a few pixels.
+MOSAIC_HEIGHT = 800
+
+
+def _frames(s, d):
+    return s.sql(_PAGE.format(div="div", pixels="{pixels}", tiles="{tiles}"), pixels=X.pixels(s, d), tiles=_tiles(s, d))
+
+
+def _mosaic_words(s, d):
+    """A word in the upper half of each square of 16 x 16 pixels of a mosaic, two squares a line."""
+    return _tiles(s, d).selectExpr("image_id", "x + y * 64 AS word_idx", "x", "y", "w", "cast(h div 2 as int) AS h", "y div 16 AS line_id")
+
+
+@query("d1_detect_boxes", f"WITH RECURSIVE {_DETECT} SELECT DISTINCT image_id, x, y, w, h FROM cboxes WHERE w >= 3 AND h >= 2 AND w * h <= 0.6e0 * 4096")
+def detect_boxes(s, d):
+    return D.detect_boxes(D.lab_plane(_frames(s, d)), 64, 64, (3, 2))
+
+
+@query("d2_detect_layout")
+def detect_layout(s, d):
+    return D.detect(_frames(s, d), _mosaic_words(s, d), 64, 64, MOSAIC_HEIGHT).boxes
+
+
+@query("d3_detect_network")
+def detect_network(s, d):
+    found = D.detect(_frames(s, d), _mosaic_words(s, d), 64, 64, MOSAIC_HEIGHT)
+    return found.edges.select("image_id", *(F.col(f"{e}.{k}").alias(f"{p}{k}") for e, p in (("src", "a_"), ("dst", "b_")) for k in N.BOX), "origin")
+
+
+@query("d5_counts")
+def detect_counts(s, d):
+    return D.counts(D.detect(_frames(s, d), _mosaic_words(s, d), 64, 64, MOSAIC_HEIGHT))
+
+
+@query("d4_debug_tables")
+def debug_tables(s, d):
+    return D.debug_edges(D.detect(_frames(s, d), _mosaic_words(s, d), 64, 64, MOSAIC_HEIGHT))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

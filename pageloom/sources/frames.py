@@ -69,3 +69,21 @@ def crop_files(pixels: DataFrame, stamp: str = "1970-01-01 00:00:00") -> DataFra
 
     files = pixels.groupBy("image_id").applyInPandas(encode, "image_id long, png binary")
     return files.select("image_id", F.concat(F.lit("Capture_"), F.date_format(F.lit(stamp).cast("timestamp"), "yyyyMMdd_HHmmss"), F.lit("_"), F.col("image_id").cast("string"), F.lit(".png")).alias("name"), "png")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes ``files(name, png)`` into a folder that all executors share, made if missing; a file of the same name is replaced.
+
+    A task that is run again writes the same files again.
+    """
+
+    def put(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for row in rows:
+            with system.open_output_stream(f"{base}/{row['name']}") as out:
+                out.write(bytes(row["png"]))
+
+    files.select("name", "png").foreachPartition(put)

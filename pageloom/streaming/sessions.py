@@ -1,8 +1,12 @@
 """Pointer sessions: one state machine for streams and for replays of a table.
 
-State of a session: hovered box, selected boxes, flow and autocluster modes, the
-drag's start and the custom rectangle. Boxes and edges of the session's image are
-looked up before (``nearest``, ``containing``), so state stays small.
+State of a session: hovered box and what it leads to, selected boxes, flow and autocluster
+modes, the press and whether it became a drag, and the drawn rectangle. Boxes and clusters
+of the session's image are looked up before (``nearest``, ``containing``, ``clusters``), so
+state stays small.
+
+Events: move, press, release, click (press and release on one spot), toggle_autocluster,
+toggle_flow, dismiss; other kinds change nothing. A move between press and release draws.
 """
 
 from __future__ import annotations
@@ -16,48 +20,49 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: Pixels that the pointer moves before a press is a drag; squared reach of flow mode.
 DRAG, FLOW_REACH = 6, 225
 OUT = "session_id long, event_id long, kind string, hovered string, selected string, rect string"
-STATE = "hovered string, selected string, flow boolean, auto boolean, rect string, anchor string"
-START = ("", "", False, False, "", "")
+STATE = "hovered string, members string, selected string, flow boolean, auto boolean, rect string, anchor string, dragging boolean"
+START = ("", "", "", False, False, "", "", False)
 
 
 def step(state: tuple, event: dict) -> tuple[tuple, bool]:
     """The state after one event, and whether the selection changed. Boxes are texts "x,y,w,h"; lists are joined by ";"."""
-    hovered, selected, flow, auto, rect, anchor = state
-    kind, box, cluster = event["kind"], event["box"] or "", event["cluster"] or event["box"] or ""
-    chosen = selected.split(";") if selected else []
+    hovered, members, selected, flow, auto, rect, anchor, dragging = state
+    kind, chosen = event["kind"], selected.split(";") if selected else []
     if kind == "move" and anchor:
         x, y = map(int, anchor.split(","))
         dx, dy = abs(event["px"] - x), abs(event["py"] - y)
-        if dx > DRAG or dy > DRAG or rect:
-            rect, selected = f"{min(x, event['px'])},{min(y, event['py'])},{dx},{dy}", ""
+        if not dragging and (dx > DRAG or dy > DRAG):
+            dragging, hovered, members, selected = True, "", "", ""
+        if dragging:
+            rect = f"{min(x, event['px'])},{min(y, event['py'])},{dx},{dy}"
+    elif kind == "move" and rect:
+        # a drawn rectangle stays until the pointer is inside a box
+        if event["inside"]:
+            rect, hovered, members = "", event["inside"], event["inside_cluster"] or event["inside"]
+            selected = members if auto and not flow else hovered
     elif kind == "move":
-        target = event["inside"] or "" if rect else box
-        if rect and target:
-            hovered, rect, selected = target, "", cluster if auto and target == box and not flow else target
-        elif not rect and target and target != hovered and not (flow and event["gap2"] >= FLOW_REACH):
-            hovered = target
+        near = "" if flow and event["gap2"] is not None and event["gap2"] >= FLOW_REACH else event["box"] or ""
+        if near and near != hovered:
+            hovered, members = near, event["cluster"] or near
             if flow:
-                selected = ";".join([*chosen, target] if target not in chosen else chosen)
+                selected = ";".join(chosen if near in chosen else [*chosen, near])
             else:
-                selected = cluster if auto else target
+                selected = members if auto else near
     elif kind == "press":
-        anchor = f"{event['px']},{event['py']}"
+        anchor, dragging = f"{event['px']},{event['py']}", False
+    elif kind == "click" or kind == "release" and not dragging:
+        anchor, dragging, rect = "", False, ""
+        if hovered:
+            chosen = [b for b in chosen if b != hovered] if hovered in chosen else [*chosen, hovered]
+            selected = ";".join(b for b in chosen if not any(o != b and _holds(o, b) for o in chosen))
     elif kind == "release":
-        anchor = ""
-    elif kind == "click" and hovered:
-        rect = ""
-        chosen = [b for b in chosen if b != hovered] if hovered in chosen else [*chosen, hovered]
-        selected = ";".join(b for b in chosen if not any(o != b and _holds(o, b) for o in chosen))
-    elif kind == "toggle_autocluster":
-        auto = not auto
-        selected = (cluster if auto else hovered) if hovered else selected
-    elif kind == "toggle_flow":
-        flow = not flow
-        selected = hovered if hovered else selected
+        anchor, dragging = "", False
+    elif kind in ("toggle_autocluster", "toggle_flow"):
+        auto, flow = auto != (kind == "toggle_autocluster"), flow != (kind == "toggle_flow")
+        selected = members if auto else hovered
     elif kind == "dismiss":
         return START, bool(selected or rect)
-    after = (hovered, selected, flow, auto, rect, anchor)
-    return after, (after[1], after[4]) != (state[1], state[4])
+    return (hovered, members, selected, flow, auto, rect, anchor, dragging), (selected, rect) != (state[2], state[5])
 
 
 def _holds(a: str, b: str) -> bool:
@@ -68,18 +73,28 @@ def _holds(a: str, b: str) -> bool:
 
 def _advance(state: tuple, events: pd.DataFrame) -> tuple[tuple, list[dict]]:
     rows = []
+    events = events.astype(object).where(events.notna(), None)
     for event in events.sort_values(["ts", "event_id"]).to_dict("records"):
         state, changed = step(state, event)
         if changed:
-            rows.append({"session_id": event["session_id"], "event_id": event["event_id"], "kind": event["kind"], "hovered": state[0], "selected": state[1], "rect": state[4]})
+            rows.append({"session_id": event["session_id"], "event_id": event["event_id"], "kind": event["kind"], "hovered": state[0], "selected": state[2], "rect": state[5]})
     return state, rows
 
 
+#: What ``step`` reads of an event.
+COLUMNS = ("session_id", "event_id", "ts", "kind", "px", "py", "box", "gap2", "inside", "cluster", "inside_cluster")
+
+
 def resolved(events: DataFrame, near: DataFrame, inside: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """Events with the texts that ``step`` reads: box and gap2 (nearest), inside (containing), cluster."""
-    text = F.concat_ws(",", "x", "y", "w", "h")
-    out = events.join(near.select("event_id", "gap2", text.alias("box")), "event_id", "left").join(inside.select("event_id", text.alias("inside")), "event_id", "left")
-    return out.join(clusters, "box", "left") if clusters is not None else out.withColumn("cluster", F.lit(None).cast("string"))
+    """Events with what ``step`` reads: box and gap2 (nearest), inside (containing), and the clusters of both, by image
+    (``clusters(image_id, box, members)``; without, each box is alone)."""
+    text = lambda b: F.concat_ws(",", *(F.col(f"{b}{k}") for k in ("x", "y", "w", "h")))
+    out = events.join(near.select("event_id", "gap2", text("").alias("box")), "event_id", "left").join(inside.select("event_id", text("").alias("inside")), "event_id", "left")
+    if clusters is None:
+        return out.select("*", F.lit(None).cast("string").alias("cluster"), F.lit(None).cast("string").alias("inside_cluster"))
+    members = F.concat_ws(";", F.transform("members", lambda m: F.concat_ws(",", *(m[k] for k in ("x", "y", "w", "h")))))
+    found = clusters.select("image_id", text("box.").alias("box"), members.alias("cluster"))
+    return out.join(found, ["image_id", "box"], "left").join(found.withColumnsRenamed({"box": "inside", "cluster": "inside_cluster"}), ["image_id", "inside"], "left")
 
 
 def replay(events: DataFrame) -> DataFrame:
@@ -88,7 +103,7 @@ def replay(events: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_advance(START, pdf)[1], columns=["session_id", "event_id", "kind", "hovered", "selected", "rect"])
 
-    return events.select("session_id", "event_id", "ts", "kind", "px", "py", "box", "gap2", "inside", "cluster").groupBy("session_id").applyInPandas(run, OUT)
+    return events.select(*COLUMNS).groupBy("session_id").applyInPandas(run, OUT)
 
 
 def stream(events: DataFrame, watermark: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
@@ -103,5 +118,5 @@ def stream(events: DataFrame, watermark: str = "10 minutes", idle_ms: int = 3_60
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["session_id", "event_id", "kind", "hovered", "selected", "rect"])
 
-    slim = events.select("session_id", "event_id", "ts", "kind", "px", "py", "box", "gap2", "inside", "cluster").withWatermark("ts", watermark)
+    slim = events.select(*COLUMNS).withWatermark("ts", watermark)
     return slim.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
