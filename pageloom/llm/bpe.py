@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -61,23 +62,22 @@ class Vocabulary:
         self.text_bounds = np.concatenate([[0], np.cumsum([len(b) for b in blob])])
         self.text = np.frombuffer(b"".join(blob), dtype=np.uint8)
 
-    def symbols(self, word: bytes) -> np.ndarray:
-        raw = np.frombuffer(word, dtype=np.uint8)
+        # the initial symbols of each token, ragged
+        spelled: list[list[int]] = [[k] for k in range(len(self.tokens))]
+        for a, b, m in zip(left.tolist(), right.tolist(), made.tolist()):
+            spelled[m] = spelled[a] + spelled[b]
+        self.spelled_size = np.array([len(x) for x in spelled], dtype=np.int64)
+        self.spelled_start = np.cumsum(self.spelled_size) - self.spelled_size
+        self.spelled = np.array([s for x in spelled for s in x], dtype=np.int64)
+
+    def symbols(self, pieces: list[bytes], final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all pieces, and their bounds; the last of a piece is a word's last where ``final``."""
+        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         out = self.inner[raw]
-        out[-1] = self.final[raw[-1]]
-        return out
-
-    def expand(self, token: int) -> list[int]:
-        """The initial symbols of a token."""
-        out, stack = [], [int(token)]
-        while stack:
-            t = stack.pop()
-            r = self.rank_of[t] if t < len(self.rank_of) else -1
-            if r < 0:
-                out.append(t)
-            else:
-                stack += [int(self.right[r]), int(self.left[r])]
-        return out
+        last = bounds[1:][final] - 1
+        out[last] = self.final[raw[last]]
+        return out, bounds
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -126,57 +126,59 @@ class Vocabulary:
         return ids[order], np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=n))])
 
 
-def merge_by_halves(vocab: Vocabulary, words: list[bytes], leaf: int = 64, window: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Tree concatenation: words longer than ``leaf`` symbols are halved until they fit, all
-    leaves are encoded at once, and neighbours are joined level by level.
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, read once a worker."""
+    return Vocabulary(path)
 
-    A join re-encodes the last k tokens of its left side and the first k of its right
-    side; when the first new token is the left side's and the last is the right side's
-    (or the text ends there), what lies outside is unaffected and the new tokens replace
-    the window, else k doubles. A token sequence is the encoding of its text exactly if
-    every two neighbouring tokens encode to themselves, and each pair of the result lies
+
+def join_leaves(vocab: Vocabulary, ids: np.ndarray, word: np.ndarray, bounds: np.ndarray, text_of: np.ndarray, window: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Tree concatenation of encoded leaves: tokens with their word's number, bounds of leaves, and the text of each leaf,
+    to the texts' tokens and bounds. Neighbouring halves are joined level by level, all texts at once.
+
+    A join re-encodes the last k tokens of its left side and the first k of its right side, word borders included; when
+    the first new token is the left side's and the last is the right side's (or the text's part ends there), what lies
+    outside is unaffected and the new tokens replace the window, else k doubles. A token sequence is the encoding of its
+    text exactly if every two neighbouring tokens of a word encode to themselves, and each such pair of the result lies
     inside the left side, the window or the right side.
     """
-    raw = np.frombuffer(b"".join(words), dtype=np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    symbols = vocab.inner[raw]
-    symbols[ends - 1] = vocab.final[raw[ends - 1]]
-    starts = np.concatenate([[0], ends[:-1]])
-    long = np.flatnonzero(ends - starts > leaf)
-    cuts = [ends]
-    for w in long:
-        parts = 2
-        while ends[w] - starts[w] > leaf * parts:
-            parts *= 2
-        cuts.append(np.linspace(starts[w], ends[w], parts + 1).astype(np.int64)[1:-1])
-    cuts = np.sort(np.concatenate(cuts))
-    flat, bounds = vocab.merge(symbols, np.concatenate([[0], cuts]))
-    if not len(long):
-        return flat, bounds
-    first = np.searchsorted(cuts, starts, side="right")
-    last = np.searchsorted(cuts, ends, side="left")
-    trees = [range(a, b + 1) for a, b in zip(first.tolist(), last.tolist())]  # of each word: its leaves, in order
-    done = {w: [flat[bounds[k] : bounds[k + 1]] for k in t] for w, t in enumerate(trees) if len(t) > 1}
-    while any(len(parts) > 1 for parts in done.values()):
-        todo = {(w, j): window for w, parts in done.items() for j in range(0, len(parts) - 1, 2)}
-        joined: dict[tuple[int, int], np.ndarray] = {}
-        while todo:
-            texts = []
-            for (w, j), k in todo.items():
-                a, b = done[w][j], done[w][j + 1]
-                texts.append(np.array([s for t in [*a[-k:], *b[:k]] for s in vocab.expand(t)], dtype=np.int64))
-            ids, at = vocab.merge(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
-            grown = {}
-            for q, ((w, j), k) in enumerate(todo.items()):
-                a, b, got = done[w][j], done[w][j + 1], ids[at[q] : at[q + 1]]
-                if (k >= len(a) or got[0] == a[-k]) and (k >= len(b) or got[-1] == b[k - 1]):
-                    joined[w, j] = np.concatenate([a[: max(0, len(a) - k)], got, b[k:]])
-                else:
-                    grown[w, j] = 2 * k
-            todo = grown
-        done = {w: [joined.get((w, j), parts[j]) for j in range(0, len(parts), 2)] for w, parts in done.items()}
-    out = [done[w][0] if w in done else flat[bounds[t[0]] : bounds[t[0] + 1]] for w, t in enumerate(trees)]
-    return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+    while True:
+        leaf = np.arange(len(text_of))
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], text_of[1:] != text_of[:-1]]), leaf, 0)) if len(leaf) else leaf
+        left = np.flatnonzero((text_of[1:] == text_of[:-1]) & ((leaf - head)[:-1] % 2 == 0))
+        if not len(left):
+            return ids, bounds
+        at, low, high = bounds[left + 1], bounds[left], bounds[left + 2]
+        k = np.full(len(left), window)
+        start, size = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        new_ids, new_words, made, todo = [], [], 0, np.arange(len(left))
+        while len(todo):
+            a, b = np.maximum(at - k, low)[todo], np.minimum(at + k, high)[todo]
+            index = ragged_index(a, b - a)
+            n = vocab.spelled_size[ids[index]]
+            symbols = vocab.spelled[ragged_index(vocab.spelled_start[ids[index]], n)]
+            join, of = np.repeat(np.repeat(np.arange(len(todo)), b - a), n), np.repeat(word[index], n)
+            edge = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (join[1:] != join[:-1])]))
+            got, ends = vocab.merge(symbols, np.append(edge, len(symbols)))
+            each = np.bincount(np.repeat(join[edge], np.diff(ends)), minlength=len(todo))
+            stop = np.cumsum(each)
+            fine = ((a == low[todo]) | (got[stop - each] == ids[a])) & ((b == high[todo]) | (got[stop - 1] == ids[b - 1]))
+            start[todo], size[todo] = made + stop - each, each
+            new_ids.append(got), new_words.append(np.repeat(of[edge], np.diff(ends)))
+            made += len(got)
+            todo = todo[~fine]
+            k[todo] *= 2
+        # what is outside the windows and the windows' new tokens, in turn
+        a, b = np.maximum(at - k, low), np.minimum(at + k, high)
+        source = np.concatenate([[0], np.stack([len(ids) + start, b], axis=1).ravel()])
+        amount = np.concatenate([[a[0]], np.stack([size, np.append(a[1:], len(ids)) - b], axis=1).ravel()])
+        index = ragged_index(source, amount)
+        ids, word = (np.concatenate([old, *new])[index] for old, new in ((ids, new_ids), (word, new_words)))
+        shift = np.concatenate([[0], np.cumsum(size - (b - a))])
+        bounds = bounds + shift[np.searchsorted(b, bounds, side="right")]
+        gone = np.zeros(len(bounds), dtype=bool)
+        gone[left + 1] = True
+        bounds, text_of = bounds[~gone], text_of[~gone[:-1]]
 
 
 def _ranges(codes: list[int]) -> str:
@@ -191,12 +193,23 @@ def _ranges(codes: list[int]) -> str:
     return "".join(out)
 
 
+# fixed values: letters, numbers and lower-case pairs that the library knows and Python's tables may not have yet
+NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_NEW = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in [(0x1C89, 0x1C89), (0xA7CB, 0xA7DC), (0x10D50, 0x10D65), (0x16EA0, 0x16EB8)]) + "]")
+
+
 def _pattern(below: int) -> re.Pattern:
     """Contractions, runs of letters, single numbers, and runs of what is neither nor white space."""
     kinds: dict[str, list[int]] = {"L": [], "N": []}
     for c in range(below):
         if (kind := unicodedata.category(chr(c))[0]) in kinds:
             kinds[kind].append(c)
+    for kind, new in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)):
+        kinds[kind] = sorted({*kinds[kind], *(c for a, b in new for c in range(a, b + 1) if c < below)})
     space = _ranges([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
     letter, number = _ranges(kinds["L"]), _ranges(kinds["N"])
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
@@ -210,6 +223,8 @@ def split_words(text: str) -> list[str]:
     """Normalised pre-tokens (NFC, lower case, white space dropped) of a text without special strings."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if _NEW.search(text):
+            text = text.translate(NEW_LOWER)
     text = text.lower()
     if text.isascii() or not _BEYOND.search(text):
         return _LATIN.findall(text)
@@ -228,8 +243,9 @@ class Words:
 
     def clear(self) -> None:
         self.at = {t: k for k, t in enumerate(self.vocab.special)}
-        self.ids = np.array(list(self.vocab.special.values()), dtype=np.int32)
+        self.ids = np.array(list(self.vocab.special.values()), dtype=np.int64)
         self.bounds = np.arange(len(self.at) + 1)
+        self.size = np.array([len(t.encode()) for t in self.vocab.special], dtype=np.int64)
 
     def words(self, text: str) -> list[str]:
         if self.split and "<|" in text:
@@ -239,16 +255,31 @@ class Words:
             return out
         return split_words(text)
 
-    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of all words of all texts: their place in this table, and where each text begins."""
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Of all words of all texts: their place in this table, where each text begins, and the words."""
         if len(self.at) > self.most:
             self.clear()
         split = [self.words(t) for t in texts]
         flat = [w for words in split for w in words]
         new = list(set(flat).difference(self.at))
         if new:
-            ids, bounds = self.encode([w.encode("utf-8") for w in new])
+            coded = [w.encode("utf-8") for w in new]
+            ids, bounds = self.encode(coded)
+            self.size = np.concatenate([self.size, [len(w) for w in coded]])
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        return np.fromiter(map(self.at.__getitem__, flat), dtype=np.int64, count=len(flat)), np.concatenate([[0], np.cumsum([len(x) for x in split])])
+            self.ids = np.concatenate([self.ids, ids])
+        return np.fromiter(map(self.at.__getitem__, flat), dtype=np.int64, count=len(flat)), np.concatenate([[0], np.cumsum([len(x) for x in split])]), flat
+
+
+def encode_words(vocab: Vocabulary, words: list[bytes], most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of whole words, ragged. Words of more than ``most`` bytes are cut and joined again, as rounds over one long sequence would be many."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    parts = np.maximum(1, -(-size // most))
+    cuts = [size[w] * k // parts[w] for w, k in zip(np.repeat(np.arange(len(words)), parts).tolist(), ragged_index(np.zeros(len(words), np.int64), parts).tolist())]
+    of = np.repeat(np.arange(len(words)), parts)
+    stops = [*cuts[1:], 0]
+    last = np.append(of[1:] != of[:-1], True)
+    pieces = [words[w][a : len(words[w]) if end else b] for w, a, b, end in zip(of.tolist(), cuts, stops, last.tolist())]
+    ids, bounds = vocab.merge(*vocab.symbols(pieces, last))
+    return join_leaves(vocab, ids, np.repeat(of, np.diff(bounds)), bounds, of)

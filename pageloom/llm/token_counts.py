@@ -16,24 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pageloom.llm import textkit as tk
-from pageloom.llm.bpe import Vocabulary, Words, merge_by_halves
+from pageloom.llm.bpe import Words, encode_words, vocabulary as read_vocabulary
 from pageloom.runtime import ship
 
-#: Pre-tokens of more bytes are merged by halves, as rounds over one long sequence would be many.
-LONG_WORD = 4096
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_tokens, over_limit."""
     ship(docs.sparkSession)
 
     def rows(batches):
-        vocab = Vocabulary(vocabulary)
-
-        table = Words(vocab, lambda words: merge_by_halves(vocab, words, leaf=LONG_WORD))
+        vocab = read_vocabulary(vocabulary)
+        table = Words(vocab, lambda words: encode_words(vocab, words))
         for batch, data, offs in tk.slices(batches, text_col):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            at, bounds = table.rows(texts)
+            at, bounds, _ = table.rows(texts)
             sums = np.concatenate([[0], np.cumsum(np.diff(table.bounds)[at])])
             n = sums[bounds[1:]] - sums[bounds[:-1]]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(np.diff(offs)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

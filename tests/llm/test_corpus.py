@@ -81,7 +81,6 @@ def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from pageloom.llm.bpe import Vocabulary, merge_by_halves
     from pageloom.llm.bpe_codec import bpe_encode_decode
     from pageloom.llm.token_counts import token_counts
 
@@ -93,12 +92,6 @@ def test_tokens(spark):
     coded = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe_encode_decode(make(spark, TEXTS), path, leaf=8).collect()}
     assert coded == {i: (ids, theirs.decode(ids, skip_special_tokens=False)) for i, ids in want.items()}
     assert token_counts(make(spark, []), path, 5).count() == bpe_encode_decode(make(spark, []), path).count() == 0
-    vocab, rnd = Vocabulary(path), random.Random(3)
-    words = ["".join(rnd.choice("abeinrst") for _ in range(rnd.randint(1, 400))).encode() for _ in range(40)]
-    whole, at = merge_by_halves(vocab, words, leaf=1000)
-    for leaf, window in ((2, 1), (7, 1), (64, 4)):
-        ids, bounds = merge_by_halves(vocab, words, leaf, window)
-        assert ids.tolist() == whole.tolist() and bounds.tolist() == at.tolist()
 
 
 def test_suffix_dedup(spark):
