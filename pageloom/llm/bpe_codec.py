@@ -78,6 +78,7 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """A row for each row of ``docs``: doc_id, ids array<int>, decoded string, n_joins int (of leaves)."""
     ship(docs.sparkSession)
 
+    @tk.releasing
     def rows(batches):
         vocab = read_vocabulary(vocabulary)
 

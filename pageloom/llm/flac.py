@@ -311,6 +311,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ship(docs.sparkSession)
 
+    @tk.releasing
     def rows(batches):
         for batch, data, offs in tk.slices(batches, text_col, tk.BLOCK_BYTES):
             payload, bounds = padded_payloads(data, offs)

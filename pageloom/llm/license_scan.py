@@ -194,6 +194,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = pa.struct([("label", pa.string()), ("word", pa.int64())])
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())])
 
+    @tk.releasing
     def rows(batches):
         scanner = Scanner()
         for batch, data, offs in tk.slices(batches, text_col):

@@ -62,6 +62,7 @@ def _word_grades(docs: DataFrame, text_col: str) -> np.ndarray:
     """For each counter the grade of how often words with it occur in all texts; the driver gets a byte a counter."""
     wide = COUNTERS // PARTS
 
+    @tk.releasing
     def count(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
         for _, data, offs in tk.slices(batches, text_col):
@@ -71,6 +72,7 @@ def _word_grades(docs: DataFrame, text_col: str) -> np.ndarray:
             small = np.minimum(total, (1 << 32) - 1).astype("<u4")
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array([small[k * wide : (k + 1) * wide].tobytes() for k in range(PARTS)], pa.binary())], ["part", "counts"])
 
+    @tk.releasing
     def graded(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -220,6 +222,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def needed(n):
         return -(-percent * n // 100)
 
+    @tk.releasing
     def with_prefixes(batches):
         # the earliest line of each class so far; rows may come in any order, so a class's first line gets its prefix wherever it is read
         seen: dict[tuple[int, int], int] = {}
@@ -268,6 +271,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot_words, blocks = np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(grades) and int(grades.max()) >= grade:
 
+        @tk.releasing
         def graded(batches):
             for batch in batches:
                 word, c = np.unique(tk.binary_values(batch.column(0), np.uint64)[0], return_counts=True)
@@ -281,6 +285,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """Packed records of all prefixes, or of those with a word of ``words`` (sorted), dealt by word."""
         chosen = spark.sparkContext.broadcast(words)
 
+        @tk.releasing
         def packed(batches):
             held, n_held, words = [], 0, chosen.value
 
@@ -326,6 +331,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def candidates(only: np.ndarray | None, every: bool, words: np.ndarray | None) -> DataFrame:
         chosen, tried_first, at_once = spark.sparkContext.broadcast(only), TRIED, PAIRS_AT_ONCE
 
+        @tk.releasing
         def found(batches):
             def emit(held):
                 for r, a, b, more in _pairs_of(np.frombuffer(b"".join(held), dtype=RECORD), percent, chosen.value, every, tried_first, at_once):
@@ -351,6 +357,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted = ids.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
         wanted = F.broadcast(wanted) if wanted.count() <= DOCS_SENT else wanted
 
+        @tk.releasing
         def pick(batches):
             for batch, row, number, flat, bounds in _lines(batches, "text", sent.value, least_words):
                 lists = batch.column(2)
@@ -368,6 +375,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         of = {x: sets.select(F.col("doc").alias(f"{x}_doc"), F.col("line").alias(f"{x}_line"), F.col("blob").alias(f"{x}_blob")) for x in "ab"}
         both = pairs.join(of["b"], ["b_doc", "b_line"]).join(of["a"], ["a_doc", "a_line"])
 
+        @tk.releasing
         def check(batches):
             for batch in batches:
                 common, sizes = _common(batch.column(2), batch.column(3))
@@ -388,6 +396,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             place = left.toArrow()
             only = np.unique(_line_key(*(place.column(k).to_numpy() for k in range(2))))
 
+            @tk.releasing
             def words_of(batches):
                 for batch in batches:
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(tk.binary_values(batch.column(0), np.int64)[0]))], ["word"])

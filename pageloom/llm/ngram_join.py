@@ -36,8 +36,8 @@ FREQUENT, FREQUENT_MOST = 16, 1 << 20
 #: Up to so many ids are sent to all executors; beyond, a shuffled join picks the rows.
 IDS_SENT = 1 << 20
 MEMBERS_A_TASK_KEY = 64
-#: Classes of a block; a task holds the sets of two blocks.
-BLOCK = 256
+#: Classes of a block, and shingles on average; a task holds the sets of two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: A leader's classes are compared in blocks from this many on.
 LARGE = 32
 
@@ -60,9 +60,10 @@ def _needed(size, percent: int):
     return -(-percent * size // 100)
 
 
-def _frequent(docs: DataFrame, text_col: str, n: int, percent: int) -> np.ndarray:
+def _frequent(docs: DataFrame, text_col: str, n: int, percent: int, scratch: Scratch) -> np.ndarray:
     """The most frequent of the shingles that can come near a prefix, by count; bounded by FREQUENT_MOST."""
 
+    @tk.releasing
     def lowest(batches):
         for _, flat, bounds in _sets(batches, text_col, n):
             size = np.diff(bounds)
@@ -71,8 +72,20 @@ def _frequent(docs: DataFrame, text_col: str, n: int, percent: int) -> np.ndarra
             token, count = np.unique(flat[at < np.repeat(most, size)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], ["token", "c"])
 
-    found = docs.select(text_col).mapInArrow(lowest, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(f"c >= {FREQUENT}").orderBy(F.desc("c"), "token").limit(FREQUENT_MOST).select("token").toPandas()
-    return found["token"].to_numpy(np.int64).view(np.uint64)
+    counts = docs.select(text_col).mapInArrow(lowest, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(f"c >= {FREQUENT}")
+    counts = scratch.save(counts, "counts")
+    # the least grade (count on a log scale) that leaves few enough, from the number of shingles by grade
+    grade = F.floor(F.log2("c") * 16)
+    by_grade = {r["k"]: r["n"] for r in counts.groupBy(grade.alias("k")).agg(F.count("*").alias("n")).collect()}
+    least, held = 1 << 20, 0
+    for k in sorted(by_grade, reverse=True):
+        if held + by_grade[k] > FREQUENT_MOST:
+            break
+        least, held = k, held + by_grade[k]
+    found = counts.where(grade >= least).toArrow()
+    scratch.drop("counts")
+    token, c = (found.column(k).to_numpy() for k in range(2))
+    return token[np.lexsort((token, -c))].view(np.uint64)
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -83,6 +96,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     order = np.argsort(frequent)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[order], (np.uint64(1) << np.uint64(63)) + (len(frequent) - 1 - order).astype(np.uint64)))
 
+    @tk.releasing
     def rows(batches):
         known, key_of = sent.value
         seen: set[bytes] = set()
@@ -123,6 +137,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
 def _index(rows: DataFrame) -> DataFrame:
     """(bearer, pos, token) of the prefixes of ``rows``."""
 
+    @tk.releasing
     def spread(batches):
         for batch in batches:
             size = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], dtype=np.int64)
@@ -138,6 +153,7 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n:
     ids = F.broadcast(ids) if ids.count() <= IDS_SENT else ids
     chosen = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(ids, "node", "left_semi")
 
+    @tk.releasing
     def rows(batches):
         for batch, flat, bounds in _sets(batches, "text", n):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), tk.ragged_binary(flat, bounds)], ["node", "n", "blob"])
@@ -152,6 +168,7 @@ def _kept(pairs: DataFrame, blobs: DataFrame, test) -> DataFrame:
     members = dealt.join(blobs.select(F.col("node").alias("b"), "n", "blob"), "b").select("a", "part", "b", "n", "blob")
     leaders = dealt.select("a", "part").distinct().join(blobs.select(F.col("node").alias("a"), "n", "blob"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "n", "blob")
 
+    @tk.releasing
     def check(batches):
         size, mine = 0, None
         for batch in batches:
@@ -191,6 +208,7 @@ def _block_links(held: DataFrame, sets: DataFrame, enough) -> DataFrame:
         x, y = np.nonzero(good)
         return node[x], node[y]
 
+    @tk.releasing
     def run(batches):
         now, group = None, []
         for batch in batches:
@@ -218,7 +236,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "ngram")
-    all_rows = scratch.save(_prefixes(docs, id_col, text_col, n, percent, _frequent(docs, text_col, n, percent)), "rows")
+    all_rows = scratch.save(_prefixes(docs, id_col, text_col, n, percent, _frequent(docs, text_col, n, percent, scratch)), "rows")
     classes = scratch.save(all_rows.where("doc_id is not null and sig is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("grp").alias("grp")), "classes")
 
     listed = _index(all_rows).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
@@ -271,10 +289,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     moved = home.join(large, "home", "left_semi").select("node", "home").join(large.select(F.col("home").alias("node")), "node", "left_anti")
     home = scratch.save(moved.union(large.select(F.col("home").alias("node"), "home")), "home")
     held = with_component(home)
-    apart = held.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("home", "blocks")
+    apart = held.groupBy("home").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("home")
     held = scratch.save(held.join(apart, "home"), "held")
     if held.take(1):
-        got = scratch.save(_block_links(held, sets_of(held.select("node"), "held"), enough), "links_held")
+        sets = sets_of(held.select("node"), "held")
+        blocks = held.join(sets.select("node", "n"), "node").groupBy("home").agg(F.expr(f"greatest(ceil(count(*) / {BLOCK}), ceil(sum(n) / {BLOCK_SHINGLES}))").alias("blocks"))
+        got = scratch.save(_block_links(held.join(blocks, "home"), sets, enough), "links_held")
         links = links.union(got)
         component = scratch.save(connected_components(links), "component_held")
 

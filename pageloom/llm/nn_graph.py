@@ -1,17 +1,18 @@
 """Operator 2. Approximate nearest neighbours: an NN-descent graph and greedy search.
 
-Equal vectors are one node. The graph starts from exact neighbours inside random
-groups of bounded size. A round of NN-descent brings each node's neighbours and its
-nearest reverse neighbours together (a join), compares them with each other, and
-offers each the better ones, where one of the two is new to their meeting; each node
-keeps its K nearest. A query starts at its
-own node's neighbours and expands, round by round, the best nodes of its pool that
-are not expanded yet, along edges in both directions, all queries in the same joins.
-Graph distances use vectors of 8-bit components with a scale; the pool and the result use the original
-vectors in double precision.
-
-Bounded by parameters, as the method samples: K neighbours, REVERSE reverse
-neighbours in a round, POOL nodes of a query. Every vector is a node of the graph.
+Equal vectors are one node. The graph starts from neighbours inside small random
+groups. A round of NN-descent brings each node's neighbours and its nearest reverse
+neighbours together (a join), compares them with each other, and offers each the
+better ones, where one of the two is new to their meeting; each node keeps its K
+nearest. Rounds end when less than a share CHANGED of all edges is new. A query starts
+at its own node and expands, round by round, the best nodes of its pool that are not
+expanded yet, along edges in both directions, all queries in the same joins, until no
+more than a share SETTLED of the pools is open. Graph distances use vectors of 8-bit components with a
+scale; the pool and the result use the original vectors in double precision.
+
+Bounded by parameters, as the method samples: K neighbours and REVERSE reverse
+neighbours of a node (so a hub of many nodes' lists is no large group), POOL nodes of a
+query. Every vector is a node of the graph, and tables of all sizes take the same way.
 
 Defined cases: null, zero, non-finite or null-holding vectors and vectors of another
 than the commonest length take no part; a null id takes no part; rows that share an
@@ -27,11 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pageloom.llm import textkit as tk
 from pageloom.runtime import Scratch, ship
 
-K, REVERSE, OFFERS = 24, 16, 12
-GROUP, GROUPINGS, ROUNDS = 4096, 3, 4
-POOL, EXPAND, SEARCH_ROUNDS = 300, 60, 5
+K, REVERSE, OFFERS = 32, 24, 16
+#: Nodes of a random group; groupings; share of new edges that ends the rounds, and rounds at most.
+GROUP, GROUPINGS, CHANGED, ROUNDS = 256, 2, 0.01, 20
+#: Nodes of a query's pool, those expanded in a round, share of open nodes that ends the search, and rounds at most.
+POOL, EXPAND, SETTLED, SEARCH_ROUNDS = 400, 100, 0.001, 40
 FAR = float("inf")
 
 
@@ -103,8 +107,10 @@ _EDGE = "v long, u long, d double, new boolean"
 
 def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """``nodes(node, small)`` to edges (v, u, d, new): about K near neighbours of every node."""
-    groups = max(1, math.ceil(nodes.count() / GROUP))
+    n = nodes.count()
+    groups, offers, changed = max(1, math.ceil(n / GROUP)), OFFERS, CHANGED * K * n
 
+    @tk.releasing
     def inside(batches):
         def parts():
             for run in _runs(batches, 2 * GROUP):
@@ -114,21 +120,20 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         yield from _edge_batches(parts())
 
     edges = None
-    for k in range(GROUPINGS if groups > 1 else 1):
+    for k in range(GROUPINGS):
         dealt = nodes.select(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(groups)).alias("g"), "node", "small").repartition("g").sortWithinPartitions("g")
         part = dealt.mapInArrow(inside, _EDGE)
         edges = part if edges is None else edges.union(part)
     graph = scratch.save(_best(edges, K), "graph0")
-    if groups == 1:
-        return graph
 
+    @tk.releasing
     def meet(batches):
         def parts():
             held = []
             for run in _runs(batches, 1 + K + REVERSE):
                 new = np.array([r[3] for r in run])
                 if len(run) > 1 and new.any():
-                    held.append(_offers(np.array([r[1] for r in run], dtype=np.int64), unpack([r[4] for r in run]), np.array([r[2] for r in run]), new, OFFERS))
+                    held.append(_offers(np.array([r[1] for r in run], dtype=np.int64), unpack([r[4] for r in run]), np.array([r[2] for r in run]), new, offers))
                 if len(held) == 512:
                     yield tuple(map(np.concatenate, zip(*held)))
                     held = []
@@ -148,12 +153,21 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         met = member.join(vectors, "node").select("m", "node", "kth", "new", "small").repartition("m").sortWithinPartitions("m", "node").mapInArrow(meet, _EDGE)
         graph = scratch.save(_best(graph.withColumn("new", F.lit(False)).union(met), K), f"graph{k}")
         scratch.drop(f"graph{k - 1}")
+        if graph.where("new").count() <= changed:
+            break
     return graph
 
 
+def both_ways(graph: DataFrame) -> DataFrame:
+    """(v, u): each node's neighbours and its REVERSE nearest reverse neighbours."""
+    back = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "d").withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))).where(f"r <= {REVERSE}")
+    return graph.select("v", "u").union(back.select("v", "u")).distinct()
+
+
 def _with_distance(pairs: DataFrame) -> DataFrame:
     """``pairs(s, node, q, vec)`` to (s, node, d), Euclidean in double precision."""
 
+    @tk.releasing
     def rows(batches):
         for batch in batches:
             if batch.num_rows:
@@ -183,7 +197,7 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
     first = member.where("r = 1").select("node", "vec")
     nodes = scratch.save(first.mapInArrow(smaller, "node long, small binary"), "nodes")
     graph = build_graph(nodes, scratch)
-    links = scratch.save(graph.select("v", "u").union(graph.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "links")
+    links = scratch.save(both_ways(graph), "links")
 
     queries = rows.where(f"vec_id % {every} = 0").select(F.col("vec_id").alias("query_id"), "vec")
     queries = scratch.save(queries.join(first, "vec").select("query_id", "node", F.col("vec").alias("q")), "queries")
@@ -198,6 +212,10 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
         found = _with_distance(reached.join(first, "node").join(search.select(F.col("node").alias("s"), "q"), "s")).select("s", "node", "d", F.lit(False).alias("done"))
         known = pool.join(picked.select("s", F.col("v").alias("node"), F.lit(True).alias("now")), ["s", "node"], "left").select("s", "node", "d", F.expr("done or coalesce(now, false)").alias("done"))
         pool = scratch.save(known.union(found).withColumn("r", F.row_number().over(ranked)).where(f"r <= {POOL}").drop("r"), f"pool{k}")
+        if k:
+            scratch.drop(f"pool{k - 1}")
+        if pool.where("not done").count() <= SETTLED * pool.count():
+            break
     near = pool.join(member.select("node", "vec_id"), "node").select("s", "vec_id", "d")
     answers = queries.select("query_id", F.col("node").alias("s")).join(near, "s").where("vec_id <> query_id")
     ranks = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))

@@ -192,6 +192,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(f"y in (0, 1) and doc_id is not null and not {HELD_OUT.format('doc_id')}")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_labelled)
 
+    @tk.releasing
     def rows(batches):
         for batch, data, offs in tk.slices(batches, "text"):
             x = features(data, offs)

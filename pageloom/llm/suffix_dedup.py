@@ -222,6 +222,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """``docs(k1, k2, text)`` of different texts to (k1, k2, first, last): runs of string starts that repeat."""
     sc, block = docs.sparkSession.sparkContext, BLOCK
 
+    @tk.releasing
     def elected(batches):
         often = Often()
         for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES):
@@ -245,6 +246,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
         out["hash"], out["at"], out["n"] = often.values[left], -1, np.minimum(often.counts[left], 1 << 30)
         yield _packed("bucket", (out["hash"] % np.uint64(buckets)).astype(np.int64), out)
 
+    @tk.releasing
     def twice(batches):
         """Places of anchors that occur twice; anchors that are hot come as a place -1 of a text named by their hash."""
         for held in _by_bucket(batches):
@@ -279,6 +281,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
         out["k1"], out["k2"], out["first"], out["count"] = key[0], key[1], start, stop - start
         return _packed("cell", 2 * cells + (out["k1"].view(np.uint64) % np.uint64(cells)).astype(np.int64), out)
 
+    @tk.releasing
     def pieces(batches):
         often, hot = Often(), sent_hot.value
         for batch, data, offs in tk.slices(batches, "text", tk.BLOCK_BYTES):
@@ -323,6 +326,7 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.where(held, size, 0))])
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([out[a:b].tobytes() for a, b in zip(head, stop)], pa.binary()), pa.array([text[ends[a] : ends[b]].tobytes() for a, b in zip(head, stop)], pa.binary())], ["cell", "heads", "bytes"])
 
+    @tk.releasing
     def sorted_blocks(batches):
         for held in _by_bucket(batches):
             if held[0][0] >= 2 * cells:
@@ -423,6 +427,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = scratch.save(found, "removed")
     scratch.drop("spans")
 
+    @tk.releasing
     def kept(batches):
         for batch, data, offs in tk.slices(batches, "text"):
             n = batch.num_rows

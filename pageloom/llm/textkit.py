@@ -7,6 +7,8 @@ is bounded by the block and the longest single text, not by an Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,23 @@ BLOCK_BYTES = 1 << 20
 _ODD = U(0x9E3779B97F4A7C15)
 
 
+def releasing(batches_to_batches):
+    """For functions of mapInArrow: what a task has freed goes back to the system at its end, as workers live on for other stages."""
+
+    @functools.wraps(batches_to_batches)
+    def run(batches):
+        try:
+            yield from batches_to_batches(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply); a bijection."""
     x = x ^ (x >> U(30))

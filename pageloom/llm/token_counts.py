@@ -23,6 +23,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
     """A row for each row of ``docs``: doc_id, n_bytes, n_tokens, over_limit."""
     ship(docs.sparkSession)
 
+    @tk.releasing
     def rows(batches):
         vocab = read_vocabulary(vocabulary)
         table = Words(vocab, lambda words: encode_words(vocab, words))
