@@ -2,13 +2,14 @@
 
 Encoder and decoder work on all frames of a block at once: a frame is 192 mono
 8-bit samples. The encoder takes, for each frame, the fixed linear predictor (order 0
-to 4) with the smallest residuals and the best of three Rice parameters, or stores
-the frame verbatim where that is smaller. The
+to 4) with the smallest residuals, or a fitted one with quantised coefficients where its
+residuals save more bits than its coefficients take, and the best of three Rice parameters,
+or stores the frame verbatim where that is smaller. The
 decoder walks the residuals of all frames in step, undoes the predictor, checks the
 CRC-8 of each header and the CRC-16 of each frame, and yields PCM blocks together
 with the byte offset of each frame, so that any sample range can be read alone.
 A file is the stream marker, STREAMINFO (with the MD5 of the samples), a SEEKTABLE
-and the frames.
+and the frames. ``read_stream`` reads FLAC streams in general, one sample after another.
 
 Defined cases: null and empty texts give one frame of padding; rows are
 independent, so repeated rows and null ids pass through; other columns are ignored.
@@ -33,6 +34,8 @@ RATE = 8000
 SEEK_EVERY = 64
 ORDERS = 5
 PARAMS = 9
+#: Fitted predictors: order, bits of a coefficient, and how far predictions are shifted down.
+FITTED, COEFFICIENT_BITS, SHIFT = 8, 10, 7
 #: Fixed predictors: coefficients of the last samples, nearest first, by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -111,42 +114,75 @@ def _residuals(pcm: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _fitted(pcm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients (n, FITTED), nearest sample first, by Levinson-Durbin on windowed autocorrelations, and the residuals (n, FRAME - FITTED)."""
+    x = pcm.astype(np.float64) * np.hanning(FRAME + 2)[1:-1]
+    auto = np.stack([(x[:, : FRAME - k] * x[:, k:]).sum(axis=1) for k in range(FITTED + 1)], axis=1)
+    error = auto[:, 0] * (1 + 1e-9) + 1e-6
+    a = np.zeros((len(pcm), FITTED))
+    for m in range(FITTED):
+        reflect = (auto[:, m + 1] - (a[:, :m] * auto[:, m:0:-1]).sum(axis=1)) / error
+        a[:, :m] -= reflect[:, None] * a[:, :m][:, ::-1]
+        a[:, m] = reflect
+        error = np.maximum(error * (1 - reflect**2), 1e-6)
+    most = (1 << (COEFFICIENT_BITS - 1)) - 1
+    c = np.clip(np.rint(a * (1 << SHIFT)), -most, most).astype(np.int32)
+    wide = pcm.astype(np.int32)
+    guess = sum(c[:, j, None] * wide[:, FITTED - 1 - j : FRAME - 1 - j] for j in range(FITTED))
+    return c, wide[:, FITTED:] - (guess >> SHIFT)
+
+
 def encode_frames(pcm: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames (n, 192) of signed samples to their bytes, one after another, and their bounds."""
     n = len(pcm)
     residuals = _residuals(pcm)
     total = np.stack([r.sum(axis=1, dtype=np.int64) for r in residuals])
     chosen = total.argmin(axis=0)
+    coefficients, rest = _fitted(pcm)
+    folded = (rest << 1) ^ (rest >> 31)
+    sums = folded.sum(axis=1, dtype=np.int64)
+    # bits of a frame, about: a residual takes what its mean needs; coefficients and their warm-up are paid for
+    need = lambda t, count, order: count * np.log2(1 + t / count) + 8 * order
+    fixed = np.choose(chosen, [need(total[o], FRAME - o, o) for o in range(ORDERS)])
+    chosen = np.where(need(sums, FRAME - FITTED, FITTED) + FITTED * COEFFICIENT_BITS + 9 < fixed, ORDERS, chosen)
+    residuals.append(folded)
+    total = np.concatenate([total, sums[None]])
     bodies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each kind: frames, bytes, bounds
 
     def pack(rows: np.ndarray, zeros: np.ndarray, value: np.ndarray, width: np.ndarray) -> None:
         bodies.append((rows, *_bits_to_bytes(value.ravel(), zeros.ravel(), width.ravel(), np.arange(len(rows) + 1) * value.shape[1])))
 
     verbatim = np.zeros(n, dtype=bool)
-    for order in range(ORDERS):
-        rows = np.flatnonzero(chosen == order)
+    for kind in range(ORDERS + 1):
+        rows = np.flatnonzero(chosen == kind)
         if not len(rows):
             continue
-        folded, count = residuals[order][rows].astype(np.int64), FRAME - order
+        order, extra = (FITTED, FITTED + 1) if kind == ORDERS else (kind, 0)
+        extra_bits = FITTED * COEFFICIENT_BITS + 9 if extra else 0
+        folded, count = residuals[kind][rows].astype(np.int64), FRAME - order
         # near the best parameter the cost is flat: three around the mean's are tried
-        guess = np.clip(np.log2(np.maximum(1, total[order, rows] / count)).astype(np.int64), 1, PARAMS - 2)
+        guess = np.clip(np.log2(np.maximum(1, total[kind, rows] / count)).astype(np.int64), 1, PARAMS - 2)
         tries = guess + np.arange(-1, 2)[:, None]
-        bits = np.stack([8 * order + 18 + count * (k + 1) + (folded >> k[:, None]).sum(axis=1) for k in tries])
+        bits = np.stack([8 * order + extra_bits + 18 + count * (k + 1) + (folded >> k[:, None]).sum(axis=1) for k in tries])
         k = tries[bits.argmin(axis=0), np.arange(len(rows))][:, None]
         verbatim[rows] = bits.min(axis=0) >= 8 * FRAME + 8
         keep = ~verbatim[rows]
         rows, folded, k = rows[keep], folded[keep], k[keep]
         if not len(rows):
             continue
-        zeros = np.zeros((len(rows), 2 + order + count), dtype=np.int64)
+        at = 1 + order + extra
+        zeros = np.zeros((len(rows), at + 1 + count), dtype=np.int64)
         value, width = zeros.copy(), np.full_like(zeros, 8)
-        value[:, 0] = (8 + order) << 1
+        value[:, 0] = (31 + order if extra else 8 + order) << 1
         value[:, 1 : 1 + order] = pcm[rows, :order].astype(np.int64) & 0xFF
-        value[:, 1 + order : 2 + order] = k  # Rice coding, one partition, 4-bit parameter: ten bits
-        width[:, 1 + order] = 10
-        zeros[:, 2 + order :] = folded >> k
-        value[:, 2 + order :] = (1 << k) | (folded & ((1 << k) - 1))
-        width[:, 2 + order :] = k + 1
+        if extra:  # precision less 1 in four bits, shift in five, coefficients
+            value[:, 1 + order], width[:, 1 + order] = (COEFFICIENT_BITS - 1) << 5 | SHIFT, 9
+            value[:, 2 + order : at], width[:, 2 + order : at] = coefficients[rows].astype(np.int64) & ((1 << COEFFICIENT_BITS) - 1), COEFFICIENT_BITS
+        value[:, at] = k[:, 0]  # Rice coding, one partition, 4-bit parameter: ten bits
+        width[:, at] = 10
+        zeros[:, at + 1 :] = folded >> k
+        value[:, at + 1 :] = (1 << k) | (folded & ((1 << k) - 1))
+        width[:, at + 1 :] = k + 1
         pack(rows, zeros, value, width)
     rows = np.flatnonzero(verbatim)
     if len(rows):
@@ -185,25 +221,43 @@ def decode_frames(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if (crc16(padded, starts, ends - starts - 2) != padded[ends - 2].astype(np.int64) << 8 | padded[ends - 1]).any():
         raise ValueError("a frame's CRC-16 is wrong")
     kind = padded[starts + head].astype(np.int64)
-    order = np.where(kind == 0x02, -1, (kind >> 1) - 8)
-    if ((order < -1) | (order >= ORDERS) | (kind & 1)).any():
+    code = kind >> 1
+    fixed, fitted = (code >= 8) & (code < 8 + ORDERS), code >= 32
+    order = np.select([fixed, fitted], [code - 8, code - 31], -1)
+    if ((kind & 1).astype(bool) | ~(fixed | fitted | (code <= 1))).any():
         raise ValueError("unknown subframe")
     pcm = np.zeros((n, FRAME), dtype=np.int64)
     # the next eight bytes at every place, as one number
     word = np.zeros(len(padded) - 8, dtype=np.uint64)
     for k in range(8):
         word = word << np.uint64(8) | padded[k : len(padded) - 8 + k]
-    plain = np.flatnonzero(order < 0)
+    plain, constant = np.flatnonzero(code == 1), np.flatnonzero(code == 0)
     pcm[plain] = padded[starts[plain, None] + head[plain, None] + 1 + np.arange(FRAME)].astype(np.int8)
-    for p in range(ORDERS):
-        at = np.flatnonzero(order == p)
-        if not len(at):
-            continue
+    pcm[constant] = padded[starts[constant, None] + head[constant, None] + 1].astype(np.int8)
+
+    def bits(at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Numbers of up to 32 bits at bit places."""
+        return ((word[at >> 3] << (at & 7).astype(np.uint64)) >> np.asarray(64 - size, dtype=np.uint64)).astype(np.int64)
+
+    for p, lpc in sorted(set(zip(order[order >= 0].tolist(), fitted[order >= 0].tolist()))):
+        at = np.flatnonzero((order == p) & (fitted == lpc))
         first = starts[at] + head[at] + 1
         for j in range(p):
             pcm[at, j] = padded[first + j].astype(np.int8)
-        k = (word[first + p] >> np.uint64(54)).astype(np.int64)
-        bit = (first + p) * 8 + 10
+        bit = (first + p) * 8
+        shift = np.zeros(len(at), dtype=np.int64)
+        weights: list = list(FIXED[p]) if not lpc else []
+        if lpc:
+            size, shift = bits(bit, 4) + 1, bits(bit + 4, 5)
+            bit = bit + 9
+            for _ in range(p):
+                c = bits(bit, size)
+                weights.append(np.where(c >> (size - 1) & 1, c - (1 << size), c))
+                bit = bit + size
+        if (bits(bit, 6) != 0).any():
+            raise ValueError("frames of this decoder have one Rice partition of 4-bit parameter; see read_stream")
+        k = bits(bit + 6, 4)
+        bit = bit + 10
         folded = np.empty((FRAME - p, len(at)), dtype=np.int64)
         mask, k1 = (1 << k) - 1, k + 1
         for j in range(FRAME - p):
@@ -228,10 +282,10 @@ def decode_frames(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         samples = np.empty((FRAME, len(at)), dtype=np.int64)
         samples[:p] = pcm[at, :p].T
         for j in range(p, FRAME):
-            value = residual[j - p]
-            for q, c in enumerate(FIXED[p]):
-                value = value + c * samples[j - 1 - q]
-            samples[j] = value
+            value = np.zeros(len(at), dtype=np.int64)
+            for q, c in enumerate(weights):
+                value += c * samples[j - 1 - q]
+            samples[j] = residual[j - p] + (value >> shift)
         pcm[at] = samples.T
     if pcm.min(initial=0) < -128 or pcm.max(initial=0) > 127:
         raise ValueError("a sample is out of range")
@@ -347,3 +401,110 @@ def read_samples(blob: bytes, frame_offsets, start: int, count: int) -> bytes:
     offsets = np.asarray(frame_offsets[first : last + 1], dtype=np.int64)
     pcm = decode_frames(np.frombuffer(blob, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
     return (pcm.astype(np.int16) + 128).astype(np.uint8).tobytes()[start - first * FRAME : start - first * FRAME + count]
+
+
+def read_stream(blob: bytes) -> np.ndarray:
+    """A FLAC stream in general to samples (n, channels): any block size, 4 to 32 bits, constant, verbatim, fixed and fitted
+    subframes, Rice partitions of both kinds with escapes, wasted bits, and stereo differences. One sample after another,
+    for files of other encoders; header and frame checksums are verified."""
+    if blob[:4] != b"fLaC":
+        raise ValueError("no FLAC stream marker")
+    at, channels, depth = 4, 1, 8
+    while True:
+        kind, size = blob[at], int.from_bytes(blob[at + 1 : at + 4], "big")
+        if not kind & 0x7F:
+            packed = int.from_bytes(blob[at + 14 : at + 22], "big")
+            channels, depth = (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1
+        at += 4 + size
+        if kind & 0x80:
+            break
+    place = at * 8
+
+    def take(n: int) -> int:
+        nonlocal place
+        low = place >> 3
+        value = int.from_bytes(blob[low : (place + n + 7) >> 3], "big") >> (-(place + n) & 7)
+        place += n
+        return value & ((1 << n) - 1)
+
+    def signed(n: int) -> int:
+        value = take(n) if n else 0
+        return value - (1 << n) if n and value >> (n - 1) else value
+
+    def unary() -> int:
+        n = 0
+        while not take(1):
+            n += 1
+        return n
+
+    def check(table: np.ndarray, width: int, low: int, high: int) -> int:
+        crc = 0
+        for b in blob[low:high]:
+            crc = int(table[(crc >> (width - 8)) ^ b]) ^ (crc << 8 & ((1 << width) - 1))
+        return crc
+
+    def residual(count: int, order: int) -> list[int]:
+        width, parts, out = (4, 5)[take(2)], 1 << take(4), []
+        for part in range(parts):
+            k, many = take(width), count // parts - (order if not part else 0)
+            if k == (1 << width) - 1:
+                raw = take(5)
+                out += [signed(raw) for _ in range(many)]
+                continue
+            for _ in range(many):
+                folded = unary() << k | (take(k) if k else 0)
+                out.append((folded >> 1) ^ -(folded & 1))
+        return out
+
+    def subframe(count: int, size: int) -> list[int]:
+        take(1)
+        code, wasted = take(6), 0
+        if take(1):
+            wasted = unary() + 1
+        size -= wasted
+        if code == 0:
+            out = [signed(size)] * count
+        elif code == 1:
+            out = [signed(size) for _ in range(count)]
+        elif 8 <= code <= 12 or code >= 32:
+            order = code - 8 if code < 32 else code - 31
+            out, weights, shift = [signed(size) for _ in range(order)], list(FIXED[order]) if code < 32 else [], 0
+            if code >= 32:
+                bits, shift = take(4) + 1, signed(5)
+                weights = [signed(bits) for _ in range(order)]
+            for r in residual(count, order):
+                out.append(r + (sum(w * out[-1 - q] for q, w in enumerate(weights)) >> shift))
+        else:
+            raise ValueError("unknown subframe")
+        return [v << wasted for v in out]
+
+    blocks = []
+    while place >> 3 < len(blob):
+        begin = place >> 3
+        if take(14) != 0x3FFE:
+            raise ValueError("no frame begins here")
+        take(2)
+        block, rate, layout, bits = take(4), take(4), take(4), take(3)
+        take(1)
+        lead = 8 - (take(8) ^ 0xFF).bit_length()
+        for _ in range(lead - 1):
+            take(8)
+        count = take(8) + 1 if block == 6 else take(16) + 1 if block == 7 else 192 if block == 1 else 576 << (block - 2) if block < 6 else 256 << (block - 8)
+        take({12: 8, 13: 16, 14: 16}.get(rate, 0))
+        if check(CRC8, 8, begin, place >> 3) != take(8):
+            raise ValueError("a frame header's CRC-8 is wrong")
+        size = {0: depth, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}[bits]
+        wide = {8: 1, 9: 0, 10: 1}.get(layout)
+        planes = [subframe(count, size + (wide == c)) for c in range(layout + 1 if layout < 8 else 2)]
+        if layout == 8:
+            planes[1] = [a - b for a, b in zip(*planes)]
+        elif layout == 9:
+            planes[0] = [a + b for a, b in zip(*planes)]
+        elif layout == 10:
+            middle = [m << 1 | s & 1 for m, s in zip(*planes)]
+            planes = [[(m + s) >> 1 for m, s in zip(middle, planes[1])], [(m - s) >> 1 for m, s in zip(middle, planes[1])]]
+        place += -place & 7
+        if check(CRC16, 16, begin, place >> 3) != take(16):
+            raise ValueError("a frame's CRC-16 is wrong")
+        blocks.append(np.array(planes, dtype=np.int64).T)
+    return np.concatenate(blocks) if blocks else np.zeros((0, channels), dtype=np.int64)

@@ -5,7 +5,8 @@ document posteriors over domains (tempered by the square root of its length, so
 they stay soft). Document rates r within [low, high] are then fitted so that expected
 token totals, the sum of r * tokens * posterior of each domain, match weight * budget:
 least squares of the totals' errors relative to each domain's mass, solved by
-projected gradient descent from r = 1. A step only needs the domains' totals, one
+projected gradient descent from r = 1. ``low`` is 0 for rates that are merely nonnegative;
+a floor of 1 keeps every document. A step only needs the domains' totals, one
 aggregation over all documents, and a document's rate is a function of its posteriors
 and the steps so far; nothing else leaves the executors. A rate becomes whole copies:
 its floor, and one more with the probability of its fraction by a hash of the id.
@@ -16,9 +17,9 @@ at most) and one row of totals a step.
 Defined cases: null and empty texts have no tokens and the labelled shares as
 posteriors; labels that are null, unknown or without document are ignored; with no
 labelled text all posteriors are equal; repeated rows and rows that share an id are
-one document, counted once for each row; a null id has its own rate by its text's
-hash; a domain without mass can't be reached and is left out of the budget; an empty
-table gives an empty result; other columns pass through.
+one document, counted once for each row, and so are all rows without id; a domain without
+mass can't be reached and is left out of the budget; an empty table gives an empty result;
+other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def _model(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, dom
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     counts = _words(texts, "text", "domain").groupBy("domain", "bucket").agg(F.count("*").alias("c"))
     wide = counts.groupBy("bucket").agg(*(F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("c"))), F.lit(0)).alias(f"c{k}") for k, d in enumerate(domains)))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(wide, "bucket", "left").na.fill(0).cache()
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(wide, "bucket", "left").na.fill(0)
+    every = Scratch(docs.sparkSession, "words").save(every, "counts")
     sums = every.agg(*(F.sum(f"c{k}").alias(f"s{k}") for k in range(len(domains)))).first()
     model = every.select("bucket", *(F.log((F.col(f"c{k}") + 0.5) / F.lit(float(sums[k] + 0.5 * BUCKETS))).alias(f"w{k}") for k in range(len(domains))))
     return model, [math.log((shares.get(d, 0) + 1) / total) for d in domains]
@@ -116,8 +118,10 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 
 def mix_sources(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], low: float = 1.0, high: float = 4.0, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the same columns, each row as often as its rate says; with ``low`` of 1 no document is lost."""
-    rates = mixing_rates(docs, labelled, targets, low, high, budget, id_col, text_col).where("copies <> 1").select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__copies"))
+    rates = mixing_rates(docs, labelled, targets, low, high, budget, id_col, text_col).where("copies <> 1").select(F.col("doc_id").alias("key"), F.col("copies").cast("int").alias("copies"))
     rates = Scratch(docs.sparkSession, "rates").save(rates, "rates")
     rates = F.broadcast(rates) if rates.count() <= RATES_SENT else rates
-    dealt = docs.join(rates, docs[id_col].eqNullSafe(rates["__id"]), "left")
-    return dealt.withColumn("__copy", F.explode(F.expr("case when coalesce(__copies, 1) > 0 then sequence(1, coalesce(__copies, 1)) else array() end"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # the document travels as one column, so no name of its own can clash
+    nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").alias("id"))
+    dealt = nested.join(rates, F.expr("id <=> key"), "left").select("doc", F.explode(F.expr("case when coalesce(copies, 1) > 0 then sequence(1, coalesce(copies, 1)) else array() end")))
+    return dealt.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

@@ -74,7 +74,7 @@ def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageloom.llm.mixing import mixing_rates
 
-    return mixing_rates(_table(spark, sf_dir, "documents"), language_labels(spark, sf_dir), MIX_TARGETS, low=1.0, high=4.0)
+    return mixing_rates(_table(spark, sf_dir, "documents"), language_labels(spark, sf_dir), MIX_TARGETS, low=0.0, high=4.0)
 
 
 def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,100 @@ def test_mixing(spark):
     assert mix_sources(make(spark, []), labelled, {"de": 0.5, "en": 0.5}).count() == 0
 
 
+def test_mixing_against_least_squares(spark):
+    """Posteriors against plain naive Bayes, rates against a plain projected gradient, and a table with clashing names."""
+    import math
+
+    import xxhash
+    from pyspark.sql import functions as F
+
+    from pageloom.llm import mixing as M
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(("der die das und " * 3 + "the and of is " * rnd.randint(0, 3)).split()) for _ in range(rnd.randint(1, 60))) for _ in range(60)]
+    texts += [" ".join(rnd.choice("the and of is house".split()) for _ in range(rnd.randint(1, 60))) for _ in range(90)] + [None, ""]
+    labels = {i: "de" if i < 60 else "en" for i in range(0, 150, 3)}
+    docs = make(spark, texts)
+    labelled = spark.createDataFrame(list(labels.items()), "doc_id long, domain string")
+    targets = {"de": 0.6, "en": 0.4}
+    got = M.mixing_rates(docs, labelled, targets, low=0.0, high=5.0).toPandas().sort_values("doc_id")
+
+    def bucket(word):
+        h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+        return (h - (1 << 64) if h >> 63 else h) % M.BUCKETS
+
+    words = [[bucket(w) for w in (t or "").lower().split()] for t in texts]
+    counts, share = {d: Counter() for d in targets}, Counter(labels.values())
+    for i, d in labels.items():
+        counts[d].update(words[i])
+    p = []
+    for w in words:
+        logit = [math.log((share[d] + 1) / (len(labels) + 2)) + sum(math.log((counts[d][b] + 0.5) / (sum(counts[d].values()) + 0.5 * M.BUCKETS)) for b in w) / math.sqrt(max(1, len(w))) for d in sorted(targets)]
+        e = [math.exp(x - max(logit)) for x in logit]
+        p.append([x / sum(e) for x in e])
+    p, tokens = np.array(p), np.array([len(w) for w in words], float)
+    assert np.allclose(got[["p_de", "p_en"]].to_numpy(), p) and (got["tokens"] == tokens).all()
+    mass, want = tokens @ p, np.array([0.6, 0.4])
+    budget = (mass / want).max()
+    error = lambda r: (((r * tokens) @ p - want * budget) / mass)
+    rate = np.ones(len(texts))
+    for _ in range(4000):
+        rate = np.clip(rate - 0.5 * p @ error(rate), 0.0, 5.0)
+    mine = got["rate"].to_numpy()
+    assert (error(mine) ** 2).sum() <= (error(rate) ** 2).sum() + 1e-4 and mine.min() >= 0 and mine.max() <= 5
+    named = docs.select("doc_id", "text", *(F.lit(k).alias(k) for k in ("__id", "__copies", "copies", "doc", "key", "id", "col")))
+    mixed = M.mix_sources(named, labelled, targets)
+    assert mixed.columns == named.columns and mixed.where("id <> 'id' or doc <> 'doc'").count() == 0 and mixed.count() >= len(texts)
+
+
+def plain_features(text):
+    import math
+
+    raw, count = text.encode(), lambda chars: sum(chr(b) in chars for b in text.encode())
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [x for x in raw.split(b"\n") if x]
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    beyond, n = sum(b > 127 for b in raw), max(1, len(raw))
+    letters, w = max(1, upper + lower + beyond), max(1, len(words))
+    return [
+        math.log2(1 + len(raw)), upper / letters, count("0123456789") / n, beyond / n, count(",.;:?'\"-()") / n, count("!") / n, count("|<>[\\]{}") / n,
+        count("#$%&*+/=@^_`~") / n, sum(b < 9 or 10 < b < 32 or b == 127 for b in raw) / n, math.log2(1 + w / max(1, len(lines))), sum(map(len, words)) / w,
+        sum(len(x) <= 3 for x in words) / w, len(set(words)) / w, len(set(lines)) / max(1, len(lines)), sum(a == b for a, b in zip(words, words[1:])) / w,
+    ]
+
+
+def test_quality_against_plain_code(spark):
+    import math
+
+    from pageloom.llm import quality_gam as Q
+
+    assert [f for f in Q.FEATURES] and len(plain_features("a")) == len(Q.FEATURES)
+    texts = [t or "" for t in TEXTS]
+    raw = [t.encode() for t in texts]
+    x = Q.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert np.allclose(x, [plain_features(t) for t in texts])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    model = Q.fit_quality(make(spark, TEXTS), labels)
+    got = Q.quality_scores(make(spark, TEXTS), labels).toPandas().set_index("doc_id")["score"]
+    for i, t in enumerate(texts):
+        at = [sum(v >= c for c in cuts) for v, cuts in zip(x[i], model.cuts)]
+        total = model.intercept + sum(float(table[b]) for table, b in zip(model.tables, at)) + sum(float(table[at[a], at[b]]) for a, b, table in model.pairs)
+        assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-9
+
+    def slow_tree(g, w, depth):
+        leaf = [sum(g) / (sum(w) + 1)] * len(g)
+        if depth == 0 or len(g) < 2:
+            return leaf
+        gain = lambda c: sum(g[:c]) ** 2 / (sum(w[:c]) + 1) + sum(g[c:]) ** 2 / (sum(w[c:]) + 1)
+        cut = max(range(1, len(g)), key=lambda c: (gain(c), -c))
+        return slow_tree(g[:cut], w[:cut], depth - 1) + slow_tree(g[cut:], w[cut:], depth - 1)
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 30):
+        g, w = rng.normal(size=n), rng.random(n)
+        assert np.allclose(Q._tree(g, w, 2), slow_tree(g.tolist(), w.tolist(), 2))
+
+
 def test_flac(spark):
     from pageloom.llm.flac import decode_files, media_column, read_samples
 
@@ -203,21 +297,84 @@ def test_license_scan(spark):
     assert license_scan(make(spark, [])).count() == 0
 
 
+def test_license_spans(spark):
+    """A whole licence with some words changed is one span; its coverage is the share of template words in order."""
+    from pageloom.llm.license_scan import WHOLE, license_scan, words_of
+
+    texts, want = [], []
+    for k, (label, text) in enumerate(WHOLE):
+        words = words_of(text)
+        for at in range(10, len(words) - 5, 25):
+            words[at] = "zzz"
+        texts.append("Some words before. " + " ".join(words).upper() + "\n\nand after " * k)
+        want.append((label, (len(words) - len(range(10, len(words) - 5, 25))) / len(words)))
+    texts.append(" ".join(words_of(WHOLE[0][1])[:60]))
+    got = {r["doc_id"]: r["spans"] for r in license_scan(make(spark, texts)).collect()}
+    for i, (label, share) in enumerate(want):
+        wide = max(got[i], key=lambda s: s["end"] - s["start"])
+        assert (wide["label"], wide["start"]) == (label, 3) and abs(wide["coverage"] - share) < 1e-9
+    # a third of a licence is no span of the whole, only of the notice that it holds
+    assert max(s["end"] - s["start"] for s in got[len(WHOLE)]) < 30
+
+
 def test_pipeline(spark, tmp_path):
+    """Stage by stage on the table with nulls, empties and clashing names, each against what its operator's brute-force version says of its own input."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    texts = [t for t in TEXTS if t]
-    spark.createDataFrame([(i, t, "en" if i % 2 else "de", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(0, len(texts), 3)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    from pageloom.llm import quality_gam as Q
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, removed string, copies int, id string"
+    data = [(i, t, "en" if i % 2 else "de", "s", len(t or ""), "r", 1, "x") for i, t in enumerate(TEXTS)] + [(None, "no id", "en", "s", 5, "r", 1, "x")]
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, len(TEXTS), 3)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == columns, name
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
-        if name == "lines":
-            gone, compared = brute_lines(texts)
-            assert {r["doc_id"] for r in docs.collect()} == {i for i in range(len(texts)) if len(gone.get(i, ())) < compared[i] or not compared[i]}
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert out and Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in docs.collect())
-    assert all(r["n_tokens"] == len(r["ids"]) for r in out)
+    columns, (theirs, out) = docs.columns, (Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), None)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        out = stage(spark, docs, str(tmp_path))
+        after = out.collect()
+        keyed = lambda rows: {r["doc_id"]: r["text"] for r in rows}
+        if name == "encoding":
+            assert Counter((r["doc_id"], tuple(r["ids"])) for r in after) == Counter((r["doc_id"], tuple(theirs.encode(r["text"] or "", add_special_tokens=False).ids)) for r in before)
+            assert all(r["n_tokens"] == len(r["ids"]) for r in after)
+            break
+        assert out.columns == columns, name
+        if name == "quality":
+            model = Q.fit_quality(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+            raw = [(r["text"] or "").encode() for r in before]
+            score = model.score(Q.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])))
+            assert Counter(r["doc_id"] for r in after) == Counter(r["doc_id"] for r, v in zip(before, score) if v >= Q.THRESHOLD)
+        elif name == "lines":
+            rows = sorted((r for r in before if r["doc_id"] is not None), key=lambda r: r["doc_id"])
+            gone, compared = brute_lines([r["text"] for r in rows])
+            kept = {r["doc_id"]: (r["text"] if k not in gone else "\n".join(x for n, x in enumerate(r["text"].split("\n")) if n not in gone[k])) for k, r in enumerate(rows) if len(gone.get(k, ())) < compared[k] or not compared[k]}
+            assert keyed(after) == kept | {r["doc_id"]: r["text"] for r in before if r["doc_id"] is None}
+            assert all(r["n_chars"] == len(r["text"]) for r in after if r["text"] is not None)
+        elif name == "near_duplicates":
+            sets, left = {}, {}
+            for r in before:
+                w = re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().translate(LOWER))
+                sets[r["doc_id"]] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+            root = {i: i for i in sets if i is not None}
+            for a in sorted(root):
+                for b in sorted(root):
+                    if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                        low, high = sorted((root[a], root[b]))
+                        root = {k: low if v == high else v for k, v in root.items()}
+            left = {i for i, v in root.items() if i == v} | ({None} & set(sets))
+            assert set(keyed(after)) == left and len(after) == len(left)
+        else:
+            assert set(keyed(after)) == set(keyed(before)) and len(after) >= len(before) and all(r["removed"] == "r" and r["copies"] == 1 for r in after)
+        docs = spark.createDataFrame(after, docs.schema)
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert whole and Counter(r["doc_id"] for r in whole) == Counter(r["doc_id"] for r in after)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
