@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last keep the columns of
 documents.
+
+Defined cases: a null text is scored as the empty one by the quality stage and passes the
+others as it is; rows without id are judged by quality and mixed, but take no part in the
+two deduplications and stay; repeated rows are one document to the line stage and copies
+to the near-duplicate stage, which keeps the smallest id of a group; ties go to the earlier
+id and line; an empty table gives empty results; further columns, whatever their names,
+pass through the stages that keep the columns.
 """
 
 from __future__ import annotations
