@@ -68,7 +68,7 @@ class Vocabulary:
             spelled[m] = spelled[a] + spelled[b]
         self.spelled_size = np.array([len(x) for x in spelled], dtype=np.int64)
         self.spelled_start = np.cumsum(self.spelled_size) - self.spelled_size
-        self.spelled = np.array([s for x in spelled for s in x], dtype=np.int64)
+        self.spelled = np.fromiter((s for x in spelled for s in x), dtype=np.int64, count=int(self.spelled_size.sum()))
 
     def symbols(self, pieces: list[bytes], final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all pieces, and their bounds; the last of a piece is a word's last where ``final``."""

@@ -24,6 +24,10 @@ from pageloom.llm.bpe import Vocabulary, Words, join_leaves, ragged_index, vocab
 from pageloom.runtime import ship
 
 
+#: Bytes of text coded at once, and words that a task remembers.
+BLOCK, WORDS = 1 << 18, 120_000
+
+
 def decode(vocab: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Ragged ids to strings: the tokens' texts with a space between."""
     if not len(ids):
@@ -87,8 +91,8 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
             words = [w if len(w) <= leaf else b"" for w in words]
             return vocab.merge(*vocab.symbols(words, np.array([len(w) > 0 for w in words])))
 
-        table = Words(vocab, whole)
-        for batch, _, _ in tk.slices(batches, text_col, tk.BLOCK_BYTES):
+        table = Words(vocab, whole, WORDS)
+        for batch, _, _ in tk.slices(batches, text_col, BLOCK):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             ids, ends, joins = encode(vocab, table, texts, leaf, window)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
