@@ -160,7 +160,9 @@ def p12(s, d):
 # ---- geometry --------------------------------------------------------------
 
 _D = "20.0e0"
-_PAIR = f"SELECT a.image_id, {AB} FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.sea = b.sea"
+#: Pairs of different boxes of a group whose gaps are at most so many pixels.
+_REACH = 60
+_PAIR = f"SELECT * FROM (SELECT DISTINCT a.image_id, a.sea, {AB} FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.sea = b.sea) WHERE {N.NOT_SAME} AND {G.x_overlap('a_', 'b_')} >= -{_REACH} AND {G.y_overlap('a_', 'b_')} >= -{_REACH}"
 _SEG = G.segment("a_", "b_")
 _FUNCS = {
     "g1_area": G.area("a_"), "g4_contains": G.contains("a_", "b_"), "g5_overlaps": G.overlaps("a_", "b_"), "g6_overlap": G.overlap("a_", "b_"),
@@ -173,8 +175,7 @@ _FUNCS = {
 
 @query("g1_g18_box_functions", f"{WB}, pair AS ({_PAIR}) SELECT {ENDS}, {', '.join(f'{e} AS {k}' for k, e in _FUNCS.items())} FROM pair")
 def g_pairs(s, d):
-    b = of_boxes(s, d)
-    pair = N.prefixed(b, "a_", "image_id", "sea").join(N.prefixed(b, "b_", "image_id", "sea"), ["image_id", "sea"])
+    pair = N.near_pairs(of_boxes(s, d).select("image_id", "sea", *N.BOX), _REACH, "sea")
     return pair.select(*ENDS.split(", "), *(F.expr(e).alias(k) for k, e in _FUNCS.items()))
 
 
@@ -288,11 +289,11 @@ _AT = "{k}.image_id = {e}.image_id AND {k}.x = {e}.{p}_x AND {k}.y = {e}.{p}_y A
 
 
 def _headed(s, d):
-    """Some words are made tall, as the derived words hardly differ in height."""
-    return of_boxes(s, d).withColumn("h", F.expr("cast(CASE WHEN is_word AND x % 7 = 0 THEN h + 12 ELSE h END as int)"))
+    """Ten images on one, and some words made tall, as the derived words hardly differ in height."""
+    return of_boxes(s, d).withColumn("image_id", F.expr("image_id div 10")).withColumn("h", F.expr("cast(CASE WHEN is_word AND x % 7 = 0 THEN h + 12 ELSE h END as int)")).distinct()
 
 
-_TALL = X.BOXES_SQL.replace("boxes AS (", "boxes1 AS (") + ", boxes AS (SELECT image_id, x, y, w, CAST(CASE WHEN is_word AND x % 7 = 0 THEN h + 12 ELSE h END AS INT) AS h, sea, is_word, line_id FROM boxes1)"
+_TALL = X.BOXES_SQL.replace("boxes AS (", "boxes1 AS (") + ", boxes AS (SELECT DISTINCT image_id // 10 AS image_id, x, y, w, CAST(CASE WHEN is_word AND x % 7 = 0 THEN h + 12 ELSE h END AS INT) AS h, sea, is_word, line_id FROM boxes1)"
 
 
 @query("j11_body_to_heading", f"WITH {_TALL}, {_PW}, {_HEAD} SELECT DISTINCT pw.* FROM pw JOIN kinds a ON {_AT.format(k='a', e='pw', p='a')} JOIN kinds b ON {_AT.format(k='b', e='pw', p='b')} WHERE NOT a.heading AND b.heading")
