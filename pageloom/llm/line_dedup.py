@@ -35,8 +35,8 @@ from pageloom.runtime import Scratch, ship
 
 #: The order goes by counts of all words, kept in so many counters by hash (a byte each on every executor).
 COUNTERS, PARTS = 1 << 20, 64
-#: Up to so many documents, classes or words a table is sent to all executors; beyond, a shuffled join.
-DOCS_SENT, CLASSES_SENT, WORDS_SENT = 1 << 19, 1 << 18, 1 << 20
+#: Up to so many documents (with what they list), classes or words a table is sent to all executors, some 20 MB; beyond, a shuffled join.
+DOCS_SENT, CLASSES_SENT, WORDS_SENT = 1 << 20, 1 << 18, 1 << 20
 #: Candidates tried first for a line and word; open lines sent to all executors at most.
 TRIED, OPEN_SENT = 3, 1 << 18
 #: Signatures of lines that a task remembers, so that a class sends its prefix rarely.
@@ -142,6 +142,12 @@ def _line_key(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
     return tk.mix(doc_id.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.int64).view(np.uint64)
 
 
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """``df`` marked for a broadcast if its rows, and what they list, are at most DOCS_SENT."""
+    n, listed = df.agg(F.count("*"), F.sum(F.size(lists).cast("long")) if lists else F.lit(0)).first()
+    return F.broadcast(df) if n + max(listed or 0, 0) <= DOCS_SENT else df
+
+
 ENDS = ["a_doc", "a_line", "b_doc", "b_line"]
 RECORD = np.dtype([("token", "<u8"), ("doc_id", "<i8"), ("b1", "<u8"), ("b2", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
 
@@ -355,7 +361,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def whole(ids: DataFrame) -> DataFrame:
         """(doc, line, blob) of the lines in ``ids(doc, line)``."""
         wanted = ids.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-        wanted = F.broadcast(wanted) if wanted.count() <= DOCS_SENT else wanted
+        wanted = _small(wanted, "wanted")
 
         @tk.releasing
         def pick(batches):
@@ -415,10 +421,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = copies.where("n > 0").select("doc_id", "line").union(matched).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     gone = scratch.save(gone, "gone")
     # documents that keep a compared line, or else a short one that no earlier line has
-    few = F.broadcast(gone) if gone.count() <= DOCS_SENT else gone
+    few = _small(gone, "removed")
     some = scratch.save(rows.where("n > 0").select("doc_id", "line").join(few, "doc_id").where("not array_contains(removed, line)").select("doc_id").distinct(), "some")
     emptied = scratch.save(gone.select("doc_id").join(some, "doc_id", "left_anti"), "emptied")
-    emptied = F.broadcast(emptied) if emptied.count() <= DOCS_SENT else emptied
+    emptied = _small(emptied)
     short = rows.where("n = 0").select("doc_id", "line").join(emptied, "doc_id", "left_semi").join(copies.where("n = 0").select("doc_id", "line"), ["doc_id", "line"], "left_anti")
     own = some.union(short.select("doc_id")).distinct().withColumn("own", F.lit(True))
     return gone.join(own, "doc_id", "left").select("doc_id", "removed", F.col("own").isNotNull().alias("stays"))
@@ -428,7 +434,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the same columns: texts without lines that match an earlier one, documents of which only repeats of earlier lines are left dropped."""
     scratch = Scratch(docs.sparkSession, "removed")
     found = scratch.save(removed_lines(docs, id_col, text_col, percent, least_words), "removed")
-    found = F.broadcast(found) if found.count() <= DOCS_SENT else found
+    found = _small(found, "removed")
     # the document travels as one column, so no name of its own can clash
     nested = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     joined = nested.join(found, "doc_id", "left").where("removed is null or stays")
