@@ -128,6 +128,13 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.vector_codes import books_digest, compress, with_label_sums
+
+    coded, books = compress(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return with_label_sums(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_nn_descent": op2_nn_descent,
@@ -140,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_toxicity": op11_toxicity,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
