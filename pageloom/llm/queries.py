@@ -135,6 +135,35 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_label_sums(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth document (by crc32 of its id) repeats a stretch of its words from some word on to its end."""
+    split = F.expr(r"array_remove(split(text, '[\\x20\\x09-\\x0D]+'), '')")
+    hashed = docs.select("doc_id", "text", F.expr("crc32(cast(doc_id as string))").alias("h"))
+    words = hashed.select("doc_id", "text", F.expr("h div 10").alias("g"), F.when(F.expr("h % 10 = 0"), split).alias("words"))
+    sized = words.withColumn("n", F.when(F.size("words") > 0, F.size("words")))
+    placed = sized.withColumn("a", F.expr("cast(g % n as int)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    told = F.expr("slice(concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int)))), 1, n)")
+    return placed.select("doc_id", F.when(F.col("n").isNotNull(), F.array_join(told, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.word_runs import word_runs
+
+    found = word_runs(with_repeats(_table(spark, sf_dir, "documents")), least=6, power=4)
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id",
+        "n_runs",
+        F.expr("-top.start").alias("start"),
+        F.col("top.length").alias("length"),
+        F.expr("-top.period").alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_nn_descent": op2_nn_descent,
@@ -148,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_toxicity": op11_toxicity,
     "op12_vector_codes": op12_vector_codes,
+    "op13_word_runs": op13_word_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {}
