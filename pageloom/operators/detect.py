@@ -11,13 +11,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.operators import colour as C, network as N, pixels as P, select as S
-from pageloom.runtime import Scratch, ship
-from pageloom.sources.frames import close_plane
+from pageloom.operators import colour as C, network as N, pixels as P, select as S, tiles as T
+from pageloom.runtime import Scratch
 
 # fixed values: the height that sizes are tuned for, kernel and margin at that height, edge thresholds
 TUNED_HEIGHT, KERNEL, MARGIN, LOW, HIGH = 1964, (8, 5), 2, 3, 40
@@ -36,23 +33,15 @@ def lab_plane(pixels: DataFrame) -> DataFrame:
     return P.to_lab(pixels).withColumnsRenamed({f"lab_{k}": k for k in "lab"})
 
 
-def closed_places(places: DataFrame, width: int, height: int, kx: int, ky: int) -> DataFrame:
-    """The closing of a sparse mask (image_id, y, x), a whole image at a time; a group is one frame's mask, so its size is that of a frame."""
-    ship(places.sparkSession)
+def detect_boxes(pixels: DataFrame, width: int, height: int, kernel: tuple[int, int], side: int = T.SIDE) -> DataFrame:
+    """Boxes of the closed edges of the l plane that pass the size filter. ``pixels`` has l, or r, g and b, of which tiles make it."""
+    edges = T.Edges(T.Grid(width, height, side), LOW, HIGH, kernel)
+    return edge_boxes(edges, T.tiles_of_pixels(pixels, edges.grid, ("l",) if "l" in pixels.columns else ("r", "g", "b")))
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((height, width), dtype=np.uint8)
-        mask[pdf["y"], pdf["x"]] = 255
-        y, x = np.nonzero(close_plane(mask, kx, ky))
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y.astype("int32"), "x": x.astype("int32")})
 
-    return places.select("image_id", "y", "x").groupBy("image_id").applyInPandas(close, "image_id long, y int, x int")
-
-
-def detect_boxes(plane: DataFrame, width: int, height: int, kernel: tuple[int, int]) -> DataFrame:
-    """Boxes of the closed edges of the l plane that pass the size filter."""
-    edges = P.canny(P.dense(plane.withColumnRenamed("l", "v"), width, height), LOW, HIGH)
-    return P.selectable(P.component_boxes(P.components(closed_places(edges, width, height, *kernel))), *kernel, width * height)
+def edge_boxes(edges: T.Edges, tiles: DataFrame) -> DataFrame:
+    """image_id, x, y, w, h of tiles with the halo of ``edges``."""
+    return P.selectable(edges.boxes(tiles), *edges.closing, edges.grid.width * edges.grid.height).select("image_id", *N.BOX)
 
 
 def keep_stable(boxes: DataFrame, words: DataFrame, plane: DataFrame, margin: int) -> DataFrame:

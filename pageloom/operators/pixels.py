@@ -74,7 +74,7 @@ def gradients(plane: DataFrame, value: str = "v") -> DataFrame:
         (F.lag("dx").over(column) + 2 * F.col("dx") + F.lead("dx").over(column)).alias("gx"),
         (F.lead("sx").over(column) - F.lag("sx").over(column)).alias("gy"),
     )
-    return both.select("image_id", "y", "x", "gx", "gy", F.expr("coalesce(least(255, cast(floor(sqrt(cast(gx * gx + gy * gy as double))) as int)), 0)").alias("mag"))
+    return both.select("image_id", "y", "x", "gx", "gy", F.expr("if(gx + gy is null, 0, least(255, cast(floor(sqrt(cast(gx * gx + gy * gy as double))) as int)))").alias("mag"))
 
 
 #: The neighbours (dy, dx) to compare with, by octant of the gradient: strictly above the first, not below the second.

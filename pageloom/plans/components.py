@@ -40,6 +40,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, keys: Sequence[
     spark, keys = edges.sparkSession, list(keys)
     scratch = Scratch(spark, "cc")
     now = scratch.save(edges.select(*keys, "a", "b").where("a <> b and a is not null and b is not null").distinct(), "0")
+    if now.isEmpty():
+        return spark.createDataFrame([], now.withColumnsRenamed({"a": "node", "b": "component"}).schema)
     seen = None
     for k in range(1, max_rounds + 1):
         now = scratch.save(_small_star(_large_star(now, keys), keys), str(k))

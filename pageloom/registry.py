@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom import fixtures as X
 from pageloom.functions import geometry as G
-from pageloom.operators import colour as C, detect as D, network as N, pixels as P, select as S
+from pageloom.operators import colour as C, detect as D, network as N, pixels as P, select as S, tiles as T
 from pageloom.runtime import Scratch
 
 HEIGHT, WIDTH = 800, 1200
@@ -67,17 +67,19 @@ _NEAR = "LEFT JOIN dense {a} ON {a}.image_id = c.image_id AND {a}.y = c.y + ({dy
 _SOBEL = (
     f"{_DENSE}, grad AS (SELECT c.image_id, c.y, c.x, (ne.v - nw.v) + 2 * (e.v - w.v) + (se.v - sw.v) AS gx, (sw.v + 2 * s.v + se.v) - (nw.v + 2 * n.v + ne.v) AS gy FROM dense c "
     + "".join(_NEAR.format(a=a, dy=dy, dx=dx) for a, dy, dx in (("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1), ("w", 0, -1), ("e", 0, 1), ("sw", 1, -1), ("s", 1, 0), ("se", 1, 1)))
-    + "), mags AS (SELECT *, coalesce(least(255, CAST(floor(sqrt(CAST(gx * gx + gy * gy AS DOUBLE))) AS INT)), 0) AS mag FROM grad)"
+    + "), mags AS (SELECT *, CASE WHEN gx + gy IS NULL THEN 0 ELSE least(255, CAST(floor(sqrt(CAST(gx * gx + gy * gy AS DOUBLE))) AS INT)) END AS mag FROM grad)"
 )
 
 
-def _plane(s, d):
-    return P.dense(X.pixels(s, d), 64, 64)
+def _tiled(s, d, halo: int, side: int = T.SIDE):
+    """Tiles of the mosaics and their grid; with a small side, stencils and components run over many of them."""
+    grid = T.Grid(64, 64, side, (halo, halo))
+    return T.tiles_of_pixels(X.pixels(s, d), grid, every=True), grid
 
 
 @query("p4_sobel", f"WITH {_SOBEL} SELECT image_id, y, x, mag FROM mags")
 def p4(s, d):
-    return P.gradients(_plane(s, d)).select("image_id", "y", "x", "mag")
+    return T.places_of(*_tiled(s, d, 1), lambda p: T.sobel(p[0])[2], "mag")
 
 
 _NMS = (
@@ -89,7 +91,7 @@ _NMS = (
 
 @query("p5_nonmax_suppression", f"WITH {_NMS} SELECT image_id, y, x, nms FROM thin")
 def p5(s, d):
-    return P.thin(P.gradients(_plane(s, d)))
+    return T.places_of(*_tiled(s, d, 2, 48), lambda p: T.thinned(p[0]), "nms")
 
 
 _HYST = (
@@ -98,14 +100,19 @@ _HYST = (
 )
 
 
+def _edges(s, d, low, high, side=T.SIDE):
+    edges = T.Edges(T.Grid(64, 64, side), low, high)
+    return edges.places(T.tiles_of_pixels(X.pixels(s, d), edges.grid))
+
+
 @query("p6_hysteresis", _HYST.format(low=120, high=250))
 def p6(s, d):
-    return P.canny(_plane(s, d), 120, 250)
+    return _edges(s, d, 120, 250, 24)
 
 
 @query("p7_canny", _HYST.format(low=3, high=40))
 def p7(s, d):
-    return P.canny(_plane(s, d), 3, 40)
+    return _edges(s, d, 3, 40)
 
 
 def _morph(agg: str, source: str, k: int = 3) -> str:
@@ -115,12 +122,12 @@ def _morph(agg: str, source: str, k: int = 3) -> str:
 
 @query("p8_dilate", f"WITH {_DENSE} {_morph('max', 'dense', 5)}")
 def p8(s, d):
-    return P.dilate(_plane(s, d), 5, 5)
+    return T.places_of(*_tiled(s, d, 2), lambda p: T.dilated(p[0], 5, 5), "v")
 
 
 @query("p9_erode", f"WITH {_DENSE} {_morph('min', 'dense')}")
 def p9(s, d):
-    return P.erode(_plane(s, d), 3, 3)
+    return T.places_of(*_tiled(s, d, 1), lambda p: T.eroded(p[0], 3, 3), "v")
 
 
 _CLOSED = f"{_DENSE}, grown AS ({_morph('max', 'dense')}), closed AS ({_morph('min', 'grown')})"
@@ -128,7 +135,7 @@ _CLOSED = f"{_DENSE}, grown AS ({_morph('max', 'dense')}), closed AS ({_morph('m
 
 @query("p10_close", f"WITH {_CLOSED} SELECT image_id, y, x, v FROM closed")
 def p10(s, d):
-    return P.close(_plane(s, d), 3, 3)
+    return T.places_of(*_tiled(s, d, 2, 48), lambda p: T.closed(p[0], 3, 3), "v")
 
 
 _COMPONENTS = (
@@ -138,13 +145,15 @@ _COMPONENTS = (
 )
 
 
-def _components(s, d):
-    return P.component_boxes(P.components(P.close(_plane(s, d), 3, 3).where("v >= 200")))
+def _components(s, d, side=T.SIDE):
+    tiles, grid = _tiled(s, d, 3, side)
+    _, labels = T.mask_components(tiles, grid, lambda p: T.closed(p[0], 3, 3) >= 200)
+    return T.component_boxes(labels).drop("component")
 
 
 @query("p11_component_boxes", f"{_COMPONENTS} SELECT image_id, x, y, w, h FROM cboxes")
 def p11(s, d):
-    return _components(s, d)
+    return _components(s, d, 24)
 
 
 @query("l1_selectable_boxes", f"{_COMPONENTS} SELECT DISTINCT image_id, x, y, w, h FROM cboxes WHERE w >= 2 AND h >= 2 AND w * h <= 0.6e0 * 4096")
@@ -651,7 +660,7 @@ def _mosaic_words(s, d):
 
 @query("d1_detect_boxes", f"WITH RECURSIVE {_DETECT} SELECT DISTINCT image_id, x, y, w, h FROM cboxes WHERE w >= 3 AND h >= 2 AND w * h <= 0.6e0 * 4096")
 def detect_boxes(s, d):
-    return D.detect_boxes(D.lab_plane(_frames(s, d)), 64, 64, (3, 2))
+    return D.detect_boxes(_frames(s, d), 64, 64, (3, 2))
 
 
 @query("d2_detect_layout")

@@ -160,6 +160,8 @@ def test_paragraph_cuts_read_the_words_own_edges(spark):
 
 def test_frames_to_boxes(spark, tmp_path):
     """PNG files with 64-bit ids of their paths, through pixels, edges, closing and components, against a flood fill."""
+    from pyspark.sql import functions as F
+
     from pageloom.operators import detect as D, pixels as P
     from pageloom.sources.frames import frame_pixels, read_frames
 
@@ -172,7 +174,8 @@ def test_frames_to_boxes(spark, tmp_path):
         (tmp_path / f"{k}.png").write_bytes(png(plane))
     pixels = frame_pixels(read_frames(spark, str(tmp_path)))
     plane = D.lab_plane(pixels)
-    mask = D.closed_places(P.canny(P.dense(plane.withColumnRenamed("l", "v"), 24, 24), 3, 40), 24, 24, 3, 2)
+    edges = P.canny(P.dense(plane.withColumnRenamed("l", "v"), 24, 24), 3, 40).withColumn("v", F.lit(255))
+    mask = P.close(P.dense(edges, 24, 24), 3, 2).where("v > 0")
     want = set()
     for image, part in mask.toPandas().groupby("image_id"):
         left = {*zip(part.y, part.x)}
@@ -187,8 +190,9 @@ def test_frames_to_boxes(spark, tmp_path):
             (y0, x0), (y1, x1) = map(min, zip(*seen)), map(max, zip(*seen))
             if x1 - x0 + 1 >= 3 and y1 - y0 + 1 >= 2 and (x1 - x0 + 1) * (y1 - y0 + 1) <= 0.6 * 576:
                 want.add((image, x0, y0, x1 - x0 + 1, y1 - y0 + 1))
-    got = D.detect_boxes(plane, 24, 24, (3, 2)).collect()
-    assert {(r["image_id"], r["x"], r["y"], r["w"], r["h"]) for r in got} == want and want
+    for source, side in ((plane, 24), (plane, 10), (pixels, 7)):
+        got = D.detect_boxes(source, 24, 24, (3, 2), side).collect()
+        assert {(r["image_id"], r["x"], r["y"], r["w"], r["h"]) for r in got} == want and want
 
 
 def test_detect_network(spark):
