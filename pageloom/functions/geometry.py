@@ -109,3 +109,13 @@ def crosses(c: str) -> str:
         high.append(f"CASE WHEN {d} = 0 THEN 1.0e0 ELSE greatest({t0} / nullif({d}, 0), {t1} / nullif({d}, 0)) END")
         clear.append(f"({d} <> 0 OR ({v}0 >= {from_} AND {v}0 <= {to}))")
     return f"({' AND '.join(clear)} AND greatest({', '.join(low)}) < least({', '.join(high)}))"
+
+
+def quad_box(xs: list[str], ys: list[str], width: str, height: str) -> dict[str, str]:
+    """The box of pixels around corners that are shares of a frame, counted from its lower left: flipped, rounded, at least one pixel wide and high, its start inside the frame."""
+    low = lambda v: f"least({', '.join(v)})"
+    high = lambda v: f"greatest({', '.join(v)})"
+    whole = lambda v: f"CAST(round({v}) AS INT)"
+    left, right_ = whole(f"{low(xs)} * {width}"), whole(f"{high(xs)} * {width}")
+    top, bottom_ = whole(f"(1 - {high(ys)}) * {height}"), whole(f"(1 - {low(ys)}) * {height}")
+    return {"x": f"greatest(0, {left})", "y": f"greatest(0, {top})", "w": f"greatest(1, {right_} - {left})", "h": f"greatest(1, {bottom_} - {top})"}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.operators import colour as C, network as N, pixels as P, select as S, tiles as T
 from pageloom.runtime import Scratch
+from pageloom.sources.frames import frame_pixels
 
 # fixed values: the height that sizes are tuned for, kernel and margin at that height, edge thresholds
 TUNED_HEIGHT, KERNEL, MARGIN, LOW, HIGH = 1964, (8, 5), 2, 3, 40
@@ -66,8 +67,15 @@ class Detection:
     words: DataFrame
 
 
-def detect(pixels: DataFrame, words: DataFrame, width: int, height: int, tuned_as: float | None = None, sensitivity: float = 1.0) -> Detection:
-    """All steps. ``tuned_as`` is the height that kernels and distances follow, the frames' own if not given.
+def detect_frames(frames: DataFrame, words: DataFrame, width: int, height: int, tuned_as: float | None = None, sensitivity: float = 1.0) -> Detection:
+    """All steps for frames (image_id, height, width, channels, data) of one size, whose tiles are cut where they are read."""
+    edges = T.Edges(T.Grid(width, height), LOW, HIGH, kernel_of(tuned_as or height))
+    found = Scratch(frames.sparkSession, "frames").save(edge_boxes(edges, T.tiles_of_frames(frames, edges.grid)), "found")
+    return detect(frame_pixels(frames), words, width, height, tuned_as, sensitivity, found)
+
+
+def detect(pixels: DataFrame, words: DataFrame, width: int, height: int, tuned_as: float | None = None, sensitivity: float = 1.0, found: DataFrame | None = None) -> Detection:
+    """All steps. ``tuned_as`` is the height that kernels and distances follow, the frames' own if not given; ``found`` are the edges' boxes if they are known.
 
     Images without pixels or without boxes have no rows; words may be an empty table; repeated words count once a box.
     """
@@ -75,7 +83,7 @@ def detect(pixels: DataFrame, words: DataFrame, width: int, height: int, tuned_a
     scale_height = tuned_as or height
     plane = scratch.save(lab_plane(pixels), "plane")
     words = scratch.save(words.select("image_id", "word_idx", "line_id", *N.BOX), "words")
-    found = scratch.save(detect_boxes(plane, width, height, kernel_of(scale_height)), "found")
+    found = found if found is not None else scratch.save(detect_boxes(plane, width, height, kernel_of(scale_height)), "found")
     chosen = scratch.save(S.drop_letters(S.drop_covered(found, words), words), "chosen")
     pairs = scratch.save(keep_stable(chosen, words, plane, margin_of(scale_height)), "pairs")
     grouped = scratch.save(C.seas(pairs).select("image_id", *N.BOX, F.col("sea_id").alias("sea")), "seas")

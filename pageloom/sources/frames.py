@@ -8,15 +8,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pageloom.runtime import ship
+
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Image files as rows: image_id (hash of the path), path, height, width, channels, data (rows of BGR or BGRA bytes)."""
-    images = spark.read.format("image").load(path).select("image.*").where("nChannels in (1, 3, 4)")
+    return _frames(spark.read.format("image").load(path))
+
+
+def stream_frames(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The same over a stream of image files; ``path`` may name many folders by a pattern."""
+    schema = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    return _frames(spark.readStream.format("image").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path))
+
+
+def _frames(images: DataFrame) -> DataFrame:
+    images = images.select("image.*").where("nChannels in (1, 3, 4)")
     return images.select(F.xxhash64("origin").alias("image_id"), F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data")
 
 
+def frame_planes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(image_id, pixels as rows, columns, r g b) of batches of frames."""
+    for batch in batches:
+        for image, height, width, channels, data in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("image_id", "height", "width", "channels", "data"))):
+            plane = np.frombuffer(data.as_buffer(), np.uint8).reshape(height.as_py(), width.as_py(), channels.as_py())
+            yield image.as_py(), plane[..., [2, 1, 0] if channels.as_py() >= 3 else [0, 0, 0]]
+
+
 def frame_pixels(frames: DataFrame) -> DataFrame:
     """image_id, y, x, r, g, b of every pixel; the bytes are unpacked in whole arrays."""
 
@@ -71,6 +92,30 @@ def crop_files(pixels: DataFrame, stamp: str = "1970-01-01 00:00:00") -> DataFra
     return files.select("image_id", F.concat(F.lit("Capture_"), F.date_format(F.lit(stamp).cast("timestamp"), "yyyyMMdd_HHmmss"), F.lit("_"), F.col("image_id").cast("string"), F.lit(".png")).alias("name"), "png")
 
 
+def cut_files(frames: DataFrame, rects: DataFrame, view_width: float | None = None, view_height: float | None = None) -> DataFrame:
+    """One PNG a row of ``rects`` (image_id, name, left, top, right, bottom), cut out of its frame: image_id, name, png.
+
+    Rectangles are in the view's units if its size is given, else in pixels; they are rounded outwards and held inside
+    the frame, and those of which nothing is left are dropped. A frame's rectangles travel together, so its pixels move once at most.
+    """
+    ship(frames.sparkSession)
+    sides = ("left", "top", "right", "bottom")
+    listed = rects.groupBy("image_id").agg(F.collect_list(F.struct("name", *(F.col(c).cast("double").alias(c) for c in sides))).alias("rects"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (image, plane), wanted in zip(frame_planes([batch]), batch.column(batch.schema.get_field_index("rects"))):
+                height, width = plane.shape[:2]
+                sx, sy = width / (view_width or width), height / (view_height or height)
+                for r in wanted.as_py():
+                    x0, y0 = max(0, int(np.floor(r["left"] * sx))), max(0, int(np.floor(r["top"] * sy)))
+                    x1, y1 = min(width, int(np.ceil(r["right"] * sx))), min(height, int(np.ceil(r["bottom"] * sy)))
+                    if x0 < x1 and y0 < y1:
+                        yield pa.RecordBatch.from_arrays([pa.array([image], pa.int64()), pa.array([r["name"]]), pa.array([png(plane[y0:y1, x0:x1])], pa.binary())], ["image_id", "name", "png"])
+
+    return frames.select("image_id", "height", "width", "channels", "data").join(listed, "image_id").mapInArrow(cut, "image_id long, name string, png binary")
+
+
 def write_files(files: DataFrame, folder: str) -> None:
     """Writes ``files(name, png)`` into a folder that all executors share, made if missing; a file of the same name is replaced.
 
