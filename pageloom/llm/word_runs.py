@@ -157,7 +157,7 @@ def find_runs(words: np.ndarray, bounds: np.ndarray, least: int = 6, power: int
         ends = next_smaller(-rank if turned else rank, last)
         starts = np.flatnonzero(ends < last) if turned else np.arange(len(words))
         ends = ends[starts]
-        for k in range(3):
+        for k in range(power - 1):
             same = (ends + k < last[starts]) & (words[starts + np.minimum(k, last[starts] - 1 - starts)] == words[np.minimum(ends + k, len(words) - 1)])
             starts, ends = starts[same], ends[same]
         pairs.append((starts, ends))
