@@ -202,6 +202,21 @@ NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7
 _NEW = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in [(0x1C89, 0x1C89), (0xA7CB, 0xA7DC), (0x10D50, 0x10D65), (0x16EA0, 0x16EB8)]) + "]")
 
 
+# fixed values: marks added to Unicode after the library's tables of order and composition; it leaves them where they stand, and others don't move past them
+LATE_MARKS = [(0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C),
+    (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E),
+    (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1),
+    (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF)]
+_LATE = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATE_MARKS) + "])")
+
+
+def composed(text: str) -> str:
+    """NFC as the library's tables have it: what stands between late marks is normalised on its own."""
+    if _LATE.search(text):
+        return "".join(unicodedata.normalize("NFC", part) for part in _LATE.split(text))
+    return unicodedata.normalize("NFC", text)
+
+
 def _pattern(below: int) -> re.Pattern:
     """Contractions, runs of letters, single numbers, and runs of what is neither nor white space."""
     kinds: dict[str, list[int]] = {"L": [], "N": []}
@@ -222,7 +237,7 @@ _LATIN, _BEYOND, _FULL = _pattern(0x250), re.compile(r"[^\x00-ɏ]"), []
 def split_words(text: str) -> list[str]:
     """Normalised pre-tokens (NFC, lower case, white space dropped) of a text without special strings."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = composed(text).replace("Σ", "σ")
         if _NEW.search(text):
             text = text.translate(NEW_LOWER)
     text = text.lower()

@@ -61,3 +61,25 @@ def test_whole_words(kit, most):
     at, bounds, _ = table.rows(texts)
     n = np.concatenate([[0], np.cumsum(np.diff(table.bounds)[at])])[bounds]
     assert np.diff(n).tolist() == [len(theirs.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_stacked_marks(kit):
+    """Each mark of Python's tables beside marks of other classes, and canonical compositions taken apart."""
+    import unicodedata
+
+    from pageloom.llm.bpe import Words, encode_words
+
+    theirs, vocab = kit
+    rnd = random.Random(3)
+    chars = [chr(c) for c in range(0x80, 0x32000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in chars if unicodedata.combining(c)]
+    apart = [c for c in chars if unicodedata.decomposition(c) and unicodedata.decomposition(c)[0] != "<"]
+    classes = [next(c for c in marks if unicodedata.combining(c) == k and c < " ") for k in (1, 7, 9, 220, 230)]
+    texts = [f"e{a}{b}{a} x{b}{a}" for a in marks for b in classes]
+    texts += [unicodedata.normalize("NFD", c) + rnd.choice(marks) + "s" for c in apart]
+    texts += ["".join(rnd.choice(marks if rnd.random() < 0.7 else apart) for _ in range(rnd.randint(1, 30))) for _ in range(1500)]
+    table = Words(vocab, lambda words: encode_words(vocab, words))
+    at, bounds, _ = table.rows(texts)
+    ids = [table.ids[table.bounds[k] : table.bounds[k + 1]].tolist() for k in range(len(table.at))]
+    got = [[i for k in at[a:b] for i in ids[k]] for a, b in zip(bounds[:-1], bounds[1:])]
+    assert len(texts) > 5000 and got == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
