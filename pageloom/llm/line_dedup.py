@@ -9,12 +9,13 @@ their Jaccard similarity reaches the threshold; then one word of each prefix is
 (length and positional filters), as do the differing bits of two 128-bit parity bitmaps.
 The index travels as packed arrays, dealt by word; a word that is frequent enough to fill
 a task is dealt as blocks, every two of which meet. Candidates are verified on whole sets.
-A line is removed if any earlier line matches it, judged on the input: for each line and
+At 80 % a line of one to three different words matches only an equal set, so these go by class and
+aren't indexed; one of four also matches the five that hold it. A line is removed if any earlier line matches it, judged on the input: for each line and
 word the nearest candidates by bitmap are tried first, and all others only for lines that
 are still open.
 
-Defined cases: null texts and texts without lines of ``least_words`` different words
-stay as they are, as do such short lines; rows with null id take no part and stay;
+Defined cases: null texts and texts without lines of ``least_words`` different words (1, if nothing else
+is asked for) stay as they are, as do shorter lines; rows with null id take no part and stay;
 a document that had lines in the comparison and loses all of them is dropped if each
 line it has left is blank or repeats the text of an earlier line, else it stays with them;
 repeated rows are one document; rows that share an id share removals by line
@@ -214,7 +215,7 @@ def _common(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return common, np.diff(x_bounds) + np.diff(y_bounds)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 1) -> DataFrame:
     """Of each document that loses lines: doc_id, the numbers (from 0) of those that match an earlier one, and whether it stays: a compared line
     is left, or a shorter one whose trimmed text no earlier line has."""
     spark = docs.sparkSession
@@ -245,7 +246,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             one = np.add.reduceat(tk.mix(flat * np.uint64(0x9E3779B97F4A7C15)), bounds[:-1]).view(np.int64)
             two = np.add.reduceat(tk.mix(flat ^ np.uint64(0xC2B2AE3D27D4EB4F)), bounds[:-1]).view(np.int64)
             new = np.zeros(len(row), dtype=bool)
-            for i, (sig, doc, line) in enumerate(zip(zip(one.tolist(), two.tolist()), ids.to_pylist(), number.tolist())):
+            # a set so small that a word more or less is too much matches equal sets only: its class is all it needs
+            meets = np.flatnonzero((100 * n >= percent * (n + 1)) | (100 * (n - 1) >= percent * n))
+            for i, sig, doc, line in zip(meets.tolist(), zip(one[meets].tolist(), two[meets].tolist()), ids.to_numpy()[meets].tolist(), number[meets].tolist()):
                 place, first = (doc << 32) + line, seen.get(sig)
                 if first is None or place < first:
                     new[i] = True
@@ -430,7 +433,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.join(own, "doc_id", "left").select("doc_id", "removed", F.col("own").isNotNull().alias("stays"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = 1) -> DataFrame:
     """``docs`` with the same columns: texts without lines that match an earlier one, documents of which only repeats of earlier lines are left dropped."""
     scratch = Scratch(docs.sparkSession, "removed")
     found = scratch.save(removed_lines(docs, id_col, text_col, percent, least_words), "removed")

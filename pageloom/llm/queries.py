@@ -101,7 +101,7 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageloom.llm.line_dedup import dedup_lines
 
-    kept = dedup_lines(_table(spark, sf_dir, "documents"), percent=80, least_words=5)
+    kept = dedup_lines(_table(spark, sf_dir, "documents"), percent=80, least_words=1)
     return kept.select("doc_id", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))).cast("long").alias("n_kept_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

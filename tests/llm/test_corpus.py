@@ -254,12 +254,12 @@ def test_quality(spark):
     assert quality_scores(make(spark, []), labels).count() == 0
 
 
-def brute_lines(texts):
+def brute_lines(texts, least=1):
     seen, gone, compared = [], {}, Counter()
     for i, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
             words = frozenset(re.findall(rb"[^\x20\x09-\x0D]+", line.encode().translate(LOWER)))
-            if len(words) >= 5:
+            if len(words) >= least:
                 compared[i] += 1
                 if any(100 * len(words & s) >= 80 * len(words | s) for s in seen):
                     gone.setdefault(i, []).append(k)

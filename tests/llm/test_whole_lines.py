@@ -41,8 +41,27 @@ def test_line_dedup_keeps_short_lines_of_their_own(spark):
 
     common = "this line stands in every document"
     texts = [f"{common}\nkeep me", f"{common}\nred\n\nblue", f"{common}\n  keep me ", common, f"{common}\n\n ", f"{common}\nblue\nred\nkeep me", f"{common}\nme keep"]
-    got = {r["doc_id"]: r["text"] for r in dedup_lines(make(spark, texts)).collect()}
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(make(spark, texts), least_words=5).collect()}
     assert got == {0: texts[0], 1: "red\n\nblue", 6: "me keep"}
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(make(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "red\n\nblue"}
+
+
+@pytest.mark.parametrize("percent", [80, 50, 95])
+def test_lines_of_few_words(spark, percent):
+    """Sets of one to seven words of a small alphabet: equal sets, and sets with a word more or less on the threshold's both sides."""
+    from pageloom.llm.line_dedup import removed_lines
+
+    rnd = random.Random(percent)
+    texts = ["\n".join(" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 6, 9]))) for _ in range(rnd.randint(1, 5))) for _ in range(90)]
+    seen, want = [], {}
+    for i, text in enumerate(texts):
+        for k, line in enumerate(text.split("\n")):
+            if words := frozenset(line.split()):
+                if any(100 * len(words & s) >= percent * len(words | s) for s in seen):
+                    want.setdefault(i, []).append(k)
+                seen.append(words)
+    assert {r["doc_id"]: r["removed"] for r in removed_lines(make(spark, texts), percent=percent).collect()} == want
 
 
 @pytest.mark.parametrize("hot, open_sent, words_sent", [(10, 1 << 18, 1 << 20), (10, 0, 0), (1 << 30, 1 << 18, 0), (10, 1 << 18, 0)])
