@@ -35,7 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later matching lines; n_chars is that of the new text."""
-    kept = dedup_lines(docs, percent=80, least_words=5)
+    kept = dedup_lines(docs, percent=80, least_words=1)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
