@@ -74,6 +74,28 @@ def pointer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS_SQL = f"""pointer AS (SELECT user_id AS session_id, event_id, ts, {_KIND} AS kind,
   CAST((37 * event_id + 53 * user_id) % 1200 AS INT) AS px, CAST((91 * event_id) % 800 AS INT) AS py FROM events)"""
 
+#: Purchases, signups and errors are keys: the code is one of those that actions have or have had, modifiers come with bits that don't count.
+_KEY = "SELECT user_id, event_id, ts, CAST((ARRAY[0, 1, 3, 8, 9, 12, 53, 40])[1 + (event_id * 5) % 8] AS INT) AS key_code, CAST((event_id % 3 = 0)::INT * 131072 + (event_id % 5 = 0)::INT * 256 AS BIGINT) AS flags FROM events WHERE event_type IN ('purchase', 'signup', 'error')"
+#: Every fourth click is also a change of that user's settings: an action gets a key.
+_SETTING = "SELECT user_id, ts, (ARRAY['dismiss', 'save', 'copy', 'preview', 'toggle_autocluster', 'toggle_flow', 'unknown'])[1 + event_id % 7] AS action, CAST((ARRAY[0, 1, 3, 8, 9, 12, 53, 40])[1 + event_id % 8] AS INT) AS key_code, CAST((event_id % 2) * 131072 AS BIGINT) AS mods FROM events WHERE event_type = 'click' AND event_id % 4 = 0"
+KEYS_SQL = f"keys AS ({_KEY}), settings AS ({_SETTING})"
+
+
+def key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, event_id, ts, key_code, flags"""
+    codes = "element_at(array(0, 1, 3, 8, 9, 12, 53, 40), cast(1 + (event_id * 5) % 8 as int))"
+    e = table(spark, sf_dir, "events").where("event_type in ('purchase', 'signup', 'error')")
+    return e.select("user_id", "event_id", "ts", F.expr(codes).alias("key_code"), F.expr("cast(if(event_id % 3 = 0, 131072, 0) + if(event_id % 5 = 0, 256, 0) as bigint)").alias("flags"))
+
+
+def key_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, ts, action, key_code, mods"""
+    actions = "element_at(array('dismiss', 'save', 'copy', 'preview', 'toggle_autocluster', 'toggle_flow', 'unknown'), cast(1 + event_id % 7 as int))"
+    codes = "element_at(array(0, 1, 3, 8, 9, 12, 53, 40), cast(1 + event_id % 8 as int))"
+    e = table(spark, sf_dir, "events").where("event_type = 'click' and event_id % 4 = 0")
+    return e.select("user_id", "ts", F.expr(actions).alias("action"), F.expr(codes).alias("key_code"), F.expr("cast(event_id % 2 * 131072 as bigint)").alias("mods"))
+
+
 #: Bunches of boxes around a place of each order: a tiny word between two wide ones, or a box with four small words and a large box.
 _BUNCH = """SELECT DISTINCT image_id, CAST(cx + dx AS INT) AS x, CAST(cy + dy AS INT) AS y, w, h, sea, is_word, CASE WHEN is_word THEN CAST(cy + dy AS INT) {div} 20 END AS line_id
   FROM (SELECT o_orderkey {div} 40 AS image_id, (97 * o_orderkey) % 1000 + 80 AS cx, (61 * o_orderkey) % 700 + 40 AS cy, CAST(o_orderkey % 3 AS INT) AS sea, o_orderkey % 2 AS kind FROM {orders}) places

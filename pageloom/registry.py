@@ -492,6 +492,87 @@ def e1(s, d):
     return replay(resolved(ev, near, inside, N.clusters(_pairwise(s, d), met.select("image_id", "box"))))
 
 
+_BOUND = "(VALUES ('dismiss', 1, 12), ('save', 2, 1), ('copy', 3, 8), ('preview', 4, 9), ('toggle_autocluster', 5, 0), ('toggle_flow', 6, 3)) AS acts(action, place, code)"
+#: What each key does: for each action the last setting up to the key's time, or the default; the first action in order that matches.
+_DISPATCH = (
+    f"{X.KEYS_SQL}, bound AS (SELECT k.event_id, a.place, a.action, coalesce(any_value(a.code) FILTER (s.ts IS NULL), arg_max(s.key_code, (s.ts, s.key_code, s.mods))) AS code, coalesce(arg_max(s.mods, (s.ts, s.key_code, s.mods)), 0) AS mods, any_value(k.key_code) AS pressed, any_value(k.flags & 1966080) AS held "
+    f"FROM keys k CROSS JOIN {_BOUND} LEFT JOIN settings s ON s.user_id = k.user_id AND s.action = a.action AND s.ts <= k.ts GROUP BY k.event_id, a.place, a.action), "
+    "done AS (SELECT event_id, arg_min(action, place) AS action FROM bound WHERE code = pressed AND mods = held GROUP BY event_id), "
+    "typed AS (SELECT k.user_id, k.event_id, k.ts, CASE WHEN key_code = 53 THEN 'dismiss' ELSE action END AS kind FROM keys k LEFT JOIN done USING (event_id))"
+).replace(" AS acts(", " AS a(")
+
+
+@query("l9_key_dispatch", f"WITH {_DISPATCH} SELECT user_id, event_id, kind FROM typed")
+def key_dispatch(s, d):
+    from pageloom.streaming.keys import dispatch
+
+    return dispatch(X.key_events(s, d), X.key_settings(s, d)).select("user_id", "event_id", "kind")
+
+
+def _typed_events(s, d):
+    """Pointer events with what keys do in place of the fixture's own key kinds."""
+    from pageloom.streaming.keys import dispatch
+
+    typed = dispatch(X.key_events(s, d), X.key_settings(s, d)).select("event_id", F.coalesce("kind", F.lit("other")).alias("typed"))
+    return _events(s, d).join(typed, "event_id", "left").withColumn("kind", F.coalesce("typed", "kind")).drop("typed")
+
+
+def _saves(s, d):
+    from pageloom.streaming.sessions import replay, resolved
+
+    scratch = Scratch(s, "saves")
+    ev, boxes = scratch.save(_typed_events(s, d), "events"), scratch.save(_tiny(s, d), "boxes")
+    return ev, replay(resolved(ev, S.nearest(ev, boxes), S.containing(ev, boxes)))
+
+
+_NO = "NULL::STRUCT(x INT, y INT, w INT, h INT)"
+_NONE = "[]::STRUCT(x INT, y INT, w INT, h INT)[]"
+#: The session's rules, an event a turn: what the pointer is over, the selection, the drawn rectangle, the press and the modes.
+_SESSIONS = (
+    f"{_DISPATCH}, {_EV}, tiny AS (SELECT DISTINCT image_id, x, y, w, h FROM boxes), told AS (SELECT ev.* REPLACE (coalesce(CASE WHEN t.event_id IS NOT NULL THEN coalesce(t.kind, 'other') END, ev.kind) AS kind) FROM ev LEFT JOIN typed t USING (event_id)), "
+    f"gaps AS (SELECT event_id, {G.point_gap2('', '')} AS gap2, struct_pack(x := x, y := y, w := w, h := h) AS box, px >= x AND px < x + w AND py >= y AND py < y + h AS holds FROM told JOIN tiny USING (image_id)), "
+    "close AS (SELECT event_id, gap2, box FROM gaps QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY gap2, box.y DESC, box.x DESC, box.h DESC, box.w DESC) = 1), "
+    "held AS (SELECT event_id, box AS inside FROM gaps WHERE holds QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY box.w * box.h, box.y, box.x, box.h, box.w) = 1), "
+    "turn AS MATERIALIZED (SELECT t.session_id, t.event_id, t.kind, t.px, t.py, c.gap2, c.box, h.inside, row_number() OVER (PARTITION BY t.session_id ORDER BY t.ts, t.event_id) AS k FROM told t LEFT JOIN close c USING (event_id) LEFT JOIN held h USING (event_id)), "
+    f"run AS (SELECT DISTINCT session_id, 0::BIGINT AS k, 0::BIGINT AS event_id, '' AS kind, {_NO} AS hover, {_NONE} AS chosen, {_NO} AS drawn, NULL::INT AS ax, NULL::INT AS ay, false AS drags, false AS flow, false AS auto, {_NO} AS cut FROM turn UNION ALL "
+    f"SELECT session_id, k, event_id, kind, CASE WHEN ends OR starts THEN {_NO} WHEN enters THEN inside WHEN takes THEN box ELSE hover END, "
+    f"CASE WHEN ends OR starts THEN {_NONE} WHEN enters THEN [inside] WHEN takes AND flow AND list_contains(chosen, box) THEN chosen WHEN takes AND flow THEN list_append(chosen, box) WHEN takes THEN [box] "
+    f"WHEN clicks AND hover IS NOT NULL THEN list_filter(flipped, lambda b: len(list_filter(flipped, lambda o: o <> b AND o.x <= b.x AND o.y <= b.y AND o.x + o.w >= b.x + b.w AND o.y + o.h >= b.y + b.h)) = 0) "
+    f"WHEN modes AND hover IS NULL THEN {_NONE} WHEN modes THEN [hover] ELSE chosen END, "
+    f"CASE WHEN ends OR enters OR clicks THEN {_NO} WHEN pulls THEN struct_pack(x := least(ax, px), y := least(ay, py), w := abs(px - ax), h := abs(py - ay)) ELSE drawn END, "
+    "CASE WHEN ends OR kind IN ('click', 'release') THEN NULL WHEN kind = 'press' THEN px ELSE ax END, CASE WHEN ends OR kind IN ('click', 'release') THEN NULL WHEN kind = 'press' THEN py ELSE ay END, "
+    "CASE WHEN ends OR kind IN ('click', 'release', 'press') THEN false ELSE drags OR starts END, NOT ends AND flow <> (kind = 'toggle_flow'), NOT ends AND auto <> (kind = 'toggle_autocluster'), CASE WHEN asks THEN taken END FROM ("
+    "SELECT *, kind = 'dismiss' OR kind = 'preview' AND taken IS NOT NULL AS ends, pulled AND NOT drags AND over AS starts, pulled AND (drags OR over) AS pulls, kind IN ('save', 'copy', 'preview') AS asks FROM ("
+    "SELECT r.session_id, t.k, t.event_id, t.kind, t.px, t.py, t.inside, t.box, r.hover, r.chosen, r.drawn, r.ax, r.ay, r.drags, r.flow, r.auto, t.kind = 'move' AND r.ax IS NOT NULL AS pulled, coalesce(abs(t.px - r.ax) > 6 OR abs(t.py - r.ay) > 6, false) AS over, "
+    "t.kind = 'move' AND r.ax IS NULL AND r.drawn IS NOT NULL AND t.inside IS NOT NULL AS enters, t.kind = 'move' AND r.ax IS NULL AND r.drawn IS NULL AND t.box IS NOT NULL AND NOT (r.flow AND t.gap2 >= 225) AND t.box IS DISTINCT FROM r.hover AS takes, "
+    "t.kind = 'click' OR t.kind = 'release' AND NOT r.drags AS clicks, t.kind IN ('toggle_flow', 'toggle_autocluster') AS modes, "
+    "CASE WHEN list_contains(r.chosen, r.hover) THEN list_filter(r.chosen, lambda b: b <> r.hover) ELSE list_append(r.chosen, r.hover) END AS flipped, "
+    "CASE WHEN r.drawn IS NOT NULL THEN struct_pack(x := greatest(0, r.drawn.x), y := greatest(0, r.drawn.y), w := least(1200, r.drawn.x + r.drawn.w), h := least(800, r.drawn.y + r.drawn.h)) "
+    "WHEN len(r.chosen) > 0 THEN struct_pack(x := greatest(0, list_min(list_transform(r.chosen, lambda b: b.x)) - 8), y := greatest(0, list_min(list_transform(r.chosen, lambda b: b.y)) - 8), "
+    "w := least(1200, list_max(list_transform(r.chosen, lambda b: b.x + b.w)) + 8), h := least(800, list_max(list_transform(r.chosen, lambda b: b.y + b.h)) + 8)) END AS taken "
+    "FROM run r JOIN turn t ON t.session_id = r.session_id AND t.k = r.k + 1) seen) judged)"
+)
+
+
+@query("e6_k1_saves", f"WITH RECURSIVE {X.BOXES_SQL}, {_SESSIONS} SELECT run.event_id, ev.image_id, 'Capture_' || strftime(ev.ts, '%Y%m%d_%H%M%S') || '.png' AS name, cut.x AS \"left\", cut.y AS top, cut.w AS \"right\", cut.h AS bottom FROM run JOIN ev USING (event_id) WHERE run.k > 0 AND cut IS NOT NULL AND run.kind IN ('save', 'preview')")
+def saves(s, d):
+    from pageloom.streaming.keys import save_files
+
+    ev, changes = _saves(s, d)
+    return save_files(changes, ev)
+
+
+@query(
+    "e1_e6_selections",
+    f"WITH RECURSIVE {X.BOXES_SQL}, {_SESSIONS}, steps AS (SELECT *, lag(chosen) OVER w AS chosen0, lag(drawn) OVER w AS drawn0 FROM run WINDOW w AS (PARTITION BY session_id ORDER BY k)) "
+    "SELECT session_id, event_id, kind, CAST(len(chosen) AS INT) AS n_selected, drawn.x AS x, drawn.y AS y, drawn.w AS w, drawn.h AS h FROM steps WHERE k > 0 AND kind NOT IN ('save', 'copy', 'preview') AND (chosen <> chosen0 OR drawn IS DISTINCT FROM drawn0)",
+)
+def selections(s, d):
+    at = lambda k: F.expr(f"if(rect = '', null, cast(try_element_at(split(rect, ','), {k}) as int))")
+    changes = _saves(s, d)[1].where("kind not in ('save', 'copy', 'preview')")
+    return changes.select("session_id", "event_id", "kind", F.expr("if(selected = '', 0, size(split(selected, ';')))").alias("n_selected"), *(at(k + 1).alias(c) for k, c in enumerate("xywh")))
+
+
 @query("e9_latest_event", f"WITH {_EV} SELECT session_id, arg_max(event_id, (ts, event_id)) AS event_id FROM ev GROUP BY session_id")
 def e9(s, d):
     return _events(s, d).groupBy("session_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))

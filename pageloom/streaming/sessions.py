@@ -6,21 +6,25 @@ of the session's image are looked up before (``nearest``, ``containing``, ``clus
 state stays small.
 
 Events: move, press, release, click (press and release on one spot), toggle_autocluster,
-toggle_flow, dismiss; other kinds change nothing. A move between press and release draws.
+toggle_flow, dismiss, save, copy, preview; other kinds change nothing. A move between press and release
+draws. Keys become such events in ``streaming.keys``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from pageloom.runtime import ship
 
 #: Pixels that the pointer moves before a press is a drag; squared reach of flow mode.
 DRAG, FLOW_REACH = 6, 225
 OUT = "session_id long, event_id long, kind string, hovered string, selected string, rect string"
 STATE = "hovered string, members string, selected string, flow boolean, auto boolean, rect string, anchor string, dragging boolean"
+TAKES = ("save", "copy", "preview")
 START = ("", "", "", False, False, "", "", False)
 
 
@@ -65,23 +69,58 @@ def step(state: tuple, event: dict) -> tuple[tuple, bool]:
     return (hovered, members, selected, flow, auto, rect, anchor, dragging), (selected, rect) != (state[2], state[5])
 
 
+@dataclass(frozen=True)
+class View:
+    """Padding around selected boxes, and the view's size, which what is saved stays inside."""
+
+    padding: int = 8
+    width: int = 1200
+    height: int = 800
+
+
+def saved_rect(state: tuple, view: View) -> str:
+    """What a save would cut out, as text: the drawn rectangle as it is, else the selected boxes' padded extent; empty without a selection."""
+    selected, rect = state[2], state[5]
+    if rect:
+        (x, y, w, h), pad = map(int, rect.split(",")), 0
+        x1, y1 = x + w, y + h
+    elif selected:
+        boxes, pad = [tuple(map(int, b.split(","))) for b in selected.split(";")], view.padding
+        x, y, x1, y1 = min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[0] + b[2] for b in boxes), max(b[1] + b[3] for b in boxes)
+    else:
+        return ""
+    left, top = max(0, x - pad), max(0, y - pad)
+    return f"{left},{top},{min(view.width, x1 + pad) - left},{min(view.height, y1 + pad) - top}"
+
+
+def play(state: tuple, event: dict, view: View = View()) -> tuple[tuple, dict | None]:
+    """The state after an event, and its row: a change of the selection, or for save, copy and preview with a selection what they take. A preview ends the session as a dismissal does."""
+    made = {"session_id": event["session_id"], "event_id": event["event_id"], "kind": event["kind"]}
+    if event["kind"] in TAKES:
+        rect = saved_rect(state, view)
+        row = made | {"hovered": state[0], "selected": state[2], "rect": rect} if rect else None
+        return (START if rect and event["kind"] == "preview" else state), row
+    state, changed = step(state, event)
+    return state, made | {"hovered": state[0], "selected": state[2], "rect": state[5]} if changed else None
+
+
 def _holds(a: str, b: str) -> bool:
     ax, ay, aw, ah = map(int, a.split(","))
     bx, by, bw, bh = map(int, b.split(","))
     return ax <= bx and ay <= by and ax + aw >= bx + bw and ay + ah >= by + bh
 
 
-def _advance(state: tuple, events: pd.DataFrame) -> tuple[tuple, list[dict]]:
+def _advance(state: tuple, events: pd.DataFrame, view: View) -> list[dict]:
     rows = []
     events = events.astype(object).where(events.notna(), None)
     for event in events.sort_values(["ts", "event_id"]).to_dict("records"):
-        state, changed = step(state, event)
-        if changed:
-            rows.append({"session_id": event["session_id"], "event_id": event["event_id"], "kind": event["kind"], "hovered": state[0], "selected": state[2], "rect": state[5]})
-    return state, rows
+        state, row = play(state, event, view)
+        rows += [row] if row else []
+    return rows
 
 
 #: What ``step`` reads of an event.
+WAITS = {"kind": "string", "px": "int", "py": "int", "box": "string", "gap2": "double", "inside": "string", "cluster": "string", "inside_cluster": "string"}
 COLUMNS = ("session_id", "event_id", "ts", "kind", "px", "py", "box", "gap2", "inside", "cluster", "inside_cluster")
 
 
@@ -97,26 +136,72 @@ def resolved(events: DataFrame, near: DataFrame, inside: DataFrame, clusters: Da
     return out.join(found, ["image_id", "box"], "left").join(found.withColumnsRenamed({"box": "inside", "cluster": "inside_cluster"}), ["image_id", "inside"], "left")
 
 
-def replay(events: DataFrame) -> DataFrame:
-    """Changes of selection of a table of resolved events, session by session."""
+def replay(events: DataFrame, view: View = View()) -> DataFrame:
+    """Changes of selection, and what is saved, copied and previewed, of a table of resolved events, session by session."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_advance(START, pdf)[1], columns=["session_id", "event_id", "kind", "hovered", "selected", "rect"])
+        return pd.DataFrame(_advance(START, pdf, view), columns=["session_id", "event_id", "kind", "hovered", "selected", "rect"])
 
+    ship(events.sparkSession)
     return events.select(*COLUMNS).groupBy("session_id").applyInPandas(run, OUT)
 
 
-def stream(events: DataFrame, watermark: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream; a session's state is dropped after an idle hour. Rows within one batch are put in order of ts."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class Sessions(StatefulProcessor):
+    """A session a key: its state, and the events that wait until no earlier one can come.
+
+    An event waits until the watermark has reached its time; then the timer of that time plays all
+    events that are due, in order of time and id, so batches and their order don't matter. Events of
+    one id and time count once. The state goes when the watermark is ``idle_ms`` beyond the last event.
+    """
+
+    def __init__(self, idle_ms: int, view: View):
+        self.idle_ms, self.view = idle_ms, view
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE)
+        self.last = handle.getValueState("last", "ms long")
+        self.waiting = handle.getMapState("waiting", "us long, event_id long", ", ".join(f"{c} {t}" for c, t in WAITS.items()))
+
+    def handleInputRows(self, key, rows, timerValues):
+        for row in rows:
+            us = _micros(row["ts"])
+            self.waiting.updateValue((us, row["event_id"]), tuple(row[c] for c in WAITS))
+            self.handle.registerTimer(-(-us // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] <= 1000 * now)
+        if not due:
+            if self.last.exists() and self.last.get()[0] + self.idle_ms <= now and not any(True for _ in self.waiting.keys()):
+                self.state.clear()
+                self.last.clear()
             return
-        after, rows = _advance(state.get if state.exists else START, pd.concat(frames))
-        state.update(after)
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=["session_id", "event_id", "kind", "hovered", "selected", "rect"])
-
+        state = tuple(self.state.get()) if self.state.exists() else START
+        out = []
+        for (us, event_id), values in due:
+            self.waiting.removeKey((us, event_id))
+            state, row = play(state, dict(zip(WAITS, values)) | {"session_id": key[0], "event_id": event_id}, self.view)
+            out += [Row(**row)] if row else []
+        self.state.update(state)
+        self.last.update((due[-1][0][0] // 1000,))
+        self.handle.registerTimer(due[-1][0][0] // 1000 + self.idle_ms)
+        yield from out
+
+
+def _micros(ts) -> int:
+    return int(ts.replace(microsecond=0).timestamp()) * 1_000_000 + ts.microsecond
+
+
+def stream(events: DataFrame, watermark: str = "10 minutes", idle_ms: int = 3_600_000, view: View = View()) -> DataFrame:
+    """The same over a stream, in order of event time across batches: an event is played when the watermark reaches its time, and
+    one that comes later than the watermark is dropped. Needs the RocksDB state store (``use_rocksdb``)."""
+    ship(events.sparkSession)
     slim = events.select(*COLUMNS).withWatermark("ts", watermark)
-    return slim.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return slim.groupBy("session_id").transformWithState(Sessions(idle_ms, view), OUT, "append", "eventTime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State variables and timers need this state store; it also keeps state outside the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

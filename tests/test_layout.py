@@ -131,13 +131,15 @@ def test_session_replay_has_clusters_and_rectangles(spark):
 def test_session_stream(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from pageloom.streaming.sessions import COLUMNS, replay, stream
+    from pageloom.streaming.sessions import COLUMNS, replay, stream, use_rocksdb
 
     kinds = ["move", "press", "move", "release", "move", "click", "toggle_flow", "move"]
     data = [(s, 100 * s + k, k, kind, 20 * k, 3, f"{10 * k},0,9,9", 0, f"{10 * k},0,9,9", None, None) for s in (1, 2) for k, kind in enumerate(kinds)]
     events = spark.createDataFrame(data, "session_id long, event_id long, t int, kind string, px int, py int, box string, gap2 long, inside string, cluster string, inside_cluster string")
     events = events.withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000)).select(*COLUMNS)
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    later = events.limit(1).withColumn("session_id", F.lit(9).cast("long")).withColumn("ts", F.expr("ts + interval 20 hours"))
+    events.union(later).coalesce(1).write.parquet(str(tmp_path / "in"))
+    use_rocksdb(spark)
     asked = stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     asked.awaitTermination(120)
     assert rows(spark.table("changes").toPandas()) == rows(replay(events).toPandas()) != []
