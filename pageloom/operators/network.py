@@ -163,14 +163,18 @@ def large_box_edges(edges: DataFrame, boxes: DataFrame, words: DataFrame | None
 def crossing(edges: DataFrame, boxes: DataFrame, cell: int = 128) -> DataFrame:
     """Edges whose shortest segment cuts through a box that is no neighbour of its ends and doesn't hold it whole.
 
-    Segments and boxes meet by image and grid cell, so a task joins what is near. The edges are read several times, so they are written first.
+    Segments and boxes meet by image and grid cell, and a segment is only in cells that it passes, so a task joins what is near. The edges are read several times, so they are written first.
     """
     from pageloom.runtime import Scratch
 
     edges = Scratch(boxes.sparkSession, "crossing").save(edges.select("image_id", "src", "dst"), "edges")
     seg = flat(edges).select("image_id", "src", "dst", *(F.expr(e).alias(k) for k, e in G.segment("a_", "b_").items())).where("x0 <> x1 OR y0 <> y1")
     cells = lambda low, high: F.sequence(F.floor(F.expr(low) / cell), F.floor(F.expr(high) / cell))
-    seg_cells = seg.select("*", F.explode(cells("least(x0, x1)", "greatest(x0, x1)")).alias("cx")).select("*", F.explode(cells("least(y0, y1)", "greatest(y0, y1)")).alias("cy"))
+    columns = seg.select("*", F.explode(cells("least(x0, x1)", "greatest(x0, x1)")).alias("cx"))
+    # a column of cells is entered and left at these heights; the rows between them are walked, a rounding error wider
+    height = lambda x: f"if(x0 = x1, y0, y0 + ({x} - x0) * (y1 - y0) / (x1 - x0))"
+    walked = columns.withColumn("in", F.expr(height(f"greatest(least(x0, x1), cx * {cell}.0e0)"))).withColumn("out", F.expr(f"if(x0 = x1, y1, {height(f'least(greatest(x0, x1), (cx + 1) * {cell}.0e0)')})"))
+    seg_cells = walked.select("*", F.explode(cells("least(`in`, out) - 0.001e0", "greatest(`in`, out) + 0.001e0")).alias("cy")).drop("in", "out")
     box_cells = boxes.select("image_id", *(F.col(k).alias(f"c_{k}") for k in BOX)).distinct().select("*", F.explode(cells("c_x", "c_x + c_w")).alias("cx")).select("*", F.explode(cells("c_y", "c_y + c_h")).alias("cy"))
     holds = " AND ".join(f"x{k} >= c_x AND x{k} <= {G.right('c_')} AND y{k} >= c_y AND y{k} <= {G.bottom('c_')}" for k in (0, 1))
     cut = seg_cells.join(box_cells, ["image_id", "cx", "cy"]).where(f"NOT ({holds}) AND {G.crosses('c_')}").select("image_id", "src", "dst", box("c_").alias("c")).where("c <> src AND c <> dst").distinct()
@@ -275,11 +279,13 @@ def build(boxes: DataFrame, height: float, sensitivity: float = 1.0e0, words: Da
     return edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).join(first, ["image_id", "a", "b"], "left").select("image_id", "src", "dst", "origin")
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 1000, compact: int = 8) -> DataFrame:
     """Directed reachability, level by level: ``edges(a, b)``, ``starts(start)`` to (start, node, depth, parent).
 
     The start itself has depth 0 and no parent; a node's parent is the least of the nodes one level nearer that lead to it.
     A frontier join a level; every level is written to the shared folder, so cycles end and a lost executor costs a re-read.
+    Every ``compact`` levels what has been seen becomes one table. The result has a row a pair: for what leads where
+    without depths, ``clusters`` keeps members once a component.
     """
     from pageloom.runtime import Scratch
 
@@ -291,14 +297,91 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 1000) -> DataFra
         step = front.select("start", F.col("node").alias("a")).join(edges, "a").groupBy("start", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
         front = scratch.save(step.select("start", "node", F.lit(k).alias("depth"), "parent"), str(k))
-        if not front.take(1):
+        if front.isEmpty():
             return seen
         seen = seen.union(front)
+        if k % compact == 0:
+            seen = scratch.save(seen, f"seen{k}")
     raise RuntimeError(f"not finished in {max_depth} levels")
 
 
-def clusters(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``edges(image_id, src, dst)`` and ``starts(image_id, box)`` (structs) to (image_id, box, members): all that the box leads to, itself included, in order."""
+def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """``edges(a, b)`` to (node, component) of every node of an edge: the least node of its strongly connected component.
+
+    Nodes that lead to each other directly are joined first, by star joins, and count as one from then on. Edges that can be
+    in no cycle are dropped. What is left is told apart by marks: the largest node that leads to a node travels forwards, and
+    from each node that kept its own mark what leads back to it, among equal marks, is its component.
+    """
+    from pageloom.plans.components import connected_components
+    from pageloom.runtime import Scratch
+
+    scratch, turn = Scratch(edges.sparkSession, "strong"), 0
+
+    def save(df: DataFrame) -> DataFrame:
+        nonlocal turn
+        turn += 1
+        if turn > max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} steps")
+        return scratch.save(df, str(turn))
+
+    now = save(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    of = save(now.select(F.col("a").alias("node")).union(now.select("b")).distinct().withColumn("component", F.col("node")))
+
+    def merged(found: DataFrame) -> None:
+        """found(node, component): components that are one."""
+        nonlocal now, of
+        found = found.select(F.col("node").alias("old"), F.col("component").alias("new")).where("old <> new")
+        of = save(of.join(found, of["component"] == found["old"], "left").select("node", F.coalesce("new", "component").alias("component")))
+        for end in ("a", "b"):
+            now = now.join(found, now[end] == found["old"], "left").withColumn(end, F.coalesce("new", end)).drop("old", "new")
+        now = save(now.where("a <> b").distinct())
+
+    now = save(now.where("a <> b"))
+    while not now.isEmpty():
+        both = save(now.join(now.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).where("a < b"))
+        if not both.isEmpty():
+            merged(connected_components(both))
+            continue
+        # a node that nothing leads to, or that leads nowhere, is in no cycle
+        left = save(now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        if left.count() < now.count():
+            now = left
+            continue
+        marks = save(now.select(F.col("a").alias("node")).union(now.select("b")).distinct().withColumn("mark", F.col("node")))
+        while True:
+            ahead = now.join(marks, now["a"] == marks["node"]).groupBy(F.col("b").alias("node")).agg(F.max("mark").alias("sent"))
+            moved = save(marks.join(ahead, "node", "left").select("node", F.greatest("mark", F.coalesce("sent", "mark")).alias("mark"), F.coalesce(F.col("sent") > F.col("mark"), F.lit(False)).alias("changed")))
+            marks = moved.select("node", "mark")
+            if moved.where("changed").isEmpty():
+                break
+        same = save(now.join(marks.withColumnsRenamed({"node": "a", "mark": "of_a"}), "a").join(marks.withColumnsRenamed({"node": "b", "mark": "of_b"}), "b").where("of_a = of_b").select("a", "b"))
+        back = save(marks.where("node = mark").select("node", "mark"))
+        front = back
+        while not front.isEmpty():
+            front = save(same.join(front.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "mark").distinct().join(back, "node", "left_anti"))
+            back = save(back.union(front))
+        least = back.groupBy("mark").agg(F.min("node").alias("component"))
+        merged(save(back.join(least, "mark").select("node", "component")))
+        # edges between different marks join no cycle any more; those of settled components are cut with the next step
+        now = save(now.join(same.select("a").union(same.select("b")).distinct(), "a", "left_semi")) if now.count() else now
+    return of
+
+
+def clusters(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges(image_id, src, dst)`` and ``starts(image_id, box)`` (structs) to two tables: (image_id, box, cluster) of the starts, and (cluster, members) with
+    all that the boxes of a cluster lead to, themselves included, in order. Boxes that lead to each other share a cluster, so members stand once for all of them.
+    """
+    from pageloom.runtime import Scratch
+
+    scratch = Scratch(edges.sparkSession, "clusters")
     node = lambda c: F.struct("image_id", F.col(c).alias("box"))
-    found = reach(edges.select(node("src").alias("a"), node("dst").alias("b")), starts.select(node("box").alias("start")).distinct())
-    return found.groupBy(F.col("start.image_id").alias("image_id"), F.col("start.box").alias("box")).agg(F.sort_array(F.collect_list("node.box")).alias("members"))
+    edges = scratch.save(edges.select(node("src").alias("a"), node("dst").alias("b")).distinct(), "edges")
+    of = scratch.save(strong_components(edges), "of")
+    asked = starts.select(node("box").alias("node")).distinct().join(of, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+    asked = scratch.save(asked, "asked")
+    ends = edges.join(of.withColumnsRenamed({"node": "a", "component": "of_a"}), "a").join(of.withColumnsRenamed({"node": "b", "component": "of_b"}), "b")
+    between = ends.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    led = reach(between, asked.select(F.col("cluster").alias("start")).distinct()).select(F.col("start").alias("cluster"), F.col("node").alias("component"))
+    held = led.join(of, "component", "left").select("cluster", F.coalesce("node", "component").alias("node"))
+    members = held.groupBy("cluster").agg(F.sort_array(F.collect_list("node.box")).alias("members"))
+    return asked.select("node.image_id", "node.box", "cluster"), members

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions import geometry as G
 from pageloom.operators.network import BOX, NOT_SAME, meeting
+from pageloom.runtime import Scratch
 
 
 def tag_boxes(boxes: DataFrame, words: DataFrame) -> DataFrame:
@@ -33,11 +34,39 @@ def drop_letters(boxes: DataFrame, words: DataFrame) -> DataFrame:
     return boxes.join(letters, ["image_id", *BOX], "left_anti")
 
 
-def nearest(events: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The nearest box of each event's image and its squared distance; ties to the last box in order of y, x, h, w."""
-    scored = events.join(boxes.select("image_id", *BOX).distinct(), "image_id").withColumn("gap2", F.expr(G.point_gap2("", "")))
-    best = scored.groupBy("event_id").agg(F.max_by(F.struct("gap2", *BOX), F.struct(-F.col("gap2"), "y", "x", "h", "w")).alias("b"))
-    return best.select("event_id", "b.gap2", *(F.col(f"b.{k}").alias(k) for k in BOX))
+def nearest(events: DataFrame, boxes: DataFrame, cell: int = 64) -> DataFrame:
+    """The nearest box of each event's image and its squared distance; ties to the last box in order of y, x, h, w.
+
+    Boxes lie in the grid cells that they touch. An event looks into the square of cells around its own, then into
+    rings that double, and stops when its best box is nearer than any box outside the square can be, or when the square
+    holds all boxes of the image. So an event meets the boxes around it only; each round is written to the shared folder.
+    """
+    scratch = Scratch(events.sparkSession, "nearest")
+    at = lambda e: F.expr(f"cast(floor(({e}) / {cell}) as int)")
+    cells = boxes.select("image_id", *BOX).distinct().select("*", F.explode(F.sequence(at("x"), at("x + w"))).alias("cx")).select("*", F.explode(F.sequence(at("y"), at("y + h"))).alias("cy"))
+    cells = scratch.save(cells, "cells")
+    extent = cells.groupBy("image_id").agg(F.min("cx").alias("x_low"), F.max("cx").alias("x_high"), F.min("cy").alias("y_low"), F.max("cy").alias("y_high"))
+    open_ = events.select("image_id", "event_id", "px", "py", at("px").alias("ex"), at("py").alias("ey")).join(extent, "image_id")
+    best = "struct<near:bigint,y:int,x:int,h:int,w:int>"
+    open_ = scratch.save(open_.withColumn("best", F.lit(None).cast(best)), "0")
+    seen, ring, found, turn = -1, 1, None, 0
+    while not open_.isEmpty():
+        turn += 1
+        span = lambda v, low, high: f"sequence(greatest({low}, {v} - {ring}), least({high}, {v} + {ring}))"
+        # a square that doesn't reach the image's boxes yet has no cells
+        looked = open_.where(f"ex + {ring} >= x_low and ex - {ring} <= x_high and ey + {ring} >= y_low and ey - {ring} <= y_high").select("image_id", "event_id", "px", "py", "ex", "ey", F.explode(F.expr(span("ex", "x_low", "x_high"))).alias("cx"), "y_low", "y_high")
+        looked = looked.select("image_id", "event_id", "px", "py", "cx", F.explode(F.expr(span("ey", "y_low", "y_high"))).alias("cy"), "ex", "ey").where(f"greatest(abs(cx - ex), abs(cy - ey)) > {seen}")
+        met = looked.join(cells, ["image_id", "cx", "cy"]).groupBy("event_id").agg(F.max(F.struct((-F.expr(G.point_gap2("", ""))).alias("near"), "y", "x", "h", "w")).cast(best).alias("new"))
+        now = open_.join(met, "event_id", "left").withColumn("best", F.greatest("best", "new")).drop("new")
+        border = f"least(px - {cell} * ex, {cell} * (ex + 1) - px, py - {cell} * ey, {cell} * (ey + 1) - py) + {cell} * {ring}"
+        whole = f"ex - {ring} <= x_low and ex + {ring} >= x_high and ey - {ring} <= y_low and ey + {ring} >= y_high"
+        now = scratch.save(now.withColumn("done", F.expr(f"({whole}) or coalesce(-best.near < cast({border} as bigint) * ({border}), false)")), str(turn))
+        part = now.where("done").select("event_id", (-F.col("best.near")).alias("gap2"), *(F.col(f"best.{k}").alias(k) for k in BOX))
+        found = part if found is None else found.unionByName(part)
+        open_, seen, ring = now.where("not done").drop("done"), ring, 2 * ring
+    if found is None:
+        return open_.select("event_id", (-F.col("best.near")).alias("gap2"), *(F.col(f"best.{k}").alias(k) for k in BOX))
+    return found
 
 
 def containing(events: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -124,15 +124,16 @@ WAITS = {"kind": "string", "px": "int", "py": "int", "box": "string", "gap2": "d
 COLUMNS = ("session_id", "event_id", "ts", "kind", "px", "py", "box", "gap2", "inside", "cluster", "inside_cluster")
 
 
-def resolved(events: DataFrame, near: DataFrame, inside: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+def resolved(events: DataFrame, near: DataFrame, inside: DataFrame, clusters: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Events with what ``step`` reads: box and gap2 (nearest), inside (containing), and the clusters of both, by image
-    (``clusters(image_id, box, members)``; without, each box is alone)."""
+    (the two tables of ``network.clusters``; without, each box is alone)."""
     text = lambda b: F.concat_ws(",", *(F.col(f"{b}{k}") for k in ("x", "y", "w", "h")))
     out = events.join(near.select("event_id", "gap2", text("").alias("box")), "event_id", "left").join(inside.select("event_id", text("").alias("inside")), "event_id", "left")
     if clusters is None:
         return out.select("*", F.lit(None).cast("string").alias("cluster"), F.lit(None).cast("string").alias("inside_cluster"))
     members = F.concat_ws(";", F.transform("members", lambda m: F.concat_ws(",", *(m[k] for k in ("x", "y", "w", "h")))))
-    found = clusters.select("image_id", text("box.").alias("box"), members.alias("cluster"))
+    of, held = clusters
+    found = of.join(held.select("cluster", members.alias("members")), "cluster").select("image_id", text("box.").alias("box"), F.col("members").alias("cluster"))
     return out.join(found, ["image_id", "box"], "left").join(found.withColumnsRenamed({"box": "inside", "cluster": "inside_cluster"}), ["image_id", "inside"], "left")
 
 
