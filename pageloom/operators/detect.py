@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from pageloom.operators import colour as C, network as N, pixels as P, select as S, tiles as T
 from pageloom.runtime import Scratch
@@ -74,8 +74,19 @@ def detect_frames(frames: DataFrame, words: DataFrame, width: int, height: int,
     return detect(frame_pixels(frames), words, width, height, tuned_as, sensitivity, found)
 
 
-def detect(pixels: DataFrame, words: DataFrame, width: int, height: int, tuned_as: float | None = None, sensitivity: float = 1.0, found: DataFrame | None = None) -> Detection:
-    """All steps. ``tuned_as`` is the height that kernels and distances follow, the frames' own if not given; ``found`` are the edges' boxes if they are known.
+def observed(boxes: DataFrame, observation: Observation | str) -> DataFrame:
+    """``boxes`` of a detection, which also count, while they are written, boxes, words, colour groups and the boxes' area.
+
+    The numbers of an ``Observation`` are there after the write, without another job; by name, listeners get them,
+    on a stream with each batch's progress. A colour group counts at its founder, the first of its boxes in the fixed order.
+    """
+    counts = [F.count(F.lit(1)).alias("boxes"), F.count_if("is_word").alias("words"), F.count_if("founder").alias("seas"), F.sum(F.expr("cast(w as bigint) * h")).alias("area")]
+    return boxes.observe(observation, *counts)
+
+
+def detect(pixels: DataFrame, words: DataFrame, width: int, height: int, tuned_as: float | None = None, sensitivity: float = 1.0, found: DataFrame | None = None, observation: Observation | str | None = None) -> Detection:
+    """All steps. ``tuned_as`` is the height that kernels and distances follow, the frames' own if not given; ``found`` are the edges' boxes if they are known;
+    ``observation`` gets the counts of ``observed`` as the boxes are written.
 
     Images without pixels or without boxes have no rows; words may be an empty table; repeated words count once a box.
     """
@@ -86,10 +97,10 @@ def detect(pixels: DataFrame, words: DataFrame, width: int, height: int, tuned_a
     found = found if found is not None else scratch.save(detect_boxes(plane, width, height, kernel_of(scale_height)), "found")
     chosen = scratch.save(S.drop_letters(S.drop_covered(found, words), words), "chosen")
     pairs = scratch.save(keep_stable(chosen, words, plane, margin_of(scale_height)), "pairs")
-    grouped = scratch.save(C.seas(pairs).select("image_id", *N.BOX, F.col("sea_id").alias("sea")), "seas")
+    grouped = scratch.save(C.seas(pairs).select("image_id", *N.BOX, F.col("sea_id").alias("sea"), "founder"), "seas")
     tags = S.tag_boxes(grouped, words).where("word_idx is not null").join(words.select("image_id", "word_idx", "line_id").dropDuplicates(["image_id", "word_idx"]), ["image_id", "word_idx"])
-    boxes = grouped.join(tags, ["image_id", *N.BOX], "left").select("image_id", *N.BOX, "sea", F.col("word_idx").isNotNull().alias("is_word"), "line_id", "word_idx")
-    boxes = scratch.save(boxes, "boxes")
+    boxes = grouped.join(tags, ["image_id", *N.BOX], "left").select("image_id", *N.BOX, "sea", F.col("word_idx").isNotNull().alias("is_word"), "line_id", "word_idx", "founder")
+    boxes = scratch.save(observed(boxes, observation) if observation is not None else boxes, "boxes").drop("founder")
     return Detection(boxes, N.build(boxes.drop("word_idx"), scale_height, sensitivity, words.withColumn("is_word", F.lit(True))), words)
 
 

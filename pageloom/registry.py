@@ -604,6 +604,11 @@ def a2(s, d):
     return C.perimeter_colours(C.perimeter(_tiles(s, d), 2, 3), X.pixels(s, d), "v", "g")
 
 
+@query("u_perimeter_lateral", f"WITH {X.PIXELS_SQL}, {_TILES}, {_SAMPLES} SELECT image_id, fx, fy, fw, fh, side, CAST(k AS INT) AS k, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM samples")
+def perimeter_lateral(s, d):
+    return C.perimeter_lateral(_tiles(s, d), 2, 3)
+
+
 @query("a3_calmness", f"WITH {X.PIXELS_SQL}, {_TILES}, {_SAMPLES}, st AS (SELECT {_SB}, power(v - lag(v) OVER w, 2) + power(g - lag(g) OVER w, 2) AS d FROM samples JOIN pixels USING (image_id, y, x) WINDOW w AS (PARTITION BY {_SB}, side ORDER BY k)), every AS (SELECT DISTINCT image_id, x AS fx, y AS fy, w AS fw, h AS fh FROM tiles), counts AS (SELECT {_SB}, count(*) AS n, count(d) AS steps, count(*) FILTER (d < 1600) AS smooth FROM st GROUP BY {_SB}) SELECT {_SB}, coalesce(steps, 0) AS steps, coalesce(smooth, 0) AS smooth, n IS NOT NULL AND 10 * smooth >= 7 * steps AS calm FROM every LEFT JOIN counts USING ({_SB})")
 def a3(s, d):
     return C.calmness(C.perimeter(_tiles(s, d), 2, 3), X.pixels(s, d), ("v", "g"))
@@ -760,6 +765,16 @@ def detect_counts(s, d):
     return D.counts(D.detect(_frames(s, d), _mosaic_words(s, d), 64, 64, MOSAIC_HEIGHT))
 
 
+#: What colour groups, words and boxes add up to, from the written boxes of d2.
+@query("k6_observed_counts")
+def observed_counts(s, d):
+    from pyspark.sql import Observation
+
+    seen = Observation("detection")
+    D.detect(_frames(s, d), _mosaic_words(s, d), 64, 64, MOSAIC_HEIGHT, observation=seen)
+    return s.createDataFrame([{k: int(v or 0) for k, v in seen.get.items()}], "boxes long, words long, seas long, area long")
+
+
 @query("d4_debug_tables")
 def debug_tables(s, d):
     return D.debug_edges(D.detect(_frames(s, d), _mosaic_words(s, d), 64, 64, MOSAIC_HEIGHT))
