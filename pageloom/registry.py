@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -383,6 +384,32 @@ def j10(s, d):
     return ends(N.paragraph_cuts(N.pairwise(b, BASE), b))
 
 
+def _network_sql() -> str:
+    """The passes one after another, each on the edges that the one before left: e0 to e7, and each pair's origin."""
+    on = lambda text, edges: re.sub(r"\bpw\b", edges, text)
+    less = lambda new, edges, cut, both=True: f"{new} AS (SELECT {ENDS} FROM {edges} EXCEPT (SELECT {ENDS} FROM {cut}{f' UNION SELECT {REV} FROM {cut}' if both else ''}))"
+    more = lambda new, edges, added: f"{new} AS (SELECT {ENDS} FROM {edges} UNION SELECT {ENDS} FROM {added})"
+    big = " OR ".join("(" + " AND ".join(f"g.{k} = {p}_{k}" for k in N.BOX) + ")" for p in "ab")
+    low = "(a_x, a_y, a_w, a_h) <= (b_x, b_y, b_w, b_h)"
+    pair = ", ".join(f"CASE WHEN {low} THEN {p}_{k} ELSE {q}_{k} END AS {n}{k}" for n, p, q in (("l", "a", "b"), ("r", "b", "a")) for k in N.BOX)
+    names = "image_id, " + ", ".join(f"{n}{k}" for n in "lr" for k in N.BOX)
+    passes = [
+        _PW, on(_OUT, "pw"), less("e1", "pw", "outl"),
+        _SERIES, f"new1 AS (SELECT {ENDS} FROM {_link_sql('series')} EXCEPT SELECT {ENDS} FROM e1)", more("e2", "e1", "new1"),
+        re.sub(r"\bmed\b", "of_words", _LARGE), f"wide AS (SELECT DISTINCT l.* FROM e2 l JOIN big g ON g.image_id = l.image_id AND ({big}))", less("e3", "e2", "wide"),
+        _CAPTIONS, f"new2 AS (SELECT {ENDS} FROM {_link_sql('caps')} EXCEPT SELECT {ENDS} FROM e3)", more("e4", "e3", "new2"),
+        f"near2 AS (SELECT {ENDS} FROM e4 UNION SELECT {REV} FROM e4), seg AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in _SEG.items())} FROM e4), "
+        "over AS (SELECT s.*, c.x AS c_x, c.y AS c_y, c.w AS c_w, c.h AS c_h FROM seg s JOIN boxes c ON c.image_id = s.image_id WHERE x0 <> x1 OR y0 <> y1), "
+        f"cut4 AS (SELECT DISTINCT {ENDS} FROM over s WHERE NOT {_SAME.format(p='a_')} AND NOT {_SAME.format(p='b_')} AND NOT ({_HOLDS}) AND {G.crosses('c_')} AND {_NB.format(p='a_')} AND {_NB.format(p='b_')})",
+        less("e5", "e4", "cut4"), on(_CUTS, "e5"), less("e6", "e5", "cuts"),
+        _HEAD, f"down AS (SELECT DISTINCT e6.* FROM e6 JOIN kinds a ON {_AT.format(k='a', e='e6', p='a')} JOIN kinds b ON {_AT.format(k='b', e='e6', p='b')} WHERE NOT a.heading AND b.heading)", less("e7", "e6", "down", False),
+        on(_BRIDGE, "e7").removeprefix(f"{_HEAD}, "), f"new3 AS (SELECT {ENDS} FROM fine QUALIFY count(*) OVER (PARTITION BY image_id, a_x, a_y, a_w, a_h) = 2)", more("e8", "e7", "new3"),
+        "made AS (" + " UNION ALL ".join(f"SELECT image_id, {pair}, {rank} AS place, '{name}' AS origin FROM {t}" for t, rank, name in (("pw", 0, "pairwise"), ("new1", 1, "alignedSeries"), ("new2", 2, "captions"), ("new3", -1, "bridges"))) + ")",
+        f"first AS (SELECT {names}, arg_min(origin, place) AS origin FROM made GROUP BY ALL), wired AS (SELECT e.*, f.origin FROM (SELECT *, {pair} FROM e8) e LEFT JOIN first f USING ({names}))",
+    ]
+    return _PARA.replace(X.GAPPED_SQL, X.BOXES_SQL) + ", " + ", ".join(passes)
+
+
 #: Every order leads to a third and a fifth of its number.
 _WAYS = "SELECT o_orderkey AS a, o_orderkey {div} 3 AS b FROM {orders} UNION SELECT o_orderkey, o_orderkey {div} 5 FROM {orders}"
 
@@ -397,11 +424,14 @@ def n1(s, d):
     return N.reach(s.sql(_WAYS.format(div="div", orders="{orders}"), orders=orders), orders.select(F.col("o_orderkey").alias("start")))
 
 
-@query("a12_origin_counts")
+@query("a12_origin_counts", f"{_network_sql()} SELECT origin, count(*) AS n FROM (SELECT DISTINCT image_id, lx, ly, lw, lh, rx, ry, rw, rh, origin FROM wired) GROUP BY origin")
 def a12(s, d):
     return N.build(of_boxes(s, d), HEIGHT).select("image_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "origin").distinct().groupBy("origin").agg(F.count("*").alias("n"))
 
 
+ORACLE_SQL["n4_network"] = f"{_network_sql()} SELECT {ENDS}, origin FROM wired"
+
+
 # ---- words and boxes -------------------------------------------------------
 
 def _words(s, d):
