@@ -119,3 +119,18 @@ def quad_box(xs: list[str], ys: list[str], width: str, height: str) -> dict[str,
     left, right_ = whole(f"{low(xs)} * {width}"), whole(f"{high(xs)} * {width}")
     top, bottom_ = whole(f"(1 - {high(ys)}) * {height}"), whole(f"(1 - {low(ys)}) * {height}")
     return {"x": f"greatest(0, {left})", "y": f"greatest(0, {top})", "w": f"greatest(1, {right_} - {left})", "h": f"greatest(1, {bottom_} - {top})"}
+
+
+def expanded(by: int, a: str = "") -> dict[str, str]:
+    """A box grown by so many pixels on all sides."""
+    return {"x": f"{a}x - {by}", "y": f"{a}y - {by}", "w": f"{a}w + {2 * by}", "h": f"{a}h + {2 * by}"}
+
+
+def scaled(sx: str, sy: str, a: str = "") -> dict[str, str]:
+    """A box in another unit; fractions are cut off."""
+    return {k: f"CAST({a}{k} * {s} AS INT)" for k, s in (("x", sx), ("y", sy), ("w", sx), ("h", sy))}
+
+
+def kernel_size(size: int, height: str, up: bool = False) -> str:
+    """A size tuned at 1964 rows, for frames of so many rows: at least 1, rounded down or up."""
+    return f"greatest(1, CAST({'ceil' if up else 'floor'}({size} * {height} / 1964.0e0) AS INT))"

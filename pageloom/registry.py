@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom import fixtures as X
-from pageloom.functions import geometry as G
+from pageloom.functions import geometry as G, text as W
 from pageloom.operators import colour as C, detect as D, network as N, pixels as P, select as S, tiles as T
 from pageloom.runtime import Scratch
 
@@ -191,7 +191,8 @@ def g_pairs(s, d):
 
 @query("g2_g3_expand_scale", f"{WB} SELECT image_id, x - 4 AS x, y - 4 AS y, w + 8 AS w, h + 8 AS h, CAST(trunc(x * 0.37e0) AS INT) AS sx, CAST(trunc(y * 0.41e0) AS INT) AS sy, CAST(trunc(w * 0.37e0) AS INT) AS sw, CAST(trunc(h * 0.41e0) AS INT) AS sh FROM boxes")
 def g2(s, d):
-    return of_boxes(s, d).selectExpr("image_id", "x - 4 AS x", "y - 4 AS y", "w + 8 AS w", "h + 8 AS h", "cast(x * 0.37D AS int) AS sx", "cast(y * 0.41D AS int) AS sy", "cast(w * 0.37D AS int) AS sw", "cast(h * 0.41D AS int) AS sh")
+    scaled = [F.expr(e).alias(f"s{k}") for k, e in G.scaled("0.37D", "0.41D").items()]
+    return of_boxes(s, d).select("image_id", *(F.expr(e).alias(k) for k, e in G.expanded(4).items()), *scaled)
 
 
 @query("g19_quad_to_box", f"{WB} SELECT image_id, x, y, greatest(0, CAST(round(least(x / 1200.0e0, (x + w) / 1200.0e0 + 0.001e0) * 1200) AS INT)) AS qx, greatest(0, CAST(round((1 - (1 - y / 800.0e0)) * 800) AS INT)) AS qy, greatest(1, CAST(round(w / 1200.0e0 * 1200) AS INT)) AS qw, greatest(1, CAST(round(h / 800.0e0 * 800) AS INT)) AS qh FROM boxes")
@@ -199,9 +200,24 @@ def g19(s, d):
     return of_boxes(s, d).selectExpr("image_id", "x", "y", "greatest(0, cast(round(array_min(array(x / 1200D, (x + w) / 1200D + 0.001D)) * 1200) as int)) AS qx", "greatest(0, cast(round((1 - (1 - y / 800D)) * 800) as int)) AS qy", "greatest(1, cast(round(w / 1200D * 1200) as int)) AS qw", "greatest(1, cast(round(h / 800D * 800) as int)) AS qh")
 
 
+#: Corners of slightly turned words, as shares of a frame of 1200 x 800 counted from its lower left; some reach over its border.
+_QUADS = "image_id, x AS qx, y AS qy, w AS qw, h AS qh, x / 1200.0e0 - 0.004e0 AS x0, 1 - y / 800.0e0 AS y0, (x + w) / 1200.0e0 AS x1, 1 - (y + 3) / 800.0e0 AS y1, (x + w - 2) / 1200.0e0 AS x2, 1 - (y + h + 2) / 800.0e0 AS y2, (x - 7) / 1200.0e0 AS x3, 1 - (y + h) / 800.0e0 AS y3"
+
+
+@query(
+    "s4_g19_quads_to_words",
+    f"{WB}, quads AS (SELECT {_QUADS} FROM boxes WHERE is_word), px AS (SELECT *, CAST(round(list_min([x0, x1, x2, x3]) * 1200) AS INT) AS l, CAST(round(list_max([x0, x1, x2, x3]) * 1200) AS INT) AS r, CAST(round((1 - list_max([y0, y1, y2, y3])) * 800) AS INT) AS t, CAST(round((1 - list_min([y0, y1, y2, y3])) * 800) AS INT) AS b FROM quads) "
+    "SELECT image_id, qx, qy, qw, qh, CASE WHEN l < 0 THEN 0 ELSE l END AS x, CASE WHEN t < 0 THEN 0 ELSE t END AS y, CASE WHEN r - l < 1 THEN 1 ELSE r - l END AS w, CASE WHEN b - t < 1 THEN 1 ELSE b - t END AS h FROM px",
+)
+def quads_to_words(s, d):
+    quads = of_boxes(s, d).where("is_word").selectExpr(*_QUADS.split(", "))
+    return quads.select("image_id", "qx", "qy", "qw", "qh", *(F.expr(e).alias(k) for k, e in G.quad_box([f"x{k}" for k in range(4)], [f"y{k}" for k in range(4)], "1200", "800").items()))
+
+
 @query("g21_kernel_scaling", "SELECT o_orderkey, greatest(1, CAST(floor(8 * (o_orderkey % 4000) / 1964.0e0) AS INT)) AS kx, greatest(1, CAST(floor(5 * (o_orderkey % 4000) / 1964.0e0) AS INT)) AS ky, greatest(1, CAST(ceil(2 * (o_orderkey % 4000) / 1964.0e0) AS INT)) AS margin FROM orders")
 def g21(s, d):
-    return X.table(s, d, "orders").selectExpr("o_orderkey", "greatest(1, cast(floor(8 * (o_orderkey % 4000) / 1964D) as int)) AS kx", "greatest(1, cast(floor(5 * (o_orderkey % 4000) / 1964D) as int)) AS ky", "greatest(1, cast(ceil(2 * (o_orderkey % 4000) / 1964D) as int)) AS margin")
+    sizes = {"kx": G.kernel_size(8, "(o_orderkey % 4000)"), "ky": G.kernel_size(5, "(o_orderkey % 4000)"), "margin": G.kernel_size(2, "(o_orderkey % 4000)", up=True)}
+    return X.table(s, d, "orders").select("o_orderkey", *(F.expr(e).alias(k) for k, e in sizes.items()))
 
 
 # ---- network passes --------------------------------------------------------
@@ -661,13 +677,9 @@ def a6(s, d):
 
 # ---- strings, keys, sources, sinks -----------------------------------------
 
-#: Unicode white space, as a class that both engines read.
-_SPACES = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
-@query("f_tokenise", f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{_SPACES}'), lambda t: t <> '')) AS n FROM documents")
+@query("f_tokenise", f"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{W.SPACES}'), lambda t: t <> '')) AS n FROM documents")
 def tokenise(s, d):
-    return X.table(s, d, "documents").select("doc_id", F.expr(f"cast(size(filter(split(text, r'{_SPACES}'), t -> t <> '')) as bigint)").alias("n"))
+    return X.table(s, d, "documents").select("doc_id", F.size(W.tokens(F.col("text"))).cast("long").alias("n"))
 
 
 @query("f_shortcut_label", "SELECT o_orderkey, CASE WHEN o_orderkey & 4 > 0 THEN '⌃' ELSE '' END || CASE WHEN o_orderkey & 8 > 0 THEN '⌥' ELSE '' END || CASE WHEN o_orderkey & 2 > 0 THEN '⇧' ELSE '' END || CASE WHEN o_orderkey & 16 > 0 THEN '⌘' ELSE '' END || coalesce(CASE o_orderkey % 5 WHEN 0 THEN '↩' WHEN 1 THEN '⎋' END, nullif(upper(trim(CASE WHEN o_orderkey % 5 = 2 THEN ' ' ELSE chr(97 + CAST(o_orderkey % 26 AS INT)) END)), ''), 'Key #' || CAST(o_orderkey % 128 AS VARCHAR)) AS label FROM orders")
@@ -687,14 +699,13 @@ def conflicts(s, d):
 
 @query("l10_padding_input", "SELECT o_orderkey, coalesce(CAST(round(CASE WHEN v >= 0 THEN v END) AS INT), 8) AS padding FROM (SELECT o_orderkey, TRY_CAST(replace(trim(CASE WHEN o_orderkey % 4 = 0 THEN ' 12,6 ' WHEN o_orderkey % 4 = 1 THEN '-3' WHEN o_orderkey % 4 = 2 THEN 'x' ELSE CAST(o_orderkey % 90 AS VARCHAR) END), ',', '.') AS DOUBLE) AS v FROM orders)")
 def padding(s, d):
-    text = "CASE WHEN o_orderkey % 4 = 0 THEN ' 12,6 ' WHEN o_orderkey % 4 = 1 THEN '-3' WHEN o_orderkey % 4 = 2 THEN 'x' ELSE CAST(o_orderkey % 90 AS STRING) END"
-    v = f"try_cast(replace(trim({text}), ',', '.') AS DOUBLE)"
-    return X.table(s, d, "orders").select("o_orderkey", F.expr(f"coalesce(cast(round(CASE WHEN {v} >= 0 THEN {v} END) as int), 8)").alias("padding"))
+    typed = F.expr("CASE WHEN o_orderkey % 4 = 0 THEN ' 12,6 ' WHEN o_orderkey % 4 = 1 THEN '-3' WHEN o_orderkey % 4 = 2 THEN 'x' ELSE CAST(o_orderkey % 90 AS STRING) END")
+    return X.table(s, d, "orders").select("o_orderkey", W.padding(typed).alias("padding"))
 
 
 @query("k1_capture_name", "SELECT event_id, 'Capture_' || strftime(ts, '%Y%m%d_%H%M%S') || '.png' AS name FROM events")
 def capture(s, d):
-    return X.table(s, d, "events").select("event_id", F.concat(F.lit("Capture_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".png")).alias("name"))
+    return X.table(s, d, "events").select("event_id", W.capture_name(F.col("ts")).alias("name"))
 
 
 @query("k1_png_crops")
@@ -707,8 +718,7 @@ def crops(s, d):
 @query("s5_settings_json", "SELECT user_id, CAST(key_code AS INT) AS key_code, CAST(coalesce(sens, 1.0e0) AS DOUBLE) AS sensitivity FROM (SELECT user_id, user_id % 128 AS key_code, CASE WHEN user_id % 3 = 0 THEN greatest(0, (user_id % 9) / 4.0e0) END AS sens FROM (SELECT DISTINCT user_id FROM events))")
 def settings(s, d):
     made = X.table(s, d, "events").select("user_id").distinct().select("user_id", F.expr("to_json(named_struct('key_code', user_id % 128, 'sensitivity', if(user_id % 3 = 0, user_id % 9 / 4D, null)))").alias("j"))
-    read = made.select("user_id", F.from_json("j", "key_code int, sensitivity double").alias("c"))
-    return read.select("user_id", "c.key_code", F.expr("greatest(0D, coalesce(c.sensitivity, 1D))").alias("sensitivity"))
+    return made.select("user_id", W.read_settings(F.col("j")).alias("c")).select("user_id", "c.key_code", "c.sensitivity")
 
 
 @query("u1_u2_union_difference", f"{WB}, {_WORDS}, one AS (SELECT image_id, x, y, w, h FROM boxes UNION SELECT image_id, x, y, w, h FROM words) SELECT * FROM one EXCEPT SELECT image_id, x, y, w, h FROM boxes WHERE NOT is_word")
@@ -727,7 +737,26 @@ def order(s, d):
 
 @query("f_percent", "SELECT o_orderkey, format('{:.0f}%', round((o_orderkey % 17) / 4.0e0 * 25)) AS label FROM orders")
 def percent(s, d):
-    return X.table(s, d, "orders").select("o_orderkey", F.expr("format_string('%.0f%%', round((o_orderkey % 17) / 4D * 25))").alias("label"))
+    return X.table(s, d, "orders").select("o_orderkey", W.percent_label(F.expr("(o_orderkey % 17) / 4D")).alias("label"))
+
+
+def _values(table: dict[int, str]) -> str:
+    return ", ".join(f"({k}, chr({ord(v)}))" if len(v) == 1 else f"({k}, '{v}')" for k, v in table.items())
+
+
+_TYPED_KEY = "o_orderkey % 128 AS code, (o_orderkey // 7) % 16 * 131072 + o_orderkey % 3 AS mods, CASE o_orderkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' ' || chr(97 + CAST(o_orderkey % 26 AS INT)) END AS typed"
+
+
+@query(
+    "f_key_labels",
+    f"SELECT o_orderkey, CASE WHEN mods & 262144 > 0 THEN '⌃' ELSE '' END || CASE WHEN mods & 524288 > 0 THEN '⌥' ELSE '' END || CASE WHEN mods & 131072 > 0 THEN '⇧' ELSE '' END || CASE WHEN mods & 1048576 > 0 THEN '⌘' ELSE '' END "
+    f"|| CASE WHEN l.v IS NOT NULL THEN l.v WHEN trim(typed) <> '' THEN upper(trim(typed)) ELSE 'Key #' || code END AS label, CASE WHEN m.v IS NOT NULL THEN m.v ELSE lower(typed) END AS menu_key "
+    f"FROM (SELECT o_orderkey, {_TYPED_KEY} FROM orders) o LEFT JOIN (VALUES {_values(W.KEY_LABELS)}) AS l(k, v) ON l.k = code LEFT JOIN (VALUES {_values(W.MENU_KEYS)}) AS m(k, v) ON m.k = code",
+)
+def key_labels(s, d):
+    keys = X.table(s, d, "orders").selectExpr("o_orderkey", "o_orderkey % 128 AS code", "o_orderkey div 7 % 16 * 131072 + o_orderkey % 3 AS mods", "CASE o_orderkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE concat(' ', chr(97 + o_orderkey % 26)) END AS typed")
+    code, mods, typed = (F.col(c) for c in ("code", "mods", "typed"))
+    return keys.select("o_orderkey", W.shortcut_label(code, mods, typed).alias("label"), W.menu_key(code, typed).alias("menu_key"))
 
 
 @query("f_menu_key", "SELECT o_orderkey, coalesce(CASE o_orderkey % 5 WHEN 0 THEN chr(13) WHEN 1 THEN chr(27) END, lower(chr(65 + CAST(o_orderkey % 26 AS INT)))) AS menu_key FROM orders")

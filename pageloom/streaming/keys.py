@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pageloom.functions.text import capture_name
+
 # Modifier bits (shift, control, option, command), the escape key, the order in which actions are tried, and default bindings (key code, modifiers).
 MASK = 1 << 17 | 1 << 18 | 1 << 19 | 1 << 20
 ESCAPE = 53
@@ -57,5 +59,4 @@ def save_files(changes: DataFrame, events: DataFrame) -> DataFrame:
     """
     side = lambda k: f"cast(split(rect, ',')[{k}] as int)"
     taken = changes.where("kind in ('save', 'preview') and rect <> ''").select("event_id", F.expr(side(0)).alias("left"), F.expr(side(1)).alias("top"), F.expr(f"{side(0)} + {side(2)}").alias("right"), F.expr(f"{side(1)} + {side(3)}").alias("bottom"))
-    name = F.concat(F.lit("Capture_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".png"))
-    return taken.join(events.select("event_id", "image_id", name.alias("name")), "event_id").select("event_id", "image_id", "name", "left", "top", "right", "bottom")
+    return taken.join(events.select("event_id", "image_id", capture_name(F.col("ts")).alias("name")), "event_id").select("event_id", "image_id", "name", "left", "top", "right", "bottom")
