@@ -61,23 +61,37 @@ def pack(vectors: np.ndarray) -> list[bytes]:
     return [s.tobytes() + r.tobytes() for s, r in zip(scale.astype(np.float32), small)]
 
 
-def unpack(blobs: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(len(blobs), -1)
+def unpack(raw: np.ndarray) -> np.ndarray:
+    """Vectors of packed rows (n, 4 + length) of bytes."""
     return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
 
 
+def _packed_rows(column: pa.Array) -> np.ndarray:
+    """A binary column of equal sizes as an array of bytes, without a copy."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
+
+
 def _runs(batches, size: int):
-    """Rows (lists) of equal keys in the first column, as the partition is sorted by it; a group of more than ``size`` rows comes in parts."""
-    key, held = None, []
+    """Columns (arrays, the last one packed vectors) of rows of equal keys in the first column, as the partition is sorted by it; a group of more
+    than ``size`` rows comes in parts. A run that reaches its batch's end waits for the next one."""
+    held = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and (row[0] != key or len(held) == size):
-                yield held
-                held = []
-            key = row[0]
-            held.append(row)
-    if held:
-        yield held
+        if not batch.num_rows:
+            continue
+        columns = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]), _packed_rows(batch.columns[-1])]
+        if held is not None:
+            columns = [np.concatenate([a, b]) for a, b in zip(held, columns)]
+        key = columns[0]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
+            for low in range(a, b, size):
+                yield [c[low : min(low + size, b)] for c in columns]
+        held = [c[heads[-1] :] for c in columns]
+    if held is not None:
+        for low in range(0, len(held[0]), size):
+            yield [c[low : low + size] for c in held]
 
 
 def _offers(node: np.ndarray, x: np.ndarray, kth: np.ndarray, new: np.ndarray, most: int):
@@ -113,9 +127,9 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     @tk.releasing
     def inside(batches):
         def parts():
-            for run in _runs(batches, 2 * GROUP):
-                if len(run) > 1:
-                    yield _offers(np.array([r[1] for r in run], dtype=np.int64), unpack([r[2] for r in run]), np.full(len(run), FAR), np.ones(len(run), dtype=bool), K)
+            for _, node, small in _runs(batches, 2 * GROUP):
+                if len(node) > 1:
+                    yield _offers(node, unpack(small), np.full(len(node), FAR), np.ones(len(node), dtype=bool), K)
 
         yield from _edge_batches(parts())
 
@@ -130,10 +144,9 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     def meet(batches):
         def parts():
             held = []
-            for run in _runs(batches, 1 + K + REVERSE):
-                new = np.array([r[3] for r in run])
-                if len(run) > 1 and new.any():
-                    held.append(_offers(np.array([r[1] for r in run], dtype=np.int64), unpack([r[4] for r in run]), np.array([r[2] for r in run]), new, offers))
+            for _, node, kth, new, small in _runs(batches, 1 + K + REVERSE):
+                if len(node) > 1 and new.any():
+                    held.append(_offers(node, unpack(small), kth, new, offers))
                 if len(held) == 512:
                     yield tuple(map(np.concatenate, zip(*held)))
                     held = []
@@ -148,11 +161,14 @@ def build_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         # members of m: itself, its neighbours and its nearest reverse neighbours, each once
         member = graph.select("v", "u", "new").union(back.select("v", "u", "new")).union(nodes.select(F.col("node").alias("v"), F.col("node").alias("u"), F.lit(False)))
         member = member.groupBy(F.col("v").alias("m"), F.col("u").alias("node")).agg(F.max("new").alias("new"))
+        # where nobody is new, all members have met before: only the others' vectors travel
+        member = scratch.save(member, f"members{k}")
+        member = member.join(member.where("new").select("m").distinct(), "m", "left_semi")
         kth = graph.groupBy(F.col("v").alias("node")).agg(F.when(F.count("*") >= K, F.max("d")).otherwise(F.lit(FAR)).alias("kth"))
         vectors = nodes.join(kth, "node", "left").select("node", F.coalesce("kth", F.lit(FAR)).alias("kth"), "small")
         met = member.join(vectors, "node").select("m", "node", "kth", "new", "small").repartition("m").sortWithinPartitions("m", "node").mapInArrow(meet, _EDGE)
         graph = scratch.save(_best(graph.withColumn("new", F.lit(False)).union(met), K), f"graph{k}")
-        scratch.drop(f"graph{k - 1}")
+        scratch.drop(f"graph{k - 1}", f"members{k}")
         if graph.where("new").count() <= changed:
             break
     return graph
