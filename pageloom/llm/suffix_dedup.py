@@ -42,6 +42,8 @@ PERIOD = 32
 SENT = 1 << 20
 #: Anchors with so many places are hot; HOT_MOST of them at most, as beyond the least number grows. Their strings are dealt one by one, by their bytes.
 HOT, HOT_MOST = 20_000, 1 << 20
+#: Texts of which one row of so many is a copy are hot; there are at most so many.
+HOT_COPIES = 1 << 16
 #: Anchors of a bucket of the index, and bytes of a bucket of surroundings, on average; bytes sorted at once.
 BUCKET_ANCHORS, BUCKET_BYTES, BLOCK = 250_000, 3 << 20, 1 << 20
 
@@ -401,7 +403,8 @@ def _repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
             shift = head["first"][row] - ends[row]
             yield pa.RecordBatch.from_arrays([pa.array(head["k1"][row]), pa.array(head["k2"][row]), pa.array((start + shift).astype(np.int32)), pa.array((stop - 1 + shift).astype(np.int32))], ["k1", "k2", "first", "last"])
 
-    surrounded = docs.join(_small(places, "places"), ["k1", "k2"]).select("k1", "k2", "text", "places")
+    # by a shuffle at every size: what is joined to the texts grows with them
+    surrounded = docs.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places")
     return surrounded.mapInArrow(pieces, "cell long, heads binary, bytes binary").repartition(3 * cells, "cell").sortWithinPartitions("cell").mapInArrow(sorted_blocks, "k1 long, k2 long, first int, last int")
 
 
@@ -416,9 +419,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long = texts.where(f"octet_length(text) >= {width}")
     # texts that occur more than once, and of each one row that stays for the others
     kinds = long.select("k1", "k2", "text")
-    again = scratch.save(kinds.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"), "again")
-    copied = kinds.join(_small(again), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    alone = kinds.join(_small(again), ["k1", "k2"], "left_anti")
+    again = scratch.save(kinds.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    copies = again.select("k1", "k2")
+    copied = kinds.join(_small(copies), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    alone = kinds.join(_small(copies), ["k1", "k2"], "left_anti")
     runs = _repeats(alone.union(copied), width, scratch)
     spans = scratch.save(runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "spans")
     scratch.drop("places", "found")
@@ -450,5 +454,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(spans, span), pa.array(rest, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    keyed = texts.join(_small(found, "runs"), ["k1", "k2"], "left").select("doc_id", "text", "runs", "all")
+    # copies of a text that is a large part of all rows are known by a table of bounded size and needn't be shuffled
+    hot = again.where(F.col("n") * HOT_COPIES >= long.count()).select("k1", "k2", F.lit(True).alias("hot"))
+    told = texts.join(F.broadcast(hot), ["k1", "k2"], "left")
+    many = told.where("hot").select("doc_id", "text", F.lit(None).cast(dict(found.dtypes)["runs"]).alias("runs"), F.lit(True).alias("all"))
+    keyed = told.where("hot is null").join(found, ["k1", "k2"], "left").select("doc_id", "text", "runs", "all").unionByName(many)
     return keyed.mapInArrow(kept, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
