@@ -52,6 +52,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/pageloom-{label}-{uuid.uuid4().hex[:12]}"
+        sc = spark.sparkContext
+        sc._pageloom_runs = [*getattr(sc, "_pageloom_runs", ()), self.base]
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
@@ -62,11 +64,21 @@ class Scratch:
         return (reader.schema(schema) if schema is not None else reader).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, *(f"{self.base}/{name}" for name in names))
         # shuffle files of plans that nothing refers to any more are freed when the driver collects garbage
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, *paths: str) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the folders of all runs of this context. To be called when their results have been read: a result may still refer to them."""
+    sc = spark.sparkContext
+    _delete(spark, *getattr(sc, "_pageloom_runs", ()))
+    sc._pageloom_runs = []
