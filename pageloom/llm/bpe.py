@@ -212,6 +212,8 @@ _LATE = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATE_MARKS) +
 
 def composed(text: str) -> str:
     """NFC as the library's tables have it: what stands between late marks is normalised on its own."""
+    if unicodedata.is_normalized("NFC", text):  # so are all its parts
+        return text
     if _LATE.search(text):
         return "".join(unicodedata.normalize("NFC", part) for part in _LATE.split(text))
     return unicodedata.normalize("NFC", text)
