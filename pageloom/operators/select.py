@@ -34,7 +34,7 @@ def drop_letters(boxes: DataFrame, words: DataFrame) -> DataFrame:
     return boxes.join(letters, ["image_id", *BOX], "left_anti")
 
 
-def nearest(events: DataFrame, boxes: DataFrame, cell: int = 64) -> DataFrame:
+def nearest(events: DataFrame, boxes: DataFrame, cell: int = 128) -> DataFrame:
     """The nearest box of each event's image and its squared distance; ties to the last box in order of y, x, h, w.
 
     Boxes lie in the grid cells that they touch. An event looks into the square of cells around its own, then into
