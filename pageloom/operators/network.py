@@ -45,6 +45,11 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Every edge and its reverse, from one reading of ``edges``."""
+    return edges.select("image_id", F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+
+
 def meeting(a: DataFrame, b: DataFrame, *keys: str, grow_a: str = "0", grow_b: str = "0", cell: int = 128, rows: int | None = None) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` (x, y, w, h and more) of an image (and group) whose boxes, grown on all sides by an
     expression of their own row, touch; columns a_*, b_*, each pair of rows once.
@@ -94,21 +99,19 @@ def pairwise(boxes: DataFrame, distance: float) -> DataFrame:
 
 def link(pairs: DataFrame) -> DataFrame:
     """Undirected pairs (image_id, src, dst) to directed edges, without those from a box to one over 20 times larger."""
-    both = flat(pairs.select("image_id", "src", "dst").union(reverse(pairs)))
-    return both.where(f"NOT ({G.area('a_')} * 20 < {G.area('b_')})").select("image_id", "src", "dst").distinct()
+    return both_ways(pairs).where(f"NOT ({G.area('src.')} * 20 < {G.area('dst.')})").distinct()
 
 
-def series_condition(base: float, distance: float) -> str:
-    """Two boxes in a row or a stack: projections, heights, widths and gaps, and a cap on the distance."""
+def series_condition(base: float, distance: float, xo: str = G.x_overlap("a_", "b_"), yo: str = G.y_overlap("a_", "b_"), edge: str = G.edge_distance("a_", "b_")) -> str:
+    """Two boxes in a row or a stack: projections, heights, widths and gaps, and a cap on the distance. Overlaps and distance may be columns."""
     both = "(a_is_word AND b_is_word)"
-    xo, yo = G.x_overlap("a_", "b_"), G.y_overlap("a_", "b_")
     project, gap = f"CASE WHEN {both} THEN 0.3e0 ELSE 0.5e0 END", f"((a_h + b_h) / 2.0e0) * CASE WHEN {both} THEN 2.5e0 ELSE 1.5e0 END"
     heights = f"({both} OR CAST(least(a_h, b_h) AS DOUBLE) / greatest(a_h, b_h) >= 0.7e0)"
     widths = f"({both} OR CAST(least(a_w, b_w) AS DOUBLE) / greatest(a_w, b_w) >= 0.3e0)"
     row = f"({yo} > 0 AND {xo} <= 0 AND CAST({yo} AS DOUBLE) / least(a_h, b_h) >= {project} AND {heights} AND -{xo} <= {gap})"
     stack = f"({xo} > 0 AND {yo} <= 0 AND CAST({xo} AS DOUBLE) / least(a_w, b_w) >= {project} AND {heights} AND {widths} AND -{yo} <= {gap})"
     large = real(8 * base)
-    return f"NOT (least(a_w, a_h) > {large} AND least(b_w, b_h) > {large}) AND ({row} OR {stack}) AND {G.edge_distance('a_', 'b_')} <= greatest({real(distance)}, least(a_w, a_h, b_w, b_h) / 8.0e0)"
+    return f"NOT (least(a_w, a_h) > {large} AND least(b_w, b_h) > {large}) AND ({row} OR {stack}) AND {edge} <= greatest({real(distance)}, least(a_w, a_h, b_w, b_h) / 8.0e0)"
 
 
 def aligned_series(boxes: DataFrame, base: float, distance: float) -> DataFrame:
@@ -116,7 +119,8 @@ def aligned_series(boxes: DataFrame, base: float, distance: float) -> DataFrame:
     order = "(a_x < b_x OR (a_x = b_x AND (a_y < b_y OR (a_y = b_y AND (a_w < b_w OR (a_w = b_w AND a_h < b_h))))))"
     # one of the two is at most 8 * base wide or high, and the edges are at most an eighth of that, or the distance, apart
     pairs = near_pairs(boxes.select("image_id", "sea", *BOX, "is_word"), max(distance, base) + 1, "sea")
-    return pairs.where(f"{order} AND {series_condition(base, distance)}").select("image_id", box("a_").alias("src"), box("b_").alias("dst")).distinct()
+    pairs = computed(pairs.where(order), xo=G.x_overlap("a_", "b_"), yo=G.y_overlap("a_", "b_"), edge=G.edge_distance("a_", "b_"))
+    return pairs.where(series_condition(base, distance, "xo", "yo", "edge")).select("image_id", box("a_").alias("src"), box("b_").alias("dst")).distinct()
 
 
 def caption_condition() -> str:
