@@ -166,8 +166,11 @@ def median_word_area(boxes: DataFrame) -> DataFrame:
 def large_box_edges(edges: DataFrame, boxes: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Edges from or to a box without word over 20 times the image's median word area."""
     middle = median_word_area(boxes if words is None else words)
-    large = boxes.join(middle, "image_id", "left").withColumn("median_area", F.coalesce("median_area", F.lit(400))).where(f"NOT is_word AND {G.area('')} > 20 * median_area").select("image_id", box().alias("box")).distinct()
-    of = lambda end: edges.join(large.withColumnRenamed("box", end), ["image_id", end], "left_semi").select("image_id", "src", "dst")
+    # sizes are in the edges: most go before the boxes are asked, and then each end in a reading of its own
+    few = edges.select("image_id", "src", "dst").join(middle, "image_id", "left").withColumn("limit", F.expr("20 * coalesce(median_area, 400)"))
+    few = few.where(f"{G.area('src.')} > limit OR {G.area('dst.')} > limit").select("image_id", "src", "dst", "limit")
+    other = boxes.where("NOT is_word").select("image_id", box().alias("box")).distinct()
+    of = lambda end: few.where(f"{G.area(f'{end}.')} > limit").join(other.withColumnRenamed("box", end), ["image_id", end], "left_semi").select("image_id", "src", "dst")
     return of("src").union(of("dst")).distinct()
 
 
