@@ -34,22 +34,43 @@ def drop_letters(boxes: DataFrame, words: DataFrame) -> DataFrame:
     return boxes.join(letters, ["image_id", *BOX], "left_anti")
 
 
+#: Up to so many images are sent to all executors to pick their boxes; beyond, all boxes are dealt.
+IMAGES_SENT = 1 << 18
+
+
+def of_images(boxes: DataFrame, events: DataFrame) -> DataFrame:
+    """Boxes of the events' images; where these are many, all of them."""
+    images = Scratch(events.sparkSession, "images").save(events.select("image_id").distinct(), "images")
+    return boxes.join(F.broadcast(images), "image_id", "left_semi") if images.count() <= IMAGES_SENT else boxes
+
+
 def nearest(events: DataFrame, boxes: DataFrame, cell: int = 128) -> DataFrame:
     """The nearest box of each event's image and its squared distance; ties to the last box in order of y, x, h, w.
 
-    Boxes lie in the grid cells that they touch. An event looks into the square of cells around its own, then into
-    rings that double, and stops when its best box is nearer than any box outside the square can be, or when the square
-    holds all boxes of the image. So an event meets the boxes around it only; each round is written to the shared folder.
+    Boxes lie in the grid cells that they touch. An event first looks at the boxes of its own cell and the eight around it, which
+    are lists by cell, so an event is one row that travels once. What may have a nearer box outside looks into rings that double,
+    and stops when its best box is nearer than any box outside the square can be, or when the square holds all boxes of the image.
+    So an event meets the boxes around it only; each round is written to the shared folder.
     """
     scratch = Scratch(events.sparkSession, "nearest")
     at = lambda e: F.expr(f"cast(floor(({e}) / {cell}) as int)")
-    cells = boxes.select("image_id", *BOX).distinct().select("*", F.explode(F.sequence(at("x"), at("x + w"))).alias("cx")).select("*", F.explode(F.sequence(at("y"), at("y + h"))).alias("cy"))
+    events = events.select("image_id", "event_id", "px", "py", at("px").alias("ex"), at("py").alias("ey"))
+    cells = of_images(boxes.select("image_id", *BOX), events).distinct().select("*", F.explode(F.sequence(at("x"), at("x + w"))).alias("cx")).select("*", F.explode(F.sequence(at("y"), at("y + h"))).alias("cy"))
     cells = scratch.save(cells, "cells")
     extent = cells.groupBy("image_id").agg(F.min("cx").alias("x_low"), F.max("cx").alias("x_high"), F.min("cy").alias("y_low"), F.max("cy").alias("y_high"))
-    open_ = events.select("image_id", "event_id", "px", "py", at("px").alias("ex"), at("py").alias("ey")).join(extent, "image_id")
     best = "struct<near:bigint,y:int,x:int,h:int,w:int>"
-    open_ = scratch.save(open_.withColumn("best", F.lit(None).cast(best)), "0")
-    seen, ring, found, turn = -1, 1, None, 0
+    border = lambda ring: f"least(px - {cell} * ex, {cell} * (ex + 1) - px, py - {cell} * ey, {cell} * (ey + 1) - py) + {cell} * {ring}"
+    done = lambda ring: F.expr(f"(ex - {ring} <= x_low and ex + {ring} >= x_high and ey - {ring} <= y_low and ey + {ring} >= y_high) or coalesce(-best.near < cast({border(ring)} as bigint) * ({border(ring)}), false)")
+    # the boxes that a cell's events look at, each once, with the extent of the image
+    around = cells.select("image_id", F.explode(F.expr("sequence(cx - 1, cx + 1)")).alias("ex"), "cy", F.struct("y", "x", "h", "w").alias("box")).select("image_id", "ex", F.explode(F.expr("sequence(cy - 1, cy + 1)")).alias("ey"), "box")
+    around = around.groupBy("image_id", "ex", "ey").agg(F.collect_set("box").alias("near_boxes")).join(extent, "image_id")
+    first = F.expr(f"array_max(transform(near_boxes, b -> named_struct('near', -({G.point_gap2('', 'b.')}), 'y', b.y, 'x', b.x, 'h', b.h, 'w', b.w)))").cast(best)
+    now = events.join(around, ["image_id", "ex", "ey"], "left").withColumn("best", first).drop("near_boxes")
+    now = scratch.save(now.withColumn("done", F.coalesce(done(1), F.lit(False))), "1")
+    told = lambda rows: rows.where("done").select("event_id", (-F.col("best.near")).alias("gap2"), *(F.col(f"best.{k}").alias(k) for k in BOX))
+    found = told(now)
+    open_ = now.where("not done").select("image_id", "event_id", "px", "py", "ex", "ey", "best").join(extent, "image_id")
+    seen, ring, turn = 1, 2, 1
     while not open_.isEmpty():
         turn += 1
         span = lambda v, low, high: f"sequence(greatest({low}, {v} - {ring}), least({high}, {v} + {ring}))"
@@ -58,21 +79,16 @@ def nearest(events: DataFrame, boxes: DataFrame, cell: int = 128) -> DataFrame:
         looked = looked.select("image_id", "event_id", "px", "py", "cx", F.explode(F.expr(span("ey", "y_low", "y_high"))).alias("cy"), "ex", "ey").where(f"greatest(abs(cx - ex), abs(cy - ey)) > {seen}")
         met = looked.join(cells, ["image_id", "cx", "cy"]).groupBy("event_id").agg(F.max(F.struct((-F.expr(G.point_gap2("", ""))).alias("near"), "y", "x", "h", "w")).cast(best).alias("new"))
         now = open_.join(met, "event_id", "left").withColumn("best", F.greatest("best", "new")).drop("new")
-        border = f"least(px - {cell} * ex, {cell} * (ex + 1) - px, py - {cell} * ey, {cell} * (ey + 1) - py) + {cell} * {ring}"
-        whole = f"ex - {ring} <= x_low and ex + {ring} >= x_high and ey - {ring} <= y_low and ey + {ring} >= y_high"
-        now = scratch.save(now.withColumn("done", F.expr(f"({whole}) or coalesce(-best.near < cast({border} as bigint) * ({border}), false)")), str(turn))
-        part = now.where("done").select("event_id", (-F.col("best.near")).alias("gap2"), *(F.col(f"best.{k}").alias(k) for k in BOX))
-        found = part if found is None else found.unionByName(part)
+        now = scratch.save(now.withColumn("done", done(ring)), str(turn))
+        found = found.unionByName(told(now))
         open_, seen, ring = now.where("not done").drop("done"), ring, 2 * ring
-    if found is None:
-        return open_.select("event_id", (-F.col("best.near")).alias("gap2"), *(F.col(f"best.{k}").alias(k) for k in BOX))
     return found
 
 
 def containing(events: DataFrame, boxes: DataFrame) -> DataFrame:
     """The smallest box that holds each event's point; right and bottom edges are outside."""
     points = events.select("image_id", "event_id", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0).alias("w"), F.lit(0).alias("h"))
-    held = meeting(points, boxes.select("image_id", *BOX).distinct()).where(f"a_x >= b_x AND a_x < {G.right('b_')} AND a_y >= b_y AND a_y < {G.bottom('b_')}")
+    held = meeting(points, of_images(boxes.select("image_id", *BOX), events).distinct()).where(f"a_x >= b_x AND a_x < {G.right('b_')} AND a_y >= b_y AND a_y < {G.bottom('b_')}")
     best = held.groupBy(F.col("a_event_id").alias("event_id")).agg(F.min_by(F.struct(*(F.col(f"b_{k}").alias(k) for k in BOX)), F.struct(F.expr(G.area("b_")), "b_y", "b_x", "b_h", "b_w")).alias("b"))
     return best.select("event_id", *(F.col(f"b.{k}").alias(k) for k in BOX))
 

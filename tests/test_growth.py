@@ -64,8 +64,8 @@ def test_outliers_by_the_averaged_median(spark, areas):
 def test_edges_are_dealt_by_size_first(spark):
     """Edges that can't be meant by their sizes aren't dealt by their ends."""
     edges = spark.createDataFrame([(1, (0, 0, 9, 9), (k, 0, 10, 10)) for k in range(5)], EDGES)
-    assert re.search(r"src#\d+\.h\b", plan(N.body_to_heading(edges, boxes(spark)), "simple"))
-    assert "limit#" in plan(N.large_box_edges(edges, boxes(spark)), "simple")
+    assert re.search(r"src#\d+\.h\b", plan(N.body_to_heading(edges, boxes(spark))))
+    assert "limit#" in plan(N.large_box_edges(edges, boxes(spark)))
 
 
 def test_both_ways_reads_once(spark):
