@@ -75,27 +75,66 @@ class Grid:
 # ---- tiles from pixels and from frames ---------------------------------------
 
 
+def _bytes(rows: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary a group: the bytes of the rows between its bounds."""
+    width = rows.dtype.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _pack(batch: pa.RecordBatch, grid: Grid, columns: tuple[str, ...]) -> pa.RecordBatch:
+    """A row (image_id, tile, at, held) for each tile that rows of ``batch`` belong to: where they are in its region, and their values."""
+    (hy, hx), side = grid.halo, grid.side
+    column = lambda c: batch.column(batch.schema.get_field_index(c))
+    unknown = column("image_id").is_null().to_numpy(zero_copy_only=False)
+    image, y, x = column("image_id").fill_null(0).to_numpy(), column("y").to_numpy().astype(np.int64), column("x").to_numpy().astype(np.int64)
+    held = np.stack([column(c).fill_null(0).to_numpy().astype(np.uint8) for c in columns], axis=1)
+    first_y, first_x = np.maximum(0, (y - hy) // side), np.maximum(0, (x - hx) // side)
+    many_x = np.minimum(grid.across - 1, (x + hx) // side) - first_x + 1
+    many = many_x * (np.minimum(grid.down - 1, (y + hy) // side) - first_y + 1)
+    row = np.repeat(np.arange(len(y)), many)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    ty, tx = first_y[row] + k // many_x[row], first_x[row] + k % many_x[row]
+    left = np.maximum(0, tx * side - hx)
+    at = (y[row] - np.maximum(0, ty * side - hy)) * (np.minimum(grid.width, (tx + 1) * side + hx) - left) + x[row] - left
+    tile = ty * grid.across + tx
+    order = np.lexsort((tile, image[row], unknown[row]))
+    row, tile, at = row[order], tile[order], at[order]
+    image, unknown = image[row], unknown[row]
+    first = np.ones(len(row), bool)
+    first[1:] = (tile[1:] != tile[:-1]) | (image[1:] != image[:-1]) | (unknown[1:] != unknown[:-1])
+    first = np.flatnonzero(first)
+    bounds = np.append(first, len(row))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(image[first], pa.int64(), mask=unknown[first]), pa.array(tile[first].astype(np.int32)), _bytes(at.astype(np.int32), bounds), _bytes(held[row], bounds)], ["image_id", "tile", "at", "held"]
+    )
+
+
 def tiles_of_pixels(pixels: DataFrame, grid: Grid, columns: tuple[str, ...] = ("v",), every: bool = False) -> DataFrame:
-    """Tiles of rows (image_id, y, x, columns): one shuffle, in which a place near a core's border goes to each tile that needs it."""
+    """Tiles of rows (image_id, y, x, columns): one shuffle, in which a place near a core's border goes to each tile that needs it.
+
+    Rows are packed before it: places of a tile that are read together travel and are sorted as one row of bytes.
+    """
     ship(pixels.sparkSession)
-    (hy, hx), side = grid.halo, grid.side
-    tile_of = lambda v, h, most: F.sequence(F.greatest(F.lit(0), F.expr(f"cast(floor(({v} - {h}) / {side}) as int)")), F.least(F.lit(most - 1), F.expr(f"({v} + {h}) div {side}").cast("int")))
-    places = pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(c).cast("short").alias(c) for c in columns))
+    places = pixels.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(c).cast("short").alias(c) for c in columns))
     places = places.where(f"y >= 0 and y < {grid.height} and x >= 0 and x < {grid.width}")
-    dealt = places.select("*", F.explode(tile_of("y", hy, grid.down)).alias("ty")).select("*", F.explode(tile_of("x", hx, grid.across)).alias("tx"))
-    dealt = dealt.select("image_id", F.expr(f"cast(ty * {grid.across} + tx as int)").alias("tile"), "y", "x", *columns)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _pack(batch, grid, columns)
+
+    dealt = places.mapInArrow(pack, "image_id long, tile int, at binary, held binary")
     if every:
-        empty = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(grid.down * grid.across - 1))).alias("tile"))
+        empty = pixels.select(F.col("image_id").cast("long").alias("image_id")).distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(grid.down * grid.across - 1))).alias("tile"))
         dealt = dealt.unionByName(empty, allowMissingColumns=True)
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         tile = key[1].as_py()
         y0, y1, x0, x1 = grid.region(tile)
-        planes = np.zeros((len(columns), y1 - y0, x1 - x0), np.uint8)
-        table = table.filter(table["y"].is_valid()) if table["y"].null_count else table
-        y, x = (table[c].to_numpy() for c in ("y", "x"))
-        for k, c in enumerate(columns):
-            planes[k, y - y0, x - x0] = table[c].fill_null(0).to_numpy()
+        planes = np.zeros((len(columns), (y1 - y0) * (x1 - x0)), np.uint8)
+        for at, held in zip(table["at"], table["held"]):
+            if at.is_valid:
+                planes[:, np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(held.as_buffer(), np.uint8).reshape(-1, len(columns)).T
         return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "tile": pa.array([tile], pa.int32()), "planes": pa.array([planes.tobytes()], pa.binary())})
 
     return dealt.groupBy("image_id", "tile").applyInArrow(gather, TILE)
