@@ -7,8 +7,17 @@ on partitioning. A fold's state is the list of clusters of one box or image.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pageloom.operators import tiles as T
+
+#: The side of the squares that colours are packed in.
+BLOCK = 64
+
 
 def perimeter(boxes: DataFrame, margin: int = 2, gap: int = 10) -> DataFrame:
     """Sample places around each box, ``margin`` outside it, every ``gap`` pixels: side (0 top, 1 bottom, 2 left, 3 right), k, y, x."""
@@ -87,11 +96,67 @@ def dominant_pair(boxes: DataFrame, plane: DataFrame, per_box: int = 400, limit:
     grid = boxes.select("image_id", "x", "y", "w", "h", F.expr(f"explode(sequence(y, y + h - 1, {stride}))").alias("sy")).select("*", F.expr(f"explode(sequence(x, x + w - 1, {stride}))").alias("sx"))
     held = grid.join(plane.select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "l", "a", "b"), ["image_id", "sy", "sx"])
     ordered = held.groupBy("image_id", "x", "y", "w", "h").agg(F.sort_array(F.collect_list(F.struct("sy", "sx", "l", "a", "b"))).alias("v"))
+    return _pair(ordered, limit, apart)
+
+
+def _pair(ordered: DataFrame, limit: int, apart: int) -> DataFrame:
+    """primary and secondary of boxes with their samples v, an ordered array of structs l, a, b."""
     found = ordered.select("image_id", "x", "y", "w", "h", F.expr(leaders("v", limit)).alias("c"))
     far = "(c[0].l - q.l) * (c[0].l - q.l) + (c[0].a - q.a) * (c[0].a - q.a) + (c[0].b - q.b) * (c[0].b - q.b) > " + str(apart)
     return found.select("image_id", "x", "y", "w", "h", F.expr("c[0]").alias("primary"), F.expr(f"coalesce(get(filter(c, q -> {far}), 0), c[0])").alias("secondary"))
 
 
+def colour_blocks(plane: DataFrame, grid: T.Grid) -> DataFrame:
+    """Tiles of the places of a plane (l, a, b, from 0 to 255): whether there is one, l, a and b. Places without a colour don't count."""
+    return T.tiles_of_pixels(plane.where("l is not null and a is not null and b is not null").select("*", F.lit(1).alias("here")), grid, ("here", "l", "a", "b"))
+
+
+def colours_at(places: DataFrame, blocks: DataFrame, grid: T.Grid) -> DataFrame:
+    """image_id, y, x, l, a, b of those of ``places`` (image_id, y, x) that the blocks have, each once."""
+    inside = places.where(f"y >= 0 and y < {grid.height} and x >= 0 and x < {grid.width}").select("image_id", "y", "x").distinct()
+    tile, place = f"cast(y div {grid.side} * {grid.across} + x div {grid.side} as int)", f"cast(y as bigint) * {grid.width} + x"
+    asked = inside.groupBy("image_id", F.expr(tile).alias("tile")).agg(F.collect_list(F.expr(place)).alias("asked"))
+
+    def look(image: int, tile: int, planes: np.ndarray, asked: list[int]) -> Iterator[pa.RecordBatch]:
+        y0, _, x0, _ = grid.region(tile)
+        y, x = np.divmod(np.array(asked, np.int64), grid.width)
+        here, *colours = planes[:, y - y0, x - x0]
+        at = here > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(at.sum(), image, np.int64)), *(pa.array(v[at].astype(np.int32)) for v in (y, x, *colours))], ["image_id", "y", "x", "l", "a", "b"])
+
+    return T.on_tiles(blocks.join(asked, ["image_id", "tile"]), grid, look, "image_id long, y int, x int, l int, a int, b int", ("asked",))
+
+
+def dominant_pair_of_blocks(boxes: DataFrame, blocks: DataFrame, grid: T.Grid, per_box: int = 400, limit: int = 36, apart: int = 900) -> DataFrame:
+    """``dominant_pair`` of colours in blocks: a block samples all boxes that reach into it, and a sample travels as one number."""
+    stride = f"greatest(1, cast(floor(sqrt(cast(w as double) * h / {per_box})) as int))"
+    squares = lambda v, n, most: f"explode(sequence(greatest(0, {v} div {grid.side}), least({most}, ({v} + {n} - 1) div {grid.side})))"
+    inside = boxes.where(f"x < {grid.width} and y < {grid.height} and x + w > 0 and y + h > 0")
+    asking = inside.select("image_id", "x", "y", "w", "h", F.expr(squares("y", "h", grid.down - 1)).alias("ty")).select("*", F.expr(squares("x", "w", grid.across - 1)).alias("tx"))
+    asked = asking.groupBy("image_id", F.expr(f"cast(ty * {grid.across} + tx as int)").alias("tile")).agg(F.collect_list(F.expr(f"array(cast(x as int), y, w, h, {stride})")).alias("asked"))
+
+    def sample(image: int, tile: int, planes: np.ndarray, asked: list[list[int]]) -> Iterator[pa.RecordBatch]:
+        y0, y1, x0, x1 = grid.region(tile)
+        found = []
+        for x, y, w, h, step in asked:
+            sy = np.arange(y + max(0, -((y - y0) // step)) * step, min(y + h, y1), step)
+            sx = np.arange(x + max(0, -((x - x0) // step)) * step, min(x + w, x1), step)
+            if len(sy) and len(sx):
+                here, l, a, b = planes[:, (sy - y0)[:, None], (sx - x0)[None, :]].astype(np.int64)
+                number = (((sy[:, None] << 20) + sx[None, :]) << 24) + (l << 16) + (a << 8) + b
+                found.append((x, y, w, h, number[here > 0]))
+        found = [f for f in found if len(f[4])]
+        if found:
+            ends = np.cumsum([0, *(len(f[4]) for f in found)]).astype(np.int32)
+            numbers = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[4] for f in found])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), image, np.int64)), *(pa.array([f[k] for f in found], pa.int32()) for k in range(4)), numbers], ["image_id", "x", "y", "w", "h", "v"])
+
+    sampled = T.on_tiles(blocks.join(asked, ["image_id", "tile"]), grid, sample, "image_id long, x int, y int, w int, h int, v array<bigint>", ("asked",))
+    whole = sampled.groupBy("image_id", "x", "y", "w", "h").agg(F.sort_array(F.flatten(F.collect_list("v"))).alias("v"))
+    byte = lambda k: f"cast(shiftright(s, {k}) & 255 as int)"
+    return _pair(whole.withColumn("v", F.expr(f"transform(v, s -> named_struct('l', {byte(16)}, 'a', {byte(8)}, 'b', {byte(0)}))")), limit, apart)
+
+
 def pair_match(p: str, q: str, limit: int = 9) -> str:
     """Two colour pairs agree: a pair whose colours agree is one colour; one matches either of two; two match in either order."""
     d = lambda a, b: "(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in "lab") + f" < {limit})"

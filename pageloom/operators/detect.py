@@ -45,13 +45,18 @@ def edge_boxes(edges: T.Edges, tiles: DataFrame) -> DataFrame:
     return P.selectable(edges.boxes(tiles), *edges.closing, edges.grid.width * edges.grid.height).select("image_id", *N.BOX)
 
 
-def keep_stable(boxes: DataFrame, words: DataFrame, plane: DataFrame, margin: int) -> DataFrame:
-    """Boxes with their colour pair: words' own boxes with a sample inside the image, and of the others the calm ones, whose pair is their perimeter's median twice."""
+def keep_stable(boxes: DataFrame, words: DataFrame, blocks: DataFrame, grid: T.Grid, margin: int) -> DataFrame:
+    """Boxes with their colour pair: words' own boxes with a sample inside the image, and of the others the calm ones, whose pair is their perimeter's median twice.
+
+    ``blocks`` are the image's colours as ``C.colour_blocks`` packs them; a block answers all boxes that ask it, so no row a pixel is sorted.
+    """
     own = words.select("image_id", *N.BOX).distinct()
     colour = lambda l, a, b: F.struct(F.col(l).cast("int").alias("l"), F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b"))
-    pairs = C.dominant_pair(boxes.join(own, ["image_id", *N.BOX], "left_semi"), plane)
+    pairs = C.dominant_pair_of_blocks(boxes.join(own, ["image_id", *N.BOX], "left_semi"), blocks, grid)
     pairs = pairs.select("image_id", *N.BOX, *(colour(f"{c}.l", f"{c}.a", f"{c}.b").alias(c) for c in ("primary", "secondary")))
-    samples = C.perimeter(boxes.join(own, ["image_id", *N.BOX], "left_anti"), margin)
+    scratch = Scratch(boxes.sparkSession, "samples")
+    samples = scratch.save(C.perimeter(boxes.join(own, ["image_id", *N.BOX], "left_anti"), margin), "places")
+    plane = scratch.save(C.colours_at(samples, blocks, grid), "colours")
     calm = C.calmness(samples, plane, ("l", "a", "b"), HIGH * HIGH).where("calm").select("image_id", "fx", "fy", "fw", "fh")
     around = C.perimeter_colours(samples, plane, "l", "a", "b").join(calm, ["image_id", "fx", "fy", "fw", "fh"], "left_semi")
     around = around.select("image_id", *(F.col(f"f{k}").alias(k) for k in N.BOX), colour("l", "a", "b").alias("primary"), colour("l", "a", "b").alias("secondary"))
@@ -96,7 +101,9 @@ def detect(pixels: DataFrame, words: DataFrame, width: int, height: int, tuned_a
     words = scratch.save(words.select("image_id", "word_idx", "line_id", *N.BOX), "words")
     found = found if found is not None else scratch.save(detect_boxes(plane, width, height, kernel_of(scale_height)), "found")
     chosen = scratch.save(S.drop_letters(S.drop_covered(found, words), words), "chosen")
-    pairs = scratch.save(keep_stable(chosen, words, plane, margin_of(scale_height)), "pairs")
+    grid = T.Grid(width, height, C.BLOCK)
+    blocks = scratch.save(C.colour_blocks(plane, grid), "blocks")
+    pairs = scratch.save(keep_stable(chosen, words, blocks, grid, margin_of(scale_height)), "pairs")
     grouped = scratch.save(C.seas(pairs).select("image_id", *N.BOX, F.col("sea_id").alias("sea"), "founder"), "seas")
     tags = S.tag_boxes(grouped, words).where("word_idx is not null").join(words.select("image_id", "word_idx", "line_id").dropDuplicates(["image_id", "word_idx"]), ["image_id", "word_idx"])
     boxes = grouped.join(tags, ["image_id", *N.BOX], "left").select("image_id", *N.BOX, "sea", F.col("word_idx").isNotNull().alias("is_word"), "line_id", "word_idx", "founder")
