@@ -72,13 +72,13 @@ def shrinkage(a: str, b: str, distance: str) -> str:
     return f"least(1.0e0, {distance} * 8 / greatest(1.0e0, CAST(least({a}w, {a}h, {b}w, {b}h) AS DOUBLE)))"
 
 
-def connection(a: str, b: str, distance: str) -> str:
-    """Likeliness that a connects to b, 0 to 1; 0 where one holds the other and where the distance is 0 or less."""
-    edge = edge_distance(a, b)
-    close = closeness(a, b, edge, distance)
-    score = f"({close} + (1 - {close}) * {alignment(a, b, distance)})"
-    shrink = shrinkage(a, b, distance)
-    return f"CASE WHEN {distance} <= 0 OR {contains(a, b)} OR {contains(b, a)} THEN 0.0e0 ELSE {nearness(edge, distance)} * {score} * {shrink} * {shrink} END"
+def connection(a: str, b: str, distance: str, edge: str | None = None, close: str | None = None, align: str | None = None, near: str | None = None, shrink: str | None = None) -> str:
+    """Likeliness that a connects to b, 0 to 1; 0 where one holds the other and where the distance is 0 or less. Parts that are known may be columns."""
+    edge = edge or edge_distance(a, b)
+    close = close or closeness(a, b, edge, distance)
+    score = f"({close} + (1 - {close}) * {align or alignment(a, b, distance)})"
+    shrink = shrink or shrinkage(a, b, distance)
+    return f"CASE WHEN {distance} <= 0 OR {contains(a, b)} OR {contains(b, a)} THEN 0.0e0 ELSE {near or nearness(edge, distance)} * {score} * {shrink} * {shrink} END"
 
 
 def point_gap2(p: str, a: str) -> str:
