@@ -26,11 +26,18 @@ from pageloom.llm.queries import ARROW_ROWS, MIX_TARGETS, VOCABULARY, language_l
 from pageloom.runtime import Scratch
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt to all cores where one task would read over twice a core's share: files are only split between row groups, and some writers make few."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    most, whole = docs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return docs.repartition(3 * cores) if most and most * cores > 2 * whole else docs
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. The model is fitted on the input's labelled documents."""
     spark.conf.set(ARROW_ROWS, "2048")
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(quality_score(docs, model, F.col("text")) >= THRESHOLD)
+    return spread(docs).where(quality_score(docs, model, F.col("text")) >= THRESHOLD)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +62,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens."""
-    return bpe_encode_decode(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    return bpe_encode_decode(spread(docs), public_tokenizers.path(VOCABULARY)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [

@@ -378,3 +378,19 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_few_row_groups_are_dealt_to_all_cores(spark, tmp_path):
+    """A file of one row group is one task as it is read; scoring and encoding need all cores."""
+    import corpus_pipeline
+
+    rows = [(k, f"Words of document {k}, in a plain sentence.", "en", "a", 40) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert docs.rdd.getNumPartitions() == 1
+    cores = spark.sparkContext.defaultParallelism
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.encoding_stage):
+        assert stage(spark, docs, str(tmp_path)).rdd.getNumPartitions() >= cores
+    assert sorted(r["doc_id"] for r in corpus_pipeline.encoding_stage(spark, docs, str(tmp_path)).collect()) == list(range(60))
