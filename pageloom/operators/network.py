@@ -10,7 +10,10 @@ a grid cell is added where the geometry is local and the group may be large.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions import geometry as G
@@ -306,8 +309,8 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 1000, compact: i
 
     The start itself has depth 0 and no parent; a node's parent is the least of the nodes one level nearer that lead to it.
     A frontier join a level; every level is written to the shared folder, so cycles end and a lost executor costs a re-read.
-    Every ``compact`` levels what has been seen becomes one table. The result has a row a pair: for what leads where
-    without depths, ``clusters`` keeps members once a component.
+    Every ``compact`` levels what has been seen becomes one table. The result has a row a pair, and all pairs are shuffled: numbered
+    nodes go through ``reach_by_blocks``, and for what leads where without depths, ``clusters`` keeps members once a component.
     """
     from pageloom.runtime import Scratch
 
@@ -327,6 +330,84 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 1000, compact: i
     raise RuntimeError(f"not finished in {max_depth} levels")
 
 
+#: Of the block form of ``reach``: starts are taken in runs of 2^BLOCK_BITS numbers, edges of a block that a task holds, and places of its mark table.
+BLOCK_BITS, BLOCK_EDGES, MARKS = 14, 1 << 21, 1 << 24
+
+
+def reach_of_block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """start, node, depth, parent of one block: ``rows(a, b)`` are edges, and starts where b is null. Level by level for some starts at a time."""
+    a, lone = rows["a"].to_numpy(), rows["b"].is_null().to_numpy()
+    b = rows["b"].fill_null(0).to_numpy()
+    nodes = np.unique(np.concatenate([a, b[~lone]]))
+    starts = np.searchsorted(nodes, np.unique(a[lone]))
+    source, target = np.searchsorted(nodes, a[~lone]), np.searchsorted(nodes, b[~lone])
+    order = np.argsort(source, kind="stable")
+    target, first = target[order], np.searchsorted(source[order], np.arange(len(nodes) + 1))
+    step = max(1, MARKS // len(nodes))
+    for low in range(0, len(starts), step):
+        some = starts[low : low + step]
+        seen = np.zeros(len(some) * len(nodes), bool)
+        who, at, parent, depth = np.arange(len(some)), some, np.full(len(some), -1), 0
+        seen[who * len(nodes) + at] = True
+        while len(who):
+            for k in range(0, len(who), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                known = parent[part] >= 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[some[who[part]]]), pa.array(nodes[at[part]]), pa.array(np.full(len(known), depth, np.int32)), pa.array(nodes[parent[part]], mask=~known)], ["start", "node", "depth", "parent"]
+                )
+            many = first[at + 1] - first[at]
+            led = target[np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            key, parent = np.repeat(who, many) * len(nodes) + led, np.repeat(at, many)
+            fresh = ~seen[key]
+            key, parent = key[fresh], parent[fresh]
+            order = np.lexsort((parent, key))
+            key, parent = key[order], parent[order]
+            least = np.ones(len(key), bool)
+            least[1:] = key[1:] != key[:-1]
+            key, parent, depth = key[least], parent[least], depth + 1
+            seen[key] = True
+            who, at = np.divmod(key, len(nodes))
+
+
+def reach_by_blocks(edges: DataFrame, starts: DataFrame, max_depth: int = 1000, bits: int = BLOCK_BITS, most: int = BLOCK_EDGES) -> DataFrame:
+    """``reach`` of long nodes: only the edges that any start of a block leads to are dealt, once a block, and the pairs are made where they are returned.
+
+    Starts near each other in number are a block, so it pays where their ways meet; blocks that lead to over ``most`` edges go level by level, pair by pair.
+    """
+    from pageloom.runtime import Scratch, ship
+
+    ship(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, "blocks")
+    edges = scratch.save(edges.select("a", "b").where("a is not null and b is not null").distinct(), "edges")
+    starts = scratch.save(starts.select("start").distinct(), "starts")
+    block = F.expr(f"shiftright(start, {bits})").alias("block")
+    first = starts.where("start is not null").select(block, F.col("start").alias("node"))
+    front, seen, dealt = first, first, None
+    for k in range(1, max_depth + 1):
+        led = scratch.save(front.select("block", F.col("node").alias("a")).join(edges, "a").select("block", "a", "b"), f"edges{k}")
+        dealt = led if dealt is None else dealt.union(led)
+        step = led.select("block", F.col("b").alias("node")).distinct()
+        front = scratch.save(step.join(seen, ["block", "node"], "left_anti"), f"front{k}")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+        if k % 8 == 0:
+            seen = scratch.save(seen, f"seen{k}")
+    else:
+        raise RuntimeError(f"not finished in {max_depth} levels")
+    large = scratch.save(dealt.groupBy("block").count().where(f"count > {most}").select("block"), "large")
+    rows = dealt.union(first.select("block", F.col("node").alias("a"), F.lit(None).cast("long").alias("b")))
+
+    def found(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from reach_of_block(pa.Table.from_batches(list(batches)))
+
+    pairs = rows.join(F.broadcast(large), "block", "left_anti").groupBy("block").applyInArrow(found, "start long, node long, depth int, parent long")
+    nowhere = starts.where("start is null").select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.col("start").alias("parent"))
+    pairs = pairs.union(nowhere)
+    return pairs if large.isEmpty() else pairs.union(reach(edges, starts.select("start", block).join(F.broadcast(large), "block", "left_semi").select("start"), max_depth))
+
+
 def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``edges(a, b)`` to (node, component) of every node of an edge: the least node of its strongly connected component.
 

@@ -102,3 +102,42 @@ def test_nearest_by_rings(spark, cell):
             want[k] = (-g, x, y, w, h)
     got = S.nearest(spark.createDataFrame(events, "event_id long, image_id long, px int, py int"), spark.createDataFrame(boxes, "image_id long, x int, y int, w int, h int"), cell).collect()
     assert {r["event_id"]: (r["gap2"], r["x"], r["y"], r["w"], r["h"]) for r in got} == want and len(got) == len(want)
+
+
+def levels(pairs, starts):
+    """start, node, depth, parent by plain loops."""
+    to, out = table(pairs), set()
+    for s in starts:
+        depth, front, k = {s: 0}, [s], 0
+        out.add((s, s, 0, None))
+        while front:
+            k, led = k + 1, {}
+            for a in front:
+                for b in to.get(a, ()):
+                    if b not in depth:
+                        led[b] = min(a, led.get(b, a))
+            out |= {(s, b, k, a) for b, a in led.items()}
+            depth |= dict.fromkeys(led, k)
+            front = list(led)
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 21, 12])
+def test_reach_by_blocks(spark, monkeypatch, most):
+    rnd = random.Random(6)
+    pairs = [p for g in GRAPHS.values() for p in g] + [(rnd.randrange(-40, 90), rnd.randrange(-40, 90)) for _ in range(130)]
+    starts = [*range(-45, 95), 1000, 5, 5]
+    monkeypatch.setattr(N, "MARKS", 700)
+    edges = spark.createDataFrame([*pairs, *pairs[:9], (None, 3), (4, None)], "a long, b long")
+    got = [tuple(r) for r in N.reach_by_blocks(edges, spark.createDataFrame([(s,) for s in [*starts, None]], "start long"), bits=4, most=most).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == levels(pairs, set(starts)) | {(None, None, 0, None)}
+
+
+def test_reach_by_blocks_deals_edges_not_pairs(spark):
+    """Ways that meet are dealt once a block, so what is dealt is far less than the pairs."""
+    orders = spark.range(4096)
+    edges = orders.selectExpr("id as a", "id div 3 as b").union(orders.selectExpr("id", "id div 5"))
+    found = N.reach_by_blocks(edges, orders.select(F.col("id").alias("start")), bits=8)
+    folder = [f for f in spark.sparkContext._pageloom_runs if "-blocks-" in f][-1]
+    assert 3 * spark.read.parquet(f"{folder}/edges[0-9]*").count() < found.count()
