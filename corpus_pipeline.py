@@ -17,15 +17,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pageloom.llm import textkit as tk
 from pageloom.llm.bpe_codec import bpe_encode_decode
 from pageloom.llm.line_dedup import dedup_lines
 from pageloom.llm.mixing import mix_sources
 from pageloom.llm.ngram_join import ngram_jaccard_components
 from pageloom.llm.quality_gam import THRESHOLD, fit_quality, quality_score
-from pageloom.llm.queries import ARROW_ROWS, MIX_TARGETS, VOCABULARY, language_labels
+from pageloom.llm.queries import ARROW_BYTES, ARROW_ROWS, MIX_TARGETS, VOCABULARY, language_labels
 from pageloom.runtime import Scratch
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of about a block of text: an executor's C library keeps what larger buffers took, for each of its threads, until the executor ends."""
+    spark.conf.set(ARROW_ROWS, "2048")
+    spark.conf.set(ARROW_BYTES, str(tk.BATCH_BYTES))
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """``docs`` dealt to all cores where one task would read over twice a core's share: files are only split between row groups, and some writers make few."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
@@ -35,19 +42,21 @@ def spread(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. The model is fitted on the input's labelled documents."""
-    spark.conf.set(ARROW_ROWS, "2048")
+    bound_batches(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return spread(docs).where(quality_score(docs, model, F.col("text")) >= THRESHOLD)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later matching lines; n_chars is that of the new text."""
+    bound_batches(spark)
     kept = dedup_lines(docs, percent=80, least_words=1)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates on five-word shingles: the one with the smallest id."""
+    bound_batches(spark)
     groups = ngram_jaccard_components(docs, n=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
     groups = Scratch(spark, "stage").save(groups, "gone")
     # ids of later members are sent to all executors while they are few; beyond, a shuffled join
@@ -62,6 +71,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens."""
+    bound_batches(spark)
     return bpe_encode_decode(spread(docs), public_tokenizers.path(VOCABULARY)).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 

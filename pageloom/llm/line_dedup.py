@@ -44,6 +44,8 @@ TRIED, OPEN_SENT = 3, 1 << 18
 SEEN = 1 << 17
 #: Records of an index bucket, on average; of a block of a hot word's list, and hot words at most (beyond, the blocks grow); pairs compared at once.
 BUCKET_RECORDS, HOT, HOT_MOST, PAIRS_AT_ONCE = 200_000, 100_000, 1 << 20, 250_000
+#: Records that a task holds before it deals them, and of a row at most (64 KB, so that no row is an object of its own in the heap).
+DEALT_RECORDS, ROW_RECORDS = 1 << 16, 1489
 #: Keys have 51 bits, so that with a line's number in a chunk they sort as one integer: 8 of a count on a log scale, 43 of a hash.
 KEY_BITS, COUNT_BITS = 51, 8
 CHUNK = 1 << (64 - KEY_BITS)
@@ -71,7 +73,8 @@ def _word_grades(docs: DataFrame, text_col: str) -> np.ndarray:
             total += np.bincount(_counter(tk.span_hashes(low, *tk.runs(tk.NOT_SPACE[low], offs))), minlength=COUNTERS)
         if total.any():
             small = np.minimum(total, (1 << 32) - 1).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array([small[k * wide : (k + 1) * wide].tobytes() for k in range(PARTS)], pa.binary())], ["part", "counts"])
+            for part in np.array_split(np.arange(PARTS), max(1, small.nbytes // tk.BATCH_BYTES)):
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([small[k * wide : (k + 1) * wide].tobytes() for k in part], pa.binary())], ["part", "counts"])
 
     @tk.releasing
     def graded(batches):
@@ -153,6 +156,22 @@ ENDS = ["a_doc", "a_line", "b_doc", "b_line"]
 RECORD = np.dtype([("token", "<u8"), ("doc_id", "<i8"), ("b1", "<u8"), ("b2", "<u8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
 
 
+def _dealt(records: np.ndarray, buckets: int):
+    """Batches (bucket, records) of packed records by the hash of their word: rows of ROW_RECORDS at most, batches of about BATCH_BYTES."""
+    bucket = (tk.mix(records["token"]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    records, bucket = records[order], bucket[order]
+    change = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    parts = -(-np.diff(np.append(change, len(bucket))) // ROW_RECORDS)
+    head = np.repeat(change, parts) + ROW_RECORDS * ragged_index(np.zeros(len(parts), np.int64), parts)
+    stop = np.append(head[1:], len(bucket))
+    low = 0
+    while low < len(head):
+        high = max(low + 1, int(np.searchsorted(stop, head[low] + tk.BATCH_BYTES // RECORD.itemsize, side="right")))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[head[low:high]]), pa.array([records[a:b].tobytes() for a, b in zip(head[low:high], stop[low:high])], pa.binary())], ["bucket", "records"])
+        low = high
+
+
 def _pairs_of(records: np.ndarray, percent: int, only: np.ndarray | None, every: bool, tried: int, at_once: int):
     """Candidates (records, a, b, more), b the later line, of packed records: of each list (equal token) and later line the ``tried`` with
     the fewest differing bits (more: there were others), or all of the later lines whose key is in ``only``, or all of all."""
@@ -232,7 +251,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     @tk.releasing
     def with_prefixes(batches):
         # the earliest line of each class so far; rows may come in any order, so a class's first line gets its prefix wherever it is read
-        seen: dict[tuple[int, int], int] = {}
+        seen: dict[bytes, int] = {}
         for batch, row, number, flat, bounds in _lines(batches, "text", sent.value, least_words, short=True):
             if not len(row):
                 continue
@@ -248,7 +267,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             new = np.zeros(len(row), dtype=bool)
             # a set so small that a word more or less is too much matches equal sets only: its class is all it needs
             meets = np.flatnonzero((100 * n >= percent * (n + 1)) | (100 * (n - 1) >= percent * n))
-            for i, sig, doc, line in zip(meets.tolist(), zip(one[meets].tolist(), two[meets].tolist()), ids.to_numpy()[meets].tolist(), number[meets].tolist()):
+            # 16 bytes less the zeros at their end: different signatures stay different
+            sigs = np.stack([one[meets], two[meets]], axis=1).view("S16").ravel().tolist()
+            for i, sig, doc, line in zip(meets.tolist(), sigs, ids.to_numpy()[meets].tolist(), number[meets].tolist()):
                 place, first = (doc << 32) + line, seen.get(sig)
                 if first is None or place < first:
                     new[i] = True
@@ -298,15 +319,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def packed(batches):
             held, n_held, words = [], 0, chosen.value
 
-            def flush():
-                records = np.concatenate(held)
-                bucket = (tk.mix(records["token"]) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                records, bucket = records[order], bucket[order]
-                head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                stop = np.append(head[1:], len(bucket))
-                return pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array([records[a:b].tobytes() for a, b in zip(head, stop)], pa.binary())], ["bucket", "records"])
-
             for batch in batches:
                 token, bounds = tk.binary_values(batch.column(5), np.uint64)
                 size = np.diff(bounds)
@@ -329,11 +341,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if len(out):
                     held.append(out)
                     n_held += len(out)
-                if n_held > 250_000:
-                    yield flush()
+                if n_held > DEALT_RECORDS:
+                    yield from _dealt(np.concatenate(held), buckets)
                     held, n_held = [], 0
             if held:
-                yield flush()
+                yield from _dealt(np.concatenate(held), buckets)
 
         return first.mapInArrow(packed, "bucket long, records binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
@@ -343,7 +355,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         @tk.releasing
         def found(batches):
             def emit(held):
-                for r, a, b, more in _pairs_of(np.frombuffer(b"".join(held), dtype=RECORD), percent, chosen.value, every, tried_first, at_once):
+                records = np.frombuffer(b"".join(held), dtype=RECORD)
+                held.clear()
+                pairs = _pairs_of(records, percent, chosen.value, every, tried_first, at_once)
+                del records  # it goes on with a sorted copy
+                for r, a, b, more in pairs:
                     ends = [pa.array(r[c][x]) for x in (a, b) for c in ("doc_id", "line")]
                     yield pa.RecordBatch.from_arrays([*ends, pa.array(more)], [*ENDS, "more"])
 

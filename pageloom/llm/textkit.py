@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and a worker, about; with its last row it is still one block.
+BATCH_BYTES = 7 << 17
 _ODD = U(0x9E3779B97F4A7C15)
 
 
