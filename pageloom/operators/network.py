@@ -234,6 +234,12 @@ def body_to_heading(edges: DataFrame, boxes: DataFrame) -> DataFrame:
     return steep.join(word.withColumnRenamed("box", "src"), ["image_id", "src"], "left_semi").join(word.withColumnRenamed("box", "dst"), ["image_id", "dst"], "left_semi").select("image_id", "src", "dst")
 
 
+def pairs_to_heading(boxes: DataFrame, distance: float) -> DataFrame:
+    """``body_to_heading`` of ``pairwise``: boxes know before they meet whether they are a heading, so the other pairs are never dealt."""
+    words = places(boxes, word=F.expr("bool_or(is_word)")).where("word").drop("word").join(heading_limit(boxes), "image_id")
+    return pairwise_of(words.withColumn("heading", F.expr("h > tall")).drop("tall"), distance, "NOT a_heading AND b_heading")
+
+
 def bridges(edges: DataFrame, boxes: DataFrame, distance: float) -> DataFrame:
     """New edges from a body word back to the exactly two body words that point to it, near it, if it points to neither. The edges are read twice, so they are written first."""
     from pageloom.runtime import Scratch

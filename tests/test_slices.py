@@ -57,7 +57,7 @@ def test_few_rows_are_one_slice(spark):
     assert by_slices(lambda t: t, empty, most=1).count() == 0
 
 
-@pytest.mark.parametrize("name", ["a12_origin_counts", "j10_paragraph_cuts"])
+@pytest.mark.parametrize("name", ["a12_origin_counts", "j10_paragraph_cuts", "j11_body_to_heading"])
 def test_queries_by_slices(spark, name, monkeypatch):
     whole = registry.QUERIES[name](spark, SF)
     n = spark.read.parquet(f"{slices_folder(spark)}/rows").count()
@@ -98,7 +98,7 @@ def test_pairs_come_out_once_and_are_not_dealt(spark):
     assert any(len(boxes[i, *a] & boxes[i, *b]) > 1 for i, a, b in got) and all(boxes[i, *a] & boxes[i, *b] for i, a, b in got)
     one = rows.where("sea is not null").select("image_id", *N.BOX).distinct().withColumn("sea", F.lit(0))
     assert got == sorted({(i, a, b) for i, a, b in held(N.pairwise(one, BASE)) if boxes[i, *a] & boxes[i, *b]})
-    for pairs in (N.pairwise(rows, BASE),):
+    for pairs in (N.pairwise(rows, BASE), N.pairs_to_heading(N.each_once(rows), BASE)):
         text = plan(pairs)
         assert "exchange" not in text[: text.index("join")] and "aggregate" not in text[: text.index("join")]
 
@@ -108,5 +108,5 @@ def test_pairs_know_before_they_meet(spark):
     once = rows.distinct()
     edges = N.pairwise(once, BASE)
     assert N.paragraph_cuts(edges, once).where("src.w < 90 and dst.w < 90").count()
-    for got, want in ((N.pairs_across_paragraphs(N.each_once(rows), BASE), N.paragraph_cuts(edges, once)),):
+    for got, want in ((N.pairs_to_heading(N.each_once(rows), BASE), N.body_to_heading(edges, once)), (N.pairs_across_paragraphs(N.each_once(rows), BASE), N.paragraph_cuts(edges, once))):
         assert held(got) == held(want) and 0 < want.count() < edges.count()
