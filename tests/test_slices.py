@@ -57,7 +57,7 @@ def test_few_rows_are_one_slice(spark):
     assert by_slices(lambda t: t, empty, most=1).count() == 0
 
 
-@pytest.mark.parametrize("name", ["a12_origin_counts", "j10_paragraph_cuts", "j11_body_to_heading"])
+@pytest.mark.parametrize("name", ["a12_origin_counts", "n4_network", "j10_paragraph_cuts", "j11_body_to_heading"])
 def test_queries_by_slices(spark, name, monkeypatch):
     whole = registry.QUERIES[name](spark, SF)
     n = spark.read.parquet(f"{slices_folder(spark)}/rows").count()
